@@ -1,0 +1,68 @@
+"""Stand-in views over the driver tables, in SQL that Spark and the checking engine both accept."""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
+def _load() -> dict[str, str]:
+    """The named statements of `FIXTURES.md`."""
+    text = (Path(__file__).parent.parent / "FIXTURES.md").read_text()
+    return {
+        name: body.strip()
+        for name, body in re.findall(r"```sql\n-- name: (\w+)\n(.*?)```", text, re.S)
+    }
+
+
+VIEWS = _load()
+
+
+def names_in(sql: str) -> set[str]:
+    return set(re.findall(r"\b\w+\b", sql))
+
+
+def with_views(sql: str) -> str:
+    """Prefix a statement with the views it uses, directly or through other views."""
+    needed: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in VIEWS:
+            if name in names_in(text) and name not in needed:
+                visit(VIEWS[name])
+                if name not in needed:
+                    needed.append(name)
+
+    visit(sql)
+    if not needed:
+        return sql
+    heads = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
+    body = sql.strip()
+    if re.match(r"(?i)with\b", body):
+        return f"WITH {heads},\n{body[4:].lstrip()}"
+    return f"WITH {heads}\n{body}"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stand-in view over the tables of one scale factor."""
+    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run a statement over the tables and views; only the tables it names are opened."""
+    full = with_views(sql)
+    for name in TABLES:
+        if name in names_in(full):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(full)
