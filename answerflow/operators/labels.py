@@ -76,13 +76,17 @@ def high_cost_report(
 def quantile_bins(df: DataFrame, column: str, bins: int = 4, name: str = "bin") -> DataFrame:
     """0-based right-closed quantile bins; repeated edges are merged; missing stays missing."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = (
-        exact_percentiles(df, column, probs)
-        .select(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)])).alias("e"))
-        .scalar()
+    distinct = exact_percentiles(df, column, probs).select(
+        F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)])).alias("e")
+    )
+    # The first and the last distinct edge bound the range; only those between separate bins.
+    inner = [
+        F.when(F.size("e") > i + 1, F.try_element_at("e", F.lit(i + 1))).alias(f"e{i}") for i in range(1, bins)
+    ]
+    edges = distinct.select(F.struct(*inner)).scalar()
+    passed = sum(
+        (F.coalesce((edges[f"e{i}"] < F.col(column)).cast("int"), F.lit(0)) for i in range(1, bins)), F.lit(0)
     )
-    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    passed = F.size(F.filter(inner, lambda e: e < F.col(column)))
     return df.withColumn(name, F.when(F.col(column).isNotNull(), passed))
 
 

@@ -10,8 +10,6 @@ from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer,
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from answerflow.functions.vectors import l2_normalize
-
 
 def text_features(text: str = "question", dims: int = 1024, output: str = "features") -> Pipeline:
     """Hashed TF-IDF of unit length: the encoder that needs no download."""
@@ -36,8 +34,19 @@ def encode(
 
     `make_encoder` returns a function from an array of texts to an (n, d) array.
     """
-    vectorize = predict_batch_udf(make_encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    return df.withColumn(output, l2_normalize(vectorize(F.col(text))))
+
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        encoder = make_encoder()
+
+        def unit(texts: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(encoder(texts), dtype=np.float64)
+            lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+            return (vectors / np.where(lengths > 0, lengths, 1.0)).astype(np.float32)
+
+        return unit
+
+    vectorize = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return df.withColumn(output, vectorize(F.col(text)))
 
 
 def vector_column(df: DataFrame, vector: str = "embedding", output: str = "features") -> DataFrame:

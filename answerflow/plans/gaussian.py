@@ -23,9 +23,9 @@ def class_moments(train: DataFrame, label: str, vector: str = "embedding") -> Da
         F.array_max(F.transform("var", lambda v: v * (F.col("n") - 1) / F.col("n"))) * F.lit(SMOOTHING)
     ).scalar()
     share = F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0)))
-    return per_class.select(
-        "label", share.alias("prior"), "mean",
-        F.transform("var", lambda v: v * (F.col("n") - 1) / F.col("n") + widest).alias("var"),
+    return per_class.withColumns({"prior": share, "_widest": widest}).select(
+        "label", "prior", "mean",
+        F.transform("var", lambda v: v * (F.col("n") - 1) / F.col("n") + F.col("_widest")).alias("var"),
     )
 
 
@@ -47,8 +47,8 @@ def gaussian_bayes(train: DataFrame, test: DataFrame, label: str, key: str = "id
             lambda a, x: a + x,
         ) * -0.5
 
-    logs = F.transform(packed, lambda r: F.struct(r["label"].alias("label"), likelihood(r).alias("ll")))
-    scored = test.select(key, logs.alias("_l"))
+    logs = F.transform("_m", lambda r: F.struct(r["label"].alias("label"), likelihood(r).alias("ll")))
+    scored = test.withColumn("_m", packed).select(key, logs.alias("_l"))
     gap = F.col("_l")[0]["ll"] - F.col("_l")[1]["ll"]
     p = F.when(F.size("_l") == 2, 1.0 / (1.0 + F.exp(F.least(gap, F.lit(700.0))))).otherwise(
         F.col("_l")[0]["label"].cast("double")

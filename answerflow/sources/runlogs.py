@@ -59,7 +59,8 @@ def read_run_logs(
 
 def write_run_logs(df: DataFrame, path: str, by: str = "model") -> None:
     """Run logs as CSV, one folder per model, in the format `read_run_logs` reads."""
-    df.write.partitionBy(by).option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    keep_space = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.partitionBy(by).options(header=True, escape='"', quoteAll=True, **keep_space).csv(path)
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ("split",), mode: str = "errorifexists") -> None:

@@ -53,7 +53,7 @@ class CascadeProcessor(StatefulProcessor):
         self.pending = handle.getListState("pending", "ts timestamp, response_id bigint, kind string")
         self.open = handle.getValueState("open", "ts timestamp, response_id bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             events = [
                 (r.ts.to_pydatetime(), int(r.response_id), r.kind) for r in batch.itertuples(index=False)
@@ -64,8 +64,9 @@ class CascadeProcessor(StatefulProcessor):
                     self.handle.registerTimer(at)
         return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        limit = expired_timer_info.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The first timer of a batch settles everything up to the watermark; the rest find nothing.
+        limit = timerValues.getCurrentWatermarkInMs()
         waiting = sorted((pd.Timestamp(e[0]), e[1], e[2]) for e in self.pending.get())
         ready = [e for e in waiting if self._millis(e[0]) <= limit]
         later = [(e[0].to_pydatetime(), e[1], e[2]) for e in waiting if self._millis(e[0]) > limit]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +60,16 @@ def replace_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{table}/batch={done[-1]}")
 
 
-def event_time(df: DataFrame, column: str, delay: str, names: Sequence[str] | None = None) -> DataFrame:
-    """Cast the event time (zone-less in the source) and set the watermark."""
-    timed = df.withColumn(column, df[column].cast("timestamp"))
-    return (timed.select(*names) if names else timed).withWatermark(column, delay)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as custom stateful operators need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
