@@ -1,51 +1,147 @@
-"""Exact k nearest neighbours."""
+"""Exact k nearest neighbours with pivots.
+
+Training rows are assigned to the nearest of a few pivots. What is known about a cell (its
+radius and its k rows closest to the pivot) bounds how far the k neighbours of a query can be,
+and the triangle inequality then rules out most cells for it. Only the remaining cells are
+visited; large cells are split into blocks, so neither a crowded cell nor a popular one ends
+up in one task. No candidate is ever dropped without proof.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from answerflow.operators.blocks import compare_blocks, matrix, squared_distances
+from answerflow.operators.blocks import BLOCK_ROWS, matrix, squared_distances
+from answerflow.operators.ordering import hash_fraction
+from answerflow.session import durable
 
-# Distances closer than this count as equal; the lower neighbour id then comes first.
+MAX_PIVOTS = 256
+# Distances closer than this many decimals count as equal; the lower neighbour id then comes first.
 DIGITS = 9
+# Slack for rounding in the bounds: they may let a cell in too many, never one too few.
+SLACK = 1e-6
+
+
+def pick_pivots(train: DataFrame, n_train: int, key: str, vector: str, seed: int) -> np.ndarray:
+    """About sqrt(n) training vectors, `MAX_PIVOTS` at most: the only rows that visit the driver."""
+    wanted = max(1, min(MAX_PIVOTS, math.isqrt(n_train)))
+    share = min(1.0, 2.0 * wanted / max(n_train, 1) + 1e-9)
+    some = train.select(key, vector).where(hash_fraction(key, seed) <= F.lit(share)).limit(wanted).collect()
+    return matrix([r[vector] for r in (some or train.select(vector).limit(1).collect())])
 
 
 def nearest_neighbours(
-    queries: DataFrame, train: DataFrame, label: str, k: int = 5, key: str = "id", vector: str = "embedding"
+    queries: DataFrame,
+    train: DataFrame,
+    label: str,
+    k: int = 5,
+    key: str = "id",
+    vector: str = "embedding",
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row."""
-    rows = train.select(key, vector, F.col(label).cast("double").alias("label"))
-
-    def work(a: dict, b: dict) -> pd.DataFrame:
-        va, vb = matrix(a[vector]), matrix(b[vector])
-        gaps = squared_distances(va, vb)
-        keep = min(k, gaps.shape[1])
-        limit = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
-        # Everything at the limit is measured again without cancellation before the cut.
-        i, j = np.nonzero(gaps <= limit[:, None] + 1e-9)
-        exact = np.round(np.sqrt(((va[i] - vb[j]) ** 2).sum(1)), DIGITS)
-        hits = pd.DataFrame(
-            {
-                "id": np.asarray(a[key])[i],
-                "neighbour": np.asarray(b[key])[j],
-                "distance": exact,
-                "label": np.asarray(b["label"])[j],
-            }
-        )
-        return hits.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
-
-    key_type = dict(rows.dtypes)[key]
-    hits = compare_blocks(
-        queries.select(key, vector), rows, key, [key, vector], [key, vector, "label"], vector, work,
-        f"id {dict(queries.dtypes)[key]}, neighbour {key_type}, distance double, label double",
+    key_type, query_type = dict(train.dtypes)[key], dict(queries.dtypes)[key]
+    n_train, n_queries = train.count(), queries.count()
+    if n_train == 0:
+        raise ValueError("no training rows")
+    pivots = pick_pivots(train, n_train, key, vector, seed)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
+                cell = gaps.argmin(axis=1)
+                yield batch.assign(cell=cell, radius=gaps[np.arange(len(cell)), cell])
+
+    rows = train.select(
+        F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"),
+        F.col(label).cast("double").alias("label"),
+    )
+    celled = durable(
+        rows.mapInPandas(assign, f"id {key_type}, vector array<double>, label double, cell int, radius double")
     )
+    # One row per cell, and its k rows next to the pivot: bounded by the number of pivots.
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("radius").alias("far")).collect()}
+    near_rank = F.row_number().over(W.partitionBy("cell").orderBy("radius"))
+    near = celled.select("cell", "radius").withColumn("_rank", near_rank).where(F.col("_rank") <= k).collect()
+    cells = np.array(sorted(sizes))
+    reach = np.array([sizes[c][1] for c in cells])
+    at = pivots[cells]
+    near_cell = np.searchsorted(cells, np.array([r["cell"] for r in near]))
+    near_radius = np.array([r["radius"] for r in near])
+    needed = min(k, n_train)
+    blocks = {int(c): max(1, math.ceil(sizes[c][0] / block_rows)) for c in cells}
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            to_pivot = np.sqrt(squared_distances(matrix(batch["vector"]), at))
+            # The k-th smallest of these upper bounds is at least the k-th neighbour's distance.
+            bounds = to_pivot[:, near_cell] + near_radius[None, :]
+            limit = np.partition(bounds, needed - 1, axis=1)[:, needed - 1] + SLACK
+            q, c = np.nonzero(to_pivot - reach[None, :] <= limit[:, None])
+            yield pd.DataFrame(
+                {
+                    "id": batch["id"].to_numpy()[q],
+                    "vector": batch["vector"].to_numpy()[q],
+                    "limit": limit[q],
+                    "cell": cells[c],
+                }
+            )
+
+    asked = queries.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    visits = asked.mapInPandas(visit, f"id {query_type}, vector array<double>, limit double, cell int")
+    # Queries travel in packs too; both kinds of packs are bounded by `block_rows` on average.
+    packs = max(1, math.ceil(n_queries / block_rows))
+    asked_packs = (
+        visits.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack"))
+        .agg(F.collect_list(F.struct("id", "vector", "limit")).alias("q"))
+    )
+    n_blocks = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("cell")]
+    asked_packs = asked_packs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    block = F.pmod(F.xxhash64("id"), n_blocks.cast("bigint")).cast("int")
+    train_blocks = celled.groupBy("cell", block.alias("block")).agg(
+        F.collect_list(F.struct("id", "vector", "label")).alias("t")
+    )
+    met = asked_packs.join(train_blocks, ["cell", "block"]).select(
+        *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("id", "vector", "limit")],
+        *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("id", "vector", "label")],
+    )
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                va, vb = matrix(row["q_vector"]), matrix(row["t_vector"])
+                gaps = squared_distances(va, vb)
+                keep = min(k, gaps.shape[1])
+                kth = np.sqrt(np.partition(gaps, keep - 1, axis=1)[:, keep - 1])
+                far = np.minimum(kth + SLACK, np.asarray(row["q_limit"]))
+                i, j = np.nonzero(np.sqrt(gaps) <= far[:, None] + SLACK)
+                # Candidates are measured again without cancellation before the cut.
+                hits = pd.DataFrame(
+                    {
+                        "id": np.asarray(row["q_id"])[i],
+                        "neighbour": np.asarray(row["t_id"])[j],
+                        "distance": np.round(np.sqrt(((va[i] - vb[j]) ** 2).sum(1)), DIGITS),
+                        "label": np.asarray(row["t_label"])[j],
+                    }
+                )
+                yield hits.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
+
+    hits = met.mapInPandas(search, f"id {query_type}, neighbour {key_type}, distance double, label double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, **names: str) -> DataFrame:
+def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, **names) -> DataFrame:
     """Share of the k neighbours with label 1 as `p`, and the majority label."""
     near = nearest_neighbours(queries, train, label, k, **names)
     return near.groupBy("id").agg(F.avg("label").alias("p")).withColumn(
@@ -53,7 +149,7 @@ def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, *
     )
 
 
-def knn_regress(queries: DataFrame, train: DataFrame, label: str, k: int = 5, **names: str) -> DataFrame:
+def knn_regress(queries: DataFrame, train: DataFrame, label: str, k: int = 5, **names) -> DataFrame:
     """Mean label of the k neighbours as `score`."""
     near = nearest_neighbours(queries, train, label, k, **names)
     return near.groupBy("id").agg(F.avg("label").alias("score"))

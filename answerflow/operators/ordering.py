@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from answerflow.session import durable
 
 SLICE = "_slice"
+ROWS_PER_SLICE = 4_000_000
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -30,9 +31,12 @@ def slice_by_order(df: DataFrame, order: Sequence[Column], slices: int | None =
 
     The order must be total (end with a unique column), so that a value held by many rows is
     still cut into several slices. The tagged rows are written out once: all later passes
-    see the same slices.
+    see the same slices. Their number grows with the counted rows, so a slice stays small.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices
+    if n is None:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(usual, -(-df.count() // ROWS_PER_SLICE))
     return durable(df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id()))
 
 

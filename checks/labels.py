@@ -13,6 +13,8 @@ from answerflow.operators.labels import (
 )
 from answerflow.operators.merge import build_outcomes_wide
 from checks.registry import query
+from answerflow.operators.prep import random_split
+from checks.models import HELD
 from checks.views import view
 
 
@@ -42,29 +44,29 @@ def weighted_difficulty(spark, sf_dir):
     return difficulty_score(wide, {"is_correct_m1": 0.3, "is_correct_m2": 0.5, "is_correct_m3": 0.4}).select("id", "difficulty")
 
 
-@query("""
-WITH cut AS (SELECT quantile_cont(llm_output_tokens, 95e-2) AS c FROM fx_pairs WHERE id % 5 <> 0)
-SELECT id, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN llm_output_tokens > c THEN 1 ELSE 0 END AS high_cost
+@query(f"""
+WITH cut AS (SELECT quantile_cont(llm_output_tokens, 95e-2) AS c FROM fx_pairs WHERE NOT {HELD})
+SELECT id, CASE WHEN {HELD} THEN 'test' ELSE 'train' END AS split, CASE WHEN llm_output_tokens > c THEN 1 ELSE 0 END AS high_cost
 FROM fx_pairs, cut
 """, ints=["high_cost"])
 def high_cost_labels(spark, sf_dir):
-    pairs = view(spark, sf_dir, "fx_pairs")
-    train, test = label_high_cost(pairs.where("id % 5 <> 0"), pairs.where("id % 5 = 0"))
+    pairs = random_split(view(spark, sf_dir, "fx_pairs"), "id")
+    train, test = label_high_cost(pairs.where("split = 'train'"), pairs.where("split = 'test'"))
     return train.select("id", F.lit("train").alias("split"), "high_cost").unionByName(
         test.select("id", F.lit("test").alias("split"), "high_cost")
     )
 
 
-@query("""
-WITH cut AS (SELECT quantile_cont(llm_output_tokens, 95e-2) AS c, avg(llm_input_tokens) AS i FROM fx_pairs WHERE id % 5 <> 0)
+@query(f"""
+WITH cut AS (SELECT quantile_cont(llm_output_tokens, 95e-2) AS c, avg(llm_input_tokens) AS i FROM fx_pairs WHERE NOT {HELD})
 SELECT c AS cut_tokens, i * 125e-8 + c * 1e-5 AS usd_at_cut,
-       (SELECT avg(CASE WHEN llm_output_tokens > c THEN 1e0 ELSE 0e0 END) FROM fx_pairs WHERE id % 5 <> 0) AS train_share,
-       (SELECT avg(CASE WHEN llm_output_tokens > c THEN 1e0 ELSE 0e0 END) FROM fx_pairs WHERE id % 5 = 0) AS test_share
+       (SELECT avg(CASE WHEN llm_output_tokens > c THEN 1e0 ELSE 0e0 END) FROM fx_pairs WHERE NOT {HELD}) AS train_share,
+       (SELECT avg(CASE WHEN llm_output_tokens > c THEN 1e0 ELSE 0e0 END) FROM fx_pairs WHERE {HELD}) AS test_share
 FROM cut
 """, rounded=["cut_tokens", "usd_at_cut", "train_share", "test_share"])
 def high_cost_summary(spark, sf_dir):
-    pairs = view(spark, sf_dir, "fx_pairs")
-    return high_cost_report(pairs.where("id % 5 <> 0"), pairs.where("id % 5 = 0"))
+    pairs = random_split(view(spark, sf_dir, "fx_pairs"), "id")
+    return high_cost_report(pairs.where("split = 'train'"), pairs.where("split = 'test'"))
 
 
 @query("""

@@ -9,6 +9,7 @@ from answerflow.operators.metrics import (
     prediction_spread,
     regression_metrics,
 )
+from answerflow.operators.prep import random_split
 from answerflow.operators.neighbours import knn_classify, knn_regress
 from answerflow.operators.scores import score_to_probability, vote
 from answerflow.plans.features import vector_column
@@ -30,48 +31,56 @@ from answerflow.session import scratch_path
 from checks.registry import query
 from checks.views import run_sql, view
 
-# One row in five is held out.
-NEAR = """
-t AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e, {label} AS y FROM fx_vectors WHERE id % 5 <> 0),
-q AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors WHERE id % 5 = 0),
+# One row in five is held out, by hash.
+HELD = "CAST('0x' || substr(md5(concat('42|', CAST(id AS STRING))), 1, 8) AS BIGINT) / 4294967296e0 < 2e-1"
+NEAR = f"""
+t AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e, {{label}} AS y FROM fx_vectors WHERE NOT {HELD}),
+q AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors WHERE {HELD}),
 r AS (SELECT q.id, t.y, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.e, t.e), 9), t.id) AS rk FROM q, t)
 """
 
 
+def parts(spark, sf_dir):
+    """Training and held-out vectors."""
+    v = random_split(view(spark, sf_dir, "fx_vectors"), "id")
+    return v.where("split = 'train'").drop("split"), v.where("split = 'test'").drop("split")
+
+
 @query(f"WITH {NEAR.format(label='complex')} SELECT id, avg(y) AS p, CASE WHEN avg(y) > 5e-1 THEN 1 ELSE 0 END AS prediction FROM r WHERE rk <= 5 GROUP BY id",
        rounded=["p"], ints=["prediction"])
 def knn_classifier(spark, sf_dir):
-    v = view(spark, sf_dir, "fx_vectors")
-    return knn_classify(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), "complex")
+    train, held = parts(spark, sf_dir)
+    return knn_classify(held, train, "complex")
 
 
 @query(f"WITH {NEAR.format(label='difficulty')} SELECT id, avg(y) AS score FROM r WHERE rk <= 5 GROUP BY id", rounded=["score"])
 def knn_regressor(spark, sf_dir):
-    v = view(spark, sf_dir, "fx_vectors")
-    return knn_regress(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), "difficulty")
+    train, held = parts(spark, sf_dir)
+    return knn_regress(held, train, "difficulty")
 
 
-@query("""
+@query(f"""
 WITH x AS (SELECT id, complex, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM fx_vectors),
-train AS (SELECT * FROM x WHERE id % 5 <> 0),
+train AS (SELECT * FROM x WHERE NOT {HELD}),
 eps AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM train GROUP BY i)),
 m AS (SELECT complex, i, avg(x) AS mu, var_pop(x) + (SELECT eps FROM eps) AS v FROM train GROUP BY complex, i),
 prior AS (SELECT complex, ln(count(*) / CAST((SELECT count(DISTINCT id) FROM train) AS DOUBLE)) AS lp
           FROM (SELECT DISTINCT id, complex FROM train) GROUP BY complex),
 ll AS (SELECT x.id, m.complex, -5e-1 * sum(ln(2e0 * pi() * m.v) + (x.x - m.mu) * (x.x - m.mu) / m.v) AS ll
-       FROM x JOIN m ON x.i = m.i WHERE x.id % 5 = 0 GROUP BY x.id, m.complex),
+       FROM x JOIN m ON x.i = m.i WHERE x.id IN (SELECT id FROM fx_vectors WHERE {HELD}) GROUP BY x.id, m.complex),
 j AS (SELECT a.id, (a.ll + p0.lp) - (b.ll + p1.lp) AS gap FROM ll a JOIN ll b ON a.id = b.id AND a.complex = 0 AND b.complex = 1
       JOIN prior p0 ON p0.complex = 0 JOIN prior p1 ON p1.complex = 1)
 SELECT id, 1e0 / (1e0 + exp(least(gap, 700e0))) AS p, CASE WHEN gap < 0 THEN 1 ELSE 0 END AS prediction FROM j
 """, rounded=["p"], ints=["prediction"])
 def gaussian_bayes_classifier(spark, sf_dir):
-    v = view(spark, sf_dir, "fx_vectors")
-    return gaussian_bayes(v.where("id % 5 <> 0"), v.where("id % 5 = 0"), "complex")
+    train, held = parts(spark, sf_dir)
+    return gaussian_bayes(train, held, "complex")
 
 
 def halves(spark, sf_dir):
-    v = vector_column(view(spark, sf_dir, "fx_vectors")).withColumn("slm_correct", 1 - F.col("complex"))
-    return v.where("id % 5 <> 0"), v.where("id % 5 = 0")
+    return tuple(
+        vector_column(part).withColumn("slm_correct", 1 - F.col("complex")) for part in parts(spark, sf_dir)
+    )
 
 
 # Settings that keep the tree ensembles short enough to run in every check.

@@ -17,7 +17,9 @@ from answerflow.operators.profile import (
     top_templates,
     vote_accuracy_by_model,
 )
+from answerflow.operators.prep import random_split
 from checks.merge import FIVES, SINGLES
+from checks.models import HELD
 from checks.registry import query
 from checks.views import run_sql, view
 
@@ -113,23 +115,24 @@ def vote_accuracy_by_category(spark, sf_dir):
     return category_vote_accuracy(first.select(columns).unionByName(second.select(columns)))
 
 
+# Every thirteenth question has an unreadable count, and its rows are dropped by the operator.
 POINTS = """
 SELECT CASE WHEN id % 13 = 0 THEN 'bad' ELSE CAST(input_tokens AS STRING) END AS input_tokens, output_tokens, latency FROM fx_outcomes
 """
+READABLE = f"SELECT TRY_CAST(input_tokens AS DOUBLE) AS input_tokens, output_tokens, latency FROM ({POINTS})"
 
 
-@query("""
-SELECT CAST(input_tokens AS DOUBLE) AS input_tokens, CAST(output_tokens AS DOUBLE) AS output_tokens, latency
-FROM fx_outcomes WHERE id % 13 <> 0
+@query(f"""
+SELECT input_tokens, CAST(output_tokens AS DOUBLE) AS output_tokens, latency FROM ({READABLE}) WHERE input_tokens IS NOT NULL
 """, rounded=["input_tokens", "output_tokens", "latency"])
 def token_points(spark, sf_dir):
     return token_latency_points(run_sql(spark, sf_dir, POINTS))
 
 
-@query("""
+@query(f"""
 SELECT count(*) AS n, corr(input_tokens, output_tokens) AS input_tokens_output_tokens,
        corr(input_tokens, latency) AS input_tokens_latency, corr(output_tokens, latency) AS output_tokens_latency
-FROM fx_outcomes WHERE id % 13 <> 0
+FROM ({READABLE}) WHERE input_tokens IS NOT NULL
 """, rounded=["input_tokens_output_tokens", "input_tokens_latency", "output_tokens_latency"])
 def token_correlation(spark, sf_dir):
     return token_latency_correlation(token_latency_points(run_sql(spark, sf_dir, POINTS)))
@@ -157,7 +160,7 @@ def frequent_templates(spark, sf_dir):
 @query(f"""
 WITH top AS ({TOP}),
 asked AS (SELECT regexp_replace(question, '\\s+SMILES:.*$', '') AS template,
-                 CASE WHEN id % 2 = 0 THEN 'test' ELSE 'validation' END AS split, p FROM ({ASKED})),
+                 CASE WHEN {HELD} THEN 'test' ELSE 'validation' END AS split, p FROM ({ASKED})),
 counted AS (SELECT template, split, CAST(least(floor(p * 20), 19) AS INT) AS bin, count(*) AS n
             FROM asked WHERE template IN (SELECT template FROM top) GROUP BY 1, 2, 3),
 grid AS (SELECT template, split, bin FROM (SELECT DISTINCT template, split FROM counted), (SELECT unnest(range(20)) AS bin))
@@ -165,5 +168,6 @@ SELECT g.template, g.split, g.bin, g.bin / 20e0 AS left_edge, coalesce(c.n, 0) A
 FROM grid g LEFT JOIN counted c ON g.template = c.template AND g.split = c.split AND g.bin = c.bin
 """, rounded=["left_edge"], ints=["bin", "n"])
 def template_histograms(spark, sf_dir):
-    asked = run_sql(spark, sf_dir, ASKED)
-    return template_score_histogram(asked.where("id % 2 = 0"), asked.where("id % 2 = 1"), top_templates(asked))
+    asked = random_split(run_sql(spark, sf_dir, ASKED), "id")
+    test, validation = asked.where("split = 'test'"), asked.where("split = 'train'")
+    return template_score_histogram(test, validation, top_templates(asked))

@@ -156,6 +156,16 @@ def daily_feedback_stream(spark, sf_dir):
     return window_micros(replace_available(feedback_windows(stream), "windows"))
 
 
+# In append mode a window is reported once the watermark has passed its end.
+@query(f"""
+SELECT * FROM ({windows("SELECT *, epoch_us(ts) // 86400000000 * 86400000000 AS s FROM fx_feedback", 86400000000)})
+WHERE end_us <= (SELECT max(epoch_us(ts)) - 3600000000 FROM fx_feedback)
+""", rounded=["good_rate", "avg_latency", "cents"])
+def closed_feedback_window_stream(spark, sf_dir):
+    stream = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
+    return window_micros(append_available(feedback_windows(stream), "closed-windows"))
+
+
 @query(windows("""
 SELECT *, epoch_us(ts) // 43200000000 * 43200000000 - 43200000000 * k AS s FROM fx_feedback, (SELECT unnest([0, 1]) AS k)""", 86400000000),
        rounded=["good_rate", "avg_latency", "cents"])
