@@ -51,11 +51,11 @@ PROFILES = {
         154.00091508052708, 1897.1786237188874, 0.13, 13.0, 0.5,
     ),
     "classifier_no_smiles": CostModel(
-        0.77, 0.49, 0.93, 0.90, 2.9976, 11.7467, 119.6104, 1090.7228, 0.12, 7.0, 0.5
+        0.77, 0.49, 0.93, 0.90, 2.997632443039878, 11.746656273613679,
+        119.61035724176128, 1090.7227914705068, 0.12, 7.0, 0.5,
     ),
     "regressor": CostModel(
-        0.73, 0.36, 0.93, 0.81, 3.1007189569935947, 23.806206206190154,
-        154.00091508052708, 1897.1786237188874, 0.11, 14.0, 0.6,
+        0.73, 0.36, 0.93, 0.81, 3.1007, 23.8062, 154.0009, 1897.1786, 0.11, 14.0, 0.6
     ),
     "regressor_no_smiles": CostModel(
         0.75, 0.45, 0.93, 0.89, 2.9976, 11.7467, 119.6104, 1090.7228, 0.15, 7.0, 0.6

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerflow.functions.vectors import distance, dot, l2_normalize
 from answerflow.operators.blocks import compare_blocks, matrix, squared_distances
 from answerflow.operators.labels import quantile_bins
-from answerflow.operators.ordering import below_cut, hash_cuts, running_totals, same, slice_by_order
+from answerflow.operators.ordering import below_cut, hash_cuts, ordered_totals, same
 from answerflow.session import durable
 
 
@@ -118,8 +118,7 @@ def silhouette(
 def _average_ranks(counts: DataFrame, value: str, rank: str) -> DataFrame:
     """Tie-averaged ranks of the distinct values of a weighted list."""
     totals = counts.groupBy(value).agg(F.sum("n").alias("_n"))
-    order = [F.col(value).asc()]
-    upto = running_totals(slice_by_order(totals, order), order, {"_upto": F.col("_n")})
+    upto = ordered_totals(totals, [F.col(value).asc()], {"_upto": F.col("_n")})
     return upto.select(value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(rank))
 
 
@@ -145,17 +144,21 @@ def distance_label_spearman(
         va, vb = matrix(a[vector]), matrix(b[vector])
         va /= np.maximum(np.linalg.norm(va, axis=1, keepdims=True), 1e-300)
         vb /= np.maximum(np.linalg.norm(vb, axis=1, keepdims=True), 1e-300)
-        far = np.round(np.clip(1.0 - va @ vb.T, 0.0, 2.0), digits)
-        gap = np.round(np.abs(np.asarray(a["label"])[:, None] - np.asarray(b["label"])[None, :]), 12)
+        far = np.rint(np.clip(1.0 - va @ vb.T, 0.0, 2.0) * 10.0**digits).astype(np.int64)
+        # Few distinct labels make few distinct gaps; each gets a number.
+        labels_a, code_a = np.unique(np.asarray(a["label"]), return_inverse=True)
+        labels_b, code_b = np.unique(np.asarray(b["label"]), return_inverse=True)
+        gaps, code = np.unique(np.round(np.abs(labels_a[:, None] - labels_b[None, :]), 12), return_inverse=True)
+        gap = code.reshape(len(labels_a), len(labels_b))[code_a[:, None], code_b[None, :]]
         keep = far > 0
         if a["block"] == b["block"]:
             keep &= np.triu(np.ones(far.shape, dtype=bool), 1)
-        counted = pd.DataFrame({"d": far[keep], "g": gap[keep]}).value_counts(["d", "g"])
-        return counted.rename("n").reset_index()
+        pairs, n = np.unique(far[keep] * len(gaps) + gap[keep], return_counts=True)
+        return pd.DataFrame({"d": pairs // len(gaps), "g": gaps[pairs % len(gaps)], "n": n})
 
     counts = compare_blocks(
         rows, rows, key, [key, vector, "label"], [key, vector, "label"], vector, work,
-        "d double, g double, n bigint", symmetric=True,
+        "d bigint, g double, n bigint", symmetric=True,
     )
     # Read four times below, computed once.
     counts = durable(counts.groupBy("d", "g").agg(F.sum("n").alias("n")))

@@ -77,6 +77,26 @@ def pair_outcomes(slm: DataFrame, llm: DataFrame, key: str = "ID", keep: Sequenc
     return side(slm, "slm", keep).join(side(llm, "llm", ()), "id", "inner")
 
 
+def pairs_from_outcomes(outcomes: DataFrame, slm: str, llm: str) -> DataFrame:
+    """The same pair view out of the long outcome table: one pass and one shuffle, no self-join."""
+    cells = [
+        F.max(F.when(F.col("model") == name, F.col(m))).alias(f"{side}_{m}")
+        for side, name in (("slm", slm), ("llm", llm))
+        for m in METRICS
+    ]
+    return (
+        outcomes.where(F.col("model").isin(slm, llm))
+        .groupBy("id", "dataset_name", "category")
+        .agg(
+            *cells,
+            F.max((F.col("model") == slm).cast("int")).alias("_slm"),
+            F.max((F.col("model") == llm).cast("int")).alias("_llm"),
+        )
+        .where("_slm = 1 AND _llm = 1")
+        .drop("_slm", "_llm")
+    )
+
+
 def ensemble_accuracy(runs: DataFrame, n_models: int, key: str = "id") -> DataFrame:
     """Share of models that solved each question, for questions that all of them answered."""
     return (
@@ -107,9 +127,9 @@ def build_outcomes_wide(outcomes: DataFrame, models: Sequence[str], slms: Sequen
         fraction = [
             F.when(answered == len(slms), solved / F.lit(float(len(slms)))).alias("slm_accuracy_fraction")
         ]
-    return outcomes.groupBy("id").agg(
-        F.min("dataset_name").alias("dataset_name"), F.min("category").alias("category"), *cells, *fraction
-    )
+    # Question ids are only unique within a data set; as keys, the two names also stay out of
+    # the aggregation buffers, which keeps it a hash aggregation.
+    return outcomes.groupBy("id", "dataset_name", "category").agg(*cells, *fraction)
 
 
 def unpivot_outcomes(wide: DataFrame, models: Sequence[str]) -> DataFrame:

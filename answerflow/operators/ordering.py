@@ -16,6 +16,8 @@ from answerflow.session import durable
 
 SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
+# Up to this many rows one task may hold a whole order; beyond, it is cut into slices.
+ROWS_IN_ONE_TASK = 200_000
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -33,11 +35,10 @@ def slice_by_order(df: DataFrame, order: Sequence[Column], slices: int | None =
     still cut into several slices. The tagged rows are written out once: all later passes
     see the same slices. Their number grows with the counted rows, so a slice stays small.
     """
-    n = slices
-    if n is None:
+    if slices is None:
         usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        n = max(usual, -(-df.count() // ROWS_PER_SLICE))
-    return durable(df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id()))
+        slices = max(usual, -(-df.count() // ROWS_PER_SLICE))
+    return durable(df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def running_totals(
@@ -66,6 +67,21 @@ def running_totals(
     )
 
 
+def ordered_totals(
+    df: DataFrame, order: Sequence[Column], totals: dict[str, Column], by: Sequence[str] = ()
+) -> DataFrame:
+    """Inclusive running totals along a total order: one window if the counted rows fit into
+    one task, slices otherwise. `df` is read more than once."""
+    rows = df.count()
+    if rows <= ROWS_IN_ONE_TASK:
+        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full_order = [*[F.col(k).asc() for k in by], *order]
+    sliced = slice_by_order(df, full_order, max(usual, -(-rows // ROWS_PER_SLICE)))
+    return running_totals(sliced, order, totals, by).drop(SLICE)
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q"
 ) -> DataFrame:
@@ -75,15 +91,13 @@ def exact_percentiles(
     to fit into one task (the built-in `percentile` keeps all of them in one buffer).
     """
     by = list(by)
-    counts = (
+    counts = durable(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = [*[F.col(k).asc() for k in by], F.col("_v").asc()]
-    sliced = slice_by_order(counts, order)
-    upto = running_totals(sliced, [F.col("_v").asc()], {"_upto": F.col("_n")}, by)
-    sizes = sliced.groupBy(*by).agg(F.sum("_n").alias("n"))
+    upto = ordered_totals(counts, [F.col("_v").asc()], {"_upto": F.col("_n")}, by)
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
     if by:
         placed = upto.alias("l").join(sizes.alias("r"), same("l", "r", by)).select("l.*", "r.n")
     else:

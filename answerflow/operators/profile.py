@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from answerflow.functions.numbers import to_number
 from answerflow.functions.text import question_template
-from answerflow.operators.ordering import running_totals, slice_by_order
+from answerflow.operators.ordering import ordered_totals
 from answerflow.operators.replay import score_histogram
+from answerflow.session import durable
 
 
 def pareto_curve(
@@ -22,19 +23,19 @@ def pareto_curve(
     """Rows by output tokens, largest first, with running token share and share of complex rows.
 
     Rows without a token count or fraction, or with a negative count, are left out; equal
-    counts are ordered by key. Sorted in range slices, never in one task.
+    counts are ordered by key. Large sets are sorted in range slices, not in one task.
     """
     clean = df.select(
         key, to_number(F.col(tokens)).alias("tokens"), to_number(F.col(fraction)).alias("_f")
     ).where("tokens >= 0 AND _f IS NOT NULL")
     clean = clean.select(key, "tokens", (F.col("_f") < threshold).cast("int").alias("complex"))
+    clean = durable(clean)
     order = [F.col("tokens").desc(), F.col(key).asc()]
-    sliced = slice_by_order(clean, order)
-    curve = running_totals(
-        sliced, order, {"rank": F.lit(1), "cum_tokens": F.col("tokens"), "cum_complex": F.col("complex")}
+    curve = ordered_totals(
+        clean, order, {"rank": F.lit(1), "cum_tokens": F.col("tokens"), "cum_complex": F.col("complex")}
     )
-    total = sliced.agg(F.sum("tokens")).scalar()
-    n = sliced.agg(F.count(F.lit(1))).scalar()
+    total = clean.agg(F.sum("tokens")).scalar()
+    n = clean.agg(F.count(F.lit(1))).scalar()
     return curve.select(
         key, "tokens", "complex", "rank", "cum_tokens",
         (F.col("cum_tokens") * 100.0 / F.nullif(total, F.lit(0.0))).alias("cum_tokens_pct"),

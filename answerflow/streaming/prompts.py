@@ -107,8 +107,3 @@ def feedback_windows(events: DataFrame, size: str = "1 day", slide: str | None =
         )
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "model", "n", "good_rate", "avg_latency", "cents")
     )
-
-
-def dedupe_prompts(events: DataFrame, key: str = "prompt", ttl: str = "3600 seconds", time: str = "ts") -> DataFrame:
-    """Drop repeats of the same prompt seen again within `ttl`. State is kept no longer than that."""
-    return events.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])

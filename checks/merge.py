@@ -10,6 +10,7 @@ from answerflow.operators.merge import (
     merge_runs,
     merge_runs_prefixed,
     pair_outcomes,
+    pairs_from_outcomes,
     unpivot_outcomes,
     vote_table,
 )
@@ -66,6 +67,12 @@ def outcome_pairs(spark, sf_dir):
     return pair_outcomes(log.where("model = 'm1'"), log.where("model = 'm2'"))
 
 
+@query("SELECT * EXCLUDE (p, llm_latency), llm_latency / 7e0 AS llm_latency FROM fx_pairs",
+       rounded=["slm_latency", "llm_latency"], ints=["slm_correct", "llm_correct"])
+def outcome_pairs_from_long(spark, sf_dir):
+    return pairs_from_outcomes(view(spark, sf_dir, "fx_outcomes"), "m1", "m2")
+
+
 @query("""
 SELECT id, n_correct, slm_accuracy_fraction FROM fx_fraction
 """, rounded=["slm_accuracy_fraction"])

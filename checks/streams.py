@@ -8,11 +8,11 @@ from answerflow.streaming.jobs import append_available, read_stream, replace_ava
 from answerflow.streaming.prompts import (
     answer_cents,
     cascade_rows,
-    dedupe_prompts,
     feedback_rows,
     feedback_windows,
     route_prompts,
 )
+from answerflow.streaming.repeats import dedupe_prompts
 from checks.registry import query
 from checks.views import table
 
@@ -173,7 +173,16 @@ def sliding_feedback_windows(spark, sf_dir):
     return window_micros(feedback_windows(event_columns(table(spark, sf_dir, "events")), "1 day", "12 hours"))
 
 
-@query()
+# The next row kept after one is the first that is more than an hour younger.
+@query("""
+WITH RECURSIVE e AS (SELECT event_id AS response_id, props AS prompt, epoch_us(ts) AS t FROM events),
+kept AS (
+  SELECT prompt, min(t) AS t FROM e GROUP BY prompt
+  UNION ALL
+  SELECT k.prompt, min(e.t) FROM kept k JOIN e ON e.prompt = k.prompt AND e.t > k.t + 3600000000 GROUP BY k.prompt)
+SELECT e.response_id, e.prompt FROM kept JOIN e ON e.prompt = kept.prompt AND e.t = kept.t
+""")
 def deduplicated_prompt_stream(spark, sf_dir):
     stream = event_stream(spark, sf_dir).select("response_id", "ts", "prompt")
-    return append_available(dedupe_prompts(stream), "deduplicated").select("response_id", "prompt")
+    with rocksdb_state(spark):
+        return append_available(dedupe_prompts(stream), "deduplicated").select("response_id", "prompt")
