@@ -44,7 +44,7 @@ def _filled(col: Column) -> Column:
 def strip_space(col: Column) -> Column:
     """Trim white space of any kind, not only blanks."""
     return F.regexp_replace(
-        F.regexp_replace(col, rf"(?U)\A{SPACE}+", ""), rf"(?U){SPACE}+\z", ""
+        F.regexp_replace(col, rf"(?U)\A{SPACE}+", ""), rf"(?U)(?<!{SPACE}){SPACE}+\z", ""
     )
 
 
@@ -101,18 +101,19 @@ def joined_lines(col: Column) -> Column:
 
 def question_template(col: Column) -> Column:
     """The question without its molecule part."""
-    return F.regexp_replace(col, UNICODE + r"\s+SMILES:\s*.*$", "")
+    return F.regexp_replace(col, UNICODE + r"(?<!\s)\s+SMILES:\s*.*$", "")
 
 
 def extract_choice(col: Column, letters: str = LETTERS_10) -> Column:
     """The chosen letter: stated answer, else the "answer:" line, else the last letter standing alone.
 
     The last lone letter is looked for among A to J even if only A to D are valid; a last
-    letter outside `letters` then means no answer.
+    letter outside `letters` then means no answer. Both `.*` are anchored, or a long line would
+    be scanned once from each of its characters.
     """
     group = f"([{letters[0]}-{letters[-1]}])"
     stated = _filled(F.regexp_extract(col, rf"answer is \(?{group}\)?", 1))
-    labelled = _filled(F.regexp_extract(col, UNICODE + rf".*[aA]nswer:\s*{group}", 1))
+    labelled = _filled(F.regexp_extract(col, rf"(?dUm)^.*[aA]nswer:\s*{group}", 1))
     last = F.regexp_extract(col, r"(?dUs)^.*\b([A-J])\b", 1)
     return F.coalesce(stated, labelled, F.when(last.isin(*letters), last))
 
@@ -141,10 +142,14 @@ def extract_boxed(col: Column) -> Column:
             .cast("int").alias("end"),
         ),
     )
-    # The last piece has no closing brace after it, so an end there lies beyond the text.
-    end = walked["end"]
-    closed = (end > 0) & (end <= F.length(tail))
-    return F.when(closed, strip_space(F.substring(tail, F.lit(1), end - 1)))
+    # The last piece has no closing brace after it, so an end there lies beyond the text. The
+    # one-element array keeps the walk from being repeated for each use of its result.
+    return F.transform(
+        F.array(walked["end"]),
+        lambda end: F.when(
+            (end > 0) & (end <= F.length(tail)), strip_space(F.substring(tail, F.lit(1), end - 1))
+        ),
+    )[0]
 
 
 def normalize_latex(col: Column) -> Column:
@@ -158,7 +163,7 @@ def normalize_latex(col: Column) -> Column:
     s = F.regexp_replace(s, r"(?U)(?<=[0-9}])\s*\\text\{[^}]*\}", "")
     s = F.regexp_replace(s, r"\\text\{([^}]*)\}", "$1")
     units = "degrees?|radians?|units?|cm|km|m|ft|s|kg|g"
-    s = F.regexp_replace(s, rf"(?diU)\s*({units})\s*$", "")
+    s = F.regexp_replace(s, rf"(?diU)(?<!\s)\s*({units})\s*$", "")
     return strip_space(F.lower(F.replace(s, F.lit(" "), F.lit(""))))
 
 

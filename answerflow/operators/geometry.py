@@ -49,11 +49,13 @@ def davies_bouldin(df: DataFrame, label: str, vector: str = "embedding") -> Data
     """Mean over clusters of the worst (scatter + scatter) / centroid distance."""
     centres = centroids(df, label, vector)
     near = df.alias("l").join(centres.alias("r"), same("l", "r", [label])).select(
-        F.col(f"l.{label}").alias("label"), "r.centroid", distance(F.col(f"l.{vector}"), F.col("r.centroid")).alias("d")
+        f"l.{label}", distance(F.col(f"l.{vector}"), F.col("r.centroid")).alias("d")
     )
+    spread = near.groupBy(label).agg(F.avg("d").alias("s"))
     scatter = durable(
-        near.groupBy("label").agg(F.avg("d").alias("s"), F.first("centroid").alias("centroid"))
-        .withColumn("label", F.col("label").cast("string"))
+        spread.alias("l").join(centres.alias("r"), same("l", "r", [label])).select(
+            F.col(f"l.{label}").cast("string").alias("label"), "s", "centroid"
+        )
     )
 
     def work(a: dict, b: dict) -> pd.DataFrame:

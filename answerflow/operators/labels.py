@@ -60,16 +60,13 @@ def high_cost_report(
     """One row: the cut, the USD cost of a question at the cut, and the share above it in each set."""
     cuts = exact_percentiles(train, tokens, [percentile]).select(F.col("q0").alias("cut_tokens"))
 
-    def above(df: DataFrame) -> Column:
-        over = F.coalesce(F.col(tokens) > cuts.scalar(), F.lit(False)).cast("double")
-        return df.agg(F.avg(over)).scalar()
-
-    mean_input = train.agg(F.avg(input_tokens)).scalar()
+    above = F.avg(F.coalesce(F.col(tokens) > cuts.scalar(), F.lit(False)).cast("double"))
+    on_train = train.agg(F.struct(above.alias("share"), F.avg(input_tokens).alias("input"))).scalar()
     return cuts.select(
         "cut_tokens",
-        token_cost(mean_input, F.col("cut_tokens")).alias("usd_at_cut"),
-        above(train).alias("train_share"),
-        above(test).alias("test_share"),
+        token_cost(on_train["input"], F.col("cut_tokens")).alias("usd_at_cut"),
+        on_train["share"].alias("train_share"),
+        test.agg(above).scalar().alias("test_share"),
     )
 
 

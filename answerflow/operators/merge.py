@@ -219,11 +219,11 @@ def consensus_dataset(
 ) -> DataFrame:
     """Questions answered by all models, with the share that was right and the complex label."""
     rows = first_answers(singles, key, order) if order else singles
+    facts = [c for c in ("question", "category", "correct_answer") if c in singles.columns]
     return (
         rows.groupBy(key)
         .agg(
-            F.min("category").alias("category"),
-            F.min("correct_answer").alias("correct_answer"),
+            *[F.min(c).alias(c) for c in facts],
             F.countDistinct("model").alias("_models"),
             F.avg(answers_match("lower")).alias("accuracy_fraction"),
         )

@@ -117,8 +117,8 @@ def with_class_weights(df: DataFrame, label: str, weight: str = "weight") -> Dat
 def append_constant_labeled(
     main: DataFrame, simple: DataFrame, question: str = "question", fraction: str = "slm_accuracy_fraction"
 ) -> DataFrame:
-    """Union of the main set and an all-simple set (fraction 1, label 0); rows without a question are dropped."""
-    first = main.dropna(subset=[question]).withColumn("is_simple", F.lit(False))
+    """Union of the main set and an all-simple set (fraction 1, label 0); incomplete rows are dropped."""
+    first = main.dropna(subset=[question, fraction]).withColumn("is_simple", F.lit(False))
     second = (
         simple.dropna(subset=[question])
         .withColumn(fraction, F.lit(1.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from answerflow.functions.costs import (
     CENTS,
@@ -253,7 +253,6 @@ def policy_detail(
 
 def by_decision_summary(trace: DataFrame) -> DataFrame:
     """Rows, share and means per decision plus a total row (`decision` = `all`)."""
-    total = trace.agg(F.count(F.lit(1))).scalar()
     return (
         trace.rollup("decision")
         .agg(
@@ -267,7 +266,8 @@ def by_decision_summary(trace: DataFrame) -> DataFrame:
             F.avg("error").alias("avg_error"),
         )
         .withColumn("decision", F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("decision")))
-        .withColumn("share", F.col("n") / total)
+        # Three rows at most: the total is the largest of them.
+        .withColumn("share", F.col("n") / F.max("n").over(W.partitionBy(F.lit(0))))
         .drop("_all")
     )
 
@@ -303,17 +303,17 @@ def predicted_error(trace: DataFrame, calibration: DataFrame, model: CostModel)
     """Error cost of the mean predictions: of the router (from its trace) and of each model alone."""
     means = calibration.select("*", *average_quality_columns())
     alone = calibrated(model)
-    slm = means.select(error_cost(0.0, F.col("slm_latency"), F.col("avg_q_slm"), alone)).scalar()
-    llm = means.select(
-        error_cost(
-            token_cost(F.col("llm_input_tokens"), F.col("llm_output_tokens")),
-            F.col("llm_latency"), F.col("avg_q_llm"), alone,
+    usd = token_cost(F.col("llm_input_tokens"), F.col("llm_output_tokens"))
+    both = means.select(
+        F.struct(
+            error_cost(0.0, F.col("slm_latency"), F.col("avg_q_slm"), alone).alias("slm"),
+            error_cost(usd, F.col("llm_latency"), F.col("avg_q_llm"), alone).alias("llm"),
         )
     ).scalar()
     router = trace.agg(
         error_cost(F.avg("predicted_usd"), F.avg("predicted_latency"), F.avg("quality"), model).alias("router_error")
     )
-    return router.select("router_error", slm.alias("slm_error"), llm.alias("llm_error"))
+    return router.select("router_error", both["slm"].alias("slm_error"), both["llm"].alias("llm_error"))
 
 
 def cost_curve(models: DataFrame, model: CostModel, points: int = 1001, by: Sequence[str] = ()) -> DataFrame:
@@ -329,20 +329,22 @@ def cost_curve(models: DataFrame, model: CostModel, points: int = 1001, by: Sequ
 
 def curve_crossing(models: DataFrame, model: CostModel, by: Sequence[str], points: int = 1001) -> DataFrame:
     """Where the curves meet: on the grid, in closed form, the one to use, and the cost there."""
-    curve = cost_curve(models, model, points, by)
-    gap = F.abs(F.col("llm_error") - F.col("slm_error"))
-    crossing = curve.groupBy(*by).agg(
-        F.min_by("p", F.struct(F.round(gap, 9), F.col("step"))).alias("grid_p")
-    )
-    closed = models.select(
-        *by, break_even(model).alias("p_star"),
-        expected_llm_error(F.lit(0.0), model).alias("_at0"), expected_llm_error(F.lit(1.0), model).alias("_at1"),
-    )
+    last = F.lit(float(points - 1))
+
+    def gap(step: Column) -> Column:
+        p = step / last
+        # Equal gaps go to the lower step; rounding keeps them equal.
+        far = F.round(F.abs(expected_llm_error(p, model) - expected_slm_error(p, model)), 9)
+        return F.struct(far.alias("gap"), step.alias("step"))
+
+    nearest = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), gap))["step"]
+    placed = models.withColumns({"grid_p": nearest / last, "p_star": break_even(model)})
     used = F.when(F.col("p_star").between(0, 1), F.col("p_star")).otherwise(F.col("grid_p"))
     # The curve is a line, so interpolating on the grid is interpolating between its ends.
-    return closed.join(crossing, list(by)).select(
+    at0, at1 = expected_llm_error(F.lit(0.0), model), expected_llm_error(F.lit(1.0), model)
+    return placed.select(
         *by, "grid_p", "p_star", used.alias("p_used"),
-        (F.col("_at0") + (F.col("_at1") - F.col("_at0")) * used).alias("cost_at_p"),
+        (at0 + (at1 - at0) * used).alias("cost_at_p"),
         F.least(F.greatest(F.coalesce("p_star", used), F.lit(0.0)), F.lit(1.0)).alias("p_clipped"),
     )
 
@@ -450,9 +452,8 @@ def threshold_sweep(df: DataFrame, grid: Sequence[float], score: str = "score",
     counts, so its cost does not grow with the number of thresholds times rows.
     """
     grid = sorted(grid)
-    cuts = F.array(*[F.lit(float(t)) for t in grid])
     # A row is sent to the SLM at every threshold above its score.
-    reached = F.size(F.filter(cuts, lambda t: t <= F.col(score)))
+    reached = sum(((F.col(score) >= F.lit(float(t))).cast("int") for t in grid), F.lit(0))
     counted = df.groupBy(*by, reached.alias("_slot")).agg(
         F.count_if(F.col("slm_correct") == 1).alias("_right"), F.count(F.lit(1)).alias("_n")
     )

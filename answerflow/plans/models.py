@@ -27,8 +27,10 @@ from answerflow.operators.replay import threshold_sweep
 from answerflow.operators.scores import score_to_probability
 
 SEED = 42
+# Models whose penalty weighs as much as one row (C = 1, alpha = 1), on unscaled features.
+UNIT_PENALTY = ("logreg", "svm", "ridge")
 
-# Model settings (trees 200, iterations 100, hidden layers 1024-512-64).
+# Model settings (trees 200, iterations 100, learning rates, hidden layers 1024-512-64).
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "logreg": lambda **kw: LogisticRegression(maxIter=100, **kw),
     "rf": lambda **kw: RandomForestClassifier(numTrees=200, seed=SEED, **kw),
@@ -36,17 +38,17 @@ CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "dt": lambda **kw: DecisionTreeClassifier(seed=SEED, **kw),
     "nb": lambda **kw: NaiveBayes(modelType="gaussian", **kw),
     "gb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=3, seed=SEED, **kw),
-    "xgb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=6, seed=SEED, **kw),
+    "xgb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **kw),
     "lgb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=5, seed=SEED, **kw),
 }
 REGRESSORS: dict[str, Callable[..., Estimator]] = {
     "linear": lambda **kw: LinearRegression(**kw),
-    "ridge": lambda **kw: LinearRegression(regParam=0.001, elasticNetParam=0.0, **kw),
+    "ridge": lambda **kw: LinearRegression(elasticNetParam=0.0, **kw),
     "huber": lambda **kw: LinearRegression(loss="huber", maxIter=100, **kw),
     "rf": lambda **kw: RandomForestRegressor(numTrees=200, seed=SEED, **kw),
     "dt": lambda **kw: DecisionTreeRegressor(seed=SEED, **kw),
     "gb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=3, seed=SEED, **kw),
-    "xgb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=6, seed=SEED, **kw),
+    "xgb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **kw),
     "lgb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=5, seed=SEED, **kw),
 }
 
@@ -59,7 +61,8 @@ def dense_classifier(inputs: int, hidden: Sequence[int] = (1024, 512, 64), featu
 
 
 def build_estimator(
-    kind: str, name: str, features: str = "features", label: str = "label", weight: str | None = None, **settings
+    kind: str, name: str, features: str = "features", label: str = "label", weight: str | None = None,
+    **settings,
 ) -> Estimator:
     """A catalogue model; `kind` is `classifier` or `regressor`. `settings` override the defaults."""
     catalogue = {"classifier": CLASSIFIERS, "regressor": REGRESSORS}[kind]
@@ -73,6 +76,18 @@ def build_estimator(
     return estimator
 
 
+def unit_penalty(train: DataFrame, name: str, label: str) -> dict:
+    """Settings that make the penalty of a linear model weigh as much as one training row.
+
+    The optimizer averages the loss over the rows and, for linear regression, measures the
+    label in standard deviations.
+    """
+    if name not in UNIT_PENALTY:
+        return {}
+    rows, spread = train.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
+    return {"regParam": (spread if name == "ridge" else 1.0) / max(rows, 1), "standardization": False}
+
+
 def fit_model(train: DataFrame, estimator: Estimator, stages: Sequence[Estimator] = ()) -> PipelineModel:
     """Fit the stages and the estimator. Training passes over the rows many times, so they are cached."""
     cached = train.persist()
@@ -106,6 +121,7 @@ def train_difficulty_model(
     weight = None
     if balance:
         train, weight = with_class_weights(train, label), "weight"
+    settings = unit_penalty(train, name, label) | settings
     model = fit_model(train, build_estimator(kind, name, features, label, weight, **settings))
     return model, score(model, test, kind, [*keep, label])
 

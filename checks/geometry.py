@@ -85,24 +85,35 @@ def distance_label_correlation(spark, sf_dir):
 
 
 # Rows of the first cluster play the simple questions (fraction 1).
-REPORT = """
+def binned(source: str) -> str:
+    q = [f"(SELECT quantile_cont(f, {p}) FROM {source})" for p in ("25e-2", "5e-1", "75e-2")]
+    bins = " ".join(f"WHEN f <= {q} THEN {i}" for i, q in enumerate(q))
+    return f"SELECT *, f AS difficulty, CASE {bins} ELSE 3 END AS bin FROM {source}"
+
+
+REPORT = f"""
 q AS (SELECT id, CASE WHEN cluster = 0 THEN 1e0 ELSE 1e0 - difficulty END AS f, cluster = 0 AS simple,
              CASE WHEN cluster = 0 THEN 0 ELSE complex END AS label, e FROM v),
-b AS (SELECT *, f AS difficulty, CASE WHEN f <= (SELECT quantile_cont(f, 25e-2) FROM q) THEN 0
-             WHEN f <= (SELECT quantile_cont(f, 5e-1) FROM q) THEN 1
-             WHEN f <= (SELECT quantile_cont(f, 75e-2) FROM q) THEN 2 ELSE 3 END AS bin FROM q),
-bu AS (SELECT * REPLACE (list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e) FROM b)
+qm AS (SELECT * FROM q WHERE NOT simple),
+b AS ({binned('q')}),
+bm AS (SELECT *, label AS label_m, bin AS bin_m FROM ({binned('qm')})),
+bu AS (SELECT * REPLACE (list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e) FROM b),
+bmu AS (SELECT * REPLACE (list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e) FROM bm)
 """
 
 
 @query(f"""
 WITH {V}, {REPORT}, {DAVIES.format(l='label', src='b')}, {SILHOUETTE.format(l='label', src='b')},
 {SILHOUETTE.format(l='bin', src='b')}, {SPEARMAN.format(t='all', src='bu')},
+{DAVIES.format(l='label_m', src='bm')}, {SILHOUETTE.format(l='label_m', src='bm')},
+{SILHOUETTE.format(l='bin_m', src='bm')}, {SPEARMAN.format(t='main', src='bmu')},
 sp AS (SELECT unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM bu WHERE simple),
 ss AS (SELECT i, sum(x) AS t FROM sp GROUP BY i)
 SELECT 'given' AS encoder, 'combined' AS subset, 'classification' AS task, (SELECT {SIL_VALUE} FROM r_label) AS silhouette,
        'davies_bouldin' AS measure, (SELECT avg(worst) FROM w_label) AS value
 UNION ALL SELECT 'given', 'combined', 'regression', (SELECT {SIL_VALUE} FROM r_bin), 'spearman', (SELECT corr(rd, rg) FROM rk_all)
+UNION ALL SELECT 'given', 'main', 'classification', (SELECT {SIL_VALUE} FROM r_label_m), 'davies_bouldin', (SELECT avg(worst) FROM w_label_m)
+UNION ALL SELECT 'given', 'main', 'regression', (SELECT {SIL_VALUE} FROM r_bin_m), 'spearman', (SELECT corr(rd, rg) FROM rk_main)
 UNION ALL SELECT 'given', 'simple', 'spread', NULL, 'mean_cosine_distance',
        1e0 - (SELECT sum(t * t) FROM ss) / power((SELECT count(*) FROM b WHERE simple), 2)
 """, rounded=["silhouette", "value"], digits=5)
@@ -113,7 +124,7 @@ def embedding_quality_report(spark, sf_dir):
         F.when(simple, F.lit(0)).otherwise(F.col("complex")).alias("label"),
         F.when(simple, F.lit(1.0)).otherwise(1.0 - F.col("difficulty")).alias("slm_accuracy_fraction"),
     )
-    return embedding_report({"given": rows}).where("subset <> 'main'")
+    return embedding_report({"given": rows})
 
 
 @query("""

@@ -47,6 +47,23 @@ def test_regressors_stay_in_range(halves, name):
     assert scored.agg(F.avg(F.abs(F.col("score") - F.col("difficulty")))).first()[0] < 0.2
 
 
+def test_penalties_weigh_as_much_as_one_row(halves):
+    rows = halves[0].select("embedding", "difficulty", "complex").collect()
+    x = np.array([r.embedding for r in rows])
+    y = np.array([r.difficulty for r in rows])
+    z = np.array([r.complex for r in rows])
+    centred = x - x.mean(axis=0)
+    ridge, _ = train_difficulty_model(*halves, "regressor", "ridge", "difficulty")
+    want = np.linalg.solve(centred.T @ centred + np.eye(x.shape[1]), centred.T @ (y - y.mean()))
+    assert np.allclose(ridge.stages[-1].coefficients.toArray(), want, atol=1e-8)
+
+    logreg, _ = train_difficulty_model(*halves, "classifier", "logreg", "complex")
+    w, b = logreg.stages[-1].coefficients.toArray(), logreg.stages[-1].intercept
+    # At the optimum of sum(log loss) + |w|^2 / 2 the gradient vanishes.
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.allclose(x.T @ (p - z) + w, 0, atol=0.05) and abs((p - z).sum()) < 0.05
+
+
 def test_storage(spark, halves):
     model = fit_model(halves[0], build_estimator("classifier", "logreg", label="complex"))
     path = scratch_path(spark, "model")

@@ -1,6 +1,7 @@
 """Exactness when one key holds a large part of the rows, against brute force."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,11 @@ def test_running_totals_cut_a_value_held_by_a_third(skewed):
     assert np.allclose(got["total"], want["x"].cumsum())
 
 
-def test_percentiles_per_group(skewed):
+@pytest.mark.parametrize("in_one_task", [200_000, 0])
+def test_percentiles_per_group(skewed, monkeypatch, in_one_task):
+    import answerflow.operators.ordering as ordering
+
+    monkeypatch.setattr(ordering, "ROWS_IN_ONE_TASK", in_one_task)
     got = exact_percentiles(skewed, "x", [0.0, 0.1, 0.5, 0.95, 1.0], ["g"]).toPandas().set_index("g")
     for g, rows in skewed.toPandas().groupby("g"):
         want = np.percentile(rows["x"], [0, 10, 50, 95, 100])
@@ -83,7 +88,11 @@ def test_sample_of_fixed_size(skewed):
     assert seeded_sample(skewed, "id", 10**6).count() == 9000
 
 
-def test_pareto_curve_with_ties(skewed):
+@pytest.mark.parametrize("in_one_task", [200_000, 0])
+def test_pareto_curve_with_ties(skewed, monkeypatch, in_one_task):
+    import answerflow.operators.ordering as ordering
+
+    monkeypatch.setattr(ordering, "ROWS_IN_ONE_TASK", in_one_task)
     df = skewed.select("id", F.col("x").alias("output_tokens"), F.lit(0.5).alias("slm_accuracy_fraction"))
     got = pareto_curve(df).orderBy("rank").toPandas()
     want = skewed.toPandas().sort_values(["x", "id"], ascending=[False, True])
@@ -134,6 +143,16 @@ def test_silhouette_against_brute_force(spark):
     assert silhouette(df, "cluster").first().silhouette == pytest.approx(np.mean(scores), abs=1e-6)
 
 
+def test_long_lines_are_scanned_once(spark):
+    from answerflow.functions.text import extract_choice
+
+    text = "answer " * 60_000 + "\n" + " " * 200_000 + "x\nfinal answer: B " + "word " * 60_000
+    start = time.time()
+    row = spark.createDataFrame([(text,), ("w " * 200_000,)], "t string").select(extract_choice(F.col("t")).alias("c")).collect()
+    assert [r.c for r in row] == ["B", None]
+    assert time.time() - start < 30
+
+
 def test_spread_equals_all_pairs(spark):
     df, data, _ = vectors(spark, 200, 5, 6)
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
