@@ -18,6 +18,8 @@ SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
 # Up to this many rows one task may hold a whole order; beyond, it is cut into slices.
 ROWS_IN_ONE_TASK = 200_000
+# Relative rank error of a percentile sketch is at most one over this.
+SKETCH_ACCURACY = 10_000
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -87,16 +89,69 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles as columns `q0, q1, ...` plus the row count `n`.
 
-    Works on counts per distinct value, so neither a group nor its set of distinct values has
-    to fit into one task (the built-in `percentile` keeps all of them in one buffer).
+    A first pass sketches each percentile; its error bound gives a narrow bracket. A second
+    pass counts the distinct values inside the brackets and only totals what lies between
+    them, so neither a group nor its set of values has to be sorted or fit into one task (the
+    built-in `percentile` keeps all distinct values in one buffer). If a bracket should miss
+    its percentile, all distinct values are counted instead.
     """
     by = list(by)
-    counts = durable(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    upto = ordered_totals(counts, [F.col("_v").asc()], {"_upto": F.col("_n")}, by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    found = _pick_percentiles(durable(_count_near(rows, probs, by)), probs, by)
+    # Looked at twice: without groups it is one row, which can simply be kept.
+    found = durable(found) if by else df.sparkSession.createDataFrame(found.collect(), found.schema)
+    holes = [F.col(f"_{side}{i}").isNull() for i in range(len(probs)) for side in ("lo", "hi")]
+    if found.where(reduce(lambda a, b: a | b, holes) & (F.col("n") > 0)).limit(1).count():
+        every = rows.groupBy(*by, F.lit(0).alias("_slot"), F.lit(0).alias("_gap"), F.col("_v")).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
+        found = _pick_percentiles(durable(every), probs, by)
+    out = []
+    for i, p in enumerate(probs):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        gap = F.col(f"_hi{i}") - F.col(f"_lo{i}")
+        out.append((F.col(f"_lo{i}") + gap * (at - F.floor(at))).alias(f"{name}{i}"))
+    return found.select(*by, "n", *out)
+
+
+def _count_near(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Row counts per distinct value near a percentile, and per stretch between them.
+
+    `_slot` is the number of brackets begun at or before the value; within a slot, the values
+    inside a bracket come before the stretch that follows (`_gap` = 1, no value).
+    """
+    slack = 2.0 / SKETCH_ACCURACY
+    edges = []
+    for i, p in enumerate(sorted(set(probs))):
+        for side, q in (("from", p - slack), ("to", p + slack)):
+            edge = (
+                F.min("_v") if q <= 0 else F.max("_v") if q >= 1 else F.percentile_approx("_v", q, SKETCH_ACCURACY)
+            )
+            edges.append(edge.alias(f"_{side}{i}"))
+    brackets = rows.groupBy(*by).agg(*edges)
+    if by:
+        placed = rows.alias("l").join(brackets.alias("r"), same("l", "r", by)).select(
+            "l.*", *[F.col(f"r.{c}") for c in brackets.columns if c not in by]
+        )
+    else:
+        # One row of bounds becomes literals.
+        bounds = brackets.first()
+        placed = rows.withColumns({c: F.lit(bounds[c]) for c in brackets.columns})
+    n = len(set(probs))
+    begun = [F.col("_v") >= F.col(f"_from{i}") for i in range(n)]
+    inside = reduce(lambda a, b: a | b, [begun[i] & (F.col("_v") <= F.col(f"_to{i}")) for i in range(n)])
+    return placed.groupBy(
+        *by,
+        sum((c.cast("int") for c in begun), F.lit(0)).alias("_slot"),
+        (~inside).cast("int").alias("_gap"),
+        F.when(inside, F.col("_v")).alias("_v"),
+    ).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _pick_percentiles(counts: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """The two values around each percentile position, found by running counts."""
+    order = [F.col("_slot").asc(), F.col("_gap").asc(), F.col("_v").asc()]
+    upto = ordered_totals(counts, order, {"_upto": F.col("_n")}, by)
     sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
     if by:
         placed = upto.alias("l").join(sizes.alias("r"), same("l", "r", by)).select("l.*", "r.n")
@@ -108,13 +163,7 @@ def exact_percentiles(
         for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             covers = (F.col("_upto") - F.col("_n") <= pos) & (pos < F.col("_upto"))
             picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}{i}"))
-    found = placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
-    out = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        gap = F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        out.append((F.col(f"_lo{i}") + gap * (at - F.floor(at))).alias(f"{name}{i}"))
-    return found.select(*by, "n", *out)
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
 
 
 def row_hash(key: str | Column, seed: int) -> Column:
@@ -129,15 +178,21 @@ def hash_fraction(key: str | Column, seed: int) -> Column:
 
 
 def hash_cuts(
-    df: DataFrame, by: Sequence[str], key: str, seed: int, take: Column, digits: int = 4
+    df: DataFrame, by: Sequence[str], key: str, seed: int, take: Column, digits: int | None = None
 ) -> DataFrame:
     """Per group, the hash below or at which exactly `take` rows fall (`take` may use `_size`).
 
     Rows are first counted per hash prefix, which finds the prefix holding the cut; only the
     rows of that prefix (1 in 16^digits) are then ranked. The full rows are never shuffled.
-    `key` must be unique. Groups that take nothing have no row.
+    The prefix grows with the counted rows, so that not even a group of all rows leaves many
+    to rank. `key` must be unique. Groups that take nothing have no row.
     """
     by = list(by)
+    if digits is None:
+        digits = 1
+        rows = df.count()
+        while rows > ROWS_IN_ONE_TASK * 16**digits:
+            digits += 1
     hashed = df.select(*by, row_hash(key, seed).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, digits)
     )
