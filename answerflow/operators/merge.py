@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from answerflow.functions.numbers import to_flag
 
@@ -206,12 +206,11 @@ def five_vote_ensemble(
 def first_answers(singles: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row per model and question, in the given order.
 
-    An aggregate rather than a ranking window: repeats are dropped before the shuffle, so a
-    question logged very often is no hot spot.
+    Later rows are dropped before the shuffle (the planner limits each group to its first
+    rank on both sides of it), so a question logged very often is no hot spot.
     """
-    rest = [c for c in singles.columns if c not in ("model", key)]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return singles.groupBy("model", key).agg(first.alias("_f")).select("model", key, "_f.*")
+    rank = F.row_number().over(W.partitionBy("model", key).orderBy(*order))
+    return singles.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def consensus_dataset(

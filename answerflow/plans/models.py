@@ -25,6 +25,7 @@ from answerflow.operators.ordering import row_hash
 from answerflow.operators.prep import with_class_weights
 from answerflow.operators.replay import threshold_sweep
 from answerflow.operators.scores import score_to_probability
+from answerflow.session import durable
 
 SEED = 42
 # Models whose penalty weighs as much as one row (C = 1, alpha = 1), on unscaled features.
@@ -88,9 +89,16 @@ def unit_penalty(train: DataFrame, name: str, label: str) -> dict:
     return {"regParam": (spread if name == "ridge" else 1.0) / max(rows, 1), "standardization": False}
 
 
-def fit_model(train: DataFrame, estimator: Estimator, stages: Sequence[Estimator] = ()) -> PipelineModel:
-    """Fit the stages and the estimator. Training passes over the rows many times, so they are cached."""
-    cached = train.persist()
+def fit_model(
+    train: DataFrame, estimator: Estimator, stages: Sequence[Estimator] = (), written: bool = False
+) -> PipelineModel:
+    """Fit the stages and the estimator.
+
+    Training passes over the rows many times. They are written out first, so that every pass
+    starts from the rows and not from the plan that made them (unless they are `written`
+    already), and then cached.
+    """
+    cached = (train if written else durable(train)).persist()
     try:
         return Pipeline(stages=[*stages, estimator]).fit(cached)
     finally:
@@ -115,6 +123,7 @@ def train_difficulty_model(
     features: str = "features",
     balance: bool = False,
     keep: Sequence[str] = ("id",),
+    written: bool = False,
     **settings,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit one catalogue model (with balanced class weights if asked) and score the test rows."""
@@ -122,10 +131,35 @@ def train_difficulty_model(
     if balance:
         train, weight = with_class_weights(train, label), "weight"
     settings = unit_penalty(train, name, label) | settings
-    model = fit_model(train, build_estimator(kind, name, features, label, weight, **settings))
+    estimator = build_estimator(kind, name, features, label, weight, **settings)
+    model = fit_model(train, estimator, written=written and not balance)
     return model, score(model, test, kind, [*keep, label])
 
 
+def ensemble(
+    train: DataFrame, test: DataFrame, estimators: Sequence[Estimator], kind: str, keep: Sequence[str] = ("id",)
+) -> DataFrame:
+    """Fit several models and combine them: mean probability, or mean score for regressors.
+
+    All models score the same rows one after the other, so nothing is joined.
+    """
+    train, scored = durable(train), test
+    columns = []
+    for i, estimator in enumerate(estimators):
+        transformed = fit_model(train, estimator, written=True).transform(scored)
+        name = f"_m{i}"
+        if kind == "classifier":
+            scored = score_to_probability(transformed, name)
+        else:
+            scored = transformed.withColumn(name, F.col("prediction"))
+        scored = scored.drop("rawPrediction", "probability", "prediction")
+        columns.append(F.col(name))
+    mean = sum(columns, F.lit(0.0)) / F.lit(float(len(columns)))
+    if kind == "classifier":
+        return scored.select(*keep, mean.alias("p"), (mean > 0.5).cast("int").alias("prediction"))
+    return scored.select(*keep, F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
 def grid_search(
     train: DataFrame, estimator: Estimator, grid: list, kind: str, key: str, label: str = "label", folds: int = 5,
     parallelism: int = 4,
@@ -137,7 +171,7 @@ def grid_search(
         else RegressionEvaluator(labelCol=label, metricName="mae")
     )
     fold = F.pmod(F.conv(F.substring(row_hash(key, SEED), 1, 8), 16, 10).cast("bigint"), F.lit(folds))
-    folded = train.withColumn("_fold", fold.cast("int")).persist()
+    folded = durable(train.withColumn("_fold", fold.cast("int"))).persist()
     try:
         return CrossValidator(
             estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds,
@@ -160,11 +194,13 @@ def sweep(
     Regressors need `slm_correct` in the test frame for the best routing threshold.
     """
     lines = []
+    models = list(models)
     for encoder, (train, test) in encoders.items():
+        train = durable(train)
         for name in models:
             keep = ("id",) if kind == "classifier" else ("id", "slm_correct")
             known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
-            _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, **known)
+            _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written=True, **known)
             if kind == "classifier":
                 line = classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
             else:

@@ -13,6 +13,7 @@ from checks import (  # noqa: F401  (importing a module registers its queries)
     signals,
     sources,
     streams,
+    workflows,
 )
 from checks.registry import ORACLES, QUERIES
 

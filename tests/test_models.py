@@ -9,6 +9,7 @@ from answerflow.operators.prep import augment_minority
 from answerflow.plans.features import encode, fit_pca, text_features, vector_column
 from answerflow.plans.models import (
     build_estimator,
+    ensemble,
     fit_model,
     load_model,
     save_model,
@@ -121,3 +122,11 @@ def test_noise_is_normal_and_repeatable(spark):
     values = np.array(list(a.values())).ravel()
     assert abs(values.mean()) < 0.1 and abs(values.std() - 2.0) < 0.1
     assert abs(np.mean(np.abs(values) < 2.0) - 0.6827) < 0.02
+
+
+def test_ensemble_is_the_mean_of_its_members(halves):
+    members = [build_estimator("classifier", n, label="complex") for n in ("logreg", "nb")]
+    together = {r.id: r.p for r in ensemble(*halves, members, "classifier").collect()}
+    single = [{r.id: r.p for r in score(fit_model(halves[0], m), halves[1], "classifier").collect()} for m in members]
+    assert all(np.isclose(p, (single[0][i] + single[1][i]) / 2) for i, p in together.items())
+    assert len(together) == 100
