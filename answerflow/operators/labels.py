@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -92,11 +92,3 @@ def label_distribution(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("pct", F.col("n") * 100.0 / total)
-
-
-def value_columns(df: DataFrame, prefix: str) -> Sequence[str]:
-    """Columns found by prefix, such as the per-model `is_correct_` flags."""
-    found = [c for c in df.columns if c.startswith(prefix)]
-    if not found:
-        raise ValueError(f"no columns start with {prefix!r}")
-    return found

@@ -132,8 +132,18 @@ def build_outcomes_wide(outcomes: DataFrame, models: Sequence[str], slms: Sequen
     return outcomes.groupBy("id", "dataset_name", "category").agg(*cells, *fraction)
 
 
-def unpivot_outcomes(wide: DataFrame, models: Sequence[str]) -> DataFrame:
+def models_of(wide: DataFrame, prefix: str = "is_correct_") -> list[str]:
+    """The models of a wide table, found by the prefix of their columns."""
+    found = [c.removeprefix(prefix) for c in wide.columns if c.startswith(prefix)]
+    if not found:
+        raise ValueError(f"no columns start with {prefix!r}")
+    return found
+
+
+def unpivot_outcomes(wide: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """Wide outcomes back to one row per question and model that answered it."""
+    models = models_of(wide) if models is None else models
+    require_columns(wide, [f"{'is_correct' if m == 'correct' else m}_{name}" for name in models for m in METRICS])
     cells = F.array(
         *[
             F.struct(

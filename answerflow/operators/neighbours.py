@@ -47,6 +47,8 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row."""
     key_type, query_type = dict(train.dtypes)[key], dict(queries.dtypes)[key]
+    # Vectors keep their type on the way; only the arithmetic is in double precision.
+    train_vector, query_vector = dict(train.dtypes)[vector], dict(queries.dtypes)[vector]
     n_train, n_queries = train.count(), queries.count()
     if n_train == 0:
         raise ValueError("no training rows")
@@ -60,11 +62,10 @@ def nearest_neighbours(
                 yield batch.assign(cell=cell, radius=gaps[np.arange(len(cell)), cell])
 
     rows = train.select(
-        F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"),
-        F.col(label).cast("double").alias("label"),
+        F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).cast("double").alias("label")
     )
     celled = durable(
-        rows.mapInPandas(assign, f"id {key_type}, vector array<double>, label double, cell int, radius double")
+        rows.mapInPandas(assign, f"id {key_type}, vector {train_vector}, label double, cell int, radius double")
     )
     # One row per cell, and its k rows next to the pivot: bounded by the number of pivots.
     sizes = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(
@@ -97,8 +98,8 @@ def nearest_neighbours(
                 }
             )
 
-    asked = queries.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("vector"))
-    visits = asked.mapInPandas(visit, f"id {query_type}, vector array<double>, limit double, cell int")
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    visits = asked.mapInPandas(visit, f"id {query_type}, vector {query_vector}, limit double, cell int")
     # Queries travel in packs too; both kinds of packs are bounded by `block_rows` on average.
     packs = max(1, math.ceil(n_queries / block_rows))
     asked_packs = (

@@ -121,14 +121,19 @@ def _count_near(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataF
     inside a bracket come before the stretch that follows (`_gap` = 1, no value).
     """
     slack = 2.0 / SKETCH_ACCURACY
-    edges = []
-    for i, p in enumerate(sorted(set(probs))):
-        for side, q in (("from", p - slack), ("to", p + slack)):
-            edge = (
-                F.min("_v") if q <= 0 else F.max("_v") if q >= 1 else F.percentile_approx("_v", q, SKETCH_ACCURACY)
-            )
-            edges.append(edge.alias(f"_{side}{i}"))
-    brackets = rows.groupBy(*by).agg(*edges)
+    ends = [(i, side, p + move) for i, p in enumerate(sorted(set(probs))) for side, move in (("from", -slack), ("to", slack))]
+    within = [min(max(q, 0.0), 1.0) for _, _, q in ends]
+    sketch = rows.groupBy(*by).agg(
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", within, SKETCH_ACCURACY).alias("_sketch"),
+    )
+    brackets = sketch.select(
+        *by,
+        *[
+            (F.col("_min") if q <= 0 else F.col("_max") if q >= 1 else F.col("_sketch")[j]).alias(f"_{side}{i}")
+            for j, (i, side, q) in enumerate(ends)
+        ],
+    )
     if by:
         placed = rows.alias("l").join(brackets.alias("r"), same("l", "r", by)).select(
             "l.*", *[F.col(f"r.{c}") for c in brackets.columns if c not in by]

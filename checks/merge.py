@@ -103,7 +103,7 @@ SELECT id, dataset_name, category, model, correct, latency, input_tokens, output
 FROM fx_outcomes WHERE model IN ('m1', 'm2', 'm3', 'm4', 'm5')
 """, rounded=["latency"], ints=["correct"])
 def long_outcomes(spark, sf_dir):
-    return unpivot_outcomes(build_outcomes_wide(view(spark, sf_dir, "fx_outcomes"), FIVE), FIVE)
+    return unpivot_outcomes(build_outcomes_wide(view(spark, sf_dir, "fx_outcomes"), FIVE))
 
 
 VOTE_FLAGS = ", ".join(f"max(CASE WHEN model = '{m}' THEN correct END) AS {m}_correct" for m in FIVE)

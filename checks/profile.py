@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from answerflow.operators.merge import vote_table
 from answerflow.operators.profile import (
     accuracy_by_domain_and_model,

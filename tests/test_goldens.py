@@ -202,3 +202,14 @@ def test_metrics_without_positives(spark):
     row = classification_metrics(df, "y", "z").first()
     assert (row.accuracy, row.precision, row.recall, row.f1) == (1.0, 0.0, 0.0, 0.0)
     assert not any(math.isnan(x) for x in row)
+
+
+def test_models_are_found_by_prefix(spark):
+    from answerflow.operators.merge import models_of, unpivot_outcomes
+
+    wide = spark.createDataFrame([(1, 0, 1)], "id int, is_correct_a int, is_correct_b_2 int")
+    assert models_of(wide) == ["a", "b_2"]
+    with pytest.raises(ValueError, match="missing columns"):
+        unpivot_outcomes(wide)
+    with pytest.raises(ValueError, match="no columns start"):
+        models_of(wide.select("id"))
