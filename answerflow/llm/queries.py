@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import simhash, vectors
+from answerflow.llm import mixing, simhash, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,41 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, seed=42)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2e0 * sum(size) AS cap,
+         [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+         sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM s),
+l AS (
+  SELECT (1.5 * (SELECT sum(source_size) FROM s) - clamped) / open_weight AS level
+  FROM r WHERE cap >= weight * ((1.5 * (SELECT sum(source_size) FROM s) - clamped) / open_weight)
+  ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size, least(cap, weight * (SELECT level FROM l)) AS target,
+         CASE WHEN source_size > 0 THEN CAST(floor(least(cap, weight * (SELECT level FROM l)) / source_size) AS BIGINT) ELSE 0 END AS whole
+  FROM r),
+c AS (
+  SELECT d.*, source_size, target, whole, target - whole * source_size AS more,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (whole + CASE WHEN before + size / 2e0 < more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""
