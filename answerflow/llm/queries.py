@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, simhash, vectors
+from answerflow.llm import mixing, simhash, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,81 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST(size * (whole + CASE WHEN before + size / 2e0 < more THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with `bad`: 1 for a toxic or low-quality document, 0 for others, null unlabelled.
+    The first number in a page's path is its document."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.expr("try_cast(regexp_extract(url, '^[^:]*://[^/?#]*/[^0-9?#]*([0-9]+)', 1) as bigint)")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    known = labels.groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    return pages.select("page_id", "url", number.alias("doc_id")).join(known, "doc_id", "left")
+
+
+@query
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [
+        ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+    ]
+    judged = urls.judge(labelled_pages(spark, sf_dir), rules=rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
+def tree_sql(depth: int, least_pages: int, similar: float) -> str:
+    """The levels of the template tree as common table expressions."""
+    levels = ["t0 AS (SELECT host, segments, pages, labelled, bad, '' AS template FROM shapes)"]
+    for n in range(1, depth + 2):
+        levels.append(f"""
+c{n} AS (
+  SELECT host, template, segments[{n}] AS segment, sum(pages) AS pages, sum(labelled) AS labelled, sum(bad) AS bad
+  FROM t{n - 1} WHERE len(segments) >= {n} GROUP BY ALL),
+p{n} AS (
+  SELECT *, CASE WHEN sum(labelled) OVER w > 0 THEN sum(bad) OVER w / CAST(sum(labelled) OVER w AS DOUBLE) ELSE 0e0 END AS rate
+  FROM c{n} WINDOW w AS (PARTITION BY host, template)),
+o{n} AS (
+  SELECT host, template, segment FROM p{n}
+  WHERE pages >= {least_pages} AND labelled > 0 AND segment <> '*'
+    AND abs(bad - labelled * rate) > {similar} * sqrt(labelled * rate * (1 - rate))),
+t{n} AS (
+  SELECT t.host, segments, pages, labelled, bad,
+         CASE WHEN len(segments) < {n} THEN t.template ELSE t.template || '/' || coalesce(o.segment, '*') END AS template
+  FROM t{n - 1} t LEFT JOIN o{n} o ON t.host = o.host AND t.template = o.template AND t.segments[{n}] = o.segment)""")
+    return ",".join(levels)
+
+
+ORACLES["op9_url_templates"] = rf"""
+WITH k AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+u AS (
+  SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest,
+         TRY_CAST(regexp_extract(url, '^[^:]*://[^/?#]*/[^0-9?#]*([0-9]+)', 1) AS BIGINT) AS doc_id
+  FROM pages),
+h AS (
+  SELECT page_id, bad, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u LEFT JOIN k ON u.doc_id = k.doc_id),
+s AS (
+  SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM h),
+b AS (
+  SELECT page_id, bad, host, path, rule,
+         list_transform(CASE WHEN len(parts) > 4 THEN list_concat(parts[1:4], ['*']) ELSE parts END,
+                        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segments
+  FROM s),
+shapes AS (
+  SELECT host, segments, count(*) AS pages, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM b GROUP BY ALL),
+{tree_sql(4, 5, 2.0)},
+prior AS (SELECT CASE WHEN sum(labelled) > 0 THEN 1 - sum(bad) / CAST(sum(labelled) AS DOUBLE) ELSE 1e0 END AS share FROM t5),
+j AS (
+  SELECT host, template, (sum(labelled - bad) + 10 * (SELECT share FROM prior)) / (sum(labelled) + 10e0) AS purity
+  FROM t5 GROUP BY ALL)
+SELECT page_id, b.host, b.path, b.rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END AS verdict,
+       j.template, round(purity, 9) AS purity
+FROM b JOIN t5 ON b.host = t5.host AND b.segments = t5.segments JOIN j ON t5.host = j.host AND t5.template = j.template
+"""
