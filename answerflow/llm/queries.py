@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, simhash, urls, vectors
+from answerflow.llm import mixing, private, simhash, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ SELECT page_id, b.host, b.path, b.rule,
        j.template, round(purity, 9) AS purity
 FROM b JOIN t5 ON b.host = t5.host AND b.segments = t5.segments JOIN j ON t5.host = j.host AND t5.template = j.template
 """
+
+
+@query
+def op10_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.pseudonymize(docs, secret="answerflow", counted="n_replaced")
