@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, private, simhash, urls, vectors
+from answerflow.llm import mixing, private, quality, simhash, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,69 @@ FROM b JOIN t5 ON b.host = t5.host AND b.segments = t5.segments JOIN j ON t5.hos
 def op10_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return private.pseudonymize(docs, secret="answerflow", counted="n_replaced")
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("id").alias("doc_id"), *[F.round(c, 6).alias(c) for c in ("evidence", "site_good", "good")], "kept"
+    )
+
+
+ORACLES["op2_quality_classifier"] = r"""
+WITH l AS (SELECT doc_id AS of_id, min(CASE WHEN quality > 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+t AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS host,
+         coalesce('=' || source, '') || '/' || coalesce('=' || lang, '') AS path,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+m AS (
+  SELECT doc_id, host, path, greatest(length(text), 1) AS chars, greatest(len(words), 1) AS n, len(list_distinct(words)) AS different,
+         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper,
+         length(text) - length(translate(text, '!#$%&*|@^~<>{}[]=+/_', '')) AS symbols
+  FROM t),
+b AS (
+  SELECT doc_id, host, path, good, (upper * 20) // chars AS f1, least((symbols * 40) // chars, 20) AS f2,
+         ((n >= 8)::INT + (n >= 32)::INT + (n >= 128)::INT + (n >= 512)::INT + (n >= 2048)::INT) * 11 + (different * 10) // n AS f3,
+         least(chars // n, 16) AS f4
+  FROM m LEFT JOIN l ON doc_id = of_id),
+a AS (SELECT sum(good) AS g, count(good) - sum(good) AS b FROM b),
+c AS (
+  SELECT feature, bin, sum(good) AS g, count(*) - sum(good) AS b
+  FROM (SELECT good, unnest([1, 2, 3, 4]) AS feature, unnest([f1, f2, f3, f4]) AS bin FROM b WHERE good IS NOT NULL) GROUP BY ALL),
+w AS (SELECT unnest([1, 2, 3, 4]) AS feature, unnest([21, 21, 66, 17]) AS bins),
+z AS (
+  SELECT feature, ln(1e0 / (a.g + bins)) - ln(1e0 / (a.b + bins)) AS unseen FROM w, a),
+r AS (
+  SELECT feature, bin, ln((c.g + 1e0) / (a.g + bins)) - ln((c.b + 1e0) / (a.b + bins)) AS ratio FROM c JOIN w USING (feature), a),
+e AS (
+  SELECT b.*, coalesce(r1.ratio, (SELECT unseen FROM z WHERE feature = 1)) + coalesce(r2.ratio, (SELECT unseen FROM z WHERE feature = 2))
+            + coalesce(r3.ratio, (SELECT unseen FROM z WHERE feature = 3)) + coalesce(r4.ratio, (SELECT unseen FROM z WHERE feature = 4)) AS evidence
+  FROM b LEFT JOIN r r1 ON r1.feature = 1 AND r1.bin = f1 LEFT JOIN r r2 ON r2.feature = 2 AND r2.bin = f2
+         LEFT JOIN r r3 ON r3.feature = 3 AND r3.bin = f3 LEFT JOIN r r4 ON r4.feature = 4 AND r4.bin = f4),
+v AS (
+  SELECT e.*, coalesce(CAST(e.good AS DOUBLE), 1 / (1 + exp(-(evidence + ln((a.g + 1e0) / (a.b + 1e0)))))) AS vote FROM e, a),
+p AS (SELECT host, path, count(*) AS n, sum(vote) AS k FROM v GROUP BY host, path),
+h AS (SELECT host, sum(n) AS host_n, sum(k) AS host_k, count(*) AS parts, sum(k * k / n) AS kk, sum(n * n) AS nn FROM p GROUP BY host),
+s AS (
+  SELECT sum(host_n) AS n, (sum(host_k) + 1e0) / (sum(host_n) + 2e0) AS p,
+         sum(host_k * host_k / host_n) - sum(host_k) * sum(host_k) / sum(host_n) AS host_spread, count(*) - 1 AS host_groups,
+         sum(CAST(host_n AS DOUBLE) * host_n) / sum(host_n) AS host_squares,
+         sum(kk) - sum(host_k * host_k / host_n) AS path_spread, sum(parts) - count(*) AS path_groups, sum(nn / host_n) AS path_squares
+  FROM h),
+q AS (
+  SELECT p, CASE WHEN host_spread - host_groups * p * (1 - p) <= 0 OR n - host_squares - host_groups <= 0 THEN 1e6
+                 ELSE least(greatest(p * (1 - p) / ((host_spread - host_groups * (p * (1 - p))) / (n - host_squares - host_groups)) - 1, 1), 1e6) END AS host_m,
+         CASE WHEN path_spread - path_groups * p * (1 - p) <= 0 OR n - path_squares - path_groups <= 0 THEN 1e6
+              ELSE least(greatest(p * (1 - p) / ((path_spread - path_groups * (p * (1 - p))) / (n - path_squares - path_groups)) - 1, 1), 1e6) END AS path_m
+  FROM s),
+g AS (
+  SELECT doc_id, evidence,
+         least(greatest((k - vote + path_m * ((host_k - vote + host_m * p) / (host_n - 1 + host_m))) / (p.n - 1 + path_m), 1e-9), 1 - 1e-9) AS site_good
+  FROM v JOIN p USING (path) JOIN h ON h.host = v.host, q)
+SELECT doc_id, round(evidence, 6) AS evidence, round(site_good, 6) AS site_good,
+       round(1 / (1 + exp(-(evidence + ln(site_good / (1 - site_good))))), 6) AS good,
+       1 / (1 + exp(-(evidence + ln(site_good / (1 - site_good))))) >= 0.25 AS kept
+FROM g
+"""
