@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, private, quality, simhash, urls, vectors
+from answerflow.llm import mixing, packing, preferences, private, quality, simhash, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +216,71 @@ SELECT doc_id, round(evidence, 6) AS evidence, round(site_good, 6) AS site_good,
        1 / (1 + exp(-(evidence + ln(site_good / (1 - site_good))))) >= 0.25 AS kept
 FROM g
 """
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=4096, end=2)
+
+
+def answered_twice(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs: a conversation is chosen over itself with its last answer replaced by that
+    of its neighbour (0 and 1, 2 and 3, ...). The chosen one gets twice its number, the other
+    one more."""
+    conversations = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null")
+    last = conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    partner = F.col("conv_id") + F.when(F.col("conv_id") % 2 == 0, 1).otherwise(-1)
+    other = last.select(partner.alias("conv_id"), F.col("last.text").alias("other"))
+    own = last.select("conv_id", F.col("last.turn").alias("last_turn"))
+    swaps = own.join(other, "conv_id")
+    swapped = conversations.join(swaps, "conv_id", "left")
+    here = (F.col("role") == "assistant") & (F.col("turn") == F.col("last_turn"))
+    rejected = swapped.select(
+        (F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", "role", F.when(here, F.col("other")).otherwise(F.col("text")).alias("text")
+    )
+    chosen = conversations.select((F.col("conv_id") * 2).alias("conv_id"), "turn", "role", "text")
+    ids = conversations.select("conv_id").distinct()
+    pairs = ids.select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen"), (F.col("conv_id") * 2 + 1).alias("rejected"))
+    return chosen.unionAll(rejected), pairs
+
+
+@query
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preferences(*answered_twice(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op7_preference_pairs"] = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (
+  SELECT conv_id, turn AS last_turn, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM c WHERE role = 'assistant')
+  WHERE rn = 1),
+s AS (
+  SELECT a.conv_id, a.last_turn, b.text AS other
+  FROM l a JOIN l b ON b.conv_id = a.conv_id + CASE WHEN a.conv_id % 2 = 0 THEN 1 ELSE -1 END),
+t AS (
+  SELECT conv_id, 'chosen' AS side, turn, role, text FROM c
+  UNION ALL
+  SELECT c.conv_id, 'rejected', turn, role, CASE WHEN role = 'assistant' AND turn = last_turn THEN other ELSE text END
+  FROM c LEFT JOIN s ON c.conv_id = s.conv_id),
+r AS (
+  SELECT *, '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) AS opening FROM t),
+x AS (SELECT *, opening || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS rendered FROM r),
+n AS (
+  SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM x WINDOW w AS (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+p AS (
+  SELECT conv_id, min(position) AS apart, arg_min(before, position) AS chars FROM (
+    SELECT conv_id, position, min(before) AS before FROM n GROUP BY conv_id, position
+    HAVING count(*) < 2 OR min(role) IS DISTINCT FROM max(role) OR min(text) IS DISTINCT FROM max(text)
+      OR count(role) = 1 OR count(text) = 1)
+  GROUP BY conv_id),
+o AS (
+  SELECT n.*, CASE WHEN apart IS NULL OR position < apart THEN 'prompt' ELSE side END AS part, chars
+  FROM n LEFT JOIN p ON n.conv_id = p.conv_id),
+q AS (SELECT *, before - CASE WHEN part = 'prompt' THEN 0 ELSE chars END AS start FROM o WHERE NOT (part = 'prompt' AND side = 'rejected'))
+SELECT conv_id AS pair_id, part, position, role, rendered AS text, CAST(start AS BIGINT) AS start,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(opening) END AS BIGINT) AS mask_start,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) END AS BIGINT) AS mask_end
+FROM q
+"""
