@@ -124,7 +124,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndar
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
     used = inverse @ demand
-    for round in range(1, 50 * n + 1):
+    for _ in range(50 * n):
         worth = inverse.sum(axis=0)
         value, entering = best_pattern(worth, sizes, capacity)
         if value <= 1 + GAP:
@@ -141,9 +141,6 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndar
         row = inverse[out] / direction[out]
         inverse = inverse - np.outer(direction, row)
         inverse[out] = row
-        if round % 500 == 0:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
     return basis.T.round().astype(np.int64), np.maximum(used, 0)
 
 
