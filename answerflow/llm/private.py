@@ -24,12 +24,17 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
-    "card": r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
+    "card": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?i:(?<!\w)(?:password|passwd|secret|token|api_?key|secret_?key)[=:] ?\"?)[0-9A-Za-z]{8,64}(?!\w)|(?<=\")[0-9a-f]{32,64}(?=\")",
     "name": rf"(?<!\w)(?:{'|'.join(TITLES_F + TITLES_M)})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity has one of these; most texts have none, and a look at single characters is fast.
+HINT = (
+    r"[0-9@]|[dntyDNTY][=:]|AKIA|\"[0-9a-f]{32}|[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M}))
+    + rf"](?:{'|'.join(t[1:] for t in TITLES_F + TITLES_M)})\.? \p{{Lu}}"
+)
 LETTERS, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Syllables of invented names by script, and the endings of given names by gender.
 SYLLABLES = {
@@ -97,47 +102,47 @@ def parts_of(kind: Column, value: Column) -> Column:
 
 
 def drawn(secret: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """64 numbers from 0 to 255 that depend on the key, the entity and the attempt."""
-    digest = F.concat(
+    """64 bytes, in hexadecimal, that depend on the key, the entity and the attempt."""
+    return F.concat(
         *[F.sha2(F.concat_ws("|", F.lit(secret), kind, form, attempt.cast("string"), F.lit(str(i))), 256) for i in range(2)]
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    )
+
+
+def byte(drawing: str, at: Column | int) -> Column:
+    """Byte `at` of a column with drawn bytes; beyond the last they begin anew, one higher."""
+    at = F.lit(at) if isinstance(at, int) else at
+    value = F.conv(F.substr(F.col(drawing), (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return value + F.floor(at / 64).cast("int")
 
 
 def _from(alphabet: str, number: Column) -> Column:
     return F.substr(F.lit(alphabet), number % len(alphabet) + 1, F.lit(1))
 
 
-def _shaped(form: Column, numbers: Column, letters: str = LETTERS, start: int = 0) -> Column:
+def _shaped(form: Column, drawing: str) -> Column:
     """Letters for letters, digits for digits, anything else as it is."""
     def swap(c: Column, i: Column) -> Column:
-        n = F.get(numbers, (i + start) % 64) + F.floor((i + start) / 64).cast("int")
-        return F.when(c.rlike("[a-z]"), _from(letters, n)).when(c.rlike("[A-Z]"), F.upper(_from(letters, n))).when(
+        n = byte(drawing, i)
+        return F.when(c.rlike("[a-z]"), _from(LETTERS, n)).when(c.rlike("[A-Z]"), F.upper(_from(LETTERS, n))).when(
             c.rlike("[0-9]"), _from(DIGITS, n)
         ).otherwise(c)
 
     return F.when(F.length(form) == 0, form).otherwise(F.array_join(F.transform(F.split(form, ""), swap), ""))
 
 
-def surrogate_form(secret: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """The surrogate in canonical form, of the same kind and shape as `form`."""
-    n = drawn(secret, kind, form, attempt)
-    at = lambda i: F.get(n, F.lit(i))
+def surrogate_form(kind: Column, form: Column) -> Column:
+    """The surrogate in canonical form, of the same kind and shape as `form`; drawn from the
+    columns `drawn` and, for the domain of an address, `drawn_domain`."""
+    at = lambda i: byte("drawn", i)
     domain = F.substring_index(form, "@", -1)
     tail = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    # Addresses of one domain stay together: the domain is drawn from itself.
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    email = F.concat(
-        _shaped(F.substring_index(form, "@", 1), n), F.lit("@"),
-        _shaped(host, drawn(secret, F.lit("domain"), domain, F.lit(0))), tail,
-    )
+    email = F.concat(_shaped(F.substring_index(form, "@", 1), "drawn"), F.lit("@"), _shaped(host, "drawn_domain"), tail)
     code = F.greatest(F.length(form) - 10, F.lit(0))
     phone = F.concat(
-        F.substr(form, F.lit(1), code), _from("23456789", at(63)), _shaped(F.substr(form, code + 2), n)
+        F.substr(form, F.lit(1), code), _from("23456789", at(63)), _shaped(F.substr(form, code + 2), "drawn")
     )
-    inner = F.concat(F.substr(form, F.lit(1), F.lit(1)), _shaped(F.substr(form, F.lit(2), F.length(form) - 2), n))
+    inner = F.concat(F.substr(form, F.lit(1), F.lit(1)), _shaped(F.substr(form, F.lit(2), F.length(form) - 2), "drawn"))
     card = F.concat(inner, ((10 - luhn_sum(F.concat(inner, F.lit("0"))) % 10) % 10).cast("string"))
     first = F.substring_index(form, ".", 1)
     kept = (
@@ -147,11 +152,11 @@ def surrogate_form(secret: str, kind: Column, form: Column, attempt: Column) ->
         .otherwise((at(0) % 160 + F.when(at(0) % 160 < 116, F.lit(11)).otherwise(F.lit(12))).cast("string"))
     )
     ip = F.substring_index(F.concat_ws(".", kept, *[at(i).cast("string") for i in (1, 2, 3)]), ".", 4)
-    key = F.concat(F.lit("AKIA"), F.array_join(F.transform(F.slice(n, 1, 16), lambda x: _from(BASE32, x)), ""))
+    key = F.concat(F.lit("AKIA"), *[_from(BASE32, at(i)) for i in range(16)])
     hexes = F.array_join(
-        F.transform(F.sequence(F.lit(0), F.greatest(F.length(form) - 1, F.lit(0))), lambda i: _from(HEX, F.get(n, i % 64))), ""
+        F.transform(F.sequence(F.lit(0), F.greatest(F.length(form) - 1, F.lit(0))), lambda i: _from(HEX, byte("drawn", i))), ""
     )
-    hidden = F.when(form.rlike("^[0-9a-f]+$"), hexes).otherwise(_shaped(form, n))
+    hidden = F.when(form.rlike("^[0-9a-f]+$"), hexes).otherwise(_shaped(form, "drawn"))
 
     def invented(count: int, ending: str | None) -> Column:
         script = script_of(form)
@@ -173,20 +178,27 @@ def surrogate_form(secret: str, kind: Column, form: Column, attempt: Column) ->
 def surrogates(forms: DataFrame, secret: str) -> DataFrame:
     """Distinct (kind, form) with `made`, different for different forms and no real form of its
     kind. The smallest form of those that collide keeps its surrogate, the others draw again."""
-    made = surrogate_form(secret, F.col("kind"), F.col("form"), F.col("attempt"))
-    rows = store(forms.withColumn("attempt", F.lit(0)).withColumn("made", made), "surrogates")
-    real = forms.select(F.col("kind").alias("k"), F.col("form").alias("f"))
+    kind, form = F.col("kind"), F.col("form")
+    # Addresses of one domain stay together: the domain is drawn from itself. The draws are
+    # written first, or every character would draw anew.
+    rows = forms.select(
+        "kind", "form", F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("kept"),
+        F.when(kind == "email", drawn(secret, F.lit("domain"), F.substring_index(form, "@", -1), F.lit(0))).alias("drawn_domain"),
+    )
     while True:
-        holders = rows.groupBy("kind", "made").agg(F.min("form").alias("holder"))
-        checked = rows.join(holders, ["kind", "made"]).join(
-            real, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("f")), "left"
-        )
-        again = (F.col("holder") != F.col("form")) | F.col("k").isNotNull()
-        checked = store(checked.select("kind", "form", "attempt", "made", again.alias("again")), "surrogates")
+        rows = store(rows.withColumn("drawn", F.when(F.col("kept").isNull(), drawn(secret, kind, form, F.col("attempt")))), "drawn")
+        made = store(rows.withColumn("made", F.coalesce("kept", surrogate_form(kind, form))), "made")
+        holders = made.groupBy("kind", "made").agg(F.min("form").alias("holder"))
+        real = forms.select(F.col("kind").alias("k"), F.col("form").alias("f"))
+        checked = made.join(holders, ["kind", "made"]).join(real, (kind == F.col("k")) & (F.col("made") == F.col("f")), "left")
+        again = (F.col("holder") != form) | F.col("k").isNotNull()
+        checked = store(checked.withColumn("again", again).select("kind", "form", "attempt", "made", "drawn_domain", "again"), "checked")
         if checked.where("again").isEmpty():
             return checked.select("kind", "form", "made")
-        rows = checked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
-        rows = store(rows.withColumn("made", F.when(F.col("attempt") > 0, made).otherwise(F.col("made"))), "surrogates")
+        rows = checked.select(
+            "kind", "form", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"),
+            F.when(~F.col("again"), F.col("made")).alias("kept"), "drawn_domain",
+        )
 
 
 def overlaid(kind: Column, value: Column, made: Column) -> Column:
@@ -245,7 +257,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", secret: str = "answerflow"
     names = [f"`{c}`" for c in docs.columns]
     rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"))
     body = F.col("row").getField(text)
-    has = F.coalesce(body.rlike(ENTITY), F.lit(False))
+    has = F.coalesce(body.rlike(HINT) & body.rlike(ENTITY), F.lit(False))
     hit = rows.where(has).withColumn("body", body).withColumn("mark", F.sha2("body", 256))
     entities = F.regexp_extract_all("body", F.lit(ENTITY), 0)
     found = store(

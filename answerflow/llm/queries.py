@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, packing, preferences, private, quality, simhash, urls, vectors
+from answerflow.llm import mixing, packing, preferences, private, quality, search, simhash, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,3 +284,28 @@ SELECT conv_id AS pair_id, part, position, role, rendered AS text, CAST(start AS
        CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) END AS BIGINT) AS mask_end
 FROM q
 """
+
+
+@query
+def op8_top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    found = search.search(docs, asked, k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+ORACLES["op8_top_documents"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+  FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY doc_id),
+s AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM l) / CAST((SELECT count(*) FROM documents) AS DOUBLE) AS average),
+i AS (SELECT term, ln(1 + (n - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM t, s GROUP BY term, n),
+r AS (
+  SELECT q.doc_id AS query_id, t.doc_id, sum(q.tf * idf * (t.tf * 2.2e0 / (t.tf + 1.2e0 * (0.25e0 + 0.75e0 * len / average)))) AS score
+  FROM t q JOIN i USING (term) JOIN t USING (term) JOIN l ON l.doc_id = t.doc_id, s
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM o WHERE rank <= 10
+"""
