@@ -126,3 +126,10 @@ def mix(
     plan = store(repetitions(sizes, weights, share, most), "mix-plan")
     mixed = taken(base if keep else sizes, plan).drop("hash")
     return mixed.withColumn("taken", F.col("size") * F.col("repeats"))
+
+
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows and columns of `docs`, each as often as the mix takes it."""
+    mixed = mix(docs, id, text, source, keep=True, **options).where(F.col("repeats") > 0)
+    copies = mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -199,6 +199,21 @@ def stored_pairs(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
         at = end
 
 
+def groups(docs: DataFrame, id: str, text: str, shingle: int, bits: int) -> DataFrame:
+    """One row per row of `docs`: doc_id, mark (hash of the text), fingerprint, component (the
+    smallest fingerprint of the group) and component_id (its smallest id)."""
+    rows = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    rows = store(fingerprints(rows, "text", shingle), "fingerprints")
+    prints = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("lowest")), "prints")
+    linked = components(links_between(prints, bits))
+    named = prints.join(linked, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "lowest", F.coalesce("component", "fingerprint").alias("component")
+    )
+    named = store(named, "named")
+    smallest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    return rows.join(named.join(smallest, "component").drop("lowest"), "fingerprint")
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4
 ) -> DataFrame:
@@ -210,17 +225,21 @@ def near_duplicates(
     null component. Repeated rows come back as often as they are there. Other columns of
     `docs` are not looked at. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    rows = store(fingerprints(rows, "text", shingle), "fingerprints")
-    prints = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("lowest")), "prints")
-    linked = components(links_between(prints, bits))
-    named = prints.join(linked, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "lowest", F.coalesce("component", "fingerprint").alias("component")
+    return groups(docs, id, text, shingle, bits).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """The rows and columns of `docs`, one row of each group of near-duplicates: the one with the
+    smallest id (rows without an id last, ties by the hash of the text, any of equal ones)."""
+    found = groups(docs, id, text, shingle, bits)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"))
+    rows = docs.select(
+        F.col(id).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
-    named = store(named, "named")
-    smallest = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    per_print = named.join(smallest, "component").select("fingerprint", "component_id")
-    return rows.join(per_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    kept = rows.join(best, F.col("key").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark")), "left_semi")
+    kept = kept.dropDuplicates(["key", "mark"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_digits(fingerprint: str) -> Column:
