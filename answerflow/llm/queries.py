@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, packing, preferences, private, quality, search, simhash, urls, vectors
+from answerflow.llm import mixing, packing, preferences, private, quality, search, simhash, suffixes, urls, vectors
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,3 +309,8 @@ r AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM o WHERE rank <= 10
 """
+
+
+@query
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.score(table(spark, sf_dir, "documents"), depth=2, fold=10)
