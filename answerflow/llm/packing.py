@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -27,21 +28,43 @@ from answerflow.llm.common import numbered, store
 STEPS = 256
 # The linear program ends within this share of its bound.
 GAP = 5e-4
-# Words whose ids a worker keeps.
-KNOWN_WORDS = 400_000
+# New words after which a worker forgets those it no longer meets.
+KNOWN_WORDS = 600_000
 TOKEN = 4  # bytes
 
-_tokenizers: dict[int, tuple[object, dict[bytes, bytes]]] = {}
+_tokenizers: dict[int, "Words"] = {}
 
 
-def word_ids(definition: str) -> tuple[object, dict[bytes, bytes]]:
-    """The tokenizer of a definition and the ids it gave to words, kept by the worker."""
-    key = zlib.crc32(definition.encode())
-    if key not in _tokenizers:
+class Words(dict):
+    """Ids of words as bytes, found when first asked for. Those not asked for in the last
+    KNOWN_WORDS new ones are forgotten."""
+
+    def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[key] = (Tokenizer.from_str(definition), {})
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.before: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        self[word] = found
+        return found
+
+    def make_room(self) -> None:
+        if len(self) > KNOWN_WORDS:
+            self.before = dict(self)
+            self.clear()
+
+
+def word_ids(definition: str) -> Words:
+    """The words of a tokenizer that this worker knows."""
+    key = zlib.crc32(definition.encode())
+    if key not in _tokenizers:
+        _tokenizers[key] = Words(definition)
     return _tokenizers[key]
 
 
@@ -51,19 +74,11 @@ def token_bytes(texts: list[str], definition: str, end: int) -> Iterator[bytes]:
     The tokenizer drops white space and no token goes across it, so the ids of a text are those
     of its words, and a word is encoded once.
     """
-    tokenizer, known = word_ids(definition)
-    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        encoded = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-        for word, found in zip(part, encoded):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    last = np.array([end], "<u4").tobytes()
-    for words in split:
-        yield b"".join([known[w] for w in words]) + last
+    known = word_ids(definition)
+    last = array("I", [end]).tobytes()
+    for text in texts:
+        yield b"".join([known[w] for w in text.encode("utf-8", "surrogatepass").split()]) + last
+        known.make_room()
 
 
 def pieces(docs: DataFrame, definition: str, length: int, end: int, keep_ids: bool) -> DataFrame:
