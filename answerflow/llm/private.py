@@ -24,7 +24,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
-    "card": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
+    "card": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     "secret": r"(?i:(?<!\w)(?:password|passwd|secret|token|api_?key|secret_?key)[=:] ?\"?)[0-9A-Za-z]{8,64}(?!\w)|(?<=\")[0-9a-f]{32,64}(?=\")",
     "name": rf"(?<!\w)(?:{'|'.join(TITLES_F + TITLES_M)})\.? {_NAME}(?: {_NAME}){{0,2}}",
@@ -275,10 +275,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", secret: str = "answerflow"
     number = F.size(F.filter(entities, lambda e: F.map_contains_key("known", e)))
     known = hit.join(per_text, F.col("mark") == F.col("of"), "left")
     known = known.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
-    fields = [F.col("row").getField(c).alias(c) for c in docs.columns]
-    plain = rows.where(~has).select(*fields, *([F.lit(0).cast("long").alias(counted)] if counted else []))
-    changed = known.select(
-        *[swapped.alias(c) if c == text else f for c, f in zip(docs.columns, fields)],
-        *([number.cast("long").alias(counted)] if counted else []),
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    plain = rows.where(~has).select(*[f.alias(c) for c, f in fields.items()], *([F.lit(0).cast("long").alias(counted)] if counted else []))
+    done = known.select("row", swapped.alias("swapped"), number.cast("long").alias("number"))
+    changed = done.select(
+        *[(F.col("swapped") if c == text else f).alias(c) for c, f in fields.items()],
+        *([F.col("number").alias(counted)] if counted else []),
     )
     return plain.unionAll(changed)
