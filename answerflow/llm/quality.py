@@ -16,18 +16,20 @@ from answerflow.llm.common import UPPER, WORD, lower_ascii, store
 
 SYMBOLS = "!#$%&*|@^~<>{}[]=+/_"
 #: Feature: number of bins.
-BINS = {"upper": 21, "symbols": 21, "variety": 66, "length": 17}
+BINS = {"upper": 21, "symbols": 21, "variety": 66, "length": 17, "repeats": 5}
 WORDS_UPTO = (8, 32, 128, 512, 2048)
 WEAKEST, STRONGEST = 1.0, 1e6
 
 
 def shape(text: Column) -> dict[str, Column]:
     """Bins of a document's shape, by whole numbers only: share of capitals and of symbols, share
-    of different words by length of the document, mean length of a word."""
+    of different words by length of the document, mean length of a word, share of words that are
+    said once more at once."""
     text = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
     words = F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0)
     n, different = F.greatest(F.size(words), F.lit(1)), F.size(F.array_distinct(words))
+    again = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda same: same))
     upper = F.length(text) - F.length(F.translate(text, UPPER, ""))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     band = sum(((n >= upto).cast("int") for upto in WORDS_UPTO), F.lit(0))
@@ -40,6 +42,7 @@ def shape(text: Column) -> dict[str, Column]:
         "symbols": F.least(share(symbols, chars, 40), F.lit(20)),
         "variety": band * 11 + share(different, n, 10),
         "length": F.least(share(chars, n, 1), F.lit(16)),
+        "repeats": share(again, n, 4),
     }
 
 

@@ -170,27 +170,29 @@ t AS (
 m AS (
   SELECT doc_id, host, path, greatest(length(text), 1) AS chars, greatest(len(words), 1) AS n, len(list_distinct(words)) AS different,
          length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper,
-         length(text) - length(translate(text, '!#$%&*|@^~<>{}[]=+/_', '')) AS symbols
+         length(text) - length(translate(text, '!#$%&*|@^~<>{}[]=+/_', '')) AS symbols,
+         coalesce(list_sum(list_transform(list_zip(words, words[2:]), lambda x: CASE WHEN x[1] = x[2] THEN 1 ELSE 0 END)), 0) AS again
   FROM t),
 b AS (
   SELECT doc_id, host, path, good, (upper * 20) // chars AS f1, least((symbols * 40) // chars, 20) AS f2,
          ((n >= 8)::INT + (n >= 32)::INT + (n >= 128)::INT + (n >= 512)::INT + (n >= 2048)::INT) * 11 + (different * 10) // n AS f3,
-         least(chars // n, 16) AS f4
+         least(chars // n, 16) AS f4, (again * 4) // n AS f5
   FROM m LEFT JOIN l ON doc_id = of_id),
 a AS (SELECT sum(good) AS g, count(good) - sum(good) AS b FROM b),
 c AS (
   SELECT feature, bin, sum(good) AS g, count(*) - sum(good) AS b
-  FROM (SELECT good, unnest([1, 2, 3, 4]) AS feature, unnest([f1, f2, f3, f4]) AS bin FROM b WHERE good IS NOT NULL) GROUP BY ALL),
-w AS (SELECT unnest([1, 2, 3, 4]) AS feature, unnest([21, 21, 66, 17]) AS bins),
+  FROM (SELECT good, unnest([1, 2, 3, 4, 5]) AS feature, unnest([f1, f2, f3, f4, f5]) AS bin FROM b WHERE good IS NOT NULL) GROUP BY ALL),
+w AS (SELECT unnest([1, 2, 3, 4, 5]) AS feature, unnest([21, 21, 66, 17, 5]) AS bins),
 z AS (
   SELECT feature, ln(1e0 / (a.g + bins)) - ln(1e0 / (a.b + bins)) AS unseen FROM w, a),
 r AS (
   SELECT feature, bin, ln((c.g + 1e0) / (a.g + bins)) - ln((c.b + 1e0) / (a.b + bins)) AS ratio FROM c JOIN w USING (feature), a),
 e AS (
   SELECT b.*, coalesce(r1.ratio, (SELECT unseen FROM z WHERE feature = 1)) + coalesce(r2.ratio, (SELECT unseen FROM z WHERE feature = 2))
-            + coalesce(r3.ratio, (SELECT unseen FROM z WHERE feature = 3)) + coalesce(r4.ratio, (SELECT unseen FROM z WHERE feature = 4)) AS evidence
+            + coalesce(r3.ratio, (SELECT unseen FROM z WHERE feature = 3)) + coalesce(r4.ratio, (SELECT unseen FROM z WHERE feature = 4))
+            + coalesce(r5.ratio, (SELECT unseen FROM z WHERE feature = 5)) AS evidence
   FROM b LEFT JOIN r r1 ON r1.feature = 1 AND r1.bin = f1 LEFT JOIN r r2 ON r2.feature = 2 AND r2.bin = f2
-         LEFT JOIN r r3 ON r3.feature = 3 AND r3.bin = f3 LEFT JOIN r r4 ON r4.feature = 4 AND r4.bin = f4),
+         LEFT JOIN r r3 ON r3.feature = 3 AND r3.bin = f3 LEFT JOIN r r4 ON r4.feature = 4 AND r4.bin = f4 LEFT JOIN r r5 ON r5.feature = 5 AND r5.bin = f5),
 v AS (
   SELECT e.*, coalesce(CAST(e.good AS DOUBLE), 1 / (1 + exp(-(evidence + ln((a.g + 1e0) / (a.b + 1e0)))))) AS vote FROM e, a),
 p AS (SELECT host, path, count(*) AS n, sum(vote) AS k FROM v GROUP BY host, path),
