@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, functions as F
 
-from answerflow.functions.text import has_indexed_variable, is_plain_language
+from answerflow.functions.text import has_indexed_variable, is_plain_language, strip_space
 
 SLM, LLM = "slm", "llm"
 
@@ -165,6 +165,7 @@ def _shift_logit(p: Column, by: float) -> Column:
 
 def adjust_by_text_features(p: Column, question: Column, input_tokens: Column) -> tuple[Column, Column]:
     """The difficulty as the SLM and as the LLM see it, given surface features of the question."""
+    # The shifts, and the length of a short question.
     for_llm = F.when(has_indexed_variable(question), _shift_logit(p, -1.2)).otherwise(p)
     for_slm = (
         F.when(is_plain_language(question), _shift_logit(p, 0.5))
@@ -192,5 +193,5 @@ def settings_with_overrides(overrides: Column, base: CostModel | None = None) ->
 
 def choose_model(requested: Column, routed: Column) -> Column:
     """An explicit SLM or LLM request wins; anything else is routed."""
-    asked = F.upper(F.trim(requested))
+    asked = F.upper(strip_space(requested))
     return F.lower(F.coalesce(F.when(asked.isin("SLM", "LLM"), asked), routed))

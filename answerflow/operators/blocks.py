@@ -15,13 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 1024
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def make_blocks(df: DataFrame, key: str, columns: Sequence[str], n_blocks: int) -> DataFrame:
     """One row per block: `block` and one array per column, aligned."""
     packed = (
-        df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).alias("block"), F.struct(*columns).alias("_r"))
+        df.select(F.pmod(F.xxhash64(key, *columns), F.lit(n_blocks)).alias("block"), F.struct(*columns).alias("_r"))
         .groupBy("block")
         .agg(F.collect_list("_r").alias("_rows"))
     )
@@ -34,7 +33,6 @@ def compare_blocks(
     key: str,
     left_columns: Sequence[str],
     right_columns: Sequence[str],
-    vector: str,
     work: Callable[[dict, dict], pd.DataFrame],
     schema: str,
     symmetric: bool = False,
@@ -44,7 +42,7 @@ def compare_blocks(
     """Run `work(left_block, right_block)` for all block pairs and union what it returns.
 
     With `symmetric`, `right` is the same set as `left` and each unordered block pair is met
-    once. The right side is broadcast only if its counted size is small.
+    once.
     """
     n_left, n_right = left.count(), right.count()
     blocks_left = max(1, math.ceil(n_left / block_rows))
@@ -58,10 +56,6 @@ def compare_blocks(
         *[F.col(c).alias(f"a_{c}") for c in left_columns],
     )
     b = b.select("block", *[F.col(c).alias(f"b_{c}") for c in right_columns])
-    width = right.select(F.size(vector)).first()
-    row_bytes = 8 * (width[0] if width else 0) + 64
-    if n_right * row_bytes <= BROADCAST_BYTES:
-        b = F.broadcast(b)
     pairs = a.join(b, "block")
     left_names, right_names = list(left_columns), list(right_columns)
 

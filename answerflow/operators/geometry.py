@@ -46,7 +46,8 @@ def centroids(df: DataFrame, label: str, vector: str = "embedding") -> DataFrame
 
 
 def davies_bouldin(df: DataFrame, label: str, vector: str = "embedding") -> DataFrame:
-    """Mean over clusters of the worst (scatter + scatter) / centroid distance."""
+    """Mean over clusters of the worst (scatter + scatter) / centroid distance; of coincident
+    centroids it is 0. A single cluster fails the job."""
     centres = centroids(df, label, vector)
     near = df.alias("l").join(centres.alias("r"), same("l", "r", [label])).select(
         f"l.{label}", distance(F.col(f"l.{vector}"), F.col("r.centroid")).alias("d")
@@ -62,22 +63,61 @@ def davies_bouldin(df: DataFrame, label: str, vector: str = "embedding") -> Data
         gaps = np.sqrt(((matrix(a["centroid"])[:, None, :] - matrix(b["centroid"])[None, :, :]) ** 2).sum(2))
         other = np.asarray(a["label"])[:, None] != np.asarray(b["label"])[None, :]
         both = np.asarray(a["s"])[:, None] + np.asarray(b["s"])[None, :]
-        ratios = np.divide(both, gaps, out=np.full(gaps.shape, -np.inf), where=other & (gaps > 0))
+        # Coincident centroids count as 0.
+        ratios = np.divide(both, gaps, out=np.zeros(gaps.shape), where=other & (gaps > 0))
+        ratios[~other] = -np.inf
         return pd.DataFrame({"label": a["label"], "worst": ratios.max(axis=1)})
 
     columns = ["label", "s", "centroid"]
-    worst = compare_blocks(
-        scatter, scatter, "label", columns, columns, "centroid", work, "label string, worst double", block_rows=256
-    )
-    return worst.groupBy("label").agg(F.max("worst").alias("worst")).agg(
+    worst = compare_blocks(scatter, scatter, "label", columns, columns, work, "label string, worst double", block_rows=256)
+    found = worst.groupBy("label").agg(F.max("worst").alias("worst")).agg(
         F.count(F.lit(1)).alias("clusters"), F.avg("worst").alias("davies_bouldin")
     )
+    alone = F.raise_error(F.lit("the index needs two clusters")).cast("double")
+    return found.select("clusters", F.when(F.col("clusters") == 1, alone).otherwise(F.col("davies_bouldin")).alias("davies_bouldin"))
+
+
+def silhouette(df: DataFrame, label: str, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """Mean silhouette with squared Euclidean distances over all rows.
+
+    The mean squared distance to a cluster follows from its row count, mean vector and mean
+    squared length, so rows meet clusters instead of each other.
+    """
+    as_double = F.transform(vector, lambda x: x.cast("double"))
+    rows = durable(df.select(key, as_double.alias("v"), F.col(label).cast("string").alias("label")))
+    clusters = durable(
+        rows.groupBy("label").agg(
+            vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean"), F.avg(dot(F.col("v"), F.col("v"))).alias("length"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+
+    def work(a: dict, b: dict) -> pd.DataFrame:
+        x, means, n = matrix(a["v"]), matrix(b["mean"]), np.asarray(b["n"], dtype=float)
+        gaps = np.maximum((x * x).sum(1)[:, None] - 2.0 * (x @ means.T) + np.asarray(b["length"])[None, :], 0.0)
+        own = np.asarray(a["label"])[:, None] == np.asarray(b["label"])[None, :]
+        mine = np.where(own, gaps * (n / np.maximum(n - 1, 1)), -1.0).max(axis=1)
+        size = np.where(own, n, 0.0).max(axis=1)
+        return pd.DataFrame({"id": a[key], "size": size, "a": mine, "b": np.where(own, np.inf, gaps).min(axis=1)})
+
+    key_type = dict(rows.dtypes)[key]
+    partial = compare_blocks(
+        rows, clusters, key, [key, "v", "label"], ["label", "mean", "length", "n"], work,
+        f"id {key_type}, size double, a double, b double", right_key="label",
+    )
+    per_row = partial.groupBy("id").agg(F.max("size").alias("size"), F.max("a").alias("a"), F.min("b").alias("b"))
+    worst = F.greatest("a", "b")
+    value = F.when((F.col("size") <= 1) | (worst == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / worst)
+    return per_row.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
 
 
-def silhouette(
-    df: DataFrame, label: str, key: str = "id", vector: str = "embedding", sample: int = 5000, seed: int = 42
+def sampled_silhouette(
+    df: DataFrame, label: str, sample: int, key: str = "id", vector: str = "embedding", seed: int = 42
 ) -> DataFrame:
-    """Mean Euclidean silhouette over a seeded sample of at most `sample` rows."""
+    """Mean Euclidean silhouette over a seeded sample of `sample` rows, with the rows used and all rows.
+
+    Distances have no linear form, so the work grows with the square of the sample.
+    """
     rows = durable(
         seeded_sample(df, key, sample, seed).select(key, vector, F.col(label).cast("string").alias("label"))
     )
@@ -102,7 +142,7 @@ def silhouette(
 
     key_type = dict(rows.dtypes)[key]
     partial = compare_blocks(
-        rows, rows, key, [key, vector, "label"], [key, vector, "label"], vector, work,
+        rows, rows, key, [key, vector, "label"], [key, vector, "label"], work,
         f"id {key_type}, own string, other string, total double, n bigint",
     )
     per_cluster = partial.groupBy("id", "own", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
@@ -114,7 +154,9 @@ def silhouette(
     )
     worst = F.greatest("a", "b")
     value = F.when((F.col("size") == 1) | (worst == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / worst)
-    return per_row.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+    return per_row.agg(
+        F.count(F.lit(1)).alias("rows_used"), df.agg(F.count(F.lit(1))).scalar().alias("rows_total"), F.avg(value).alias("silhouette")
+    )
 
 
 def _average_ranks(counts: DataFrame, value: str, rank: str) -> DataFrame:
@@ -127,16 +169,18 @@ def _average_ranks(counts: DataFrame, value: str, rank: str) -> DataFrame:
 def distance_label_spearman(
     df: DataFrame,
     label: str,
+    sample: int,
     key: str = "id",
     vector: str = "embedding",
-    sample: int = 10000,
     seed: int = 42,
     digits: int = 6,
 ) -> DataFrame:
-    """Spearman correlation of pairwise cosine distance (above 0) and label difference, over a sample.
+    """Spearman correlation of pairwise cosine distance and label difference, over the pairs of
+    different vectors in a seeded sample of `sample` rows, with the rows used and all rows.
 
-    Distances are counted at `digits` decimals, about the resolution of float32 embeddings.
-    Tasks return counts per (distance, difference); equal distances share their average rank.
+    The work grows with the square of the sample. Distances are told apart at `digits`
+    decimals, by default about the resolution of float32 embeddings. Tasks return counts per
+    (distance, difference); equal distances share their average rank.
     """
     rows = durable(
         seeded_sample(df, key, sample, seed).select(key, vector, F.col(label).cast("double").alias("label"))
@@ -152,14 +196,15 @@ def distance_label_spearman(
         labels_b, code_b = np.unique(np.asarray(b["label"]), return_inverse=True)
         gaps, code = np.unique(np.round(np.abs(labels_a[:, None] - labels_b[None, :]), 12), return_inverse=True)
         gap = code.reshape(len(labels_a), len(labels_b))[code_a[:, None], code_b[None, :]]
-        keep = far > 0
+        _, which = np.unique(np.concatenate([va, vb]), axis=0, return_inverse=True)
+        keep = which[: len(va), None] != which[None, len(va) :]
         if a["block"] == b["block"]:
             keep &= np.triu(np.ones(far.shape, dtype=bool), 1)
         pairs, n = np.unique(far[keep] * len(gaps) + gap[keep], return_counts=True)
         return pd.DataFrame({"d": pairs // len(gaps), "g": gaps[pairs % len(gaps)], "n": n})
 
     counts = compare_blocks(
-        rows, rows, key, [key, vector, "label"], [key, vector, "label"], vector, work,
+        rows, rows, key, [key, vector, "label"], [key, vector, "label"], work,
         "d bigint, g double, n bigint", symmetric=True,
     )
     # Read four times below, computed once.
@@ -172,14 +217,18 @@ def distance_label_spearman(
         F.sum("n").alias("n_pairs"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy")
     )
     return sums.select(
-        "n_pairs", (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("spearman")
+        "n_pairs", rows.agg(F.count(F.lit(1))).scalar().alias("rows_used"), df.agg(F.count(F.lit(1))).scalar().alias("rows_total"),
+        (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("spearman"),
     )
 
 
 def embedding_report(
-    encoders: dict[str, DataFrame], key: str = "id", vector: str = "embedding", seed: int = 42
+    encoders: dict[str, DataFrame], sample: int, key: str = "id", vector: str = "embedding", seed: int = 42
 ) -> DataFrame:
-    """One row per encoder, subset and task. Rows need `label`, `slm_accuracy_fraction`, `is_simple`."""
+    """One row per encoder, subset and task. Rows need `label`, `slm_accuracy_fraction`, `is_simple`.
+
+    `sample` bounds the rows of the rank correlation only; all else is over all rows.
+    """
 
     def line(encoder: str, subset: str, task: str, sil: Column, name: str, value: Column, spark) -> DataFrame:
         return spark.range(1).select(
@@ -193,15 +242,15 @@ def embedding_report(
         for subset, rows in (("combined", df), ("main", df.where(~F.col("is_simple")))):
             lines.append(line(
                 encoder, subset, "classification",
-                silhouette(rows, "label", key, vector, seed=seed).select("silhouette").scalar(),
+                silhouette(rows, "label", key, vector).select("silhouette").scalar(),
                 "davies_bouldin", davies_bouldin(rows, "label", vector).select("davies_bouldin").scalar(), spark,
             ))
             binned = quantile_bins(rows, "slm_accuracy_fraction", 4, "bin")
             lines.append(line(
                 encoder, subset, "regression",
-                silhouette(binned, "bin", key, vector, seed=seed).select("silhouette").scalar(),
+                silhouette(binned, "bin", key, vector).select("silhouette").scalar(),
                 "spearman",
-                distance_label_spearman(rows, "slm_accuracy_fraction", key, vector, seed=seed).select("spearman").scalar(),
+                distance_label_spearman(rows, "slm_accuracy_fraction", sample, key, vector, seed=seed).select("spearman").scalar(),
                 spark,
             ))
         spread = mean_cosine_spread(df.where("is_simple"), vector).select("mean_cosine_distance").scalar()

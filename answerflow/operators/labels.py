@@ -71,7 +71,7 @@ def high_cost_report(
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 4, name: str = "bin") -> DataFrame:
-    """0-based right-closed quantile bins; repeated edges are merged; missing stays missing."""
+    """0-based right-closed quantile bins; repeated edges are merged; missing and NaN stay missing."""
     probs = [i / bins for i in range(bins + 1)]
     distinct = exact_percentiles(df, column, probs).select(
         F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)])).alias("e")
@@ -84,7 +84,8 @@ def quantile_bins(df: DataFrame, column: str, bins: int = 4, name: str = "bin")
     passed = sum(
         (F.coalesce((edges[f"e{i}"] < F.col(column)).cast("int"), F.lit(0)) for i in range(1, bins)), F.lit(0)
     )
-    return df.withColumn(name, F.when(F.col(column).isNotNull(), passed))
+    there = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))
+    return df.withColumn(name, F.when(there, passed))
 
 
 def label_distribution(df: DataFrame, column: str) -> DataFrame:

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from answerflow.functions.numbers import to_flag
+from answerflow.functions.text import strip_space
 
 METRICS = ("correct", "latency", "input_tokens", "output_tokens")
 
 
-def normalized_name(name: str) -> str:
-    return name.strip().lower().replace(" ", "_").replace("-", "_")
-
-
 def resolve_column(df: DataFrame, wanted: str) -> str:
-    """The column meant by `wanted`, ignoring case, blanks, dashes and underscores."""
-    found = {normalized_name(c): c for c in df.columns}
-    if normalized_name(wanted) not in found:
-        raise ValueError(f"no column {wanted!r} among {df.columns}")
-    return found[normalized_name(wanted)]
+    """The one column of `df` that is `wanted` but for case and what stands between its words."""
+    def words(name: str) -> list[str]:
+        return re.findall(r"[^\W_]+", name.casefold())
+
+    same = [f.name for f in df.schema if words(f.name) == words(wanted)]
+    if len(same) == 1:
+        return same[0]
+    what = f"more than one column is {wanted!r}: {same}" if same else f"no column is {wanted!r}; there are {df.columns}"
+    raise ValueError(what)
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -62,19 +64,24 @@ def merge_runs_prefixed(
     return a.join(b, list(keys), "inner")
 
 
-def pair_outcomes(slm: DataFrame, llm: DataFrame, key: str = "ID", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per question answered by both models, with `slm_` and `llm_` metric columns."""
+def pair_outcomes(
+    slm: DataFrame, llm: DataFrame, key: str = "ID", keep: Sequence[str] = (), within: Sequence[str] = ()
+) -> DataFrame:
+    """One row per question answered by both models, with `slm_` and `llm_` metric columns.
+
+    Ids that are only unique within, say, a data set need those columns in `within`.
+    """
 
     def side(df: DataFrame, prefix: str, extra: Sequence[str]) -> DataFrame:
         named = {m: resolve_column(df, m) for m in METRICS}
         return df.select(
             F.col(f"`{resolve_column(df, key)}`").alias("id"),
-            *[F.col(f"`{c}`") for c in extra],
+            *[F.col(f"`{c}`") for c in [*within, *extra]],
             to_flag(F.col(f"`{named['correct']}`")).cast("int").alias(f"{prefix}_correct"),
             *[F.col(f"`{named[m]}`").alias(f"{prefix}_{m}") for m in METRICS[1:]],
         )
 
-    return side(slm, "slm", keep).join(side(llm, "llm", ()), "id", "inner")
+    return side(slm, "slm", keep).join(side(llm, "llm", ()), ["id", *within], "inner")
 
 
 def pairs_from_outcomes(outcomes: DataFrame, slm: str, llm: str) -> DataFrame:
@@ -97,13 +104,22 @@ def pairs_from_outcomes(outcomes: DataFrame, slm: str, llm: str) -> DataFrame:
     )
 
 
-def ensemble_accuracy(runs: DataFrame, n_models: int, key: str = "id") -> DataFrame:
-    """Share of models that solved each question, for questions that all of them answered."""
+def key_list(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def ensemble_accuracy(runs: DataFrame, n_models: int, key: str | Sequence[str] = "id") -> DataFrame:
+    """Share of models that solved each question, for questions that all of them answered.
+
+    A model has one vote per question however often it was run: it solved it if its best run did.
+    """
+    keys = key_list(key)
+    votes = runs.groupBy(*keys, "model").agg(F.max("correct").alias("correct"))
     return (
-        runs.groupBy(key)
-        .agg(F.sum("correct").cast("bigint").alias("n_correct"), F.countDistinct("model").alias("_models"))
+        votes.groupBy(*keys)
+        .agg(F.sum("correct").cast("bigint").alias("n_correct"), F.count("model").alias("_models"))
         .where(F.col("_models") == n_models)
-        .select(key, "n_correct", (F.col("n_correct") / F.lit(float(n_models))).alias("slm_accuracy_fraction"))
+        .select(*keys, "n_correct", (F.col("n_correct") / F.lit(float(n_models))).alias("slm_accuracy_fraction"))
     )
 
 
@@ -165,7 +181,7 @@ def unpivot_outcomes(wide: DataFrame, models: Sequence[str] | None = None) -> Da
 
 def answers_match(mode: str = "upper") -> Column:
     """`model_answer` equals `correct_answer`, raw or after trimming and folding case; missing is wrong."""
-    fold = {"raw": lambda c: c, "upper": lambda c: F.upper(F.trim(c)), "lower": lambda c: F.lower(F.trim(c))}
+    fold = {"raw": lambda c: c, "upper": lambda c: F.upper(strip_space(c)), "lower": lambda c: F.lower(strip_space(c))}
     if mode not in fold:
         raise ValueError(f"unknown mode {mode!r}")
     f = fold[mode]
@@ -177,10 +193,10 @@ def _answering(models: Sequence[str]) -> Column:
     return sum((F.coalesce(F.max((F.col("model") == m).cast("int")), F.lit(0)) for m in models), F.lit(0))
 
 
-def vote_table(singles: DataFrame, models: Sequence[str], version: str, key: str = "id") -> DataFrame:
+def vote_table(singles: DataFrame, models: Sequence[str], version: str, key: str | Sequence[str] = "id") -> DataFrame:
     """Per question: which models were right, how many, and whether at most 60 % were."""
     flags = [F.coalesce(F.max(F.when(F.col("model") == m, answers_match())), F.lit(0)).alias(f"{m}_correct") for m in models]
-    votes = singles.where(F.col("model").isin(*models)).groupBy(key).agg(
+    votes = singles.where(F.col("model").isin(*models)).groupBy(*key_list(key)).agg(
         F.min("category").alias("category"), F.min("correct_answer").alias("correct_answer"),
         _answering(models).alias("_models"), *flags,
     ).where(F.col("_models") == len(models)).drop("_models")
@@ -194,17 +210,22 @@ def vote_table(singles: DataFrame, models: Sequence[str], version: str, key: str
 
 
 def five_vote_ensemble(
-    fives: DataFrame, models: Sequence[str], version: str, key: str = "id", accuracy: str = "accuracy"
+    fives: DataFrame, models: Sequence[str], version: str, key: str | Sequence[str] = "id", accuracy: str = "accuracy"
 ) -> DataFrame:
-    """A model votes simple from 80 % accuracy on; a question is simple if all but one model say so."""
-    simple = F.count_if(F.coalesce(F.col(accuracy) >= 0.8, F.lit(True)))
+    """A model votes simple from 80 % accuracy on; a question is simple if all but one model say so.
+
+    A model with several rows for a question votes once, by the lowest; a missing accuracy
+    does not count against it.
+    """
+    keys = key_list(key)
+    own = fives.where(F.col("model").isin(*models)).groupBy(*keys, "model").agg(F.min(accuracy).alias("_lowest"))
+    simple = F.count_if(F.coalesce(F.col("_lowest") >= 0.8, F.lit(True)))
     return (
-        fives.where(F.col("model").isin(*models))
-        .groupBy(key)
-        .agg(simple.alias("votes_simple"), _answering(models).alias("_models"))
+        own.groupBy(*keys)
+        .agg(simple.alias("votes_simple"), F.count("model").alias("_models"))
         .where(F.col("_models") == len(models))
         .select(
-            key,
+            *keys,
             "votes_simple",
             (F.lit(len(models)) - F.col("votes_simple")).alias("votes_complex"),
             (F.col("votes_simple") < len(models) - 1).cast("int").alias("complex"),
@@ -213,27 +234,31 @@ def five_vote_ensemble(
     )
 
 
-def first_answers(singles: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def first_answers(singles: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per model and question, in the given order.
 
     Later rows are dropped before the shuffle (the planner limits each group to its first
     rank on both sides of it), so a question logged very often is no hot spot.
     """
-    rank = F.row_number().over(W.partitionBy("model", key).orderBy(*order))
+    rank = F.row_number().over(W.partitionBy("model", *key_list(key)).orderBy(*order))
     return singles.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def consensus_dataset(
-    singles: DataFrame, n_models: int, key: str = "QID", order: Sequence[str] = (), threshold: float = 0.8
+    singles: DataFrame, n_models: int, order: Sequence[str], key: str | Sequence[str] = "QID", threshold: float = 0.8
 ) -> DataFrame:
-    """Questions answered by all models, with the share that was right and the complex label."""
-    rows = first_answers(singles, key, order) if order else singles
-    facts = [c for c in ("question", "category", "correct_answer") if c in singles.columns]
+    """Questions answered by all models, with the share that was right and the complex label.
+
+    Of several rows of a model for a question the first in the given order counts.
+    """
+    keys = key_list(key)
+    rows = first_answers(singles, keys, order)
+    facts = [c for c in ("question", "category", "correct_answer") if c in singles.columns and c not in keys]
     return (
-        rows.groupBy(key)
+        rows.groupBy(*keys)
         .agg(
             *[F.min(c).alias(c) for c in facts],
-            F.countDistinct("model").alias("_models"),
+            F.count("model").alias("_models"),
             F.avg(answers_match("lower")).alias("accuracy_fraction"),
         )
         .where(F.col("_models") == n_models)

@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from answerflow.session import durable
 
 SLICE = "_slice"
-ROWS_PER_SLICE = 4_000_000
-# Up to this many rows one task may hold a whole order; beyond, it is cut into slices.
-ROWS_IN_ONE_TASK = 200_000
 # Relative rank error of a percentile sketch is at most one over this.
 SKETCH_ACCURACY = 10_000
+# Hex digits of a row hash by which rows are counted before any are ranked.
+PREFIX = 4
 
 
 def same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -35,11 +34,10 @@ def slice_by_order(df: DataFrame, order: Sequence[Column], slices: int | None =
 
     The order must be total (end with a unique column), so that a value held by many rows is
     still cut into several slices. The tagged rows are written out once: all later passes
-    see the same slices. Their number grows with the counted rows, so a slice stays small.
+    see the same slices. Unless given, there are as many as shuffle partitions.
     """
     if slices is None:
-        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices = max(usual, -(-df.count() // ROWS_PER_SLICE))
+        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return durable(df.repartitionByRange(slices, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -72,135 +70,116 @@ def running_totals(
 def ordered_totals(
     df: DataFrame, order: Sequence[Column], totals: dict[str, Column], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Inclusive running totals along a total order: one window if the counted rows fit into
-    one task, slices otherwise. `df` is read more than once."""
-    rows = df.count()
-    if rows <= ROWS_IN_ONE_TASK:
-        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full_order = [*[F.col(k).asc() for k in by], *order]
-    sliced = slice_by_order(df, full_order, max(usual, -(-rows // ROWS_PER_SLICE)))
+    """Inclusive running totals along a total order, slice by slice. `df` is read once."""
+    sliced = slice_by_order(df, [*[F.col(k).asc() for k in by], *order])
     return running_totals(sliced, order, totals, by).drop(SLICE)
 
 
 def exact_percentiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), name: str = "q"
 ) -> DataFrame:
-    """Linear-interpolated percentiles as columns `q0, q1, ...` plus the row count `n`.
-
-    A first pass sketches each percentile; its error bound gives a narrow bracket. A second
-    pass counts the distinct values inside the brackets and only totals what lies between
-    them, so neither a group nor its set of values has to be sorted or fit into one task (the
-    built-in `percentile` keeps all distinct values in one buffer). If a bracket should miss
-    its percentile, all distinct values are counted instead.
+    """Linear-interpolated percentiles as columns `q0, q1, ...` plus the row count `n`. NaN is
+    missing.
+
+    The values are written once. A sketch whose rank error is bounded gives a narrow bracket
+    for each percentile; the distinct values inside a bracket are counted, and only the number
+    of rows between brackets. So no group is sorted: a task holds one bracket of one group, a
+    few of ten thousand of its rows, counted by value (the built-in `percentile` keeps all
+    distinct values in one buffer). Should a bracket miss its percentile, the job fails.
     """
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    found = _pick_percentiles(durable(_count_near(rows, probs, by)), probs, by)
-    # Looked at twice: without groups it is one row, which can simply be kept.
-    found = durable(found) if by else df.sparkSession.createDataFrame(found.collect(), found.schema)
-    holes = [F.col(f"_{side}{i}").isNull() for i in range(len(probs)) for side in ("lo", "hi")]
-    if found.where(reduce(lambda a, b: a | b, holes) & (F.col("n") > 0)).limit(1).count():
-        every = rows.groupBy(*by, F.lit(0).alias("_slot"), F.lit(0).alias("_gap"), F.col("_v")).agg(
-            F.count(F.lit(1)).alias("_n")
-        )
-        found = _pick_percentiles(durable(every), probs, by)
-    out = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        gap = F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        out.append((F.col(f"_lo{i}") + gap * (at - F.floor(at))).alias(f"{name}{i}"))
-    return found.select(*by, "n", *out)
-
-
-def _count_near(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """Row counts per distinct value near a percentile, and per stretch between them.
-
-    `_slot` is the number of brackets begun at or before the value; within a slot, the values
-    inside a bracket come before the stretch that follows (`_gap` = 1, no value).
-    """
+    marks = sorted(set(probs))
+    good = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = durable(df.where(good).select(*by, F.col(value).alias("_v")))
     slack = 2.0 / SKETCH_ACCURACY
-    ends = [(i, side, p + move) for i, p in enumerate(sorted(set(probs))) for side, move in (("from", -slack), ("to", slack))]
-    within = [min(max(q, 0.0), 1.0) for _, _, q in ends]
+    ends = [min(max(p + move, 0.0), 1.0) for p in marks for move in (-slack, slack)]
     sketch = rows.groupBy(*by).agg(
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", within, SKETCH_ACCURACY).alias("_sketch"),
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_sketch"),
     )
-    brackets = sketch.select(
-        *by,
-        *[
-            (F.col("_min") if q <= 0 else F.col("_max") if q >= 1 else F.col("_sketch")[j]).alias(f"_{side}{i}")
-            for j, (i, side, q) in enumerate(ends)
-        ],
+
+    # The slack is twice the sketch's error. What is left of it must be a few rows, or the bracket
+    # is the whole (small) group.
+    fine = F.col("n") >= 4 * SKETCH_ACCURACY
+
+    def end(j: int) -> Column:
+        whole = F.col("_max") if j % 2 else F.col("_min")
+        return whole if ends[j] in (0.0, 1.0) else F.when(fine, F.col("_sketch")[j]).otherwise(whole)
+
+    sketch = sketch.select(
+        *by, "n", *[end(2 * i).alias(f"_from{i}") for i in range(len(marks))], *[end(2 * i + 1).alias(f"_to{i}") for i in range(len(marks))]
     )
-    if by:
-        placed = rows.alias("l").join(brackets.alias("r"), same("l", "r", by)).select(
-            "l.*", *[F.col(f"r.{c}") for c in brackets.columns if c not in by]
-        )
-    else:
-        # One row of bounds becomes literals.
-        bounds = brackets.first()
-        placed = rows.withColumns({c: F.lit(bounds[c]) for c in brackets.columns})
-    n = len(set(probs))
-    begun = [F.col("_v") >= F.col(f"_from{i}") for i in range(n)]
-    inside = reduce(lambda a, b: a | b, [begun[i] & (F.col("_v") <= F.col(f"_to{i}")) for i in range(n)])
-    return placed.groupBy(
-        *by,
-        sum((c.cast("int") for c in begun), F.lit(0)).alias("_slot"),
-        (~inside).cast("int").alias("_gap"),
+    # Without groups it is one row.
+    brackets = sketch if by else F.broadcast(sketch)
+    on = same("l", "r", by) if by else F.lit(True)
+    placed = rows.alias("l").join(brackets.alias("r"), on).select("l.*", *[f"r.{c}" for c in sketch.columns if c not in by])
+    # Brackets begun at or before the value; within one, its values come before what lies between
+    # it and the next (`_gap` = 1, no value).
+    begun = [F.col("_v") >= F.col(f"_from{i}") for i in range(len(marks))]
+    inside = reduce(lambda a, b: a | b, [c & (F.col("_v") <= F.col(f"_to{i}")) for i, c in enumerate(begun)])
+    counts = placed.groupBy(
+        *by, sum((c.cast("int") for c in begun), F.lit(0)).alias("_slot"), (~inside).cast("int").alias("_gap"),
         F.when(inside, F.col("_v")).alias("_v"),
     ).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _pick_percentiles(counts: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
-    """The two values around each percentile position, found by running counts."""
-    order = [F.col("_slot").asc(), F.col("_gap").asc(), F.col("_v").asc()]
-    upto = ordered_totals(counts, order, {"_upto": F.col("_n")}, by)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
-    if by:
-        placed = upto.alias("l").join(sizes.alias("r"), same("l", "r", by)).select("l.*", "r.n")
-    else:
-        placed = upto.withColumn("n", sizes.scalar())
+    within = W.partitionBy(*by, "_slot").orderBy("_gap", "_v").rowsBetween(W.unboundedPreceding, 0)
+    slots = range(1, len(marks) + 1)
+    earlier = counts.groupBy(*by).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_slot") < k, F.col("_n"))), F.lit(0)).alias(f"_before{k}") for k in slots]
+    )
+    upto = counts.withColumn("_in_slot", F.sum("_n").over(within))
+    sizes = sketch.select(*by, "n").alias("s")
+    full = earlier.alias("e").join(sizes, same("e", "s", by) if by else F.lit(True)).select("e.*", "s.n")
+    full = full if by else F.broadcast(full)
+    placed = upto.alias("l").join(full.alias("r"), on).select("l.*", *[f"r.{c}" for c in full.columns if c not in by])
+    before = reduce(lambda a, k: F.when(F.col("_slot") == k, F.col(f"_before{k}")).otherwise(a), slots, F.lit(0))
+    last = before + F.col("_in_slot")
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(float(p))
         for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            covers = (F.col("_upto") - F.col("_n") <= pos) & (pos < F.col("_upto"))
+            covers = (last - F.col("_n") <= pos) & (pos < last)
             picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"_{side}{i}"))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
-
-
-def row_hash(key: str | Column, seed: int) -> Column:
-    """A uniform, engine-independent 32-digit hex hash of a row key."""
+    found = placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    out = []
+    for i, p in enumerate(probs):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        low, high = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        number = low + (high - low) * (at - F.floor(at))
+        out.append(F.when(F.col("n") > 0, F.coalesce(number, missed)).alias(f"{name}{i}"))
+    if by:
+        return found.select(*by, "n", *out)
+    # An empty set has one row, too.
+    return found.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *out)
+
+
+def row_hash(key: str | Column | Sequence[str], seed: int) -> Column:
+    """A uniform, engine-independent 32-digit hex hash of a row key: a column, or several, whose
+    texts are joined with their lengths."""
+    if isinstance(key, (list, tuple)) and len(key) == 1:
+        key = key[0]
+    if isinstance(key, (list, tuple)):
+        texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+        key = F.concat_ws("|", *[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts])
     key = F.col(key) if isinstance(key, str) else key
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")).cast("binary"))
 
 
-def hash_fraction(key: str | Column, seed: int) -> Column:
+def hash_fraction(key: str | Column | Sequence[str], seed: int) -> Column:
     """The row hash as a number in [0, 1)."""
     return F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def hash_cuts(
-    df: DataFrame, by: Sequence[str], key: str, seed: int, take: Column, digits: int | None = None
-) -> DataFrame:
+def hash_cuts(df: DataFrame, by: Sequence[str], key: str | Sequence[str], seed: int, take: Column) -> DataFrame:
     """Per group, the hash below or at which exactly `take` rows fall (`take` may use `_size`).
 
-    Rows are first counted per hash prefix, which finds the prefix holding the cut; only the
-    rows of that prefix (1 in 16^digits) are then ranked. The full rows are never shuffled.
-    The prefix grows with the counted rows, so that not even a group of all rows leaves many
-    to rank. `key` must be unique. Groups that take nothing have no row.
+    Groups and hashes are written once. Rows are counted per hash prefix, which finds the prefix
+    holding the cut; only the rows of that prefix (1 in 16^PREFIX) are then ranked. The full
+    rows are never shuffled. `key`, a column or several, must be unique. Groups that take
+    nothing have no row.
     """
     by = list(by)
-    if digits is None:
-        digits = 1
-        rows = df.count()
-        while rows > ROWS_IN_ONE_TASK * 16**digits:
-            digits += 1
-    hashed = df.select(*by, row_hash(key, seed).alias("_h")).withColumn(
-        "_p", F.substring("_h", 1, digits)
-    )
+    hashed = durable(df.select(*by, row_hash(key, seed).alias("_h"))).withColumn("_p", F.substring("_h", 1, PREFIX))
     per_prefix = hashed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
@@ -215,21 +194,22 @@ def hash_cuts(
     near = hashed.alias("l").join(edge.alias("r"), same("l", "r", [*by, "_p"])).select(
         *[f"l.{k}" for k in by], "l._h", "r._need"
     )
-    rank = F.row_number().over(W.partitionBy(*by, F.substring("_h", 1, digits)).orderBy("_h"))
+    rank = F.row_number().over(W.partitionBy(*by, F.substring("_h", 1, PREFIX)).orderBy("_h"))
     return near.withColumn("_rank", rank).where("_rank = _need").select(*by, F.col("_h").alias("_cut"))
 
 
-def below_cut(df: DataFrame, cuts: DataFrame, by: Sequence[str], key: str, seed: int, flag: str) -> DataFrame:
+def below_cut(
+    df: DataFrame, cuts: DataFrame, by: Sequence[str], key: str | Sequence[str], seed: int, flag: str
+) -> DataFrame:
     """Add boolean `flag`: does the row's hash fall at or below its group's cut?
 
     `cuts` has one row per group; adaptive execution broadcasts it if it measures small and
     splits skewed groups otherwise.
     """
-    picked = F.coalesce(row_hash(F.col(f"l.{key}"), seed) <= F.col("r._cut"), F.lit(False))
     if not by:
         return df.withColumn(
             flag, F.coalesce(row_hash(key, seed) <= cuts.select("_cut").scalar(), F.lit(False))
         )
-    return df.alias("l").join(cuts.alias("r"), same("l", "r", by), "left").select(
-        "l.*", picked.alias(flag)
-    )
+    hashed = df.withColumn("_own_hash", row_hash(key, seed)).alias("l").join(cuts.alias("r"), same("l", "r", by), "left")
+    picked = F.coalesce(F.col("_own_hash") <= F.col("r._cut"), F.lit(False))
+    return hashed.select("l.*", picked.alias(flag)).drop("_own_hash")

@@ -24,7 +24,7 @@ def filter_category(df: DataFrame, category: str | None) -> DataFrame:
     raise ValueError("neither a 'category' nor a 'dataset_name' column")
 
 
-def stratified_sample(df: DataFrame, by: Sequence[str], key: str, fraction: float, seed: int = 42) -> DataFrame:
+def stratified_sample(df: DataFrame, by: Sequence[str], key: str | Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """Exactly the rounded `fraction` of each group, the same rows for the same seed.
 
     Groups with a missing name are dropped.
@@ -36,7 +36,7 @@ def stratified_sample(df: DataFrame, by: Sequence[str], key: str, fraction: floa
 
 
 def stratified_split(
-    df: DataFrame, by: Sequence[str], key: str, test_fraction: float = 0.2, seed: int = 42
+    df: DataFrame, by: Sequence[str], key: str | Sequence[str], test_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add `split`: `test` for the rounded fraction of each group, else `train`."""
     take = F.bround(F.col("_size") * F.lit(float(test_fraction)), 0)
@@ -46,7 +46,7 @@ def stratified_split(
     ).drop("_test")
 
 
-def random_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+def random_split(df: DataFrame, key: str | Sequence[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Add `split` by hash alone: no shuffle, size within sampling error of the fraction."""
     return df.withColumn(
         "split",
@@ -54,7 +54,7 @@ def random_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int
     )
 
 
-def downsample_majority(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+def downsample_majority(df: DataFrame, label: str, key: str | Sequence[str], seed: int = 42) -> DataFrame:
     """Cut the rows of label 1 to the number of rows of label 0, if there are more of them."""
     simple = df.where(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
     labelled = df.where(F.col(label).isin(0, 1))

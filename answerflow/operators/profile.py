@@ -23,7 +23,7 @@ def pareto_curve(
     """Rows by output tokens, largest first, with running token share and share of complex rows.
 
     Rows without a token count or fraction, or with a negative count, are left out; equal
-    counts are ordered by key. Large sets are sorted in range slices, not in one task.
+    counts are ordered by key. Rows are sorted in range slices, not in one task.
     """
     clean = df.select(
         key, to_number(F.col(tokens)).alias("tokens"), to_number(F.col(fraction)).alias("_f")
@@ -132,7 +132,7 @@ def top_templates(questions: DataFrame, k: int = 10, fraction: str = "slm_accura
 def template_score_histogram(
     test: DataFrame, validation: DataFrame, top: DataFrame, bins: int = 20, score: str = "p"
 ) -> DataFrame:
-    """Score histogram per split and top template. `top` has at most a handful of rows (its k)."""
+    """Score histogram per split and top template."""
     clipped = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
 
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -141,5 +141,5 @@ def template_score_histogram(
         )
 
     both = side(test, "test").unionByName(side(validation, "validation"))
-    kept = both.join(F.broadcast(top.select("template")), "template", "left_semi")
+    kept = both.join(top.select("template"), "template", "left_semi")
     return score_histogram(kept, bins, ["template", "split"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from answerflow.operators.blocks import compare_blocks, matrix
 
-# Above this many prototypes they are compared block by block instead of held in every task.
-MAX_HELD = 4096
-
 # Signal thresholds and the blend of the best and the mean of the top prototypes.
 COMPLEX_THRESHOLD = 0.68
 SIMPLE_THRESHOLD = 0.74
@@ -31,33 +28,14 @@ def top_similarities(
 ) -> DataFrame:
     """`key` and `tops`: per signal, the m best cosines to its prototypes, best first.
 
-    `prototypes` has `signal` and the vector column. A short list is held by every task and
-    needs no shuffle; a longer one is met block by block and the block results are merged.
+    `prototypes` has `signal` and the vector column; rows and prototypes meet block by block and
+    the best of the blocks are merged. A row without a vector has no similarities; prototypes
+    without a vector or a signal are left out.
     """
     key_type = dict(df.dtypes)[key]
-    held = prototypes.select("signal", vector).limit(MAX_HELD + 1).collect()
-    if len(held) <= MAX_HELD:
-        names = sorted({r["signal"] for r in held})
-        groups = [_unit(matrix([r[vector] for r in held if r["signal"] == s])) for s in names]
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                unit = _unit(matrix(batch[vector]))
-                best = [-np.sort(-(unit @ g.T), axis=1)[:, :m] for g in groups]
-                tops = [
-                    [(s, list(b[i])) for s, b in zip(names, best)] for i in range(len(batch))
-                ]
-                yield pd.DataFrame({"id": batch[key].to_numpy(), "entries": tops})
-
-        entries = df.select(key, vector).mapInPandas(
-            score, f"id {key_type}, entries array<struct<signal string, tops array<double>>>"
-        )
-        return entries.select(F.col("id").alias(key), F.map_from_entries("entries").alias("tops"))
-
-    protos = prototypes.select(
-        F.monotonically_increasing_id().alias("_pid"), "signal", F.col(vector).alias("proto")
+    there = F.col(vector).isNotNull()
+    protos = prototypes.where(there & F.col("signal").isNotNull()).select(
+        F.xxhash64("signal", vector).alias("_pid"), "signal", F.col(vector).alias("proto")
     )
 
     def work(a: dict, b: dict) -> pd.DataFrame:
@@ -70,13 +48,15 @@ def top_similarities(
         return pd.concat(parts)
 
     partial = compare_blocks(
-        df.select(key, vector), protos, key, [key, vector], ["_pid", "signal", "proto"], "proto", work,
+        df.where(there).select(key, vector), protos, key, [key, vector], ["_pid", "signal", "proto"], work,
         f"id {key_type}, signal string, tops array<double>", right_key="_pid",
     )
     merged = partial.groupBy("id", "signal").agg(F.flatten(F.collect_list("tops")).alias("t"))
     best = merged.select("id", "signal", F.slice(F.sort_array("t", asc=False), 1, m).alias("tops"))
-    return best.groupBy(F.col("id").alias(key)).agg(
-        F.map_from_entries(F.collect_list(F.struct("signal", "tops"))).alias("tops")
+    entries = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "tops"))).alias("tops"))
+    none = F.create_map().cast("map<string,array<double>>")
+    return df.select(key).join(entries.withColumnRenamed("id", "_of"), F.col(key) == F.col("_of"), "left").select(
+        key, F.coalesce("tops", none).alias("tops")
     )
 
 

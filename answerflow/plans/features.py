@@ -65,8 +65,10 @@ def pca(components: int = 300, features: str = "features", output: str = "pca_fe
 
 
 def fit_pca(df: DataFrame, components: int = 300, features: str = "features") -> PipelineModel:
-    """A fitted projection; asks for no more components than there are dimensions."""
+    """A fitted projection."""
     first = df.select(features).first()
     if first is None:
         raise ValueError("no rows to fit on")
-    return pca(min(components, first[0].size), features).fit(df)
+    if components > first[0].size:
+        raise ValueError(f"{components} components of {first[0].size} dimensions")
+    return pca(components, features).fit(df)

@@ -17,9 +17,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
+from answerflow.operators.neighbours import knn_classify, knn_regress
 from answerflow.operators.metrics import classification_metrics, regression_metrics
 from answerflow.operators.ordering import row_hash
 from answerflow.operators.prep import with_class_weights
@@ -191,7 +193,7 @@ def sweep(
 ) -> DataFrame:
     """One metrics row per encoder and model over (train, test) frames with `features`.
 
-    Regressors need `slm_correct` in the test frame for the best routing threshold.
+    `knn` stands for the five nearest neighbours besides the catalogue. Regressors need `slm_correct` in the test frame for the best routing threshold.
     """
     lines = []
     models = list(models)
@@ -199,8 +201,11 @@ def sweep(
         train = durable(train)
         for name in models:
             keep = ("id",) if kind == "classifier" else ("id", "slm_correct")
-            known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
-            _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written=True, **known)
+            if name == "knn":
+                scored = neighbours_score(train, test, kind, label, keep)
+            else:
+                known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
+                _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written=True, **known)
             if kind == "classifier":
                 line = classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
             else:
@@ -214,6 +219,13 @@ def sweep(
     return reduce(DataFrame.unionByName, lines)
 
 
+def neighbours_score(train: DataFrame, test: DataFrame, kind: str, label: str, keep: Sequence[str]) -> DataFrame:
+    """The test rows scored by their nearest training rows."""
+    arrays = [df.withColumn("embedding", vector_to_array("features")) for df in (test, train)]
+    found = (knn_classify if kind == "classifier" else knn_regress)(*arrays, label)
+    return test.select(*keep, label).join(found, "id")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from answerflow.session import scratch_path
 
@@ -18,17 +20,20 @@ def read_stream(spark: SparkSession, folder: str, glob: str, schema: str, files_
     return reader.parquet(folder)
 
 
-def append_available(stream: DataFrame, label: str) -> DataFrame:
-    """Append everything available to a parquet table in the shared folder and read it back.
+def append_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Append everything available to a parquet table and read it back.
 
-    The file sink commits each batch once, so a restarted query neither loses nor repeats rows.
+    With a `path` the table is there and its progress is kept beside it, so the next call with
+    the same path goes on where this one ended, and one that broke off neither loses nor
+    repeats rows: the file sink commits each batch once. Without, the table is a new one in the
+    shared folder.
     """
     spark = stream.sparkSession
-    table = scratch_path(spark, label)
+    table = path or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .option("path", table)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
+        .option("checkpointLocation", f"{table}-progress")
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
@@ -37,27 +42,35 @@ def append_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(table)
 
 
-def replace_available(stream: DataFrame, label: str) -> DataFrame:
-    """Keep the complete result of an aggregation in a parquet table, replaced per batch."""
+def latest_available(stream: DataFrame, keys: Sequence[str], label: str, path: str | None = None) -> DataFrame:
+    """Keep the newest row per key of an aggregation with a watermark, in a parquet table.
+
+    Each batch writes the groups that it changed, under its number, so a batch that is repeated
+    after a failure replaces its own rows; the state behind the watermark is dropped. Reading
+    takes the row of the latest batch per key. `path` as in `append_available`.
+    """
     spark = stream.sparkSession
-    table = scratch_path(spark, label)
+    table = path or scratch_path(spark, label)
 
-    def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={epoch % 2}")
-        done.append(epoch % 2)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{table}/{epoch:010d}")
 
-    done: list[int] = []
     query = (
-        stream.writeStream.foreachBatch(replace)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-progress"))
-        .outputMode("complete")
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{table}-progress")
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    if not done:
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    try:
+        rows = spark.read.schema(schema).parquet(f"{table}/[0-9]*")
+    except AnalysisException:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{table}/batch={done[-1]}")
+    values = [c for c in stream.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_newest"))
+    return newest.select(*keys, "_newest.*").select(*stream.columns)
 
 
 @contextmanager

@@ -14,7 +14,7 @@ from answerflow.functions.costs import (
     settings_with_overrides,
     token_cost,
 )
-from answerflow.functions.text import joined_lines
+from answerflow.functions.text import joined_lines, strip_space
 
 
 def route_prompts(
@@ -52,14 +52,14 @@ def _size(model: Column) -> Column:
 def feedback_rows(events: DataFrame) -> DataFrame:
     """Feedback events to log rows; only `up` is good."""
     return events.select(
-        F.trim(F.col("response_id").cast("string")).alias("response_id"),
-        joined_lines(F.trim("question")).alias("question"),
-        joined_lines(F.trim("answer")).alias("answer"),
+        strip_space(F.col("response_id").cast("string")).alias("response_id"),
+        joined_lines(strip_space(F.col("question"))).alias("question"),
+        joined_lines(strip_space(F.col("answer"))).alias("answer"),
         "latency",
         "input_tokens",
         "output_tokens",
-        _size(F.trim("model")).alias("model"),
-        F.coalesce(F.trim("kind") == "up", F.lit(False)).alias("is_good"),
+        _size(strip_space(F.col("model"))).alias("model"),
+        F.coalesce(strip_space(F.col("kind")) == "up", F.lit(False)).alias("is_good"),
     )
 
 
@@ -72,11 +72,11 @@ def cascade_rows(events: DataFrame) -> DataFrame:
     """
 
     def row(side: str, good: bool) -> Column:
-        given = F.nullif(F.trim(F.col(f"{side}_response_id").cast("string")), F.lit(""))
+        given = F.nullif(strip_space(F.col(f"{side}_response_id").cast("string")), F.lit(""))
         return F.struct(
             F.coalesce(given, F.uuid()).alias("response_id"),
-            joined_lines(F.trim("question")).alias("question"),
-            joined_lines(F.trim(f"{side}_answer")).alias("answer"),
+            joined_lines(strip_space(F.col("question"))).alias("question"),
+            joined_lines(strip_space(F.col(f"{side}_answer"))).alias("answer"),
             F.col(f"{side}_latency").alias("latency"),
             F.col(f"{side}_input_tokens").alias("input_tokens"),
             F.col(f"{side}_output_tokens").alias("output_tokens"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from answerflow.functions.vectors import l2_normalize
@@ -9,6 +10,7 @@ from answerflow.operators.geometry import (
     distance_label_spearman,
     embedding_report,
     mean_cosine_spread,
+    sampled_silhouette,
     silhouette,
 )
 from answerflow.plans.features import encode, fit_pca, text_features, vector_column
@@ -53,35 +55,51 @@ def davies_bouldin_index(spark, sf_dir):
     return davies_bouldin(view(spark, sf_dir, "fx_vectors"), "cluster")
 
 
+# `pow` 2 for the squared distances of the silhouette over all rows, 1 for the sampled one.
 SILHOUETTE = """
-d_{l} AS (SELECT a.id, a.{l} AS own, b.{l} AS other, sum(list_distance(a.e, b.e)) AS t, count(*) AS n
+d_{l} AS (SELECT a.id, a.{l} AS own, b.{l} AS other, sum(power(list_distance(a.e, b.e), {pow})) AS t, count(*) AS n
       FROM {src} a, {src} b GROUP BY a.id, a.{l}, b.{l}),
 r_{l} AS (SELECT id, max(CASE WHEN own = other THEN n END) AS size,
              max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b
       FROM d_{l} GROUP BY id)
 """
 SIL_VALUE = "avg(CASE WHEN size = 1 THEN 0e0 ELSE (b - a) / greatest(a, b) END)"
+SAMPLE = 300
 
 
-@query(f"WITH {V}, {SILHOUETTE.format(l='complex', src='v')} SELECT count(*) AS n, {SIL_VALUE} AS silhouette FROM r_complex",
+def sampled(source: str, name: str = "s") -> str:
+    """The rows with the smallest seeded hashes."""
+    return f"{name} AS (SELECT * FROM {source} ORDER BY md5('42|' || CAST(id AS STRING)) LIMIT {SAMPLE})"
+
+
+@query(f"WITH {V}, {SILHOUETTE.format(l='complex', src='v', pow=2)} SELECT count(*) AS n, {SIL_VALUE} AS silhouette FROM r_complex",
        rounded=["silhouette"])
 def silhouette_index(spark, sf_dir):
     return silhouette(view(spark, sf_dir, "fx_vectors"), "complex")
 
 
+@query(f"""
+WITH {V}, {sampled('v')}, {SILHOUETTE.format(l='complex', src='s', pow=1)}
+SELECT count(*) AS rows_used, (SELECT count(*) FROM v) AS rows_total, {SIL_VALUE} AS silhouette FROM r_complex
+""", rounded=["silhouette"])
+def sampled_silhouette_index(spark, sf_dir):
+    return sampled_silhouette(view(spark, sf_dir, "fx_vectors"), "complex", SAMPLE)
+
+
 SPEARMAN = """
 pairs_{t} AS (SELECT round(1e0 - list_inner_product(a.e, b.e), 6) AS d, round(abs(a.difficulty - b.difficulty), 12) AS g
-          FROM {src} a, {src} b WHERE a.id < b.id),
-kept_{t} AS (SELECT d, g FROM pairs_{t} WHERE d > 0),
+          FROM {src} a, {src} b WHERE a.id < b.id AND a.e <> b.e),
 rk_{t} AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2e0 AS rd,
-              rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2e0 AS rg FROM kept_{t})
+              rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2e0 AS rg FROM pairs_{t})
 """
 
 
-@query(f"WITH {V}, {UNIT}, {SPEARMAN.format(t='all', src='u')} SELECT count(*) AS n_pairs, corr(rd, rg) AS spearman FROM rk_all",
-       rounded=["spearman"], digits=5)
+@query(f"""
+WITH {V}, {UNIT}, {sampled('u')}, {SPEARMAN.format(t='all', src='s')}
+SELECT count(*) AS n_pairs, (SELECT count(*) FROM s) AS rows_used, (SELECT count(*) FROM u) AS rows_total, corr(rd, rg) AS spearman FROM rk_all
+""", rounded=["spearman"], digits=5)
 def distance_label_correlation(spark, sf_dir):
-    return distance_label_spearman(view(spark, sf_dir, "fx_vectors"), "difficulty")
+    return distance_label_spearman(view(spark, sf_dir, "fx_vectors"), "difficulty", SAMPLE)
 
 
 # Rows of the first cluster play the simple questions (fraction 1).
@@ -103,10 +121,10 @@ bmu AS (SELECT * REPLACE (list_transform(e, lambda x: x / sqrt(list_inner_produc
 
 
 @query(f"""
-WITH {V}, {REPORT}, {DAVIES.format(l='label', src='b')}, {SILHOUETTE.format(l='label', src='b')},
-{SILHOUETTE.format(l='bin', src='b')}, {SPEARMAN.format(t='all', src='bu')},
-{DAVIES.format(l='label_m', src='bm')}, {SILHOUETTE.format(l='label_m', src='bm')},
-{SILHOUETTE.format(l='bin_m', src='bm')}, {SPEARMAN.format(t='main', src='bmu')},
+WITH {V}, {REPORT}, {DAVIES.format(l='label', src='b')}, {SILHOUETTE.format(l='label', src='b', pow=2)},
+{SILHOUETTE.format(l='bin', src='b', pow=2)}, {sampled('bu', 'bus')}, {SPEARMAN.format(t='all', src='bus')},
+{DAVIES.format(l='label_m', src='bm')}, {SILHOUETTE.format(l='label_m', src='bm', pow=2)},
+{SILHOUETTE.format(l='bin_m', src='bm', pow=2)}, {sampled('bmu', 'bmus')}, {SPEARMAN.format(t='main', src='bmus')},
 sp AS (SELECT unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM bu WHERE simple),
 ss AS (SELECT i, sum(x) AS t FROM sp GROUP BY i)
 SELECT 'given' AS encoder, 'combined' AS subset, 'classification' AS task, (SELECT {SIL_VALUE} FROM r_label) AS silhouette,
@@ -124,7 +142,7 @@ def embedding_quality_report(spark, sf_dir):
         F.when(simple, F.lit(0)).otherwise(F.col("complex")).alias("label"),
         F.when(simple, F.lit(1.0)).otherwise(1.0 - F.col("difficulty")).alias("slm_accuracy_fraction"),
     )
-    return embedding_report({"given": rows})
+    return embedding_report({"given": rows}, SAMPLE)
 
 
 @query("""
@@ -147,13 +165,33 @@ def encoded_questions(spark, sf_dir):
     )
 
 
-@query()
+# A hashed text has at most as many non-zeros as words, and unit length unless it has no words.
+@query("""
+SELECT id, true AS sparse, CASE WHEN question = '' THEN 0e0 ELSE 1e0 END AS length FROM fx_questions
+""", rounded=["length"])
 def hashed_text_features(spark, sf_dir):
     questions = view(spark, sf_dir, "fx_questions").select("id", "question")
-    return text_features(dims=512).fit(questions).transform(questions).select("id", F.col("features").cast("string").alias("features"))
+    features = text_features().fit(questions).transform(questions)
+    values = F.filter(vector_to_array("features"), lambda x: x != 0)
+    words = F.size(F.split("question", r"[\s\p{Punct}]+"))
+    return features.select(
+        "id", (F.size(values) <= words * 2).alias("sparse"),
+        F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)).alias("length"),
+    )
 
 
-@query()
+@query("SELECT count(*) AS n, 64 AS dims, true AS falling, sum(v) AS variance FROM (" + """
+SELECT var_samp(x) AS v FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM fx_vectors) GROUP BY i)
+""".replace("SELECT var_samp", "SELECT var_samp"), rounded=["variance"], ints=["dims"])
 def projected_vectors(spark, sf_dir):
+    """A projection onto as many components as there are dimensions keeps the variance, and the
+    components' variances fall."""
     vectors = vector_column(view(spark, sf_dir, "fx_vectors"))
-    return fit_pca(vectors, 10).transform(vectors).select("id", F.col("pca_features").cast("string").alias("features"))
+    projected = fit_pca(vectors, 64).transform(vectors).select(vector_to_array("pca_features").alias("v"))
+    spread = projected.agg(*[F.var_samp(F.col("v")[i]).alias(f"c{i}") for i in range(64)])
+    every = F.array(*[f"c{i}" for i in range(64)])
+    falling = F.forall(F.zip_with(every, F.slice(every, 2, 63), lambda a, b: F.coalesce(a >= b - 1e-9, F.lit(True))), lambda x: x)
+    return spread.select(
+        F.lit(64).cast("bigint").alias("n"), F.lit(64).alias("dims"), falling.alias("falling"),
+        F.aggregate(every, F.lit(0.0), lambda a, x: a + x).alias("variance"),
+    )

@@ -150,4 +150,60 @@ def consensus(spark, sf_dir):
                'N' AS correct_answer, 'q' AS category, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_returnflag
         FROM lineitem""")
     order = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag"]
-    return consensus_dataset(singles, 7, "QID", order)
+    return consensus_dataset(singles, 7, order, "QID")
+
+
+# Two data sets that share ids; the first model of the first set was run twice.
+TWO_SETS = """
+SELECT id, 'one' AS set_name, model, correct, category, output_tokens FROM fx_outcomes
+UNION ALL SELECT id, 'two', model, 1 - correct, category, output_tokens FROM fx_outcomes
+UNION ALL SELECT id, 'one', model, 0, category, output_tokens FROM fx_outcomes WHERE model = 'm1'
+"""
+
+
+@query(f"""
+WITH runs AS ({TWO_SETS}), best AS (SELECT id, set_name, model, max(correct) AS correct FROM runs WHERE model IN ('m1', 'm2', 'm3', 'm4') GROUP BY ALL)
+SELECT id, set_name, CAST(sum(correct) AS BIGINT) AS n_correct, sum(correct) / 4e0 AS slm_accuracy_fraction
+FROM best GROUP BY id, set_name HAVING count(*) = 4
+""", rounded=["slm_accuracy_fraction"])
+def solve_fraction_of_two_sets(spark, sf_dir):
+    runs = run_sql(spark, sf_dir, TWO_SETS).where(F.col("model").isin("m1", "m2", "m3", "m4"))
+    return ensemble_accuracy(runs, 4, ["id", "set_name"])
+
+
+@query(f"""
+WITH runs AS ({TWO_SETS}),
+v AS (SELECT id, set_name, model, max(correct) AS correct, min(category) AS category FROM runs WHERE model IN ('m1', 'm2', 'm3', 'm4', 'm5') GROUP BY ALL)
+SELECT id, set_name, min(category) AS category, CAST(sum(correct) AS BIGINT) AS correct_models,
+       CASE WHEN sum(correct) <= 3 THEN 1 ELSE 0 END AS complex
+FROM v GROUP BY id, set_name HAVING count(*) = 5
+""", ints=["complex"])
+def votes_of_two_sets(spark, sf_dir):
+    singles = run_sql(spark, sf_dir, f"""
+        SELECT id, set_name, model, category, 'A' AS correct_answer, CASE WHEN correct = 1 THEN ' a' || chr(10) ELSE 'B' END AS model_answer
+        FROM ({TWO_SETS})""")
+    return vote_table(singles, FIVE, "two sets", ["id", "set_name"]).select("id", "set_name", "category", "correct_models", "complex")
+
+
+@query(f"""
+WITH runs AS ({TWO_SETS}),
+own AS (SELECT id, set_name, model, min((output_tokens + correct) % 6) / 5e0 AS accuracy FROM runs WHERE model IN ('m1', 'm2', 'm3', 'm4', 'm5') GROUP BY ALL)
+SELECT id, set_name, count(*) FILTER (WHERE accuracy >= 8e-1) AS votes_simple
+FROM own GROUP BY id, set_name HAVING count(*) = 5
+""")
+def five_try_votes_of_two_sets(spark, sf_dir):
+    fives = run_sql(spark, sf_dir, f"SELECT id, set_name, model, (output_tokens + correct) % 6 / 5e0 AS accuracy FROM ({TWO_SETS})")
+    return five_vote_ensemble(fives, FIVE, "two sets", ["id", "set_name"]).select("id", "set_name", "votes_simple")
+
+
+@query(f"""
+WITH runs AS ({TWO_SETS}), first AS (
+  SELECT *, row_number() OVER (PARTITION BY id, set_name, model ORDER BY correct DESC) AS rn FROM runs WHERE model IN ('m1', 'm2', 'm3'))
+SELECT id, set_name, avg(correct) AS accuracy_fraction, CASE WHEN avg(correct) < 8e-1 THEN 1 ELSE 0 END AS complex
+FROM first WHERE rn = 1 GROUP BY id, set_name HAVING count(*) = 3
+""", rounded=["accuracy_fraction"], ints=["complex"])
+def consensus_of_two_sets(spark, sf_dir):
+    singles = run_sql(spark, sf_dir, f"""
+        SELECT id, set_name, model, correct, 'X' AS correct_answer, CASE WHEN correct = 1 THEN 'x' ELSE 'y' END AS model_answer
+        FROM ({TWO_SETS}) WHERE model IN ('m1', 'm2', 'm3')""")
+    return consensus_dataset(singles, 3, [F.desc("correct")], ["id", "set_name"]).drop("correct_answer")

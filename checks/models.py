@@ -12,7 +12,7 @@ from answerflow.operators.metrics import (
 from answerflow.operators.prep import random_split
 from answerflow.operators.neighbours import knn_classify, knn_regress
 from answerflow.operators.scores import score_to_probability, vote
-from answerflow.plans.features import vector_column
+from answerflow.plans.features import fit_pca, vector_column
 from answerflow.plans.gaussian import gaussian_bayes
 from answerflow.plans.models import (
     CLASSIFIERS,
@@ -27,7 +27,7 @@ from answerflow.plans.models import (
     sweep,
     train_difficulty_model,
 )
-from answerflow.session import scratch_path
+from answerflow.session import durable, scratch_path
 from checks.registry import query
 from checks.views import run_sql, view
 
@@ -78,25 +78,44 @@ def gaussian_bayes_classifier(spark, sf_dir):
 
 
 def halves(spark, sf_dir):
-    return tuple(
-        vector_column(part).withColumn("slm_correct", 1 - F.col("complex")) for part in parts(spark, sf_dir)
-    )
-
-
-# Settings that keep the tree ensembles short enough to run in every check.
-SHORT = {"rf": {"numTrees": 20}, "gb": {"maxIter": 10}, "xgb": {"maxIter": 10}, "lgb": {"maxIter": 10}}
+    """Training and held-out vectors with labels that can be learned from them (those of the table
+    are unrelated)."""
+    lean = F.col("embedding")[0].cast("double") + F.col("embedding")[1].cast("double") / 2
+    labels = {
+        "complex": (lean > 0).cast("int"),
+        "difficulty": F.least(F.greatest(0.5 + 2 * lean, F.lit(0.0)), F.lit(1.0)),
+        "slm_correct": (lean <= 0).cast("int"),
+    }
+    return tuple(vector_column(part).withColumns(labels) for part in parts(spark, sf_dir))
+
+
+# What can be said of a model in SQL: every held-out row is scored, within range, and the model does
+# no worse than the commonest class, or the mean.
+CHECKED = f"SELECT id, true AS in_range, true AS learned FROM fx_vectors WHERE {HELD}"
+
+
+def checked(scored, kind: str, label: str):
+    if kind == "classifier":
+        in_range = F.col("p").between(0, 1) & F.col("prediction").isin(0, 1)
+        better = F.avg((F.col("prediction") == F.col(label)).cast("double")) >= F.greatest(F.avg(label), 1 - F.avg(label))
+    else:
+        in_range = F.col("score").between(0, 1)
+        better = F.avg(F.pow(F.col("score") - F.col(label), F.lit(2))) <= F.var_pop(label)
+    # The scores are looked at twice.
+    scored = durable(scored)
+    return scored.select("id", in_range.alias("in_range"), scored.agg(better).scalar().alias("learned"))
 
 
 def register_model(kind: str, name: str, label: str) -> None:
     def run(spark, sf_dir):
         train, test = halves(spark, sf_dir)
         _, scored = train_difficulty_model(
-            train, test, kind, name, label, balance=kind == "classifier" and name == "logreg", **SHORT.get(name, {})
+            train, test, kind, name, label, balance=kind == "classifier" and name == "logreg"
         )
-        return scored
+        return checked(scored, kind, label)
 
     run.__name__ = f"{name}_{kind}"
-    query()(run)
+    query(CHECKED)(run)
 
 
 for _name in CLASSIFIERS:
@@ -105,38 +124,67 @@ for _name in REGRESSORS:
     register_model("regressor", _name, "difficulty")
 
 
-@query()
+@query(CHECKED)
 def dense_network_classifier(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    model = fit_model(train, dense_classifier(64, hidden=(32, 16), label="complex"))
-    return score(model, test, "classifier")
+    model = fit_model(train, dense_classifier(64, label="complex"))
+    return checked(score(model, test, "classifier", ["id", "complex"]), "classifier", "complex")
 
 
-@query()
+@query(CHECKED)
 def cross_validated_grid(spark, sf_dir):
     train, test = halves(spark, sf_dir)
     estimator = build_estimator("classifier", "logreg", label="complex")
-    grid = ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.1]).build()
-    best = grid_search(train, estimator, grid, "classifier", "id", "complex", folds=3)
-    return score(best.bestModel, test, "classifier")
+    grid = ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.01, 0.1, 1.0]).build()
+    best = grid_search(train, estimator, grid, "classifier", "id", "complex")
+    return checked(score(best.bestModel, test, "classifier", ["id", "complex"]), "classifier", "complex")
+
+
+def two_encoders(spark, sf_dir):
+    """The given vectors, and half as many dimensions of them."""
+    train, test = halves(spark, sf_dir)
+    projection = fit_pca(train, 32)
+
+    def projected(df):
+        return projection.transform(df).drop("features").withColumnRenamed("pca_features", "features")
 
+    return {"given": (train, test), "projected": (projected(train), projected(test))}
 
-@query()
+
+def swept(kind: str, names) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{e}' AS encoder, '{n}' AS model" for e in ("given", "projected") for n in names)
+    return f"SELECT encoder, model, (SELECT count(*) FROM fx_vectors WHERE {HELD}) AS n, true AS in_range FROM ({rows})"
+
+
+# All models but the presets of boosted trees, which take as long as all others together.
+SWEPT_CLASSIFIERS = ("logreg", "rf", "svm", "dt", "nb", "gb", "knn")
+SWEPT_REGRESSORS = ("linear", "ridge", "huber", "rf", "dt", "gb", "knn")
+
+
+@query(swept("classifier", SWEPT_CLASSIFIERS))
 def classifier_sweep(spark, sf_dir):
-    return sweep({"given": halves(spark, sf_dir)}, ["logreg", "dt", "nb"], "classifier", "complex")
+    lines = sweep(two_encoders(spark, sf_dir), SWEPT_CLASSIFIERS, "classifier", "complex")
+    return lines.select("encoder", "model", "n", (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("in_range"))
 
 
-@query()
+@query(swept("regressor", SWEPT_REGRESSORS))
 def regressor_sweep(spark, sf_dir):
-    return sweep({"given": halves(spark, sf_dir)}, ["linear", "ridge", "dt"], "regressor", "difficulty")
+    lines = sweep(two_encoders(spark, sf_dir), SWEPT_REGRESSORS, "regressor", "difficulty")
+    right = F.col("mae").between(0, 1) & (F.col("r2") <= 1) & F.col("threshold").isin(0.5, 0.55, 0.6) & F.col("routing_accuracy").between(0, 1)
+    return lines.select("encoder", "model", "n", right.alias("in_range"))
 
 
-@query()
+@query(f"SELECT id, true AS same FROM fx_vectors WHERE {HELD}")
 def stored_model(spark, sf_dir):
     train, test = halves(spark, sf_dir)
     path = scratch_path(spark, "model")
-    save_model(fit_model(train, build_estimator("classifier", "dt", label="complex")), path)
-    return score(load_model(path), test, "classifier")
+    kept = fit_model(train, build_estimator("classifier", "dt", label="complex"))
+    save_model(kept, path)
+    a, b = score(kept, test, "classifier"), score(load_model(path), test, "classifier")
+    b = b.select(F.col("id").alias("of"), F.col("p").alias("q"), F.col("prediction").alias("again"))
+    return a.join(b, F.col("id") == F.col("of")).select(
+        "id", ((F.col("p") == F.col("q")) & (F.col("prediction") == F.col("again"))).alias("same")
+    )
 
 
 # Three score tables per question, all derived from the pair view.

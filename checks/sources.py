@@ -16,34 +16,70 @@ from checks.registry import query
 from checks.views import run_sql, table, view
 
 
-@query("""
-SELECT concat('m', CAST(doc_id % 3 AS STRING)) AS model, CAST(doc_id AS STRING) AS id, text AS question,
-       n_chars / 1e3 AS latency, lang AS category, n_chars AS input_tokens
-FROM documents
-""", rounded=["latency"])
-def run_logs_from_csv(spark, sf_dir):
+# The headers of the five formats.
+LOG_FORMATS = {
+    "choice": ["ID", "Problem", "Model Response", "Extracted Answer", "Ground Truth", "Correct", "Latency", "Category", "Input Tokens", "Output Tokens"],
+    "math": ["Unique ID", "Problem", "Model Response", "Extracted Answer", "Ground Truth", "Correct", "Latency", "Subject", "Level", "Input Tokens", "Output Tokens"],
+    "medicine": ["ID", "Problem", "Model Response", "Extracted Answer", "Ground Truth", "Correct", "Latency", "Subject", "Input Tokens", "Output Tokens"],
+    "molecules": ["ID", "SMILES", "Problem", "Model Response", "Extracted Answer", "Ground Truth", "Correct", "Latency", "Input Tokens", "Output Tokens"],
+    "simple": ["ID", "Problem", "Model Response", "Extracted Answer", "Ground Truth", "Correct", "Latency", "Input Tokens", "Output Tokens"],
+}
+
+
+def log_columns(text: str) -> dict:
+    return {
+        "ID": F.col("doc_id").cast("string"), "Unique ID": F.concat(F.lit("test/"), F.col("doc_id"), F.lit(".json")),
+        "SMILES": F.concat(F.lit("C="), F.col("doc_id")), "Problem": F.col(text), "Model Response": F.concat(F.lit("so\n"), F.col(text)),
+        "Extracted Answer": F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1)),
+        "Ground Truth": F.substring(F.lit("ABCD"), (F.col("doc_id") % 3 + 1).cast("int"), F.lit(1)),
+        "Correct": F.when(F.col("doc_id") % 12 < 3, "True").otherwise("False"), "Latency": F.col("n_chars") / 1e3,
+        "Category": F.col("lang"), "Subject": F.col("lang"), "Level": F.concat(F.lit("Level "), F.col("doc_id") % 5),
+        "Input Tokens": F.col("n_chars"), "Output Tokens": F.col("n_chars") * 2,
+    }
+
+
+def written_logs(spark, sf_dir, formats) -> str:
+    """Logs of some formats, each in the order of its header, below one folder."""
     path = scratch_path(spark, "run-logs")
     docs = table(spark, sf_dir, "documents")
-    log = docs.select(
-        F.concat(F.lit("m"), F.col("doc_id") % 3).alias("model"),
-        F.col("doc_id").cast("string").alias("ID"),
-        F.col("text").alias("Problem"),
-        F.col("text").alias("Model Response"),
-        F.lit("A").alias("Extracted Answer"),
-        F.lit("B").alias("Ground Truth"),
-        F.lit("False").alias("Correct"),
-        (F.col("n_chars") / 1e3).alias("Latency"),
-        F.col("lang").alias("Category"),
-        F.col("n_chars").alias("Input Tokens"),
-        F.col("n_chars").alias("Output Tokens"),
-    )
-    write_run_logs(log, path)
-    back = read_run_logs(spark, path + "/*", model_pattern=r"model=([^/]+)/[^/]*$", required=["ID", "Correct"])
-    return back.where(F.col("question") == F.col("response")).select(
-        "model", "id", "question", "latency", "category", "input_tokens"
+    for name in formats:
+        values = log_columns("text")
+        log = docs.select(F.concat(F.lit(f"{name}-"), F.col("doc_id") % 3).alias("model"), *[values[c].alias(c) for c in LOG_FORMATS[name]])
+        write_run_logs(log, f"{path}/{name}")
+    return path
+
+
+LOG_SQL = """
+SELECT concat('{name}-', CAST(doc_id % 3 AS STRING)) AS model,
+       {id} AS id, {smiles} AS smiles, text AS question, concat('so', chr(10), text) AS response,
+       substr('ABCD', CAST(doc_id % 4 AS INT) + 1, 1) AS extracted, substr('ABCD', CAST(doc_id % 3 AS INT) + 1, 1) AS gold,
+       CASE WHEN doc_id % 12 < 3 THEN 'True' ELSE 'False' END AS correct, n_chars / 1e3 AS latency,
+       {category} AS category, {level} AS level, n_chars AS input_tokens, n_chars * 2 AS output_tokens
+FROM documents
+"""
+
+
+def log_sql(name: str) -> str:
+    return LOG_SQL.format(
+        name=name, id="concat('test/', CAST(doc_id AS STRING), '.json')" if name == "math" else "CAST(doc_id AS STRING)",
+        smiles="concat('C=', CAST(doc_id AS STRING))" if name == "molecules" else "CAST(NULL AS STRING)",
+        category="lang" if name in ("choice", "math", "medicine") else "CAST(NULL AS STRING)",
+        level="concat('Level ', CAST(doc_id % 5 AS STRING))" if name == "math" else "CAST(NULL AS STRING)",
     )
 
 
+@query(log_sql("choice"), rounded=["latency"])
+def run_logs_from_csv(spark, sf_dir):
+    path = written_logs(spark, sf_dir, ["choice"])
+    return read_run_logs(spark, path + "/*/*", model_pattern=r"model=([^/]+)/[^/]*$", required=["category"])
+
+
+@query("\nUNION ALL\n".join(log_sql(name) for name in LOG_FORMATS if name != "choice"), rounded=["latency"])
+def run_logs_of_other_formats(spark, sf_dir):
+    path = written_logs(spark, sf_dir, [name for name in LOG_FORMATS if name != "choice"])
+    return read_run_logs(spark, path + "/*/*", model_pattern=r"model=([^/]+)/[^/]*$")
+
+
 @query("""
 WITH cut AS (
   SELECT doc_id, lang, n_chars, string_split_regex(text, '\\r\\n|\\r|\\n') AS parts FROM documents
@@ -105,14 +141,14 @@ def prefixed_columns(spark, sf_dir):
 
 
 RAW_NUMBER = """
-CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN 'n/a' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL
-     WHEN 3 THEN concat(' ', CAST(n_chars AS STRING), ' ') WHEN 4 THEN concat('-', CAST(n_chars AS STRING), '.5')
+CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'n/a' WHEN 6 THEN concat(CAST(n_chars AS STRING), 'd') WHEN 1 THEN 'NaN' WHEN 2 THEN NULL
+     WHEN 3 THEN concat(chr(9), CAST(n_chars AS STRING), chr(13)) WHEN 4 THEN concat('-', CAST(n_chars AS STRING), '.5')
      ELSE concat(CAST(n_chars AS STRING), 'e-2') END
 """
 
 
 @query(f"""
-WITH raw AS (SELECT doc_id AS id, TRY_CAST(trim({RAW_NUMBER}) AS DOUBLE) AS x FROM documents)
+WITH raw AS (SELECT doc_id AS id, TRY_CAST(trim({RAW_NUMBER}, concat(' ', chr(9), chr(13))) AS DOUBLE) AS x FROM documents)
 SELECT id, CASE WHEN NOT isnan(x) THEN x END AS number, coalesce(CASE WHEN NOT isnan(x) THEN x END, 0e0) AS filled
 FROM raw
 """, rounded=["number", "filled"])
@@ -122,15 +158,15 @@ def numbers_from_text(spark, sf_dir):
 
 
 RAW_FLAG = """
-CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN ' True ' WHEN 1 THEN 'true' WHEN 2 THEN '1' WHEN 3 THEN 'YES'
+CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN concat(chr(9), 'True', chr(13)) WHEN 1 THEN ' true ' WHEN 2 THEN '1' WHEN 3 THEN 'YES'
      WHEN 4 THEN 'correct' WHEN 5 THEN 'no' WHEN 6 THEN '0' ELSE NULL END
 """
 
 
 @query(f"""
 WITH raw AS (SELECT o_orderkey AS id, {RAW_FLAG} AS x, o_totalprice / 5e5 AS share FROM orders)
-SELECT id, coalesce(lower(trim(x)) = 'true', false) AS as_text,
-       coalesce(lower(trim(x)) IN ('true', '1', 'yes', 'y', 'correct'), false) AS as_words,
+SELECT id, coalesce(lower(trim(x, concat(' ', chr(9), chr(13)))) = 'true', false) AS as_text,
+       coalesce(lower(trim(x, concat(' ', chr(9), chr(13)))) IN ('true', '1', 'yes', 'y', 'correct'), false) AS as_words,
        share > 5e-1 AS as_number
 FROM raw
 """)

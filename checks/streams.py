@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from answerflow.functions.costs import PROFILES
 from answerflow.streaming.cascade import cascade_resolution, resolve_cascades
-from answerflow.streaming.jobs import append_available, read_stream, replace_available, rocksdb_state
+from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state
 from answerflow.streaming.prompts import (
     answer_cents,
     cascade_rows,
@@ -153,7 +153,7 @@ def window_micros(df):
        rounded=["good_rate", "avg_latency", "cents"])
 def daily_feedback_stream(spark, sf_dir):
     stream = event_stream(spark, sf_dir).withWatermark("ts", "1 hour")
-    return window_micros(replace_available(feedback_windows(stream), "windows"))
+    return window_micros(latest_available(feedback_windows(stream), ["start", "end", "model"], "windows"))
 
 
 # In append mode a window is reported once the watermark has passed its end.

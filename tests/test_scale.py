@@ -8,7 +8,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from answerflow.operators.geometry import distance_label_spearman, mean_cosine_spread, seeded_sample, silhouette
+from answerflow.operators.geometry import (
+    davies_bouldin,
+    distance_label_spearman,
+    mean_cosine_spread,
+    sampled_silhouette,
+    seeded_sample,
+    silhouette,
+)
 from answerflow.operators.neighbours import nearest_neighbours
 from answerflow.operators.ordering import SLICE, exact_percentiles, running_totals, slice_by_order
 from answerflow.operators.prep import downsample_majority, stratified_sample, stratified_split
@@ -37,11 +44,12 @@ def test_running_totals_cut_a_value_held_by_a_third(skewed):
     assert np.allclose(got["total"], want["x"].cumsum())
 
 
-@pytest.mark.parametrize("in_one_task", [200_000, 0])
-def test_percentiles_per_group(skewed, monkeypatch, in_one_task):
+@pytest.mark.parametrize("accuracy", [10_000, 100])
+def test_percentiles_per_group(skewed, monkeypatch, accuracy):
     import answerflow.operators.ordering as ordering
 
-    monkeypatch.setattr(ordering, "ROWS_IN_ONE_TASK", in_one_task)
+    # With the coarser sketch the brackets are parts of the groups.
+    monkeypatch.setattr(ordering, "SKETCH_ACCURACY", accuracy)
     got = exact_percentiles(skewed, "x", [0.0, 0.1, 0.5, 0.95, 1.0], ["g"]).toPandas().set_index("g")
     for g, rows in skewed.toPandas().groupby("g"):
         want = np.percentile(rows["x"], [0, 10, 50, 95, 100])
@@ -88,11 +96,7 @@ def test_sample_of_fixed_size(skewed):
     assert seeded_sample(skewed, "id", 10**6).count() == 9000
 
 
-@pytest.mark.parametrize("in_one_task", [200_000, 0])
-def test_pareto_curve_with_ties(skewed, monkeypatch, in_one_task):
-    import answerflow.operators.ordering as ordering
-
-    monkeypatch.setattr(ordering, "ROWS_IN_ONE_TASK", in_one_task)
+def test_pareto_curve_with_ties(skewed):
     df = skewed.select("id", F.col("x").alias("output_tokens"), F.lit(0.5).alias("slm_accuracy_fraction"))
     got = pareto_curve(df).orderBy("rank").toPandas()
     want = skewed.toPandas().sort_values(["x", "id"], ascending=[False, True])
@@ -131,16 +135,35 @@ def test_fewer_rows_than_neighbours(spark):
     assert nearest_neighbours(queries, train, "cluster", k=5).groupBy("id").count().where("count <> 3").count() == 0
 
 
-def test_silhouette_against_brute_force(spark):
-    df, data, which = vectors(spark, 300, 5, 5)
-    gaps = np.sqrt(((data[:, None, :] - data[None, :, :]) ** 2).sum(2))
+def brute_silhouette(gaps, which):
     scores = []
-    for i in range(len(data)):
+    for i in range(len(gaps)):
         own = which == which[i]
         a = gaps[i, own].sum() / (own.sum() - 1)
         b = min(gaps[i, which == c].mean() for c in set(which) - {which[i]})
         scores.append((b - a) / max(a, b))
-    assert silhouette(df, "cluster").first().silhouette == pytest.approx(np.mean(scores), abs=1e-6)
+    return np.mean(scores)
+
+
+def test_silhouettes_against_brute_force(spark):
+    df, data, which = vectors(spark, 300, 5, 5)
+    squared = ((data[:, None, :] - data[None, :, :]) ** 2).sum(2)
+    assert silhouette(df, "cluster").first().silhouette == pytest.approx(brute_silhouette(squared, which), abs=1e-6)
+    got = sampled_silhouette(df, "cluster", 1000).first()
+    assert got.silhouette == pytest.approx(brute_silhouette(np.sqrt(squared), which), abs=1e-6)
+    assert (got.rows_used, got.rows_total) == (300, 300)
+    assert sampled_silhouette(df, "cluster", 100).first().rows_used == 100
+
+
+def test_silhouette_is_over_all_rows(spark):
+    assert silhouette(vectors(spark, 6000, 3, 11)[0], "cluster").first().n == 6000
+
+
+def test_coincident_centroids_and_single_clusters(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [0.0]), (1, [4.0])], "cluster int, embedding array<double>")
+    assert davies_bouldin(df, "cluster").first().davies_bouldin == 0
+    with pytest.raises(Exception, match="two clusters"):
+        davies_bouldin(df.where("cluster = 0"), "cluster").collect()
 
 
 def test_long_lines_are_scanned_once(spark):
@@ -165,24 +188,25 @@ def test_spearman_against_pandas(spark):
     upper = np.triu_indices(len(data), 1)
     far = np.round(1 - unit @ unit.T, 6)[upper]
     gap = np.abs(which[:, None] - which[None, :])[upper]
-    keep = far > 0
+    keep = np.ones(len(far), bool)
     want = np.corrcoef(pd.Series(far[keep]).rank(), pd.Series(gap[keep]).rank())[0, 1]
-    assert distance_label_spearman(df, "cluster").first().spearman == pytest.approx(want, abs=1e-5)
-
+    assert distance_label_spearman(df, "cluster", 500).first().spearman == pytest.approx(want, abs=1e-5)
 
-def test_long_prototype_lists_give_the_same_scores(spark, monkeypatch):
-    import answerflow.operators.signals as signals
 
-    df, _, _ = vectors(spark, 80, 6, 8)
-    protos, _, _ = vectors(spark, 30, 6, 9)
+def test_prototypes_against_brute_force(spark, monkeypatch):
+    df, data, _ = vectors(spark, 80, 6, 8)
+    protos, centres, which = vectors(spark, 30, 6, 9)
     protos = protos.select(F.concat(F.lit("s"), F.col("cluster") % 2).alias("signal"), "embedding")
-    held = {r.id: r.tops for r in top_similarities(df, protos).collect()}
-    monkeypatch.setattr(signals, "MAX_HELD", 5)
-    met = {r.id: r.tops for r in top_similarities(df, protos).collect()}
-    assert held.keys() == met.keys()
-    for i in held:
-        for s in held[i]:
-            assert np.allclose(held[i][s], met[i][s])
+    nothing = spark.createDataFrame([(None, [1.0] * 6), ("s0", None)], protos.schema)
+    df = df.select("id", "embedding").unionByName(spark.createDataFrame([(80, None)], "id long, embedding array<double>"))
+    unit, other = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (data, centres))
+    got = {r.id: r.tops for r in top_similarities(df, protos.unionByName(nothing)).collect()}
+    assert got[80] == {}
+    for i in range(80):
+        for s in (0, 1):
+            want = np.sort(unit[i] @ other[which % 2 == s].T)[::-1][:2]
+            assert np.allclose(got[i][f"s{s}"], want)
+    assert all(r.tops == {} for r in top_similarities(df, protos.where("1 = 0")).collect())
 
 
 def test_cascades_of_one_busy_session(spark):

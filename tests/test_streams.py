@@ -1,12 +1,13 @@
 """Streams cut into many batches against the same rows as one table."""
 
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from answerflow.streaming.cascade import cascade_resolution, resolve_cascades
-from answerflow.streaming.jobs import append_available, read_stream, replace_available, rocksdb_state
+from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state
 from answerflow.streaming.prompts import cascade_rows, feedback_rows, feedback_windows, route_prompts
 from answerflow.streaming.repeats import dedupe_prompts
 from checks.streams import EVENTS, event_columns
@@ -30,7 +31,7 @@ def stream(spark, folder):
 
 
 def test_windows_over_batches(spark, sf, daily):
-    got = replace_available(feedback_windows(stream(spark, daily).withWatermark("ts", "1 hour")), "w")
+    got = latest_available(feedback_windows(stream(spark, daily).withWatermark("ts", "1 hour")), ["start", "end", "model"], "w")
     want = feedback_windows(event_columns(table(spark, sf, "events")))
     key = lambda r: (r.start, r.model)
     a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
@@ -102,3 +103,20 @@ def test_repeats_within_the_time_limit_are_dropped(spark, tmp_path):
 
 def test_only_named_files_are_read(spark, sf):
     assert append_available(read_stream(spark, sf, "events.parquet", EVENTS).select("event_id"), "e").count() == 1000
+
+
+def test_a_second_run_goes_on_where_the_first_ended(spark, daily, tmp_path):
+    """Files that come between two runs are read once, and windows go on growing."""
+    source, logs, windows = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "windows")
+    source.mkdir()
+    for i, file in enumerate(sorted(daily.rglob("*.parquet"))):
+        shutil.copy(file, source / f"{i}.parquet")
+        events = stream(spark, source)
+        log = append_available(events.select("response_id"), "log", logs)
+        # A watermark this late drops nothing, whatever the order of the files.
+        late = feedback_windows(events.withWatermark("ts", "10000 days"))
+        latest = latest_available(late, ["start", "end", "model"], "windows", windows)
+    every = event_columns(spark.read.parquet(str(source)))
+    assert sorted(r[0] for r in log.collect()) == sorted(r[0] for r in every.select("response_id").collect())
+    want = {(r.start, r.model): r.n for r in feedback_windows(every).collect()}
+    assert {(r.start, r.model): r.n for r in latest.collect()} == want
