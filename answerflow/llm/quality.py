@@ -21,29 +21,33 @@ WORDS_UPTO = (8, 32, 128, 512, 2048)
 WEAKEST, STRONGEST = 1.0, 1e6
 
 
-def shape(text: Column) -> dict[str, Column]:
-    """Bins of a document's shape, by whole numbers only: share of capitals and of symbols, share
-    of different words by length of the document, mean length of a word, share of words that are
-    said once more at once."""
-    text = F.coalesce(text, F.lit(""))
+def shaped(rows: DataFrame) -> DataFrame:
+    """Add the bins of the shape of `text` in place of it, by whole numbers only: share of capitals
+    and of symbols, share of different words by length of the document, mean length of a word,
+    share of words that are said once more at once."""
+    text, words, n = F.col("text"), F.col("words"), F.col("n_words")
+    rows = rows.withColumn("text", F.coalesce(text, F.lit("")))
+    # Columns of their own, so that the words are found once.
+    rows = rows.withColumn("words", F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0))
+    rows = rows.withColumn("n_words", F.greatest(F.size(words), F.lit(1)))
     chars = F.greatest(F.length(text), F.lit(1))
-    words = F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0)
-    n, different = F.greatest(F.size(words), F.lit(1)), F.size(F.array_distinct(words))
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda same: same))
     upper = F.length(text) - F.length(F.translate(text, UPPER, ""))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    again = F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: a == b), lambda same: same))
     band = sum(((n >= upto).cast("int") for upto in WORDS_UPTO), F.lit(0))
 
     def share(part: Column, whole: Column, steps: int) -> Column:
         return F.floor(part * steps / whole).cast("int")
 
-    return {
+    bins = {
         "upper": share(upper, chars, 20),
         "symbols": F.least(share(symbols, chars, 40), F.lit(20)),
-        "variety": band * 11 + share(different, n, 10),
+        "variety": band * 11 + share(F.size(F.array_distinct(words)), n, 10),
         "length": F.least(share(chars, n, 1), F.lit(16)),
         "repeats": share(again, n, 4),
     }
+    kept = [c for c in rows.columns if c not in ("text", "words", "n_words")]
+    return rows.select(*kept, *[c.alias(name) for name, c in bins.items()])
 
 
 def bin_evidence(labelled: DataFrame) -> tuple[Column, float]:
@@ -88,69 +92,83 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
+class Model:
+    """What the labels and all documents say: the evidence of a shape, and how good sites are."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id: str, text: str, host: str, path: str, label: str) -> None:
+        base = shaped(docs.select(F.col(id).alias("id"), *placed(text, host, path)))
+        known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("of")).agg(F.min((F.col(label) > 0).cast("int")).alias("good"))
+        self.rows = store(base.join(known, F.col("id") == F.col("of"), "left").drop("of"), "shapes")
+        self.evidence, share = bin_evidence(self.rows.where("good is not null"))
+        self.prior = F.ln(F.lit(share / (1 - share)))
+        rows = self.rows.select("host", "path", F.coalesce(F.col("good").cast("double"), self.guess()).alias("vote"))
+        self.paths = store(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("vote").alias("k")), "paths")
+        self.hosts = store(
+            self.paths.groupBy("host").agg(
+                F.sum("n").alias("host_n"), F.sum("k").alias("host_k"), F.count(F.lit(1)).alias("parts"),
+                F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+            ), "hosts",
+        )
+        t = self.hosts.agg(
+            F.sum("host_n").alias("n"), F.sum("host_k").alias("k"), F.count(F.lit(1)).alias("hosts"), F.sum("parts").alias("paths"),
+            F.sum(F.col("host_k") * F.col("host_k") / F.col("host_n")).alias("between"), F.sum("kk").alias("below"),
+            F.sum(F.col("host_n").cast("double") * F.col("host_n")).alias("nn"), F.sum(F.col("nn") / F.col("host_n")).alias("nn_below"),
+        ).first()
+        n = t.n or 0
+        self.share = p = (t.k + 1.0) / (n + 2.0) if n else 0.5
+        self.host_m = self.path_m = STRONGEST
+        if n:
+            self.host_m = strength(n, t.nn / n, t.between - t.k * t.k / n, t.hosts - 1, p * (1 - p))
+            self.path_m = strength(n, t.nn_below, t.below - t.between, t.paths - t.hosts, p * (1 - p))
+
+    def guess(self) -> Column:
+        """How probably good a document is by its shape alone."""
+        return 1 / (1 + F.exp(-(self.evidence + self.prior)))
+
+    def judged(self, rows: DataFrame) -> DataFrame:
+        """Add evidence, site_good and good to rows with a shape, a host and a path. What the
+        document's own shape says is taken out of its site."""
+        rows = rows.withColumn("evidence", self.evidence)
+        rows = rows.withColumn("own", 1 / (1 + F.exp(-(F.col("evidence") + self.prior))))
+        joined = rows.join(self.paths.select("path", "n", "k"), "path").join(self.hosts.select("host", "host_n", "host_k"), "host")
+        host_good = (F.col("host_k") - F.col("own") + F.lit(self.host_m * self.share)) / (F.col("host_n") - 1 + F.lit(self.host_m))
+        site_good = (F.col("k") - F.col("own") + F.lit(self.path_m) * host_good) / (F.col("n") - 1 + F.lit(self.path_m))
+        joined = joined.withColumn("site_good", F.least(F.greatest(site_good, F.lit(1e-9)), F.lit(1 - 1e-9)))
+        return joined.withColumn("good", 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("site_good"))))))
+
+
+def placed(text: str, host: str, path: str) -> list[Column]:
+    return [
+        F.col(text).alias("text"), site(host).alias("host"), F.concat(site(host), F.lit("/"), site(path)).alias("path"),
+    ]
+
+
 def score(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang",
     label: str = "quality", threshold: float = 0.25,
 ) -> DataFrame:
-    """One row per row of `docs`: id, mark (hash of the text), host, path, evidence, site_good
-    (the path's posterior share of good documents without the document itself), good (the
-    probability) and kept.
+    """One row per row of `docs`: id, host, path, evidence, site_good (the path's posterior share of
+    good documents, without what the document's own shape says), good (the probability) and kept.
 
     Every document counts for its site: with its label if it has one, otherwise with the
     probability its shape gives. Below `threshold` it is rejected; losing a good document counts
-    three times as much as keeping a bad one. Null text is empty text. Null hosts and paths are sites of their
-    own. Repeated rows count as often as they are there; a document with several labels has the
-    lowest. Without labels nothing is known, and all is kept. Extra columns are not looked at.
-    An empty table gives an empty result.
+    three times as much as keeping a bad one. Null text is empty text. Null hosts and paths are
+    sites of their own. Repeated rows count as often as they are there; a document with several
+    labels has the lowest. Without labels nothing is known, and all is kept. Extra columns are
+    not looked at. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), site(host).alias("host"), site(path).alias("path"))
-    base = base.select("id", F.xxhash64("text").alias("mark"), "host", F.concat("host", F.lit("/"), "path").alias("path"),
-                       *[c.alias(n) for n, c in shape(F.col("text")).items()])
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("of")).agg(F.min((F.col(label) > 0).cast("int")).alias("good"))
-    base = store(base.join(known, F.col("id") == F.col("of"), "left").drop("of"), "shapes")
-    evidence, share = bin_evidence(base.where("good is not null"))
-    rows = base.withColumn("evidence", evidence)
-    guess = 1 / (1 + F.exp(-(F.col("evidence") + F.ln(F.lit(share / (1 - share))))))
-    rows = rows.withColumn("vote", F.coalesce(F.col("good").cast("double"), guess))
-    rows = rows.select("id", "mark", "host", "path", "evidence", "vote")
-    paths = store(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("vote").alias("k")), "paths")
-    hosts = store(
-        paths.groupBy("host").agg(
-            F.sum("n").alias("host_n"), F.sum("k").alias("host_k"), F.count(F.lit(1)).alias("parts"),
-            F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        ), "hosts",
-    )
-    t = hosts.agg(
-        F.sum("host_n").alias("n"), F.sum("host_k").alias("k"), F.count(F.lit(1)).alias("hosts"), F.sum("parts").alias("paths"),
-        F.sum(F.col("host_k") * F.col("host_k") / F.col("host_n")).alias("between"), F.sum("kk").alias("below"),
-        F.sum(F.col("host_n").cast("double") * F.col("host_n")).alias("nn"), F.sum(F.col("nn") / F.col("host_n")).alias("nn_below"),
-    ).first()
-    n = t.n or 0
-    p = (t.k + 1.0) / (n + 2.0) if n else 0.5
-    host_m = path_m = STRONGEST
-    if n:
-        host_m = strength(n, t.nn / n, t.between - t.k * t.k / n, t.hosts - 1, p * (1 - p))
-        path_m = strength(n, t.nn_below, t.below - t.between, t.paths - t.hosts, p * (1 - p))
-    joined = rows.join(paths.select("path", "n", "k"), "path").join(hosts.select("host", "host_n", "host_k"), "host")
-    own = F.col("vote")
-    host_good = (F.col("host_k") - own + F.lit(host_m * p)) / (F.col("host_n") - 1 + F.lit(host_m))
-    joined = joined.withColumn("host_good", host_good)
-    site_good = (F.col("k") - own + F.lit(path_m) * F.col("host_good")) / (F.col("n") - 1 + F.lit(path_m))
-    joined = joined.withColumn("site_good", F.least(F.greatest(site_good, F.lit(1e-9)), F.lit(1 - 1e-9)))
-    good = 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("site_good")))))
-    return joined.withColumn("good", good).select(
-        "id", "mark", "host", "path", "evidence", "site_good", "good", (F.col("good") >= threshold).alias("kept")
-    )
+    model = Model(docs, labels, id, text, host, path, label)
+    judged = model.judged(model.rows)
+    return judged.select("id", "host", "path", "evidence", "site_good", "good", (F.col("good") >= threshold).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", **options) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier keeps."""
-    columns = [f"`{c}`" for c in docs.columns]
-    rejected = score(docs, labels, id, text, host, path, **options).where(~F.col("kept")).select("id", "mark", "path").distinct()
-    row = docs.select(
-        F.struct(*[F.col(c) for c in columns]).alias("row"), F.col(id).alias("doc"),
-        F.xxhash64(F.col(text)).alias("hash"), F.concat(site(host), F.lit("/"), site(path)).alias("place"),
-    )
-    same = F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("mark")) & (F.col("place") == F.col("path"))
-    kept = row.join(store(rejected, "rejected"), same, "left_anti")
+def keep(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang",
+    label: str = "quality", threshold: float = 0.25,
+) -> DataFrame:
+    """The rows of `docs`, all columns, that the classifier keeps. A row is judged where it stands:
+    only the sites are joined to it."""
+    model = Model(docs, labels, id, text, host, path, label)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = model.judged(shaped(docs.select(whole, *placed(text, host, path)))).where(F.col("good") >= threshold)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

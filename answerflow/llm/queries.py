@@ -194,7 +194,8 @@ e AS (
   FROM b LEFT JOIN r r1 ON r1.feature = 1 AND r1.bin = f1 LEFT JOIN r r2 ON r2.feature = 2 AND r2.bin = f2
          LEFT JOIN r r3 ON r3.feature = 3 AND r3.bin = f3 LEFT JOIN r r4 ON r4.feature = 4 AND r4.bin = f4 LEFT JOIN r r5 ON r5.feature = 5 AND r5.bin = f5),
 v AS (
-  SELECT e.*, coalesce(CAST(e.good AS DOUBLE), 1 / (1 + exp(-(evidence + ln((a.g + 1e0) / (a.b + 1e0)))))) AS vote FROM e, a),
+  SELECT e.*, 1 / (1 + exp(-(evidence + ln((a.g + 1e0) / (a.b + 1e0))))) AS own,
+         coalesce(CAST(e.good AS DOUBLE), 1 / (1 + exp(-(evidence + ln((a.g + 1e0) / (a.b + 1e0)))))) AS vote FROM e, a),
 p AS (SELECT host, path, count(*) AS n, sum(vote) AS k FROM v GROUP BY host, path),
 h AS (SELECT host, sum(n) AS host_n, sum(k) AS host_k, count(*) AS parts, sum(k * k / n) AS kk, sum(n * n) AS nn FROM p GROUP BY host),
 s AS (
@@ -211,7 +212,7 @@ q AS (
   FROM s),
 g AS (
   SELECT doc_id, evidence,
-         least(greatest((k - vote + path_m * ((host_k - vote + host_m * p) / (host_n - 1 + host_m))) / (p.n - 1 + path_m), 1e-9), 1 - 1e-9) AS site_good
+         least(greatest((k - own + path_m * ((host_k - own + host_m * p) / (host_n - 1 + host_m))) / (p.n - 1 + path_m), 1e-9), 1 - 1e-9) AS site_good
   FROM v JOIN p USING (path) JOIN h ON h.host = v.host, q)
 SELECT doc_id, round(evidence, 6) AS evidence, round(site_good, 6) AS site_good,
        round(1 / (1 + exp(-(evidence + ln(site_good / (1 - site_good))))), 6) AS good,

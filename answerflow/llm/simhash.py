@@ -232,13 +232,18 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     """The rows and columns of `docs`, one row of each group of near-duplicates: the one with the
     smallest id (rows without an id last, ties by the hash of the text, any of equal ones)."""
     found = groups(docs, id, text, shingle, bits)
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark"))
+    same = found.groupBy("component", F.col("doc_id").isNull().alias("none"), "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    best = store(same.groupBy("component").agg(F.min(F.struct("none", "doc_id", "mark", "n")).alias("best")).select("best.*"), "best")
     rows = docs.select(
         F.col(id).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
-    kept = rows.join(best, F.col("key").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark")), "left_semi")
-    kept = kept.dropDuplicates(["key", "mark"])
+
+    def chosen(which: str) -> DataFrame:
+        few = best.where(which).select(F.col("doc_id").alias("best_id"), F.col("mark").alias("best_mark"))
+        return rows.join(few, F.col("key").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark")), "left_semi")
+
+    # Only rows that are there more than once have to meet again.
+    kept = chosen("n = 1").unionAll(chosen("n > 1").dropDuplicates(["key", "mark"]))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
