@@ -17,14 +17,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame, functions as F
 
 from answerflow.operators.neighbours import knn_classify, knn_regress
 from answerflow.operators.metrics import classification_metrics, regression_metrics
 from answerflow.operators.ordering import row_hash
-from answerflow.operators.prep import with_class_weights
+from answerflow.operators.prep import augment_minority, downsample_majority, with_class_weights
 from answerflow.operators.replay import threshold_sweep
 from answerflow.operators.scores import score_to_probability
 from answerflow.session import durable
@@ -123,15 +123,30 @@ def train_difficulty_model(
     name: str,
     label: str,
     features: str = "features",
-    balance: bool = False,
+    balance: bool | str = False,
+    key: str = "id",
     keep: Sequence[str] = ("id",),
     written: bool = False,
     **settings,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Fit one catalogue model (with balanced class weights if asked) and score the test rows."""
+    """Fit one catalogue model and score the test rows.
+
+    `balance` evens out the classes of the training rows: "weights" (or True) by class weights,
+    "downsample" by cutting the rows of label 1 to those of label 0, "augment" by adding a noisy
+    copy of the rows of the rarer label. `key` identifies the training rows.
+    """
     weight = None
-    if balance:
+    if balance in (True, "weights"):
         train, weight = with_class_weights(train, label), "weight"
+    elif balance == "downsample":
+        train = downsample_majority(train, label, key)
+    elif balance == "augment":
+        share = train.agg(F.avg(label)).first()[0] or 0.0
+        arrays = train.withColumn(features, vector_to_array(features))
+        more = augment_minority(arrays, label, features, key, minority=int(share < 0.5))
+        train = more.withColumn(features, array_to_vector(features))
+    elif balance:
+        raise ValueError(f"unknown way to balance {balance!r}")
     settings = unit_penalty(train, name, label) | settings
     estimator = build_estimator(kind, name, features, label, weight, **settings)
     model = fit_model(train, estimator, written=written and not balance)

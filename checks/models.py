@@ -124,6 +124,22 @@ for _name in REGRESSORS:
     register_model("regressor", _name, "difficulty")
 
 
+def register_balanced(balance: str) -> None:
+    def run(spark, sf_dir):
+        train, test = halves(spark, sf_dir)
+        # Two of three rows of label 0 go, so there is something to even out.
+        train = train.where((F.col("complex") == 1) | (F.col("id") % 3 == 0))
+        _, scored = train_difficulty_model(train, test, "classifier", "logreg", "complex", balance=balance)
+        return checked(scored, "classifier", "complex")
+
+    run.__name__ = f"classifier_balanced_by_{balance}"
+    query(CHECKED)(run)
+
+
+for _balance in ("weights", "downsample", "augment"):
+    register_balanced(_balance)
+
+
 @query(CHECKED)
 def dense_network_classifier(spark, sf_dir):
     train, test = halves(spark, sf_dir)
@@ -272,3 +288,13 @@ FROM b JOIN e ON b.actual = e.actual GROUP BY b.actual
 """, rounded=["actual", "q1", "median", "q3", "low", "high"])
 def prediction_boxes(spark, sf_dir):
     return prediction_spread(run_sql(spark, sf_dir, ESTIMATED), "actual", "predicted")
+
+
+@query(f"""
+WITH two AS (SELECT id, 'one' AS set_name, p FROM fx_pairs UNION ALL SELECT id, 'two', 1e0 - p FROM fx_pairs)
+SELECT id, set_name, (p + p / 2e0) / 2e0 AS p, CASE WHEN (p + p / 2e0) / 2e0 > 5e-1 THEN 1 ELSE 0 END AS prediction FROM two
+""", rounded=["p"], ints=["prediction"])
+def voted_scores_of_two_sets(spark, sf_dir):
+    two = run_sql(spark, sf_dir, """
+        SELECT id, 'one' AS set_name, p FROM fx_pairs UNION ALL SELECT id, 'two', 1e0 - p FROM fx_pairs""")
+    return vote([two, two.withColumn("p", F.col("p") / 2)], "soft", ["id", "set_name"])

@@ -213,3 +213,25 @@ def test_models_are_found_by_prefix(spark):
         unpivot_outcomes(wide)
     with pytest.raises(ValueError, match="no columns start"):
         models_of(wide.select("id"))
+
+
+def test_dirty_values(spark):
+    assert column(spark, ["\tTrue", "true\r", "\u00a0TRUE\n", "t rue"], to_flag) == [True, True, True, False]
+    assert column(spark, ["yes\r", "\tno", " 1\n"], lambda c: to_flag(c, "words")) == [True, False, True]
+    numbers = ["12d", "12f", "1e3", " -.5\r", "0x1A", "1_000", "inf", "NaN", "", "+7."]
+    assert column(spark, numbers, to_number) == [None, None, 1000.0, -0.5, None, None, float("inf"), None, None, 7.0]
+
+
+def test_an_explicit_null_is_no_route(spark):
+    from answerflow.functions.routes import extract_route
+
+    replies = ['{"route": null, "model": "gpt"}', '{"routing": {"model": "x"}, "model": "gpt"}', '{"model": "gpt"}', "no json", None]
+    assert column(spark, replies, extract_route) == [None, "x", "gpt", None, None]
+
+
+def test_missing_and_nan_have_no_bin(spark):
+    from answerflow.operators.labels import quantile_bins
+
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (float("nan"),), (None,)], "x double")
+    bins = {repr(r.x): r.bin for r in quantile_bins(df, "x", 4).collect()}
+    assert (bins["1.0"], bins["4.0"], bins["nan"], bins["None"]) == (0, 3, None, None)

@@ -69,6 +69,30 @@ def test_run_logs_with_quoted_lines(spark, tmp_path):
         read_run_logs(spark, str(folder), required=["Level"])
 
 
+HEAD = "ID,Problem,Model Response,Extracted Answer,Ground Truth,Correct,Latency,Input Tokens,Output Tokens"
+
+
+def test_run_logs_go_by_the_names_in_each_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + ",Subject\n1,q,r,A,B,False,1.5,10,20,law\n")
+    (tmp_path / "b.csv").write_text("\ufeff" + HEAD.replace("ID", "Unique ID") + "\r\nx/2,q,r,A,B,True,2.5,30,40\r\n")
+    rows = {r.id: r for r in read_run_logs(spark, str(tmp_path)).collect()}
+    assert (rows["1"].category, rows["1"].input_tokens, rows["1"].output_tokens) == ("law", 10, 20)
+    assert (rows["x/2"].category, rows["x/2"].latency, rows["x/2"].correct) == (None, 2.5, "True")
+
+
+@pytest.mark.parametrize("header", [HEAD + ",Colour", HEAD.replace(",Latency", ""), HEAD + ",Unique ID"])
+def test_other_headers_are_refused(spark, tmp_path, header):
+    (tmp_path / "a.csv").write_text(header + "\n" + ",".join("1" for _ in header.split(",")) + "\n")
+    with pytest.raises(ValueError, match="columns"):
+        read_run_logs(spark, str(tmp_path))
+
+
+def test_broken_records_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("QID,model_answer,question,correct_answer,time,category\n1,A,no more\n")
+    with pytest.raises(Exception, match="cannot split"):
+        repair_wrapped_records(spark, str(tmp_path)).collect()
+
+
 def test_scratch_paths_are_new(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(shared_dir(spark))
