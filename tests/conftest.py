@@ -6,9 +6,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]",
+        "tests", "local[8]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
