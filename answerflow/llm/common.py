@@ -12,17 +12,32 @@ from answerflow.session import scratch_path
 # What counts as a word, and the letters that are lower-cased.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# While a step is written: its shuffle files go when it is done, and Python gets its rows in small
+# batches.
+WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write the rows as Parquet to the folder all executors share and go on from there.
 
-    Cuts the lineage, survives lost executors, and later passes see the same rows.
+    Cuts the lineage, survives lost executors, and later passes see the same rows. The shuffle
+    files that led to them go at once, not when the driver happens to collect its garbage.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = {key: spark.conf.get(key) for key in WHILE_WRITING}
+    try:
+        for key, value in WHILE_WRITING.items():
+            spark.conf.set(key, value)
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

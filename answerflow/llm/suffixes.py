@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 from answerflow.llm.common import scratch_path, shuffle_width, store
 
 # Tokens after which a block is full, and keys that a range should have.
-IN_A_BLOCK = 5_000_000
+IN_A_BLOCK = 1_000_000
 IN_A_RANGE = 1_500_000
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 # Next words are told apart by 40 bits of their hash, within one context.
 NEXT = np.uint64((1 << 40) - 1)
 # How often two draws agree must exceed the suffix's by this factor and by so many deviations.
 FACTOR, DEVIATIONS = 1.5, 3.0
+# Room for rounding where contexts are ruled out.
+SLACK = 1e-5
 
 _known: dict[bytes, int] = {}
 
@@ -50,6 +52,15 @@ def unpack(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Compressed steps of sorted 64-bit numbers."""
+    return pack(np.diff(values, prepend=np.zeros(1, np.uint64)).astype("<u8"))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, "<u8"), dtype=np.uint64)
+
+
 def word_hashes(text: str | None) -> list[int]:
     """64-bit hashes of the words (A-Z lower-cased), and of the end."""
     out = []
@@ -79,7 +90,7 @@ def blocks(docs: DataFrame, fold: int) -> DataFrame:
             words, place = np.unique(np.concatenate(tokens), return_inverse=True)
             return pd.DataFrame([{
                 "block": number, "ids": ids, "held": bytes(held), "lengths": pack(np.array(lengths, "<u4")),
-                "tokens": pack(place.astype("<u4")), "words": pack(words),
+                "tokens": pack(place.astype("<u4")), "words": pack_sorted(words),
             }])
 
         size = 0
@@ -116,7 +127,7 @@ class Block:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
         self.tokens = unpack(row["tokens"], "<u4")
-        self.words = unpack(row["words"], "<u8")
+        self.words = unpack_sorted(row["words"])
         self.train = ~np.repeat(self.held, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
@@ -150,7 +161,7 @@ def ranges(keys: np.ndarray, count: int) -> list[tuple[int, int, int]]:
 
 WORD_ASK = "block long, part int, words binary, counts binary"
 WORD_REPLY = "block long, part int, level int, counts binary, more binary, totals binary, rate binary, tokens long, distinct long, squares double"
-GRAM_ASK = "block long, part int, contexts binary, many binary, next binary, counts binary, base binary"
+GRAM_ASK = "block long, part int, contexts binary, many binary, next binary, counts binary"
 
 
 def ask_words(state: DataFrame, parts: int) -> DataFrame:
@@ -159,7 +170,7 @@ def ask_words(state: DataFrame, parts: int) -> DataFrame:
             for row in batch.to_dict("records"):
                 block = Block(row)
                 counts = np.bincount(block.tokens[block.train], minlength=len(block.words)).astype("<u4")
-                out = [(block.number, i, pack(block.words[a:b]), pack(counts[a:b])) for i, a, b in ranges(block.words, parts)]
+                out = [(block.number, i, pack_sorted(block.words[a:b]), pack(counts[a:b])) for i, a, b in ranges(block.words, parts)]
                 yield pd.DataFrame(out, columns=["block", "part", "words", "counts"])
 
     return state.mapInPandas(run, WORD_ASK)
@@ -182,7 +193,7 @@ def reply_words(asked: DataFrame) -> DataFrame:
     """Counts over all blocks; the first row of a range also has its sums for the whole corpus."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in per_part(batches):
-            words = [unpack(r["words"], "<u8") for r in rows]
+            words = [unpack_sorted(r["words"]) for r in rows]
             counts = [unpack(r["counts"], "<u4") for r in rows]
             _, at = np.unique(np.concatenate(words), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(counts)).astype("<u8")
@@ -205,14 +216,12 @@ def dealt(asked: DataFrame) -> DataFrame:
 
 def reply_grams(asked: DataFrame, level: int) -> DataFrame:
     """Per (context, next word) its count over all blocks; per context how many different next
-    words it has, how many in all, and how often two draws agree, or -1 if it is no node."""
+    words it has, how many in all, and how often two draws agree."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in per_part(batches):
-            contexts = [unpack(r["contexts"], "<u8") for r in rows]
+            contexts = [unpack_sorted(r["contexts"]) for r in rows]
             many = [unpack(r["many"], "<u4").astype(np.int64) for r in rows]
             context, which = np.unique(np.concatenate(contexts), return_inverse=True)
-            base = np.zeros(len(context), np.float64)
-            base[which] = np.concatenate([unpack(r["base"], "<f4") for r in rows])
             key = np.repeat(which.astype(np.uint64) << np.uint64(40), np.concatenate(many))
             key |= np.concatenate([unpack(r["next"], "<u8") for r in rows])
             key, at = np.unique(key, return_inverse=True)
@@ -220,10 +229,7 @@ def reply_grams(asked: DataFrame, level: int) -> DataFrame:
             of = (key >> np.uint64(40)).astype(np.int64)
             n = np.bincount(of, weights=count, minlength=len(context))
             agree = np.bincount(of, weights=count * (count - 1) / 2, minlength=len(context))
-            pairs = n * (n - 1) / 2
-            expected = base * pairs
-            node = (pairs > 0) & (agree > FACTOR * expected + DEVIATIONS * np.sqrt(expected))
-            rate = np.where(node, agree / np.maximum(pairs, 1), -1).astype("<f4")
+            rate = (agree / np.maximum(n * (n - 1) / 2, 1)).astype("<f4")
             more = np.bincount(of, weights=count > 0, minlength=len(context)).astype("<u4")
             count = count.astype("<u8")
             out, c, g = [], 0, 0
@@ -236,19 +242,16 @@ def reply_grams(asked: DataFrame, level: int) -> DataFrame:
     return dealt(asked).mapInPandas(run, WORD_REPLY)
 
 
-def ask_grams(block: Block, order: int, at: np.ndarray, base: np.ndarray, parts: int) -> pd.DataFrame:
-    """What a block asks for; `base` is per token how often two draws after the suffix agree."""
+def ask_grams(block: Block, order: int, at: np.ndarray, parts: int) -> pd.DataFrame:
+    """What a block asks for, for the tokens `at`."""
     context, many, following, gram = block.grams(order, at)
     counts = np.bincount(gram[block.train[at]], minlength=len(following)).astype("<u4")
     ends = np.cumsum(many)
-    first = np.zeros(len(following), np.int64)
-    first[gram] = np.arange(len(at))
-    per_context = base[first[ends - many]].astype("<f4") if len(context) else np.empty(0, "<f4")
     out = []
     for i, a, b in ranges(context, parts):
         g, h = int(ends[a] - many[a]), int(ends[b - 1])
         out.append((
-            block.number, i, pack(context[a:b]), pack(many[a:b].astype("<u4")), pack(following[g:h]), pack(counts[g:h]), pack(per_context[a:b]),
+            block.number, i, pack_sorted(context[a:b]), pack(many[a:b].astype("<u4")), pack(following[g:h]), pack(counts[g:h]),
         ))
     return pd.DataFrame(out, columns=[c.split()[0] for c in GRAM_ASK.split(", ")])
 
@@ -270,12 +273,19 @@ class Tree:
         #: How often two draws agree in the node that a token's suffix is.
         self.rate = np.full(len(self.count), corpus["squares"] / max(n, 1) ** 2)
         self.open = np.arange(len(self.count))
+        #: How often each token was learned from after the words before it, as many as the level
+        #: has; endless where that was not asked.
+        self.last = self.count
         self.level = 0
 
     def eligible(self) -> np.ndarray:
-        """Tokens with enough words before them, whose shorter context is a node."""
-        order = self.level + 1
-        return self.open[self.block.place[self.open] >= order]
+        """Tokens with enough words before them, whose shorter context is a node, and whose longer
+        one can be: two draws can't agree more often than always, and the number of draws is known
+        from the level before, where the context was a next word after its first words."""
+        at = self.open[self.block.place[self.open] > self.level]
+        rate, n = self.rate[at], self.last[at - 1]
+        room = 1 - FACTOR * rate
+        return at[(room > 0) & (n * (n - 1) / 2 * np.square(np.maximum(room, SLACK)) > DEVIATIONS * DEVIATIONS * rate * (1 - SLACK))]
 
     def grow(self) -> None:
         """Take the next level's replies."""
@@ -288,8 +298,12 @@ class Tree:
                 np.concatenate([unpack(r[c], kind) for r in found]).astype(np.float64)
                 for c, kind in (("counts", "<u8"), ("more", "<u4"), ("totals", "<u8"), ("rate", "<f4"))
             )
+            self.last = np.full(len(self.count), np.inf)
+            self.last[at] = count[gram]
             which = np.repeat(np.arange(len(context)), many)[gram]
-            node = rate[which] >= 0
+            pairs = total * (total - 1) / 2
+            expected = self.rate[at] * pairs[which]
+            node = (rate * pairs)[which] > FACTOR * expected + DEVIATIONS * np.sqrt(expected)
             at, which, gram = at[node], which[node], gram[node]
             mixed = count[gram] + more[which] * self.probability[at]
             self.probability[at] = mixed / (total[which] + more[which])
@@ -334,7 +348,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", *, depth: int
             for tree in trees(batches, level):
                 at = tree.eligible()
                 if len(at):
-                    yield ask_grams(tree.block, level + 1, at, tree.rate[at], parts)
+                    yield ask_grams(tree.block, level + 1, at, parts)
 
         asked = answered(state, replies).mapInPandas(ask, GRAM_ASK)
         replies = replies.unionAll(store(reply_grams(asked, level + 1), "gram-counts"))
@@ -350,4 +364,4 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", *, depth: int
             })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered(state, replies).mapInPandas(finish, schema)
+    return store(answered(state, replies).mapInPandas(finish, schema), "scores")
