@@ -19,20 +19,30 @@ _NAME = r"\p{Lu}\p{Ll}{1,40}(?:-\p{Lu}\p{Ll}{1,40})?"
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "Госпожа", "Κυρία")
 TITLES_M = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин", "Κύριος")
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+# With the area code in brackets or plain, with or without a country code.
+_LOCAL = (
+    r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)"
+    r"|(?<![\w+])(?<![0-9][.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?!\w|[.-][0-9])"
+)
+#: Country codes of one, two and three digits.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_KEYWORD = r"(?i:(?<!\w)(?:password|passwd|secret|token|api_?key|secret_?key)[\"']?\s*[=:]\s*)"
 #: What each kind looks like; the first that fits from a place on is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}(?!\w)",
+    "phone": rf"{_LOCAL}|(?<![\w+])\+[0-9](?:[ .()-]{{0,2}}[0-9]){{6,14}}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
     "card": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
-    "secret": r"(?i:(?<!\w)(?:password|passwd|secret|token|api_?key|secret_?key)[=:] ?\"?)[0-9A-Za-z]{8,64}(?!\w)|(?<=\")[0-9a-f]{32,64}(?=\")",
+    # In quotes up to the closing one, else up to a blank; punctuation at the end is left out.
+    "secret": rf"{_KEYWORD}(?:\"[^\"\r\n]+(?=\")|'[^'\r\n]+(?=')|\S*[^\s.,;:!?()\[\]{{}}<>\"'])|(?<=\")[0-9A-Fa-f]{{32,}}(?=\")",
     "name": rf"(?<!\w)(?:{'|'.join(TITLES_F + TITLES_M)})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
+LEAD = rf"^{_KEYWORD}[\"']?"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these; most texts have none, and a look at single characters is fast.
 HINT = (
-    r"[0-9@]|[dntyDNTY][=:]|AKIA|\"[0-9a-f]{32}|[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M}))
+    r"[0-9@]|[dntyDNTY][\"']?\s*[=:]|AKIA|\"[0-9A-Fa-f]{32}|[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M}))
     + rf"](?:{'|'.join(t[1:] for t in TITLES_F + TITLES_M)})\.? \p{{Lu}}"
 )
 LETTERS, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -77,6 +87,12 @@ def script_of(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), "cyrillic").when(token.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def hidden_part(value: Column) -> Column:
+    """A secret without keyword and quote; long hexadecimal ones are the same in either case."""
+    bare = F.regexp_replace(value, LEAD, "")
+    return F.when(bare.rlike("^[0-9A-Fa-f]{32,}$"), F.lower(bare)).otherwise(bare)
+
+
 def parts_of(kind: Column, value: Column) -> Column:
     """What a value consists of, as an array of (kind, form): one part, or the tokens of a name.
     A number that is no card number has none."""
@@ -92,11 +108,11 @@ def parts_of(kind: Column, value: Column) -> Column:
     )
     return (
         F.when(kind == "email", one("email", F.lower(value)))
-        .when(kind == "phone", one("phone", digits))
+        .when(kind == "phone", one("phone", F.concat(F.regexp_extract(value, r"^\+", 0), digits)))
         .when(kind == "ip", one("ip", value))
         .when((kind == "card") & (luhn_sum(digits) % 10 == 0), one("card", digits))
         .when(kind == "key", one("key", value))
-        .when(kind == "secret", one("secret", F.regexp_extract(value, r"[0-9A-Za-z]+$", 0)))
+        .when(kind == "secret", one("secret", hidden_part(value)))
         .when(kind == "name", names)
     )
 
@@ -123,8 +139,8 @@ def _shaped(form: Column, drawing: str) -> Column:
     """Letters for letters, digits for digits, anything else as it is."""
     def swap(c: Column, i: Column) -> Column:
         n = byte(drawing, i)
-        return F.when(c.rlike("[a-z]"), _from(LETTERS, n)).when(c.rlike("[A-Z]"), F.upper(_from(LETTERS, n))).when(
-            c.rlike("[0-9]"), _from(DIGITS, n)
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(_from(LETTERS, n))).when(c.rlike(r"\p{L}"), _from(LETTERS, n)).when(
+            c.rlike(r"\p{N}"), _from(DIGITS, n)
         ).otherwise(c)
 
     return F.when(F.length(form) == 0, form).otherwise(F.array_join(F.transform(F.split(form, ""), swap), ""))
@@ -138,7 +154,9 @@ def surrogate_form(kind: Column, form: Column) -> Column:
     tail = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
     email = F.concat(_shaped(F.substring_index(form, "@", 1), "drawn"), F.lit("@"), _shaped(host, "drawn_domain"), tail)
-    code = F.greatest(F.length(form) - 10, F.lit(0))
+    code = F.when(F.startswith(form, F.lit("+")), F.length(F.regexp_extract(form, COUNTRY, 0))).otherwise(
+        F.greatest(F.length(form) - 10, F.lit(0))
+    )
     phone = F.concat(
         F.substr(form, F.lit(1), code), _from("23456789", at(63)), _shaped(F.substr(form, code + 2), "drawn")
     )
@@ -206,12 +224,13 @@ def overlaid(kind: Column, value: Column, made: Column) -> Column:
     separators, its case, its title."""
     single = F.get(made, F.lit(0))
     chars = F.split(value, "")
+    number = F.regexp_replace(single, "[^0-9]", "")
     digits = F.array_join(
         F.transform(
             chars,
             lambda c, i: F.when(
                 c.rlike("[0-9]"),
-                F.substr(single, F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1)),
+                F.substr(number, F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1)),
             ).otherwise(c),
         ), "",
     )
@@ -221,11 +240,12 @@ def overlaid(kind: Column, value: Column, made: Column) -> Column:
             lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(single, i + 1, F.lit(1)))).otherwise(F.substr(single, i + 1, F.lit(1))),
         ), "",
     )
-    lead = F.regexp_replace(value, r"[0-9A-Za-z]+$", "")
+    lead = F.regexp_extract(value, LEAD, 0)
+    upper = F.regexp_replace(value, LEAD, "").rlike("^(?=.*[A-F])[0-9A-F]{32,}$")
     names = F.concat_ws(" ", F.concat(F.array(F.regexp_extract(value, r"^\S+", 0)), F.transform(made, lambda m: F.initcap(m))))
     return (
         F.when(kind.isin("phone", "card"), digits).when(kind == "email", cased)
-        .when(kind == "secret", F.concat(lead, single)).when(kind == "name", names).otherwise(single)
+        .when(kind == "secret", F.concat(lead, F.when(upper, F.upper(single)).otherwise(single))).when(kind == "name", names).otherwise(single)
     )
 
 
@@ -249,8 +269,8 @@ def pseudonymize(docs: DataFrame, text: str = "text", secret: str = "answerflow"
     a column of that name: how many were replaced in the row.
 
     Kinds are e-mail addresses, phone numbers, IPv4 addresses, card numbers (with a right check
-    digit), access keys, passwords and other secrets after a keyword or in quotes, and names
-    after a title. Null and empty text stays as it is; so does any other column, whatever its
+    digit), access keys, passwords and other secrets after a keyword (of any length and symbols) or
+    in quotes (hexadecimal), and names after a title. Null and empty text stays as it is; so does any other column, whatever its
     name. Repeated rows are replaced alike and come back as often as they are there. An empty
     table gives an empty result.
     """

@@ -364,6 +364,25 @@ def test_private(spark, documents):
     assert private.pseudonymize(documents.where("1 = 0")).count() == 0
 
 
+def test_private_finds_all_forms(spark):
+    jwt = "eyJhbGciOi.eyJzdWIiOiIx-_.SflKxwRJSM"
+    gone = [
+        "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "a" * 70 + "1", jwt, "p@ss-w0rd!x", "hunter2", "пароль-Ж9", "open sesame 7", "F00DF00D" * 5,
+        "+14155552671", "415-555-2671", "(415)5552672", "+49 30 1234567", "415.555.2673", "1-415-555-2674", "+442079460958",
+    ]
+    forms = ["TOKEN = \"{}\"!!", "token={}", "api_key : {},", "password={} ", "Password: {}.", "secret = '{}'", "{{\"passwd\": \"{}\"}}", "x \"{}\" y"]
+    texts = [f.format(g) for f, g in zip(forms + ["call {}, or"] * 7, gone)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "token: \"" + gone[0].lower() + "\""])), "doc_id long, text string")
+    got = {r.doc_id: r for r in private.pseudonymize(docs, counted="n").collect()}
+    for i, (text, secret) in enumerate(zip(texts, gone)):
+        start, end = text.split(secret)
+        new = got[i].text
+        assert secret not in new and new.startswith(start) and new.endswith(end) and got[i].n == 1, (text, new)
+        assert re.sub(r"\w", "x", new) == re.sub(r"\w", "x", text)
+    assert got[0].text.split('"')[1] == got[len(texts)].text.split('"')[1].upper()
+    assert got[2].text[10:].count(".") == 2 and got[11].text.startswith("call +49 ")
+
+
 def test_private_collisions(spark, monkeypatch):
     """With very few surrogates per kind, all are still different and none is a real one."""
     forms = spark.createDataFrame([("phone", f"55500000{i:02d}") for i in range(12)], "kind string, form string")
