@@ -8,7 +8,7 @@ that collide are drawn again, so different entities stay different. Built-in fun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,7 +32,8 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": rf"{_LOCAL}|(?<![\w+])\+[0-9](?:[ .()-]{{0,2}}[0-9]){{6,14}}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
-    "card": r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
+    # A run of numbers that may have card numbers (see `pieces`); the start of an address is none.
+    "card": r"(?<!\w)[0-9][0-9 -]{11,}[0-9](?!\w|\.[0-9]|[A-Za-z0-9._%+-]{0,64}+@)",
     "key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
     # In quotes up to the closing one, else up to a blank; punctuation at the end is left out.
     "secret": rf"{_KEYWORD}(?:\"[^\"\r\n]+(?=\")|'[^'\r\n]+(?=')|\S*[^\s.,;:!?()\[\]{{}}<>\"'])|(?<=\")[0-9A-Fa-f]{{32,}}(?=\")",
@@ -45,6 +46,8 @@ HINT = (
     r"[0-9@]|[dntyDNTY][\"']?\s*[=:]|AKIA|\"[0-9A-Fa-f]{32}|[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M}))
     + rf"](?:{'|'.join(t[1:] for t in TITLES_F + TITLES_M)})\.? \p{{Lu}}"
 )
+#: Set around what is found in a run of numbers, which has none of these.
+MARK = "\x01"
 LETTERS, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # Syllables of invented names by script, and the endings of given names by gender.
 SYLLABLES = {
@@ -83,6 +86,65 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_run(blocks: Column) -> Column:
+    """Numbers, each with what follows it up to the next, as an array of (kind, piece): the card
+    numbers (13 to 19 digits in any groups, one blank or hyphen between them, right check digit;
+    the first and longest), and phone numbers in what is left."""
+    n = F.size(blocks)
+
+    def end(i: Column) -> Column:
+        def is_card(j: Column) -> Column:
+            run = F.array_join(F.slice(blocks, i, j - i + 1), "")
+            right = _with(F.regexp_replace(run, "[^0-9]", ""), lambda d: luhn_sum(d) % 10 == 0)
+            return F.when(run.rlike("^(?:[0-9][ -]?){12,18}[0-9][ -]*$"), right).otherwise(False)
+
+        return F.array_max(F.filter(F.sequence(i, F.least(i + 18, n)), is_card))
+
+    def picked(ends: Column) -> Column:
+        none = F.array().cast("array<int>")
+
+        def step(state: Column, i: Column) -> Column:
+            last = F.get(ends, i - 1)
+            take = (i >= state["next"]) & last.isNotNull()
+            return F.struct(
+                F.when(take, last + 1).otherwise(state["next"]).alias("next"),
+                F.when(take, F.concat(state["first"], F.array(i))).otherwise(state["first"]).alias("first"),
+                F.when(take, F.concat(state["last"], F.array(last))).otherwise(state["last"]).alias("last"),
+            )
+
+        start = F.struct(F.lit(1).alias("next"), none.alias("first"), none.alias("last"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step)
+
+    def marked(cards: Column) -> Column:
+        def one(block: Column, i: Column) -> Column:
+            opened = F.when(F.array_contains(cards["first"], i + 1), F.concat(F.lit(MARK), block)).otherwise(block)
+            return F.when(F.array_contains(cards["last"], i + 1), F.regexp_replace(opened, "([0-9])([ -]*)$", f"$1{MARK}$2")).otherwise(opened)
+
+        return F.array_join(F.transform(blocks, one), "")
+
+    def kinds(text: Column, name: str) -> Column:
+        return F.transform(
+            F.split(text, MARK), lambda p, i: F.struct(F.when(i % 2 == 1, F.lit(name)).alias("kind"), p.alias("piece"))
+        )
+
+    split = kinds(_with(_with(F.transform(F.sequence(F.lit(1), n), end), picked), marked), "card")
+    return F.flatten(
+        F.transform(split, lambda p: F.when(p["kind"].isNotNull(), F.array(p)).otherwise(kinds(F.regexp_replace(p["piece"], f"({_LOCAL})", f"{MARK}$1{MARK}"), "phone")))
+    )
+
+
+def pieces(kind: Column, value: Column) -> Column:
+    """The entities in a value and what is between them, in order, as an array of (kind, piece);
+    the kind of what is no entity is null."""
+    run = _with(F.regexp_extract_all(value, F.lit("[0-9]+[ -]*"), 0), _in_run)
+    return F.when(kind == "card", run).otherwise(F.array(F.struct(kind.alias("kind"), value.alias("piece"))))
+
+
 def script_of(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), "cyrillic").when(token.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -94,8 +156,7 @@ def hidden_part(value: Column) -> Column:
 
 
 def parts_of(kind: Column, value: Column) -> Column:
-    """What a value consists of, as an array of (kind, form): one part, or the tokens of a name.
-    A number that is no card number has none."""
+    """What a value consists of, as an array of (kind, form): one part, or the tokens of a name."""
     def one(name: str, form: Column) -> Column:
         return F.array(F.struct(F.lit(name).alias("kind"), form.alias("form")))
 
@@ -110,7 +171,7 @@ def parts_of(kind: Column, value: Column) -> Column:
         F.when(kind == "email", one("email", F.lower(value)))
         .when(kind == "phone", one("phone", F.concat(F.regexp_extract(value, r"^\+", 0), digits)))
         .when(kind == "ip", one("ip", value))
-        .when((kind == "card") & (luhn_sum(digits) % 10 == 0), one("card", digits))
+        .when(kind == "card", one("card", digits))
         .when(kind == "key", one("key", value))
         .when(kind == "secret", one("secret", hidden_part(value)))
         .when(kind == "name", names)
@@ -250,18 +311,22 @@ def overlaid(kind: Column, value: Column, made: Column) -> Column:
 
 
 def replacements(found: DataFrame, secret: str) -> DataFrame:
-    """From rows with `values` (entities as written): distinct (value, surrogate)."""
-    value = F.col("value")
-    values = found.select(F.explode("values").alias("value")).distinct().withColumn("kind", kind_of(value))
-    values = store(values.withColumn("parts", parts_of(F.col("kind"), value)).where("parts is not null"), "entities")
-    parts = values.select("value", F.posexplode("parts").alias("pos", "part")).select("value", "pos", "part.kind", "part.form")
+    """From rows with `values` (entities as written): distinct (value, surrogate, number of
+    entities in it)."""
+    value, kind, piece = F.col("value"), F.col("kind"), F.col("piece")
+    values = found.select(F.explode("values").alias("value")).distinct()
+    values = values.select("value", F.posexplode(pieces(kind_of(value), value)).alias("at", "p")).select("value", "at", "p.kind", "p.piece")
+    values = store(values.withColumn("parts", parts_of(kind, piece)), "entities")
+    parts = values.select("value", "at", F.posexplode("parts").alias("pos", "part")).select("value", "at", "pos", "part.kind", "part.form")
     made = surrogates(store(parts.select("kind", "form").distinct(), "forms"), secret)
-    per_value = parts.join(made, ["kind", "form"]).groupBy("value").agg(
+    per_piece = parts.join(made, ["kind", "form"]).groupBy("value", "at").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "made"))), lambda p: p["made"]).alias("made")
     )
-    return values.select("value", "kind").join(per_value, "value").select(
-        "value", overlaid(F.col("kind"), value, F.col("made")).alias("surrogate")
+    new = F.when(F.col("made").isNull(), piece).otherwise(overlaid(kind, piece, F.col("made")))
+    per_value = values.join(per_piece, ["value", "at"], "left").groupBy("value").agg(
+        F.array_sort(F.collect_list(F.struct("at", new.alias("new")))).alias("news"), F.count("made").alias("number")
     )
+    return per_value.where("number > 0").select("value", F.array_join(F.col("news.new"), "").alias("surrogate"), "number")
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", secret: str = "answerflow", counted: str | None = None) -> DataFrame:
@@ -286,18 +351,18 @@ def pseudonymize(docs: DataFrame, text: str = "text", secret: str = "answerflow"
     # A text has its own replacements: as many as it has entities.
     pairs = found.select("mark", F.explode("values").alias("value")).join(replacements(found, secret), "value")
     per_text = store(
-        pairs.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("known")), "per-text"
+        pairs.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("surrogate", "number")))).alias("known")), "per-text"
     ).withColumnRenamed("mark", "of")
     gaps = F.split("body", ENTITY, -1)
     swapped = F.array_join(
-        F.flatten(F.zip_with(gaps, entities, lambda g, e: F.array(g, F.coalesce(F.try_element_at(F.col("known"), F.coalesce(e, F.lit(""))), e, F.lit(""))))), ""
+        F.flatten(F.zip_with(gaps, entities, lambda g, e: F.array(g, F.coalesce(F.try_element_at(F.col("known"), F.coalesce(e, F.lit("")))["surrogate"], e, F.lit(""))))), ""
     )
-    number = F.size(F.filter(entities, lambda e: F.map_contains_key("known", e)))
+    number = F.aggregate(entities, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.try_element_at(F.col("known"), e)["number"], F.lit(0)))
     known = hit.join(per_text, F.col("mark") == F.col("of"), "left")
-    known = known.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
+    known = known.withColumn("known", F.coalesce("known", F.create_map().cast("map<string,struct<surrogate:string,number:bigint>>")))
     fields = {c: F.col("row").getField(c) for c in docs.columns}
     plain = rows.where(~has).select(*[f.alias(c) for c, f in fields.items()], *([F.lit(0).cast("long").alias(counted)] if counted else []))
-    done = known.select("row", swapped.alias("swapped"), number.cast("long").alias("number"))
+    done = known.select("row", swapped.alias("swapped"), number.alias("number"))
     changed = done.select(
         *[(F.col("swapped") if c == text else f).alias(c) for c, f in fields.items()],
         *([F.col("number").alias(counted)] if counted else []),

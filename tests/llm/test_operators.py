@@ -383,6 +383,32 @@ def test_private_finds_all_forms(spark):
     assert got[2].text[10:].count(".") == 2 and got[11].text.startswith("call +49 ")
 
 
+def test_private_finds_cards_in_any_groups(spark):
+    def card(start, n):
+        return next(start + "7" * (n - 1 - len(start)) + str(c) for c in range(10) if luhn(start + "7" * (n - 1 - len(start)) + str(c)))
+
+    def grouped(digits, *groups, by="-"):
+        return by.join(digits[sum(groups[:i]) : sum(groups[: i + 1])] for i in range(len(groups)))
+
+    cards = [
+        grouped(card("38", 14), 4, 6, 4), grouped(card("62", 19), 4, 4, 4, 4, 3), grouped(card("62", 19), 6, 13), grouped(card("55", 16), 8, 8),
+        grouped(card("5", 13), 4, 3, 3, 3, by=" "), grouped(card("34", 15), 4, 6, 5, by=" "), card("63", 18), grouped(card("41", 16), 4, 4, 4, 4, by=" "),
+    ]
+    texts = [f"pay {c}, or" for c in cards]
+    docs = spark.createDataFrame([
+        *enumerate(texts), (50, "paid 12  4111 1111 1111 1111  12 415-555-2671  1.2.3.4"), (51, "4111 1111 1111 1111 5500 0000 0000 0004"),
+        (52, "4111 1111 1111 1112"), (53, "on 2024-11-30  1000 12.joe@a.org"), (54, "1 " * 20_000),
+    ], "doc_id long, text string")
+    got = {r.doc_id: r for r in private.pseudonymize(docs, counted="n").collect()}
+    for i, (text, c) in enumerate(zip(texts, cards)):
+        new = got[i].text
+        assert c not in new and got[i].n == 1 and luhn(re.sub(r"\D", "", new)) and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text), (text, new)
+    assert got[50].n == 3 and not any(x in got[50].text for x in ("1111 1111", "555-2671", "1.2.3.4")) and got[50].text.startswith("paid 12  4")
+    assert got[51].n == 2 and luhn(got[51].text[:19].replace(" ", "")) and luhn(got[51].text[20:].replace(" ", ""))
+    assert got[52].text == "4111 1111 1111 1112" and got[52].n == 0 and got[53].n == 1 and got[53].text.startswith("on 2024-11-30  1000 ")
+    assert "12.joe@" not in got[53].text
+
+
 def test_private_collisions(spark, monkeypatch):
     """With very few surrogates per kind, all are still different and none is a real one."""
     forms = spark.createDataFrame([("phone", f"55500000{i:02d}") for i in range(12)], "kind string, form string")
