@@ -46,6 +46,8 @@ HINT = (
     r"[0-9@]|[dntyDNTY][\"']?\s*[=:]|AKIA|\"[0-9A-Fa-f]{32}|[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M}))
     + rf"](?:{'|'.join(t[1:] for t in TITLES_F + TITLES_M)})\.? \p{{Lu}}"
 )
+# Attempts before the shape of a surrogate is widened.
+NARROW = 6
 #: Set around what is found in a run of numbers, which has none of these.
 MARK = "\x01"
 LETTERS, DIGITS, HEX, BASE32 = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -197,45 +199,63 @@ def _from(alphabet: str, number: Column) -> Column:
 
 
 def _shaped(form: Column, drawing: str) -> Column:
-    """Letters for letters, digits for digits, anything else as it is."""
+    """Letters for letters, digits for digits, anything else as it is; letters for all if there
+    are neither."""
+    bare = ~form.rlike(r"[\p{L}\p{N}]")
     def swap(c: Column, i: Column) -> Column:
         n = byte(drawing, i)
         return F.when(c.rlike(r"\p{Lu}"), F.upper(_from(LETTERS, n))).when(c.rlike(r"\p{L}"), _from(LETTERS, n)).when(
             c.rlike(r"\p{N}"), _from(DIGITS, n)
-        ).otherwise(c)
+        ).when(bare, _from(LETTERS, n)).otherwise(c)
 
     return F.when(F.length(form) == 0, form).otherwise(F.array_join(F.transform(F.split(form, ""), swap), ""))
 
 
 def surrogate_form(kind: Column, form: Column) -> Column:
     """The surrogate in canonical form, of the same kind and shape as `form`; drawn from the
-    columns `drawn` and, for the domain of an address, `drawn_domain`."""
+    columns `drawn` and, for the domain of an address, `drawn_domain`. From the column `attempt`
+    NARROW on it is one character (or syllable) longer with each attempt, and a private IPv4
+    address comes from the largest private range, later from all, so that a shape with fewer
+    values than forms has free ones too."""
     at = lambda i: byte("drawn", i)
+    more = F.greatest(F.col("attempt") - (NARROW - 1), F.lit(0))
+
+    def longer(draw: Callable[[Column], Column]) -> Column:
+        # The bytes at the end are drawn anew with each attempt, as all are.
+        added = F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: draw(byte("drawn", F.lit(64) - i % 64))), "")
+        return F.when(more > 0, added).otherwise("")
+
     domain = F.substring_index(form, "@", -1)
     tail = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    email = F.concat(_shaped(F.substring_index(form, "@", 1), "drawn"), F.lit("@"), _shaped(host, "drawn_domain"), tail)
+    email = F.concat(_shaped(F.substring_index(form, "@", 1), "drawn"), longer(lambda n: _from(LETTERS, n)), F.lit("@"), _shaped(host, "drawn_domain"), tail)
     code = F.when(F.startswith(form, F.lit("+")), F.length(F.regexp_extract(form, COUNTRY, 0))).otherwise(
         F.greatest(F.length(form) - 10, F.lit(0))
     )
     phone = F.concat(
-        F.substr(form, F.lit(1), code), _from("23456789", at(63)), _shaped(F.substr(form, code + 2), "drawn")
+        F.substr(form, F.lit(1), code), _from("23456789", at(63)), _shaped(F.substr(form, code + 2), "drawn"),
+        longer(lambda n: _from(DIGITS, n)),
     )
-    inner = F.concat(F.substr(form, F.lit(1), F.lit(1)), _shaped(F.substr(form, F.lit(2), F.length(form) - 2), "drawn"))
+    inner = F.concat(F.substr(form, F.lit(1), F.lit(1)), _shaped(F.substr(form, F.lit(2), F.length(form) - 2), "drawn"), longer(lambda n: _from(DIGITS, n)))
     card = F.concat(inner, ((10 - luhn_sum(F.concat(inner, F.lit("0"))) % 10) % 10).cast("string"))
     first = F.substring_index(form, ".", 1)
+    # Public stays public: 11 to 126, or 128 to 171.
+    public = (at(0) % 160 + F.when(at(0) % 160 < 116, F.lit(11)).otherwise(F.lit(12))).cast("string")
+    private = first.isin("10", "127", "0") | form.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
     kept = (
-        F.when(first.isin("10", "127", "0"), first).when(form.rlike(r"^192\.168\."), F.lit("192.168"))
+        F.when(private & (more > NARROW), public).when(private & (more > 0), F.lit("10"))
+        .when(first.isin("10", "127", "0"), first).when(form.rlike(r"^192\.168\."), F.lit("192.168"))
         .when(form.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), F.regexp_extract(form, r"^172\.[0-9]+", 0))
-        # Public stays public: 11 to 126, or 128 to 171.
-        .otherwise((at(0) % 160 + F.when(at(0) % 160 < 116, F.lit(11)).otherwise(F.lit(12))).cast("string"))
+        .otherwise(public)
     )
     ip = F.substring_index(F.concat_ws(".", kept, *[at(i).cast("string") for i in (1, 2, 3)]), ".", 4)
     key = F.concat(F.lit("AKIA"), *[_from(BASE32, at(i)) for i in range(16)])
     hexes = F.array_join(
         F.transform(F.sequence(F.lit(0), F.greatest(F.length(form) - 1, F.lit(0))), lambda i: _from(HEX, byte("drawn", i))), ""
     )
-    hidden = F.when(form.rlike("^[0-9a-f]+$"), hexes).otherwise(_shaped(form, "drawn"))
+    hidden = F.when(form.rlike("^[0-9a-f]+$"), F.concat(hexes, longer(lambda n: _from(HEX, n)))).otherwise(
+        F.concat(_shaped(form, "drawn"), longer(lambda n: _from(LETTERS, n)))
+    )
 
     def invented(count: int, ending: str | None) -> Column:
         script = script_of(form)
@@ -243,7 +263,7 @@ def surrogate_form(kind: Column, form: Column) -> Column:
         for name, syllables in SYLLABLES.items():
             pool = F.array(*[F.lit(s) for s in syllables])
             end = F.lit("") if ending is None else F.lit(ENDINGS[name, ending])
-            word = F.concat(*[F.get(pool, (at(2 * i) * 256 + at(2 * i + 1)) % len(syllables)) for i in range(count)], end)
+            word = F.concat(*[F.get(pool, (at(2 * i) * 256 + at(2 * i + 1)) % len(syllables)) for i in range(count)], longer(lambda n: F.get(pool, n % len(syllables))), end)
             made = F.when(script == name, word).otherwise(made)
         return made
 
@@ -295,10 +315,11 @@ def overlaid(kind: Column, value: Column, made: Column) -> Column:
             ).otherwise(c),
         ), "",
     )
+    digits = F.concat(digits, F.substr(number, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1))
     cased = F.array_join(
         F.transform(
-            chars,
-            lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substr(single, i + 1, F.lit(1)))).otherwise(F.substr(single, i + 1, F.lit(1))),
+            F.split(single, ""),
+            lambda c, i: F.when(F.get(chars, i).rlike("[A-Z]"), F.upper(c)).otherwise(c),
         ), "",
     )
     lead = F.regexp_extract(value, LEAD, 0)

@@ -417,6 +417,21 @@ def test_private_collisions(spark, monkeypatch):
     assert len(set(made)) == 12 and not {f"55500000{i:02d}" for i in range(12)} & set(made)
 
 
+def test_private_has_free_surrogates(spark):
+    """Shapes with fewer free values than forms, and forms that would be drawn to themselves."""
+    mails = [f"{c}@{d}.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789" for d in "abcdefghijklm"]
+    ips = [f"192.168.{i // 256}.{i % 256}" for i in range(0, 65536)]
+    names = ["Mr. Иван", "Mr. John"]
+    one = [f"token={c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    real = ["-@-.com", "%@a.com", "password=****", *one, *names, *mails, *ips]
+    docs = spark.createDataFrame(list(enumerate(real)), "doc_id long, text string").repartition(8)
+    got = [r.text for r in private.pseudonymize(docs).collect()]
+    assert len(got) == len(set(got)) == len(real) and not set(got) & set(real)
+    made = sorted(t for t in got if re.fullmatch(r"[0-9.]+", t))
+    assert len(made) == len(ips) and all(t.startswith(("192.168.", "10.")) for t in made)
+    assert all("." in t.split("@")[1] for t in got if "@" in t)
+
+
 def test_pipeline(spark, sf):
     """Each stage by a plain version of it, on what the one before kept."""
     docs = table(spark, sf, "documents")
