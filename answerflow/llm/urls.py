@@ -17,6 +17,8 @@ from answerflow.llm.common import lower_ascii, store
 Rule = tuple[str, str, str]
 MOST_RULES = 1_000
 WILD = "*"
+# Levels that all paths go through.
+ALL_TOGETHER = 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,31 +45,41 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return text, verdict
 
 
-def path_segments(path: Column, depth: int) -> Column:
-    """The first `depth` segments of a path; what follows them is one segment. A segment with a
-    digit is variable (page numbers, dates, hashes) and becomes a wildcard."""
+def path_segments(path: Column) -> Column:
+    """The segments of a path. A segment with a digit is variable (page numbers, dates, hashes)
+    and becomes a wildcard."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    deep = F.size(parts) > depth
-    parts = F.when(deep, F.concat(F.slice(parts, 1, depth), F.array(F.lit(WILD)))).otherwise(parts)
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit(WILD)).otherwise(s))
 
 
-def template_tree(
-    shapes: DataFrame, depth: int, least_pages: int, similar: float
-) -> DataFrame:
+def template_tree(shapes: DataFrame, least_pages: int, similar: float) -> DataFrame:
     """Add `template` to shapes (host, segments, pages, labelled, bad).
 
     Level by level, below each template of a host: a segment on fewer than `least_pages` pages
     is variable; the others are compared with the pages of all their siblings, and those whose
     share of bad pages lies within `similar` standard errors of the siblings' are merged into
-    the wildcard branch. What differs stays a branch of its own.
+    the wildcard branch. What differs stays a branch of its own. The tree grows as long as some
+    path has a further segment. Beyond the first levels, paths leave it early where nothing below
+    can be a branch (too few pages, or a single path): the rest of these is wildcards.
     """
     rows = shapes.withColumn("template", F.lit(""))
-    for level in range(1, depth + 2):
+    deepest = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
+    key, ended = ["host", "template"], []
+    for level in range(1, deepest + 1):
         segment = F.try_element_at("segments", F.lit(level))
         rows = store(rows.withColumn("segment", segment), "paths")
+        if level > ALL_TOGETHER:
+            below = rows.where("segment is not null").groupBy(*key).agg(F.sum("pages").alias("all_pages"), F.count(F.lit(1)).alias("paths"))
+            below = below.where((F.col("all_pages") >= least_pages) & (F.col("paths") > 1)).select(*[F.col(c).alias(f"_{c}") for c in key])
+            on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in key], F.col("segment").isNotNull())
+            parted = store(rows.join(below, on, "left"), "parted")
+            rest = F.repeat(F.lit("/" + WILD), F.greatest(F.size("segments") - (level - 1), F.lit(0)))
+            ended.append(parted.where("_host is null").select(*shapes.columns, F.concat("template", rest).alias("template")))
+            rows = parted.where("_host is not null").select(*shapes.columns, "template", "segment")
+            if rows.isEmpty():
+                rows = rows.drop("segment")
+                break
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
-        key = ["host", "template"]
         child = rows.where("segment is not null").groupBy(*key, "segment").agg(*sums)
         parent = child.groupBy(*key).agg(*[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
         rate = F.when(F.col("all_labelled") > 0, F.col("all_bad") / F.col("all_labelled")).otherwise(0.0)
@@ -82,12 +94,12 @@ def template_tree(
         name = F.when(F.col("_segment").isNotNull(), F.col("segment")).otherwise(F.lit(WILD))
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
         rows = rows.join(branch, on, "left").select(*shapes.columns, grown.alias("template"))
-    return rows
+    return reduce(DataFrame.unionAll, ended, rows)
 
 
 def judge(
     pages: DataFrame, id: str = "page_id", url: str = "url", bad: str = "bad", *, rules: Sequence[Rule] = (),
-    depth: int = 4, least_pages: int = 5, similar: float = 2.0, prior: float = 10.0, purity: float = 0.5,
+    least_pages: int = 5, similar: float = 2.0, prior: float = 10.0, purity: float = 0.5,
 ) -> DataFrame:
     """One row per row of `pages`: page_id, host, path, rule, verdict, template, and the
     smoothed purity of the template.
@@ -104,14 +116,14 @@ def judge(
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     base = (
         base.select("page_id", "bad", host.alias("host"), path.alias("path"))
-        .withColumn("segments", path_segments(F.col("path"), depth))
+        .withColumn("segments", path_segments(F.col("path")))
         .withColumn("rule", rule).withColumn("said", said)
     )
     base = store(base, "urls")
     shapes = base.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
-    shapes = store(template_tree(shapes, depth, least_pages, similar), "templates")
+    shapes = store(template_tree(shapes, least_pages, similar), "templates")
     total = shapes.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad")).first()
     share = 1 - total.bad / total.n if total.n else 1.0
     good = F.col("good") + F.lit(prior * share)

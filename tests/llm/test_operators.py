@@ -323,6 +323,17 @@ def test_urls(spark):
     assert unlabelled.where("verdict <> 'allow'").count() == 0
 
 
+def test_urls_branch_at_any_depth(spark):
+    deep = "/".join("ab" * 150)
+    rows = [(i, f"http://a.org/a/b/c/d/e/f/{'spam' if i % 2 else 'docs'}/x{i}/y", i % 2) for i in range(80)]
+    rows += [(100, f"http://a.org/{deep}", None), (101, "http://a.org/a/b/c/d", None), (102, "http://a.org/a/b/c/d/e", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad int")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].template == f"/*/*/*/*/*/*/{'spam' if i % 2 else 'docs'}/*/*" for i in range(80))
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(80))
+    assert [got[i].template for i in (100, 101, 102)] == ["/*" * 300, "/*" * 4, "/*" * 5]
+
+
 SECRETS = [
     (1, "Ask Mr. John Smith or Mrs Ann Smith; John Smith is not it. Господин Иван Петров, Frau Müller-Thurgau."),
     (2, "joe.doe+x@mail8.example.com, Joe.Doe+X@mail8.example.com; amy@mail8.example.com a@b (no)"),
