@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from answerflow.functions.costs import PROFILES, route_by_utility
 from answerflow.operators.grading import grade_responses, run_summary
@@ -10,6 +10,7 @@ from answerflow.operators.labels import label_complex, label_high_cost
 from answerflow.operators.merge import ensemble_accuracy, pairs_from_outcomes
 from answerflow.operators.metrics import classification_metrics, confusion_matrix
 from answerflow.operators.neighbours import knn_classify
+from answerflow.operators.ordering import ordered_totals
 from answerflow.operators.prep import random_split, stratified_split, with_class_weights
 from answerflow.operators.replay import calibrate, calibrated, replay_policies
 from answerflow.plans.features import text_features
@@ -39,8 +40,7 @@ def replay_with_neighbour_scores(spark, sf_dir):
     )
     # Questions take the scores of the held-out vectors in turn.
     scores = durable(knn_classify(held, train, "complex").select(F.col("id").alias("vector"), "p"))
-    place = W.orderBy("vector")
-    scores = scores.select("p", (F.row_number().over(place) - 1).alias("n"))
+    scores = ordered_totals(scores, [F.col("vector").asc()], {"n": F.lit(1)}).select("p", (F.col("n") - 1).alias("n"))
     scored = pairs.join(scores, F.col("id") % scores.count() == F.col("n")).drop("n")
     return replay_policies(scored, MODEL, router=route_by_utility(F.col("p"), MODEL))
 
