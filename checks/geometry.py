@@ -64,12 +64,13 @@ r_{l} AS (SELECT id, max(CASE WHEN own = other THEN n END) AS size,
       FROM d_{l} GROUP BY id)
 """
 SIL_VALUE = "avg(CASE WHEN size = 1 THEN 0e0 ELSE (b - a) / greatest(a, b) END)"
-SAMPLE = 300
+# Rows of the rank correlation and of the Euclidean silhouette, as the reference has them.
+SAMPLE, SILHOUETTE_SAMPLE = 10_000, 5_000
 
 
-def sampled(source: str, name: str = "s") -> str:
+def sampled(source: str, name: str = "s", rows: int = SAMPLE) -> str:
     """The rows with the smallest seeded hashes."""
-    return f"{name} AS (SELECT * FROM {source} ORDER BY md5('42|' || CAST(id AS STRING)) LIMIT {SAMPLE})"
+    return f"{name} AS (SELECT * FROM {source} ORDER BY md5('42|' || CAST(id AS STRING)) LIMIT {rows})"
 
 
 @query(f"WITH {V}, {SILHOUETTE.format(l='complex', src='v', pow=2)} SELECT count(*) AS n, {SIL_VALUE} AS silhouette FROM r_complex",
@@ -79,11 +80,11 @@ def silhouette_index(spark, sf_dir):
 
 
 @query(f"""
-WITH {V}, {sampled('v')}, {SILHOUETTE.format(l='complex', src='s', pow=1)}
+WITH {V}, {sampled('v', rows=SILHOUETTE_SAMPLE)}, {SILHOUETTE.format(l='complex', src='s', pow=1)}
 SELECT count(*) AS rows_used, (SELECT count(*) FROM v) AS rows_total, {SIL_VALUE} AS silhouette FROM r_complex
 """, rounded=["silhouette"])
 def sampled_silhouette_index(spark, sf_dir):
-    return sampled_silhouette(view(spark, sf_dir, "fx_vectors"), "complex", SAMPLE)
+    return sampled_silhouette(view(spark, sf_dir, "fx_vectors"), "complex", SILHOUETTE_SAMPLE)
 
 
 SPEARMAN = """

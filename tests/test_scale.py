@@ -193,6 +193,19 @@ def test_spearman_against_pandas(spark):
     assert distance_label_spearman(df, "cluster", 500).first().spearman == pytest.approx(want, abs=1e-5)
 
 
+def test_spearman_of_a_sample(spark):
+    got = distance_label_spearman(vectors(spark, 120, 5, 7)[0], "cluster", 40).first()
+    assert (got.n_pairs, got.rows_used, got.rows_total) == (40 * 39 // 2, 40, 120)
+
+
+def test_geometry_queries_use_all_given_rows(spark):
+    from checks.geometry import distance_label_correlation, sampled_silhouette_index
+
+    for query in (distance_label_correlation, sampled_silhouette_index):
+        got = query(spark, "/root/testdata/sf0.1").first()
+        assert got.rows_used == got.rows_total > 300
+
+
 def test_prototypes_against_brute_force(spark, monkeypatch):
     df, data, _ = vectors(spark, 80, 6, 8)
     protos, centres, which = vectors(spark, 30, 6, 9)
