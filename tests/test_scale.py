@@ -206,6 +206,14 @@ def test_geometry_queries_use_all_given_rows(spark):
         assert got.rows_used == got.rows_total > 300
 
 
+def test_vectors_are_numbered_in_ranges(spark, sf, monkeypatch):
+    from checks import workflows
+
+    monkeypatch.setattr(workflows, "replay_policies", lambda scored, *a, **b: scored)
+    scored = workflows.replay_with_neighbour_scores(spark, sf)
+    assert "windowspecdefinition(vector" not in scored._jdf.queryExecution().analyzed().toString()
+
+
 def test_prototypes_against_brute_force(spark, monkeypatch):
     df, data, _ = vectors(spark, 80, 6, 8)
     protos, centres, which = vectors(spark, 30, 6, 9)
