@@ -85,3 +85,29 @@ def numbered(
         on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     joined = local.join(starts, on)
     return joined.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_l_{n}")).alias(n) for n in totals])
+
+
+# A key that holds more than one in so many of all rows is joined by broadcast.
+OFTEN = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], size: str) -> DataFrame:
+    """`rows` with the columns of their group; rows without one go. Null keys are equal.
+
+    `groups` has one row for each key and in `size` how many of the rows have it. Fewer than OFTEN keys can
+    hold more than one in OFTEN of the rows: these are broadcast, so no task gets all rows of a
+    frequent key; the others are shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    keyed = groups.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for c in groups.columns if c not in by])
+    often = F.broadcast(keyed.where(F.col(size) * OFTEN > F.lit(total)))
+    rare = keyed.where(F.col(size) * OFTEN <= F.lit(total))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    keys = [f"_k_{c}" for c in by]
+    return (
+        rows.join(often, on)
+        .unionByName(rows.join(often, on, "left_anti").join(rare, on))
+        .drop(*keys)
+    )

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from answerflow.llm import mixing, packing, preferences, private, quality, search, simhash, suffixes, urls, vectors
+from answerflow.llm import (
+    codes, divergence, mixing, packing, preferences, private, quality, repeats, search, simhash, suffixes, urls, vectors,
+)
 from answerflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,3 +333,109 @@ SELECT query_id, rank, doc_id, round(score, 6) AS score FROM o WHERE rank <= 10
 @query
 def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.score(table(spark, sf_dir, "documents"), depth=2, fold=10)
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row FROM documents),
+w AS (
+  SELECT row, lang, source,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (
+  SELECT a.lang, a.source, coalesce(v, 0) AS v, coalesce(v.n, 0) AS lang_n, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN v ON v.lang = a.lang LEFT JOIN c ON c.lang = a.lang AND c.source = a.source
+  GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS HUGEINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.total + 2)) // (g.lang_n + 2 * g.v) AS HUGEINT) AS q
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+u AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.fingerprint(books)).alias("codebooks_sha256")
+    )
+
+
+def rounds_sql(rounds: int) -> str:
+    """Assignment and averaging as common table expressions, one pair a round."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT vec_id, x.part, any_value(x.v) AS v,
+         min(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + b.entry) AS best
+  FROM parts x JOIN b{n} b ON x.part = b.part GROUP BY vec_id, x.part)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (
+  SELECT part, CAST(best % 16 AS BIGINT) AS entry, place, CAST(sum(value) AS BIGINT) AS total, count(*) AS n
+  FROM (SELECT part, best, unnest(v) AS value, generate_subscripts(v, 1) AS place FROM a{n}) GROUP BY ALL),
+m{n} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS v FROM s{n} GROUP BY part, entry),
+b{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} m ON m.part = b.part AND m.entry = b.entry)""")
+    return ",".join(steps)
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH e AS (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(x * 4096) AS BIGINT)) AS v,
+         row_number() OVER (ORDER BY vec_id) - 1 AS n
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, n, p AS part, v[p * 8 + 1 : p * 8 + 8] AS v FROM e, range(8) r(p)),
+b0 AS MATERIALIZED (SELECT part, n AS entry, v FROM parts WHERE n < 16),
+{rounds_sql(6)},
+f AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best % 16 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error
+  FROM a6 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b6)
+SELECT f.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM f JOIN e ON e.vec_id = f.vec_id, h
+"""
+
+
+@query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.without_repeats(table(spark, sf_dir, "documents"), window=50)
+    return cleaned.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_repeated_passages"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT row, doc_id, unnest(range(1, len(w) - 48)) AS i,
+         unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' ')))) AS h
+  FROM d WHERE len(w) >= 50),
+m AS (SELECT row, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM g) WHERE low < doc_id),
+c AS (SELECT row, list(DISTINCT i + k) AS gone FROM m, range(50) r(k) GROUP BY row),
+l AS (
+  SELECT doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+  FROM d LEFT JOIN c ON c.row = d.row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM l
+"""

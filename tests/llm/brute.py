@@ -138,3 +138,81 @@ def bm25(docs, queries, k=10):
                 scores.append((-round(s, 9), id is None, id))
         out[qid] = [(id, -s) for s, _, id in sorted(scores)[:k]]
     return out
+
+
+def repeats(rows, window):
+    """(id, words, removed, kept) of (id, text) rows, window by window."""
+    split = [WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, split):
+        for at in range(len(w) - window + 1):
+            key = tuple(w[at : at + window])
+            if i is not None:
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for (i, _), w in zip(rows, split):
+        gone = set()
+        for at in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[at : at + window])] < i:
+                gone.update(range(at, at + window))
+        kept = [x for p, x in enumerate(w) if p not in gone]
+        out.append((i, len(w), len(gone), " ".join(kept)))
+    return out
+
+
+def divergences(rows, least_docs, top):
+    """Rows (lang, source, part, item, value, rank) for (lang, source, text) rows."""
+    rows = [(lang or "", source or "", text or "") for lang, source, text in rows]
+    found = [(lang, source, re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate({u: u + 32 for u in range(65, 91)}))) for lang, source, text in rows]
+    out = []
+    for lang in {r[0] for r in rows}:
+        mine = [(s, t) for a, s, t in found if a == lang]
+        docs = Counter(term for _, t in mine for term in set(t))
+        kept = sorted(t for t, n in docs.items() if n >= least_docs)
+        counts = {s: Counter() for s, _ in mine}
+        for s, t in mine:
+            counts[s].update(x for x in t if docs[x] >= least_docs)
+        whole = sum(counts.values(), Counter())
+
+        def share(c, term):
+            return 1 + 1_000_000_000 * (c[term] + 2) // (sum(c.values()) + 2 * len(kept))
+
+        for s, c in counts.items():
+            p = {t: share(c, t) for t in kept}
+            parts = {"pair": [], "term": []}
+            for o, d in counts.items():
+                if o != s:
+                    parts["pair"].append((o, sum((p[t] - share(d, t)) ** 2 // (p[t] + share(d, t)) for t in kept)))
+            for t in kept:
+                q = share(whole, t)
+                if c[t] and p[t] > q:
+                    parts["term"].append((t, (p[t] - q) ** 2 // (p[t] + q)))
+            for part, items in parts.items():
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, v, r) for r, (item, v) in enumerate(items, 1) if part == "pair" or r <= top]
+    return out
+
+
+def codes(rows, scale, parts, entries, rounds):
+    """Rows (id, code, error) and the codebooks of (id, vector) rows in order of id, with Python's integers."""
+    length = len(rows[0][1])
+    cut = [(p * length // parts, (p + 1) * length // parts) for p in range(parts)]
+    data = [(i, [math.floor(scale * x) for x in v]) for i, v in rows]
+    books = [[v[a:b] for _, v in data[:entries]] for a, b in cut]
+
+    def best(x, book):
+        d = [sum((p - q) ** 2 for p, q in zip(x, e)) for e in book]
+        return d.index(min(d)), min(d)
+
+    for _ in range(rounds):
+        for (a, b), book in zip(cut, books):
+            groups = {}
+            for _, v in data:
+                groups.setdefault(best(v[a:b], book)[0], []).append(v[a:b])
+            for e, members in groups.items():
+                book[e] = [sum(c) // len(members) for c in zip(*members)]
+    out = []
+    for i, v in data:
+        found = [best(v[a:b], book) for (a, b), book in zip(cut, books)]
+        out.append((i, "".join(f"{e:02x}" for e, _ in found), sum(d for _, d in found)))
+    return out, books
