@@ -1,16 +1,22 @@
-"""Exact k nearest neighbours with pivots.
+"""Exact k nearest neighbours with a tree of pivots of two levels.
 
-Training rows are assigned to the nearest of a few pivots. What is known about a cell (its
-radius and its k rows closest to the pivot) bounds how far the k neighbours of a query can be,
-and the triangle inequality then rules out most cells for it. Only the remaining cells are
-visited; large cells are split into blocks, so neither a crowded cell nor a popular one ends
-up in one task. No candidate is ever dropped without proof.
+Training rows belong to the cell of their nearest pivot, and inside it to the leaf of their
+nearest sub-pivot. A query first searches its own leaf, which bounds how far its k neighbours can
+be. Two bounds then rule out most other cells and, inside a cell, most leaves: the triangle
+inequality on a cell's radius, and the distance to the plane half-way between two pivots. Only
+what is left is visited. No candidate is ever dropped without proof.
+
+The driver sees the first pivots only. Sub-pivots stay in a table with one row per cell, leaves are
+joined into blocks of bounded size, and a leaf with more rows than a block is cut, so neither a
+crowded cell nor a popular one ends up in one task. A query's vector travels once to a cell it
+must look at and once to a block, whatever the number of leaves there.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,39 +26,60 @@ from answerflow.operators.blocks import BLOCK_ROWS, matrix, squared_distances
 from answerflow.operators.ordering import hash_fraction
 from answerflow.session import durable
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
+MAX_SUB_PIVOTS = 4096
+LEAF_ROWS = 64
 # Distances closer than this many decimals count as equal; the lower neighbour id then comes first.
 DIGITS = 9
 # Slack for rounding in the bounds: they may let a cell in too many, never one too few.
 SLACK = 1e-6
 
 
-def pick_pivots(train: DataFrame, n_train: int, key: str, vector: str, seed: int) -> np.ndarray:
-    """About sqrt(n) training vectors, `MAX_PIVOTS` at most: the only rows that visit the driver."""
-    wanted = max(1, min(MAX_PIVOTS, math.isqrt(n_train)))
+@dataclass(frozen=True)
+class PivotTree:
+    """An index over training rows.
+
+    `blocks` holds the rows (cell, block, piece, t), `cells` the sub-pivots and leaves of a cell, and
+    the arrays what the driver knows of each cell: its pivot, rows and radius.
+    """
+
+    blocks: DataFrame
+    cells: DataFrame
+    names: np.ndarray
+    pivots: np.ndarray
+    sizes: np.ndarray
+    reach: np.ndarray
+    key_type: str
+    block_rows: int
+
+
+def pick_pivots(train: DataFrame, n_train: int, key: str, vector: str, seed: int, leaf_rows: int) -> np.ndarray:
+    """As many training vectors as the root of the wanted leaves, `MAX_PIVOTS` at most: the only
+    rows that visit the driver."""
+    wanted = max(1, min(MAX_PIVOTS, math.ceil(math.sqrt(n_train / leaf_rows))))
     share = min(1.0, 2.0 * wanted / max(n_train, 1) + 1e-9)
     some = train.select(key, vector).where(hash_fraction(key, seed) <= F.lit(share)).limit(wanted).collect()
     return matrix([r[vector] for r in (some or train.select(vector).limit(1).collect())])
 
 
-def nearest_neighbours(
-    queries: DataFrame,
-    train: DataFrame,
-    label: str,
-    k: int = 5,
-    key: str = "id",
-    vector: str = "embedding",
-    seed: int = 42,
+def packed(rows: DataFrame, by: list[str], n_packs, columns: list[str], name: str) -> DataFrame:
+    """Rows dealt by id into packs within `by`: one row per pack with an array of its rows."""
+    pack = F.pmod(F.xxhash64("id"), F.greatest(n_packs, F.lit(1)).cast("bigint")).alias("pack")
+    return rows.groupBy(*by, pack).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def build_tree(
+    train: DataFrame, label: str, key: str = "id", vector: str = "embedding", seed: int = 42, leaf_rows: int = LEAF_ROWS,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row."""
-    key_type, query_type = dict(train.dtypes)[key], dict(queries.dtypes)[key]
-    # Vectors keep their type on the way; only the arithmetic is in double precision.
-    train_vector, query_vector = dict(train.dtypes)[vector], dict(queries.dtypes)[vector]
-    n_train, n_queries = train.count(), queries.count()
+) -> PivotTree:
+    """The index over the rows of `train` that have a vector; it is written to the shared folder."""
+    spark = train.sparkSession
+    train = train.where(F.col(vector).isNotNull())
+    key_type, vector_type = dict(train.dtypes)[key], dict(train.dtypes)[vector]
+    n_train = train.count()
     if n_train == 0:
         raise ValueError("no training rows")
-    pivots = pick_pivots(train, n_train, key, vector, seed)
+    pivots = pick_pivots(train, n_train, key, vector, seed, leaf_rows)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,87 +88,219 @@ def nearest_neighbours(
                 cell = gaps.argmin(axis=1)
                 yield batch.assign(cell=cell, radius=gaps[np.arange(len(cell)), cell])
 
-    rows = train.select(
-        F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).cast("double").alias("label")
-    )
-    celled = durable(
-        rows.mapInPandas(assign, f"id {key_type}, vector {train_vector}, label double, cell int, radius double")
-    )
-    # One row per cell, and its k rows next to the pivot: bounded by the number of pivots.
-    sizes = {r["cell"]: (r["n"], r["far"]) for r in celled.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("radius").alias("far")).collect()}
-    near_rank = F.row_number().over(W.partitionBy("cell").orderBy("radius"))
-    near = celled.select("cell", "radius").withColumn("_rank", near_rank).where(F.col("_rank") <= k).collect()
-    cells = np.array(sorted(sizes))
-    reach = np.array([sizes[c][1] for c in cells])
-    at = pivots[cells]
-    near_cell = np.searchsorted(cells, np.array([r["cell"] for r in near]))
-    near_radius = np.array([r["radius"] for r in near])
-    needed = min(k, n_train)
-    blocks = {int(c): max(1, math.ceil(sizes[c][0] / block_rows)) for c in cells}
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Vectors keep their type on the way; only the arithmetic is in double precision.
+    row_type = f"id {key_type}, vector {vector_type}, label double"
+    rows = train.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).cast("double").alias("label"))
+    celled = durable(rows.mapInPandas(assign, f"{row_type}, cell int, radius double"))
+    counts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far")).orderBy("cell").collect()
+    # At most MAX_PIVOTS rows.
+    wanted = [
+        (r["cell"], r["n"], min(MAX_SUB_PIVOTS, max(1, round(r["n"] / leaf_rows))), [pivots[r["cell"]].tolist()]) for r in counts
+    ]
+    known = F.broadcast(spark.createDataFrame(wanted, "cell int, n long, wanted int, own array<array<double>>"))
+
+    at_hash = hash_fraction("id", seed + 1)
+    some = celled.join(known, "cell").where(at_hash <= 2.0 * F.col("wanted") / F.col("n") + 1e-9)
+    place = F.row_number().over(W.partitionBy("cell").orderBy(at_hash, "id"))
+    some = some.select("cell", "wanted", F.col("vector").cast("array<double>").alias("vector"), place.alias("_place"))
+    chosen = some.where(F.col("_place") <= F.col("wanted")).groupBy("cell").agg(F.collect_list("vector").alias("chosen"))
+    centres = durable(known.join(chosen, "cell", "left").select("cell", F.coalesce("chosen", "own").alias("centres")))
+
+    packs = packed(celled.join(known, "cell"), ["cell"], F.ceil(F.col("n") / block_rows), ["id", "vector", "label"], "r")
+
+    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            to_pivot = np.sqrt(squared_distances(matrix(batch["vector"]), at))
-            # The k-th smallest of these upper bounds is at least the k-th neighbour's distance.
-            bounds = to_pivot[:, near_cell] + near_radius[None, :]
-            limit = np.partition(bounds, needed - 1, axis=1)[:, needed - 1] + SLACK
-            q, c = np.nonzero(to_pivot - reach[None, :] <= limit[:, None])
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"].to_numpy()[q],
-                    "vector": batch["vector"].to_numpy()[q],
-                    "limit": limit[q],
-                    "cell": cells[c],
-                }
-            )
-
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
-    visits = asked.mapInPandas(visit, f"id {query_type}, vector {query_vector}, limit double, cell int")
-    # Queries travel in packs too; both kinds of packs are bounded by `block_rows` on average.
-    packs = max(1, math.ceil(n_queries / block_rows))
-    asked_packs = (
-        visits.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(packs)).alias("pack"))
-        .agg(F.collect_list(F.struct("id", "vector", "limit")).alias("q"))
+            for row in batch.to_dict("records"):
+                members = pd.DataFrame(list(row["r"]))
+                gaps = np.sqrt(squared_distances(matrix(members["vector"]), matrix(row["centres"])))
+                leaf = gaps.argmin(axis=1)
+                yield members.assign(cell=row["cell"], leaf=leaf, gap=gaps[np.arange(len(leaf)), leaf])
+
+    met = packs.join(centres, "cell").select("cell", "r", "centres")
+    leafed = durable(met.mapInPandas(to_leaves, f"{row_type}, cell int, leaf int, gap double"))
+    leaves = leafed.groupBy("cell", "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
+    before = F.sum("n").over(W.partitionBy("cell").orderBy("leaf")) - F.col("n")
+    leaves = durable(
+        leaves.withColumn("block", F.floor(before / block_rows).cast("int")).withColumn("pieces", F.ceil(F.col("n") / block_rows))
     )
-    n_blocks = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("cell")]
-    asked_packs = asked_packs.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    block = F.pmod(F.xxhash64("id"), n_blocks.cast("bigint")).cast("int")
-    train_blocks = celled.groupBy("cell", block.alias("block")).agg(
-        F.collect_list(F.struct("id", "vector", "label")).alias("t")
+    placed = leafed.join(leaves.select("cell", "leaf", "block", "pieces"), ["cell", "leaf"])
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece")
+    blocks = placed.groupBy("cell", "block", piece).agg(F.collect_list(F.struct("id", "vector", "label", "leaf")).alias("t"))
+    of_cell = leaves.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("leaf", "n", "radius", "block"))).alias("leaves"))
+    names = np.array([r["cell"] for r in counts])
+    return PivotTree(
+        durable(blocks), durable(centres.join(of_cell, "cell")), names, pivots[names], np.array([r["n"] for r in counts]),
+        np.array([r["far"] for r in counts]), key_type, block_rows,
     )
-    met = asked_packs.join(train_blocks, ["cell", "block"]).select(
-        *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("id", "vector", "limit")],
-        *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("id", "vector", "label")],
+
+
+def lowest_distances(to_all: np.ndarray, between: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """What a query's distance to any row of a cell is at least.
+
+    `to_all` are its distances to the pivots, `between` those of its own nearest pivot to them. Rows of
+    another cell lie beyond the plane half-way between the two pivots, and within their radius.
+    """
+    own = to_all.min(axis=1, keepdims=True)
+    planes = (to_all**2 - own**2) / np.where(between > 0, 2 * between, np.inf)
+    return np.maximum(to_all - reach[None, :], planes)
+
+
+def first_limits(to_pivot: np.ndarray, sizes: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which at least k rows lie for sure (all, if there are fewer)."""
+    farthest = to_pivot + reach[None, :]
+    order = farthest.argsort(axis=1)
+    enough = np.cumsum(sizes[order], axis=1) >= min(k, sizes.sum())
+    return np.take_along_axis(farthest, order, axis=1)[np.arange(len(to_pivot)), enough.argmax(axis=1)] + SLACK
+
+
+def visits_of(
+    tree: PivotTree, asked: DataFrame, n_queries: int, pick: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+) -> DataFrame:
+    """Rows (cell, block, id, vector, limit, leaves) for the queries `asked` (id, vector, limit, cell).
+
+    `pick(distances to sub-pivots, lower bounds, limits, own leaf)` says which leaves are visited.
+    """
+    packs = packed(asked, ["cell"], F.lit(math.ceil(n_queries / tree.block_rows)), ["id", "vector", "limit"], "q")
+    met = packs.join(tree.cells, "cell").select("cell", "q", "centres", "leaves")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                queries, leaves = pd.DataFrame(list(row["q"])), pd.DataFrame(list(row["leaves"]))
+                centres = matrix(row["centres"])[leaves["leaf"].to_numpy()]
+                gaps = np.sqrt(squared_distances(matrix(queries["vector"]), centres))
+                own = gaps.argmin(axis=1)
+                between = np.sqrt(squared_distances(centres[own], centres))
+                lowest = lowest_distances(gaps, between, leaves["radius"].to_numpy())
+                q, c = np.nonzero(pick(gaps, lowest, queries["limit"].to_numpy(), own))
+                if not len(q):
+                    continue
+                pairs = pd.DataFrame({"at": q, "block": leaves["block"].to_numpy()[c], "leaf": leaves["leaf"].to_numpy()[c]})
+                together = pairs.groupby(["at", "block"])["leaf"].agg(list).reset_index()
+                yield queries.iloc[together["at"]].reset_index(drop=True).assign(
+                    cell=row["cell"], block=together["block"], leaves=together["leaf"]
+                )
+
+    types = dict(asked.dtypes)
+    return met.mapInPandas(
+        run, f"id {types['id']}, vector {types['vector']}, limit double, cell int, block int, leaves array<int>"
     )
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def search_blocks(tree: PivotTree, visits: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """(id, neighbour, distance, label): the best k of every block for the queries that visit it."""
+    packs = packed(visits, ["cell", "block"], F.lit(math.ceil(n_queries / tree.block_rows)), ["id", "vector", "limit", "leaves"], "q")
+    met = packs.join(tree.blocks, ["cell", "block"]).select("q", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                va, vb = matrix(row["q_vector"]), matrix(row["t_vector"])
-                gaps = squared_distances(va, vb)
-                keep = min(k, gaps.shape[1])
-                kth = np.sqrt(np.partition(gaps, keep - 1, axis=1)[:, keep - 1])
-                far = np.minimum(kth + SLACK, np.asarray(row["q_limit"]))
-                i, j = np.nonzero(np.sqrt(gaps) <= far[:, None] + SLACK)
+                queries, members = pd.DataFrame(list(row["q"])), pd.DataFrame(list(row["t"])).sort_values("leaf", ignore_index=True)
+                va, vb = matrix(queries["vector"]), matrix(members["vector"])
+                limit, leaf = queries["limit"].to_numpy(), members["leaf"].to_numpy()
+                at = np.repeat(np.arange(len(queries)), queries["leaves"].map(len))
+                asked = np.concatenate(queries["leaves"].to_numpy())
+                found = []
+                for name in np.unique(leaf):
+                    first, last = np.searchsorted(leaf, [name, name + 1])
+                    q = at[asked == name]
+                    if not len(q):
+                        continue
+                    gaps = np.sqrt(squared_distances(va[q], vb[first:last]))
+                    keep = min(k, gaps.shape[1])
+                    kth = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
+                    i, j = np.nonzero(gaps <= np.minimum(kth + SLACK, limit[q])[:, None] + SLACK)
+                    found.append((q[i], first + j))
+                if not found:
+                    continue
+                i, j = (np.concatenate([f[n] for f in found]) for n in (0, 1))
                 # Candidates are measured again without cancellation before the cut.
                 hits = pd.DataFrame(
                     {
-                        "id": np.asarray(row["q_id"])[i],
-                        "neighbour": np.asarray(row["t_id"])[j],
+                        "id": queries["id"].to_numpy()[i],
+                        "neighbour": members["id"].to_numpy()[j],
                         "distance": np.round(np.sqrt(((va[i] - vb[j]) ** 2).sum(1)), DIGITS),
-                        "label": np.asarray(row["t_label"])[j],
+                        "label": members["label"].to_numpy()[j],
                     }
                 )
                 yield hits.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
 
-    hits = met.mapInPandas(search, f"id {query_type}, neighbour {key_type}, distance double, label double")
+    return met.mapInPandas(run, f"id {dict(visits.dtypes)['id']}, neighbour {tree.key_type}, distance double, label double")
+
+
+def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> tuple[DataFrame, int]:
+    """The leaves every query has to visit after a first look into its own, and how many queries there are."""
+    types = dict(queries.dtypes)
+    names, pivots, sizes, reach = tree.names, tree.pivots, tree.sizes, tree.reach
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
+                yield batch.assign(limit=first_limits(gaps, sizes, reach, k), cell=names[gaps.argmin(axis=1)])
+
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    rows = f"id {types[key]}, vector {types[vector]}, limit double"
+    started = durable(asked.mapInPandas(start, f"{rows}, cell int"))
+    n_queries = started.count()
+
+    def own_leaf(gaps, lowest, limit, own):
+        return np.arange(gaps.shape[1])[None, :] == own[:, None]
+
+    near = search_blocks(tree, visits_of(tree, started, n_queries, own_leaf), n_queries, k)
+    closest = F.sort_array(F.collect_list("distance"))
+    tighter = near.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, closest[k - 1] + SLACK).alias("tighter"))
+    limited = started.join(tighter, "id", "left").select("id", "vector", F.least("limit", "tighter").alias("limit"))
+    between_all = np.sqrt(squared_distances(pivots, pivots))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
+                lowest = lowest_distances(gaps, between_all[gaps.argmin(axis=1)], reach)
+                q, c = np.nonzero(lowest <= batch["limit"].to_numpy()[:, None] + SLACK)
+                yield batch.iloc[q].reset_index(drop=True).assign(cell=names[c])
+
+    def within(gaps, lowest, limit, own):
+        return lowest <= limit[:, None] + SLACK
+
+    return visits_of(tree, limited.mapInPandas(others, f"{rows}, cell int"), n_queries, within), n_queries
+
+
+def visited_pairs(tree: PivotTree, visits: DataFrame) -> int:
+    """How many (query, training row) pairs the visits compare."""
+    sizes = tree.cells.select("cell", F.explode("leaves").alias("l")).select("cell", "l.leaf", "l.n")
+    seen = visits.select("cell", F.explode("leaves").alias("leaf")).groupBy("cell", "leaf").count()
+    return seen.join(sizes, ["cell", "leaf"]).agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+
+
+def search_tree(tree: PivotTree, queries: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row."""
+    visits, n_queries = plan_visits(tree, queries, k, key, vector)
+    hits = search_blocks(tree, visits, n_queries, k)
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_neighbours(
+    queries: DataFrame,
+    train: DataFrame,
+    label: str,
+    k: int = 5,
+    key: str = "id",
+    vector: str = "embedding",
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row.
+
+    Rows without a vector have no neighbours and are none. With fewer than k training rows
+    all of them are returned; without any an error is raised.
+    """
+    tree = build_tree(train, label, key, vector, seed, block_rows=block_rows)
+    return search_tree(tree, queries, k, key, vector)
+
+
 def knn_classify(queries: DataFrame, train: DataFrame, label: str, k: int = 5, **names) -> DataFrame:
     """Share of the k neighbours with label 1 as `p`, and the majority label."""
     near = nearest_neighbours(queries, train, label, k, **names)
