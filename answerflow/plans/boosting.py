@@ -210,8 +210,6 @@ class BoostedTrees(LearnedEstimator):
             tree = self.grow(table, list(fresh), start, cuts, tasks)
             trees.append(tree)
             fresh.append(tree)
-            if len(tree) == 1:
-                break  # no split has any gain, and none will
             if len(fresh) == ROUNDS_WRITTEN:
                 table, fresh = advanced(table, fresh, len(cuts)), []
         offsets = np.cumsum([0, *(len(t) for t in trees)])

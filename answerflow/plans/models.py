@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -11,7 +12,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -27,22 +27,29 @@ from answerflow.operators.ordering import row_hash
 from answerflow.operators.prep import augment_minority, downsample_majority, with_class_weights
 from answerflow.operators.replay import threshold_sweep
 from answerflow.operators.scores import score_to_probability
+from answerflow.plans.boosting import BoostedClassifier, BoostedRegressor
+from answerflow.plans.kernels import KernelClassifier, KernelRegressor
+from answerflow.plans.network import DenseClassifier
 from answerflow.session import durable
 
 SEED = 42
 # Models whose penalty weighs as much as one row (C = 1, alpha = 1), on unscaled features.
-UNIT_PENALTY = ("logreg", "svm", "ridge")
+UNIT_PENALTY = ("logreg", "linear_svm", "ridge")
 
-# Model settings (trees 200, iterations 100, learning rates, hidden layers 1024-512-64).
+# Model settings (trees 200, iterations 100, learning rates, kernels and their settings,
+# leaves and least rows of a leaf, hidden layers 1024-512-64 with their dropout and penalty).
+LEVEL_WISE = {"rate": 0.3, "leaves": 64, "depth": 6, "ridge": 1.0, "least_weight": 1.0, "least_rows": 1}
+LEAF_WISE = {"rate": 0.1, "leaves": 31, "depth": 0, "ridge": 0.0, "least_weight": 1e-3, "least_rows": 20}
 CLASSIFIERS: dict[str, Callable[..., Estimator]] = {
     "logreg": lambda **kw: LogisticRegression(maxIter=100, **kw),
     "rf": lambda **kw: RandomForestClassifier(numTrees=200, seed=SEED, **kw),
-    "svm": lambda **kw: LinearSVC(maxIter=100, **kw),
+    "svm": lambda **kw: KernelClassifier(kernel="poly", degree=3, penalty=1.0, folds=5, **kw),
+    "linear_svm": lambda **kw: LinearSVC(maxIter=100, **kw),
     "dt": lambda **kw: DecisionTreeClassifier(seed=SEED, **kw),
     "nb": lambda **kw: NaiveBayes(modelType="gaussian", **kw),
     "gb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=3, seed=SEED, **kw),
-    "xgb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **kw),
-    "lgb": lambda **kw: GBTClassifier(maxIter=100, maxDepth=5, seed=SEED, **kw),
+    "xgb": lambda **kw: BoostedClassifier(rounds=100, **LEVEL_WISE, **kw),
+    "lgb": lambda **kw: BoostedClassifier(rounds=100, **LEAF_WISE, **kw),
 }
 REGRESSORS: dict[str, Callable[..., Estimator]] = {
     "linear": lambda **kw: LinearRegression(**kw),
@@ -51,16 +58,16 @@ REGRESSORS: dict[str, Callable[..., Estimator]] = {
     "rf": lambda **kw: RandomForestRegressor(numTrees=200, seed=SEED, **kw),
     "dt": lambda **kw: DecisionTreeRegressor(seed=SEED, **kw),
     "gb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=3, seed=SEED, **kw),
-    "xgb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **kw),
-    "lgb": lambda **kw: GBTRegressor(maxIter=100, maxDepth=5, seed=SEED, **kw),
+    "svr": lambda **kw: KernelRegressor(kernel="rbf", penalty=1.0, epsilon=0.1, **kw),
+    "xgb": lambda **kw: BoostedRegressor(rounds=100, **LEVEL_WISE, **kw),
+    "lgb": lambda **kw: BoostedRegressor(rounds=100, **LEAF_WISE, **kw),
 }
 
 
-def dense_classifier(inputs: int, hidden: Sequence[int] = (1024, 512, 64), features: str = "features", label: str = "label") -> Estimator:
-    """Feed-forward network with the given hidden layers."""
-    return MultilayerPerceptronClassifier(
-        layers=[inputs, *hidden, 2], maxIter=100, seed=SEED, featuresCol=features, labelCol=label
-    )
+def dense_classifier(hidden: Sequence[int] = (1024, 512, 64), features: str = "features", label: str = "label", **settings) -> Estimator:
+    """Feed-forward network with the given hidden layers; dropout after the first two."""
+    dropout = [{0: 0.3, 1: 0.2}.get(i, 0.0) for i in range(len(hidden))]
+    return DenseClassifier(featuresCol=features, labelCol=label, **({"hidden": list(hidden), "dropout": dropout, "penalty": 1e-4} | settings))
 
 
 def build_estimator(
@@ -92,14 +99,16 @@ def unit_penalty(train: DataFrame, name: str, label: str) -> dict:
 
 
 def fit_model(
-    train: DataFrame, estimator: Estimator, stages: Sequence[Estimator] = (), written: bool = False
+    train: DataFrame, estimator: Estimator, stages: Sequence[Estimator] = (), written: bool | str = False
 ) -> PipelineModel:
     """Fit the stages and the estimator.
 
     Training passes over the rows many times. They are written out first, so that every pass
     starts from the rows and not from the plan that made them (unless they are `written`
-    already), and then cached.
+    already), and then cached (unless the caller has done so: `written` is "cached").
     """
+    if written == "cached":
+        return Pipeline(stages=[*stages, estimator]).fit(train)
     cached = (train if written else durable(train)).persist()
     try:
         return Pipeline(stages=[*stages, estimator]).fit(cached)
@@ -126,7 +135,7 @@ def train_difficulty_model(
     balance: bool | str = False,
     key: str = "id",
     keep: Sequence[str] = ("id",),
-    written: bool = False,
+    written: bool | str = False,
     **settings,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit one catalogue model and score the test rows.
@@ -149,7 +158,7 @@ def train_difficulty_model(
         raise ValueError(f"unknown way to balance {balance!r}")
     settings = unit_penalty(train, name, label) | settings
     estimator = build_estimator(kind, name, features, label, weight, **settings)
-    model = fit_model(train, estimator, written=written and not balance)
+    model = fit_model(train, estimator, written=False if balance else written)
     return model, score(model, test, kind, [*keep, label])
 
 
@@ -204,33 +213,43 @@ def sweep(
     kind: str,
     label: str,
     thresholds: Sequence[float] = (0.5, 0.55, 0.6),
+    side_by_side: int = 4,
     **settings,
 ) -> DataFrame:
     """One metrics row per encoder and model over (train, test) frames with `features`.
 
     `knn` stands for the five nearest neighbours besides the catalogue. Regressors need `slm_correct` in the test frame for the best routing threshold.
     """
-    lines = []
     models = list(models)
+    keep = ("id",) if kind == "classifier" else ("id", "slm_correct")
+
+    def line(encoder: str, train: DataFrame, test: DataFrame, name: str) -> DataFrame:
+        if name == "knn":
+            scored = neighbours_score(train, test, kind, label, keep)
+        else:
+            known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
+            _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written="cached", **known)
+        if kind == "classifier":
+            found = classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
+        else:
+            scored = durable(scored)
+            best = threshold_sweep(scored, thresholds).where("is_best = 1")
+            found = regression_metrics(scored, label, "score").select(
+                "n", "mae", "r2",
+                best.select("threshold").scalar().alias("threshold"),
+                best.select("routing_accuracy").scalar().alias("routing_accuracy"),
+            )
+        return durable(found.select(F.lit(encoder).alias("encoder"), F.lit(name).alias("model"), "*"))
+
+    lines = []
     for encoder, (train, test) in encoders.items():
-        train = durable(train)
-        for name in models:
-            keep = ("id",) if kind == "classifier" else ("id", "slm_correct")
-            if name == "knn":
-                scored = neighbours_score(train, test, kind, label, keep)
-            else:
-                known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
-                _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written=True, **known)
-            if kind == "classifier":
-                line = classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
-            else:
-                best = threshold_sweep(scored, thresholds).where("is_best = 1")
-                line = regression_metrics(scored, label, "score").select(
-                    "n", "mae", "r2",
-                    best.select("threshold").scalar().alias("threshold"),
-                    best.select("routing_accuracy").scalar().alias("routing_accuracy"),
-                )
-            lines.append(line.select(F.lit(encoder).alias("encoder"), F.lit(name).alias("model"), "*"))
+        # The rows are written and held once for all models, which are trained side by side.
+        train, test = durable(train).persist(), durable(test)
+        try:
+            with ThreadPoolExecutor(side_by_side) as pool:
+                lines += pool.map(lambda name: line(encoder, train, test, name), models)
+        finally:
+            train.unpersist()
     return reduce(DataFrame.unionByName, lines)
 
 

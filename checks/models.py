@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from answerflow.operators.metrics import (
     classification_metrics,
@@ -106,16 +106,98 @@ def checked(scored, kind: str, label: str):
     return scored.select("id", in_range.alias("in_range"), scored.agg(better).scalar().alias("learned"))
 
 
-def register_model(kind: str, name: str, label: str) -> None:
-    def run(spark, sf_dir):
-        train, test = halves(spark, sf_dir)
-        _, scored = train_difficulty_model(
-            train, test, kind, name, label, balance=kind == "classifier" and name == "logreg"
-        )
-        return checked(scored, kind, label)
+TRAINED = f"SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors WHERE NOT {HELD}"
+COUNTS = {"n_train": f"SELECT count(*) FROM ({TRAINED})", "n_held": f"SELECT count(*) FROM fx_vectors WHERE {HELD}"}
+COUNTS |= {"n_in_range": COUNTS["n_held"], "learned": "SELECT 1"}
+# The labels of `halves` in SQL.
+LEAN = "CASE WHEN e[1] + e[2] / 2e0 > 0 THEN 1 ELSE 0 END"
+DIFFICULTY = "least(greatest(5e-1 + 2e0 * (e[1] + e[2] / 2e0), 0e0), 1e0)"
+
+
+def first_split(label: str, curvature: str, ridge: float, least_weight: float, least_rows: int) -> str:
+    """Feature (from 0) and cut of the split with the largest gain for the first tree, over all cuts."""
+    return f"""
+WITH t AS (SELECT e, {label} AS y FROM ({TRAINED})),
+m AS (SELECT avg(y) AS p, count(*) AS n FROM t),
+x AS (SELECT unnest(e) AS v, generate_subscripts(e, 1) - 1 AS f, m.p - y AS g, {curvature} AS h FROM t, m),
+q AS (SELECT f, unnest(list_distinct(quantile_disc(v, [{", ".join(f"{i} / 64e0" for i in range(1, 64))}]))) AS cut FROM x GROUP BY f),
+s AS (SELECT f, sum(g) AS g, sum(h) AS h, count(*) AS n FROM x GROUP BY f),
+l AS (SELECT q.f, cut, sum(x.g) AS g, sum(x.h) AS h, count(*) AS n FROM q JOIN x ON x.f = q.f AND x.v <= q.cut GROUP BY q.f, cut),
+w AS (
+  SELECT l.f, cut, l.g * l.g / (l.h + {ridge}) + (s.g - l.g) * (s.g - l.g) / (s.h - l.h + {ridge}) - s.g * s.g / (s.h + {ridge}) AS gain
+  FROM l JOIN s ON s.f = l.f
+  WHERE l.n >= {least_rows} AND s.n - l.n >= {least_rows} AND l.h >= {least_weight} AND s.h - l.h >= {least_weight})
+SELECT {{}} FROM w ORDER BY round(gain, 9) DESC, f, cut LIMIT 1"""
+
+
+LEVEL, LEAF = (1.0, 1.0, 1), (0.0, 1e-3, 20)  # ridge, least curvature, least rows
+# What is read back from a fitted model, and what SQL says it must be.
+SETTINGS: dict[tuple[str, str], dict[str, str]] = {
+    ("classifier", "rf"): {"trees": "SELECT 200"}, ("regressor", "rf"): {"trees": "SELECT 200"},
+    ("classifier", "gb"): {"trees": "SELECT 100"}, ("regressor", "gb"): {"trees": "SELECT 100"},
+    ("classifier", "dt"): {"features": "SELECT 64"}, ("regressor", "dt"): {"features": "SELECT 64"},
+    ("classifier", "logreg"): {"coefficients": "SELECT 64"}, ("classifier", "linear_svm"): {"coefficients": "SELECT 64"},
+    ("regressor", "linear"): {"coefficients": "SELECT 64"}, ("regressor", "ridge"): {"coefficients": "SELECT 64"},
+    ("regressor", "huber"): {"coefficients": "SELECT 64"},
+}
+for _name, _settings in (("xgb", LEVEL), ("lgb", LEAF)):
+    for _kind, _split in (("classifier", first_split(LEAN, "m.p * (1 - m.p)", *_settings)), ("regressor", first_split(DIFFICULTY, "1e0", *_settings))):
+        SETTINGS[_kind, _name] = {"trees": "SELECT 100", "first_feature": _split.format("f"), "first_cut": _split.format("cut")}
+MACHINE = {
+    "landmarks": f"SELECT least(count(*), 256) FROM (SELECT DISTINCT e FROM ({TRAINED}))",
+    "gamma": f"SELECT 1e0 / (64 * var_pop(v)) FROM (SELECT unnest(e) AS v FROM ({TRAINED}))",
+}
+SETTINGS["classifier", "svm"] = MACHINE | {"degree": "SELECT 3"}
+SETTINGS["regressor", "svr"] = MACHINE
+
+
+def read_back(model) -> dict[str, float]:
+    """What a fitted model says of itself."""
+    if hasattr(model, "arrays"):
+        learned = model.arrays()
+        if "trees" in learned:
+            return {"trees": len(learned["offsets"]) - 1, "first_feature": learned["trees"][0][0], "first_cut": learned["trees"][0][2]}
+        if "landmarks" in learned:
+            return {"landmarks": len(learned["landmarks"]), "gamma": learned["gamma"], "degree": learned["degree"]}
+        return {f"layer_{i}": learned[f"w{i}"].shape[1] for i in range(int(learned["layers"]))}
+    if hasattr(model, "getNumTrees"):
+        return {"trees": model.getNumTrees}
+    return {"coefficients": len(model.coefficients)} if hasattr(model, "coefficients") else {"features": model.numFeatures}
+
+
+def as_items(items: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS item, CAST(({v}) AS DOUBLE) AS value" for k, v in (COUNTS | items).items())
+
+
+def described(spark, train, model, scored, kind: str, label: str, wanted) -> DataFrame:
+    """Rows (item, value): counts, what the model says of itself, and whether it learned."""
+    looked = checked(scored, kind, label)
+    n, inside, learned = looked.agg(F.count(F.lit(1)), F.count_if(F.col("in_range")), F.min(F.col("learned").cast("int"))).first()
+    said = read_back(model.stages[-1])
+    items = {"n_train": train.count(), "n_held": n, "n_in_range": inside, "learned": learned} | {k: said[k] for k in wanted}
+    return spark.createDataFrame([(k, float(v)) for k, v in items.items()], "item string, value double")
 
+
+def register_model(kind: str, name: str, label: str) -> None:
+    wanted = SETTINGS.get((kind, name))
+    if wanted is None:
+        def run(spark, sf_dir):
+            train, test = halves(spark, sf_dir)
+            _, scored = train_difficulty_model(train, test, kind, name, label)
+            return checked(scored, kind, label)
+
+        sql, rounded = CHECKED, []
+    else:
+        def run(spark, sf_dir):
+            train, test = halves(spark, sf_dir)
+            model, scored = train_difficulty_model(
+                train, test, kind, name, label, balance=kind == "classifier" and name == "logreg"
+            )
+            return described(spark, train, model, scored, kind, label, wanted)
+
+        sql, rounded = as_items(wanted), ["value"]
     run.__name__ = f"{name}_{kind}"
-    query(CHECKED)(run)
+    query(sql, rounded=rounded)(run)
 
 
 for _name in CLASSIFIERS:
@@ -140,11 +222,15 @@ for _balance in ("weights", "downsample", "augment"):
     register_balanced(_balance)
 
 
-@query(CHECKED)
+LAYERS = {f"layer_{i}": f"SELECT {n}" for i, n in enumerate((1024, 512, 64, 1))}
+
+
+@query(as_items(LAYERS), rounded=["value"])
 def dense_network_classifier(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    model = fit_model(train, dense_classifier(64, label="complex"))
-    return checked(score(model, test, "classifier", ["id", "complex"]), "classifier", "complex")
+    model = fit_model(train, dense_classifier(label="complex"))
+    scored = score(model, test, "classifier", ["id", "complex"])
+    return described(spark, train, model, scored, "classifier", "complex", LAYERS)
 
 
 @query(CHECKED)

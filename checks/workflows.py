@@ -127,7 +127,7 @@ def high_cost_ensemble(spark, sf_dir):
     members = [
         build_estimator("classifier", "logreg", label="high_cost", weight="weight", **unit_penalty(train, "logreg", "high_cost")),
         build_estimator("classifier", "svm", label="high_cost", weight="weight", **unit_penalty(train, "svm", "high_cost")),
-        dense_classifier(64, (100,), label="high_cost"),
+        dense_classifier((100,), label="high_cost"),
     ]
     scored = durable(ensemble(weighted, test, members, "classifier", ["id", "high_cost"]))
     in_range = F.col("p").between(0, 1) & F.col("prediction").isin(0, 1)

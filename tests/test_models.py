@@ -32,16 +32,16 @@ def halves(spark):
     return df.where("id < 300").cache(), df.where("id >= 300").cache()
 
 
-@pytest.mark.parametrize("name", ["logreg", "rf", "svm", "dt", "nb", "gb"])
+@pytest.mark.parametrize("name", ["logreg", "rf", "svm", "linear_svm", "dt", "nb", "gb", "xgb", "lgb"])
 def test_classifiers_separate(halves, name):
-    settings = {"rf": {"numTrees": 10}, "gb": {"maxIter": 5}}.get(name, {})
+    settings = {"rf": {"numTrees": 10}, "gb": {"maxIter": 5}, "xgb": {"rounds": 5}, "lgb": {"rounds": 10}}.get(name, {})
     _, scored = train_difficulty_model(*halves, "classifier", name, "complex", **settings)
     rows = scored.collect()
     assert len(rows) == 100 and all(0 <= r.p <= 1 for r in rows)
     assert classification_metrics(scored, "complex", "prediction").first().accuracy > 0.9
 
 
-@pytest.mark.parametrize("name", ["linear", "ridge", "huber", "dt"])
+@pytest.mark.parametrize("name", ["linear", "ridge", "huber", "svr", "dt"])
 def test_regressors_stay_in_range(halves, name):
     _, scored = train_difficulty_model(*halves, "regressor", name, "difficulty")
     assert scored.where("score < 0 OR score > 1").count() == 0
