@@ -24,48 +24,94 @@ TERM_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 UNIT = 1_000_000_000
-HELD_ENTRIES = 500_000  # entries of stripes a task holds before it spills
+HELD_ENTRIES = 1_500_000  # entries of stripes a task holds before it spills
+HELD_TERMS = 500_000
+SPILLED_TOGETHER = 50_000
 TERMS_TOGETHER = 2_048  # terms whose stripes one task turns into divergences at once
 TILE = 256  # sources on one side of a table of divergences
 AT_ONCE = 1_000_000
 
 
+class Numbers(dict):
+    """Numbers for the terms of a language, given as they come up; `names` has all of a task."""
+
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
+        super().__init__()
+        self.lang, self.names = lang, names
+
+    def __missing__(self, term: bytes) -> int:
+        number = self[term] = len(self.names)
+        self.names.append((self.lang, term))
+        return number
+
+
+class Stripes:
+    """A hash of stripes: for each (language, term) the occurrences and documents by source.
+
+    Entries are rows of three arrays (stripe * width + source, occurrences, documents); new ones
+    are appended and now and then added up.
+    """
+
+    def __init__(self):
+        self.names: list[tuple[str, bytes]] = []
+        self.terms: dict[str, Numbers] = {}
+        self.sources: dict[str, int] = {}
+        self.pending: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.waiting = 0
+        self.entries = np.empty((4, 0), np.int64)  # stripe, source, occurrences, documents
+
+    def add(self, lang: str, source: str, body: bytes) -> None:
+        counted = Counter(body.translate(TERM_BYTES).split())
+        if not counted:
+            return
+        terms = self.terms.get(lang)
+        if terms is None:
+            terms = self.terms[lang] = Numbers(lang, self.names)
+        n = len(counted)
+        numbers = np.fromiter(map(terms.__getitem__, counted), np.int64, n)
+        self.pending.append((numbers, np.fromiter(counted.values(), np.int64, n), self.sources.setdefault(source, len(self.sources))))
+        self.waiting += n
+
+    def fold(self) -> int:
+        """Add up what has been appended; returns the number of entries."""
+        if self.pending:
+            numbers, counts = (np.concatenate([p[i] for p in self.pending]) for i in (0, 1))
+            sources = np.repeat([p[2] for p in self.pending], [len(p[0]) for p in self.pending])
+            new = np.stack([numbers, sources, counts, np.ones(len(numbers), np.int64)])
+            rows = np.concatenate([self.entries, new], axis=1)
+            key = rows[0] * len(self.sources) + rows[1]
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            self.entries = np.concatenate([rows[:2, order[starts]], np.add.reduceat(rows[2:, order], starts, axis=1)])
+            self.pending, self.waiting = [], 0
+        return self.entries.shape[1]
+
+    def spilled(self) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        langs, terms = pa.array([n[0] for n in self.names], pa.string()), pa.array([n[1] for n in self.names], pa.binary())
+        sources = pa.array(list(self.sources), pa.string())
+        for at in range(0, self.entries.shape[1], SPILLED_TOGETHER):
+            stripe, source, count, docs = self.entries[:, at : at + SPILLED_TOGETHER]
+            columns = [langs.take(pa.array(stripe)), terms.take(pa.array(stripe)), pa.array(docs), sources.take(pa.array(source)), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "source", "count"])
+
+
 def stripes(docs: DataFrame) -> DataFrame:
     """Rows (lang, term, docs, source, count), spilled by tasks; one term may come from many.
 
     `docs` is (lang, source, body), body the text's bytes. A document adds its occurrences to
-    the stripe's source and 1 to its documents, which are carried by the source's row.
+    the stripe's source and 1 to its documents.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes], dict[str, list[int]]] = {}
-        entries = 0
-
-        def spilled() -> pa.RecordBatch:
-            flat = [(key[0], key[1], n[1], source, n[0]) for key, stripe in held.items() for source, n in stripe.items()]
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in flat], k) for i, k in enumerate(kinds)], names=["lang", "term", "docs", "source", "count"]
-            )
-
+        held = Stripes()
         for batch in batches:
             for lang, source, body in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "body"))):
-                for term, count in Counter(body.translate(TERM_BYTES).split()).items():
-                    stripe = held.get((lang, term))
-                    if stripe is None:
-                        stripe = held[lang, term] = {}
-                    n = stripe.get(source)
-                    if n is None:
-                        stripe[source] = [count, 1]
-                        entries += 1
-                    else:
-                        n[0] += count
-                        n[1] += 1
-                if entries >= HELD_ENTRIES:
-                    yield spilled()
-                    held, entries = {}, 0
-        if held:
-            yield spilled()
+                held.add(lang, source, body)
+                if held.waiting >= HELD_ENTRIES and held.fold() >= HELD_ENTRIES or len(held.names) >= HELD_TERMS:
+                    yield from held.spilled()
+                    held = Stripes()
+        yield from held.spilled()
 
     return docs.mapInArrow(fold, "lang string, term binary, docs long, source string, count long")
 
@@ -128,7 +174,10 @@ def against(entries: pd.DataFrame, mine: pd.DataFrame, others: pd.DataFrame, the
             more = apart(p[:, None], q[row[lo:hi] - a]) - base[place[lo:hi]]
             if once:
                 more[dense[row[lo:hi] - a] > 0] = 0
-            np.add.at(out, place[lo:hi], more)
+            by_place = np.argsort(place[lo:hi], kind="stable")
+            places = place[lo:hi][by_place]
+            starts = np.flatnonzero(np.append(True, np.diff(places) != 0))
+            out[places[starts]] += np.add.reduceat(more[by_place], starts, axis=0)
     return out
 
 
@@ -137,7 +186,7 @@ def tile_rows(key: tuple, entries: pd.DataFrame, sources: pd.DataFrame, top: int
     lang, left, right, salt = key
     columns = ["lang", "source", "part", "item", "value"]
     side = {}
-    terms, t = np.unique(entries["term"].to_numpy(object), return_inverse=True) if len(entries) else ([], np.empty(0, np.int64))
+    t, terms = pd.factorize(entries["term"])
     entries = entries.assign(t=t)
     for tile in {left, right}:
         there = sources[sources["tile"] == tile].sort_values("number", ignore_index=True)
