@@ -97,11 +97,13 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, id: str, text: str, host: str, path: str, label: str) -> None:
         base = shaped(docs.select(F.col(id).alias("id"), *placed(text, host, path)))
-        known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("of")).agg(F.min((F.col(label) > 0).cast("int")).alias("good"))
-        self.rows = store(base.join(known, F.col("id") == F.col("of"), "left").drop("of"), "shapes")
-        self.evidence, share = bin_evidence(self.rows.where("good is not null"))
+        self.known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("of")).agg(
+            F.min((F.col(label) > 0).cast("int")).alias("label")
+        )
+        self.rows = store(self.labelled(base), "shapes")
+        self.evidence, share = bin_evidence(self.rows.where("label is not null").withColumnRenamed("label", "good"))
         self.prior = F.ln(F.lit(share / (1 - share)))
-        rows = self.rows.select("host", "path", F.coalesce(F.col("good").cast("double"), self.guess()).alias("vote"))
+        rows = self.rows.select("host", "path", F.coalesce(F.col("label").cast("double"), self.guess()).alias("vote"))
         self.paths = store(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("vote").alias("k")), "paths")
         self.hosts = store(
             self.paths.groupBy("host").agg(
@@ -121,15 +123,19 @@ class Model:
             self.host_m = strength(n, t.nn / n, t.between - t.k * t.k / n, t.hosts - 1, p * (1 - p))
             self.path_m = strength(n, t.nn_below, t.below - t.between, t.paths - t.hosts, p * (1 - p))
 
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """The rows with the label of their id, null without one."""
+        return rows.join(self.known, F.col("id") == F.col("of"), "left").drop("of")
+
     def guess(self) -> Column:
         """How probably good a document is by its shape alone."""
         return 1 / (1 + F.exp(-(self.evidence + self.prior)))
 
     def judged(self, rows: DataFrame) -> DataFrame:
-        """Add evidence, site_good and good to rows with a shape, a host and a path. What the
-        document's own shape says is taken out of its site."""
+        """Add evidence, site_good and good to rows with a shape, a label, a host and a path. The
+        document's own vote, its label or what its shape says, is taken out of its site."""
         rows = rows.withColumn("evidence", self.evidence)
-        rows = rows.withColumn("own", 1 / (1 + F.exp(-(F.col("evidence") + self.prior))))
+        rows = rows.withColumn("own", F.coalesce(F.col("label").cast("double"), self.guess()))
         joined = rows.join(self.paths.select("path", "n", "k"), "path").join(self.hosts.select("host", "host_n", "host_k"), "host")
         host_good = (F.col("host_k") - F.col("own") + F.lit(self.host_m * self.share)) / (F.col("host_n") - 1 + F.lit(self.host_m))
         site_good = (F.col("k") - F.col("own") + F.lit(self.path_m) * host_good) / (F.col("n") - 1 + F.lit(self.path_m))
@@ -148,14 +154,14 @@ def score(
     label: str = "quality", threshold: float = 0.25,
 ) -> DataFrame:
     """One row per row of `docs`: id, host, path, evidence, site_good (the path's posterior share of
-    good documents, without what the document's own shape says), good (the probability) and kept.
+    good documents, without the document's own vote), good (the probability) and kept.
 
     Every document counts for its site: with its label if it has one, otherwise with the
     probability its shape gives. Below `threshold` it is rejected; losing a good document counts
     three times as much as keeping a bad one. Null text is empty text. Null hosts and paths are
     sites of their own. Repeated rows count as often as they are there; a document with several
     labels has the lowest. Without labels nothing is known, and all is kept. Extra columns are
-    not looked at. An empty table gives an empty result.
+    not looked at. Texts of any length are counted whole. An empty table gives an empty result.
     """
     model = Model(docs, labels, id, text, host, path, label)
     judged = model.judged(model.rows)
@@ -170,5 +176,6 @@ def keep(
     only the sites are joined to it."""
     model = Model(docs, labels, id, text, host, path, label)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = model.judged(shaped(docs.select(whole, *placed(text, host, path)))).where(F.col("good") >= threshold)
+    shapes = shaped(docs.select(F.col(id).alias("id"), whole, *placed(text, host, path)))
+    kept = model.judged(model.labelled(shapes)).where(F.col("good") >= threshold)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
