@@ -41,7 +41,9 @@ def preferences(
     and roles are empty when rendered, but differ from empty ones when compared. Turns without a
     conversation belong to none. Without common turns there is no prompt row; of two equal
     conversations all is prompt and there is no completion; a conversation without turns gives
-    none. Extra columns are not looked at. Empty tables give an empty result.
+    none. Each row of `pairs` is formatted by itself: repeated rows, and pairs that share a
+    pair_id or have none, come out as often as they are there. Texts of any length are one row
+    a turn. Extra columns are not looked at. Empty tables give an empty result.
     """
     rows = turns.where(F.col(conversation).isNotNull()).select(
         F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
@@ -50,18 +52,20 @@ def preferences(
     ranked = numbered(rows, ["conversation"], ["turn", "role", "text"], "position", {"before": F.length("rendered").cast("long")})
     said = F.sha2(F.to_json(F.struct("role", "text")), 256)
     ranked = store(ranked.withColumn("said", said).drop("turn", "text"), "turns")
-    sides = pairs.select(
-        "pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("of")) for s in ("chosen", "rejected")])).alias("s")
-    ).select("pair_id", "s.side", "s.of")
+    # Every row of `pairs` is a pair of its own, whatever its pair_id.
+    numbers = store(pairs.select("pair_id", "chosen", "rejected").withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    sides = numbers.select(
+        "pair", "pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("of")) for s in ("chosen", "rejected")])).alias("s")
+    ).select("pair", "pair_id", "s.side", "s.of")
     placed = store(
         sides.join(ranked, F.col("of") == F.col("conversation")).drop("of", "conversation"), "sides"
     )
-    per_position = placed.groupBy("pair_id", "position").agg(
+    per_position = placed.groupBy("pair", "position").agg(
         F.count(F.lit(1)).alias("n"), F.min("said").alias("a"), F.max("said").alias("b"), F.min("before").alias("before")
     )
     # Up to the first difference both sides have the same characters before them.
-    first = per_position.where("n < 2 or a <> b").groupBy("pair_id").agg(F.min(F.struct("position", "before")).alias("apart"))
-    joined = placed.join(first, "pair_id", "left")
+    first = per_position.where("n < 2 or a <> b").groupBy("pair").agg(F.min(F.struct("position", "before")).alias("apart"))
+    joined = placed.join(first, "pair", "left")
     shared = F.col("apart").isNull() | (F.col("position") < F.col("apart.position"))
     joined = joined.withColumn("part", F.when(shared, F.lit("prompt")).otherwise(F.col("side")))
     joined = joined.where(~((F.col("part") == "prompt") & (F.col("side") == "rejected")))
