@@ -205,7 +205,8 @@ def near_duplicates(
     Every link returned is verified; a pair at the threshold itself is found with probability
     `recall`, closer ones with more. Equal vectors are one vector with a weight, so copies
     make no pairs. Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing, nor do vectors of different lengths. A row without an id counts as a
+    link with nothing, nor do vectors of different lengths; very large and small components count
+    like others. A row without an id counts as a
     link of others, but has a null component and is not kept if all its copies have none;
     copies of its vector with an id name it. Repeated rows count as links of each other. Other
     columns are not looked at. An empty table gives an empty result.
@@ -214,9 +215,17 @@ def near_duplicates(
     base = rows.select(F.col(id).alias("vec_id"), doubles.alias("values"))
     finite = ~F.exists("values", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     length = F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x)
+    largest = F.array_max(F.transform("values", lambda x: F.abs(x)))
     good = F.coalesce((F.size("values") > 0) & finite, F.lit(False))
-    good = F.when(good, (length > 0) & (length < float("inf"))).otherwise(False)
+    good = F.when(good, largest > 0).otherwise(False)
     base = base.withColumn("values", F.when(good, F.col("values")))
+    # Squares of very large or small components leave double precision; the angle does not change
+    # if the vector is measured in its largest component.
+    outside = (length < 1e-200) | (length > 1e200)
+    base = base.withColumn("largest", largest)
+    base = base.withColumn(
+        "values", F.when(outside, F.transform("values", lambda x: x / F.col("largest"))).otherwise(F.col("values"))
+    ).drop("largest")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from answerflow.llm import codes, divergence, repeats
+from answerflow.llm import codes, divergence, preferences, quality, repeats, vectors
 from answerflow.llm.common import join_groups, table
 from tests.llm import brute
 
@@ -83,6 +83,7 @@ def test_divergence(spark, documents, sf, monkeypatch, tile, together, held):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "TERMS_TOGETHER", together)
     monkeypatch.setattr(divergence, "HELD_ENTRIES", held)
+    monkeypatch.setattr(divergence, "SPILLED_TOGETHER", held)
     rng = random.Random(1)
     terms = ["Über", "straße", "a", "B", "été", "d", "naïve", "zebra9zoo", "你好"]
     mixed = [(rng.choice(["en", "de", None, ""]), rng.choice("abcdefg"), " ".join(rng.choices(terms, k=rng.randrange(30)))) for _ in range(150)]
@@ -173,3 +174,33 @@ def test_groups_joined_by_size(spark):
     groups = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k is null or k < 250")
     got = join_groups(rows, groups, ["k"], "n")
     assert Counter((r.k, r.n) for r in got.collect()) == Counter({(None, 900): 900} | {(k, 2): 2 for k in range(250)})
+
+
+def test_very_large_and_small_vectors_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-310, 1e-310]), (4, [3.0, 3.0]), (5, [1e300, -1e300]), (6, [0.0, 0.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got.collect()} == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6)}
+
+
+def test_a_label_does_not_judge_its_own_row(spark):
+    docs = spark.createDataFrame([(1, "some words here", "en", "a"), (2, "some words here", "en", "b")], "doc_id long, text string, lang string, source string")
+    known = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    rows = {r.id: r for r in quality.score(docs, known).collect()}
+    assert rows[1].site_good == pytest.approx(0.5) and rows[2].site_good == pytest.approx(0.5)
+    assert rows[1].kept and rows[2].kept and quality.keep(docs, known).count() == 2
+
+
+def test_pairs_that_repeat_or_have_no_id(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, "user", "hi")],
+        "conv_id long, turn long, role string, text string",
+    )
+    one = [("prompt", "<|user|>\nhi<|end|>\n"), ("chosen", "<|assistant|>\nyes<|end|>\n"), ("rejected", "<|assistant|>\nno<|end|>\n")]
+    for pair_ids in ([7, 7], [None], [None, None, 3]):
+        pairs = spark.createDataFrame([(p, 1, 2) for p in pair_ids], "pair_id long, chosen long, rejected long")
+        got = preferences.preferences(turns, pairs).collect()
+        assert Counter((r.pair_id, r.part, r.text) for r in got) == Counter((p, *x) for p in pair_ids for x in one)
+    # Two different pairs under one id.
+    pairs = spark.createDataFrame([(7, 1, 2), (7, 1, 3)], "pair_id long, chosen long, rejected long")
+    got = preferences.preferences(turns, pairs).collect()
+    assert Counter((r.part, r.text) for r in got) == Counter([*one, one[0], one[1]])
