@@ -27,6 +27,8 @@ class PromptCache(StatefulProcessor):
         text, parts = None, []
         for part in rows:
             if len(part):
+                # Spark renames columns that are no Python names; their order stays.
+                part.columns = [*self.columns, HASH]
                 text = part[self.prompt].iloc[0]
                 parts.append(part[[c for c in self.columns if c != self.prompt]])
         if not parts:

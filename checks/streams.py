@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerflow.functions.costs import PROFILES
+from answerflow.streaming.cache import semantic_cache
 from answerflow.streaming.cascade import cascade_resolution, resolve_cascades
 from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state
 from answerflow.streaming.prompts import (
@@ -186,3 +187,33 @@ def deduplicated_prompt_stream(spark, sf_dir):
     stream = event_stream(spark, sf_dir).select("response_id", "ts", "prompt")
     with rocksdb_state(spark):
         return append_available(dedupe_prompts(stream), "deduplicated").select("response_id", "prompt")
+
+
+# A user's prompts one after the other: entries of the last five days, four at most, first in, first out.
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings),
+e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CAST(v.embedding AS DOUBLE[]) AS e,
+             row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k
+      FROM events, n JOIN embeddings v ON v.vec_id = event_id % n.n),
+c AS (
+  SELECT user_id, k, event_id, CAST(NULL AS BIGINT) AS met, CAST(NULL AS DOUBLE) AS similarity,
+         [{'id': event_id, 't': t, 'e': e}] AS entries FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, best.id, best.s,
+         CASE WHEN best IS NULL THEN list_append(live, {'id': event_id, 't': t, 'e': e})[-4:] ELSE live END
+  FROM (SELECT *, list_filter(near, lambda x: x.s >= 2e-1 AND x.s = list_max(list_transform(near, lambda y: y.s)))[1] AS best
+        FROM (SELECT *, list_transform(live, lambda x: {'id': x.id, 's': list_cosine_similarity(x.e, e)}) AS near
+              FROM (SELECT e.*, list_filter(c.entries, lambda x: x.t + 432000000000 >= e.t) AS live
+                    FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1))))
+SELECT event_id AS response_id, CAST(met AS STRING) AS cached_id, similarity FROM c
+""", rounded=["similarity"])
+def semantic_cache_stream(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+    events = event_stream(spark, sf_dir).select("response_id", "ts", "session_id")
+    prompts = events.join(vectors.select("vec_id", "embedding"), F.col("response_id") % n == F.col("vec_id")).drop("vec_id")
+    with rocksdb_state(spark):
+        cached = semantic_cache(
+            prompts, key="response_id", scope="session_id", threshold=0.2, ttl_seconds=432_000, max_entries=4, planes=0
+        )
+        return append_available(cached, "semantic-cache").select("response_id", "cached_id", "similarity")

@@ -101,6 +101,15 @@ def test_repeats_within_the_time_limit_are_dropped(spark, tmp_path):
     assert sorted((r.id, r.prompt) for r in kept) == [(1, "x"), (3, "y"), (5, "z"), (6, "x")]
 
 
+def test_repeats_in_columns_of_any_name(spark, tmp_path):
+    schema = "`class` long, ts timestamp, `the prompt` string, _x long"
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "x", 5), (1, dt.datetime(2024, 1, 1), "x", 5)], schema).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    with rocksdb_state(spark):
+        kept = append_available(dedupe_prompts(events, key="the prompt"), "named")
+    assert [tuple(r) for r in kept.select("class", "the prompt", "_x").collect()] == [(1, "x", 5)]
+
+
 def test_only_named_files_are_read(spark, sf):
     assert append_available(read_stream(spark, sf, "events.parquet", EVENTS).select("event_id"), "e").count() == 1000
 
