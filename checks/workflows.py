@@ -9,15 +9,16 @@ from answerflow.operators.grading import grade_responses, run_summary
 from answerflow.operators.labels import label_complex, label_high_cost
 from answerflow.operators.merge import ensemble_accuracy, pairs_from_outcomes
 from answerflow.operators.metrics import classification_metrics, confusion_matrix
-from answerflow.operators.neighbours import knn_classify
+from answerflow.operators.neighbours import build_tree, knn_classify
 from answerflow.operators.ordering import ordered_totals
 from answerflow.operators.prep import random_split, stratified_split, with_class_weights
 from answerflow.operators.replay import calibrate, calibrated, replay_policies
 from answerflow.plans.features import text_features
 from answerflow.plans.models import build_estimator, dense_classifier, ensemble, fit_model, score, unit_penalty
-from answerflow.session import durable
+from answerflow.session import durable, scratch_path
 from answerflow.streaming.jobs import append_available, read_stream
 from answerflow.streaming.prompts import route_prompts
+from answerflow.streaming.selection import publish_index, select_models
 from checks.models import CHECKED, HELD, NEAR, halves, parts
 from checks.policy import MODEL, UTILITY
 from checks.registry import query
@@ -45,6 +46,22 @@ def replay_with_neighbour_scores(spark, sf_dir):
     return replay_policies(scored, MODEL, router=route_by_utility(F.col("p"), MODEL))
 
 
+VECTORS = "vec_id bigint, embedding array<float>, label int"
+
+
+@query(f"""
+WITH {NEAR.format(label='complex')}, k AS (SELECT id, avg(y) AS p FROM r WHERE rk <= 5 GROUP BY id)
+SELECT id, p, CASE WHEN p >= 5e-1 THEN 'llm' ELSE 'slm' END AS route FROM k
+""", rounded=["p"])
+def neighbour_routed_stream(spark, sf_dir):
+    train, _ = parts(spark, sf_dir)
+    index = scratch_path(spark, "index")
+    publish_index(build_tree(train, "complex"), index)
+    vectors = read_stream(spark, sf_dir, "embeddings.parquet", VECTORS).withColumnRenamed("vec_id", "id")
+    live = random_split(vectors, "id").where("split = 'test'").drop("split")
+    return select_models(live, index, use_utility=False).select("id", "p", "route")
+
+
 VALIDATION = f"(SELECT * FROM fx_pairs WHERE {HELD})"
 RATES = f"""
 r AS (SELECT avg(slm_correct) FILTER (WHERE p < 5e-1) AS qss, avg(slm_correct) FILTER (WHERE p >= 5e-1) AS qsc,
