@@ -68,13 +68,19 @@ def cascade_rows(events: DataFrame) -> DataFrame:
     bad and the large answer as good.
 
     Needs `kind`, `question` and `slm_`/`llm_` response_id, answer, latency, input_tokens and
-    output_tokens. A blank id is replaced by a new one.
+    output_tokens. A blank id is replaced by one made from the event's whole content and the side,
+    so a batch that is repeated logs the same ids; events alike in every column share theirs.
     """
+    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+
+    def made(side: str) -> Column:
+        digits = F.substring(F.sha2(F.concat(F.lit(f"{side} "), content), 256), 1, 32)
+        return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
 
     def row(side: str, good: bool) -> Column:
         given = F.nullif(strip_space(F.col(f"{side}_response_id").cast("string")), F.lit(""))
         return F.struct(
-            F.coalesce(given, F.uuid()).alias("response_id"),
+            F.coalesce(given, made(side)).alias("response_id"),
             joined_lines(strip_space(F.col("question"))).alias("question"),
             joined_lines(strip_space(F.col(f"{side}_answer"))).alias("answer"),
             F.col(f"{side}_latency").alias("latency"),

@@ -94,7 +94,7 @@ def cascade_log_stream(spark, sf_dir):
         F.col("output_tokens").alias("llm_output_tokens"),
     )
     logged = append_available(cascade_rows(rows), "cascade-log")
-    # New ids are random; they are 36 characters long.
+    # Ids made from the content are 36 characters long.
     fresh = F.length("response_id") == 36
     return logged.select(
         F.when(~fresh, F.col("response_id")).alias("response_id"), "model", "is_good", "latency", "question"

@@ -83,6 +83,11 @@ def test_cascade_rows(spark):
     assert sorted((r.model, r.is_good) for r in got) == [("large", True), ("small", False), ("small", True)]
     fresh = [r for r in got if r.model == "small" and not r.is_good]
     assert len(fresh[0].response_id) == 36
+    # The same events again, in other partitions: the same ids; another event: another id.
+    again = cascade_rows(spark.createDataFrame(rows, cols).repartition(3)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    other = cascade_rows(spark.createDataFrame([rows[1][:5] + (9,) + rows[1][6:]], cols)).where("model = 'small'").first()
+    assert len(other.response_id) == 36 and other.response_id != fresh[0].response_id
 
 
 def test_repeats_within_the_time_limit_are_dropped(spark, tmp_path):
