@@ -1,10 +1,13 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The root has the smoothed word frequencies. A context of one or more preceding words is a node of
-the tree if its next words differ from those of its suffix: if two draws of its next word agree
-clearly more often than two draws after the suffix do (a test on the collision divergence).
-A node's distribution is its counts, smoothed with its suffix's distribution by as much as it has
-different next words. A word is scored in the longest suffix of its history that is a node.
+The root has the smoothed word frequencies. A node's distribution is its counts, smoothed with its
+longest suffix in the tree by as much as it has different next words. A context of one or more
+preceding words is a node if its next words diverge from those of that suffix: every occurrence of a
+next word is left out in turn and predicted by the others, and the sum of the logarithms of its
+probability over the suffix's (the number of occurrences times the estimated Kullback-Leibler
+divergence) must exceed a threshold. Leaving out makes up for few counts in a large vocabulary: a
+context like its suffix loses. A context that is no node doesn't rule out longer ones; it stands in
+the tree with its suffix's distribution. A word is scored in the longest node that its history ends in.
 
 Documents are handled in blocks. A block asks for the counts of the words and contexts it has:
 its keys, sorted and packed, are dealt by ranges of their hash, summed up over all blocks and
@@ -32,10 +35,10 @@ IN_A_RANGE = 1_500_000
 KNOWN_WORDS = 300_000
 # Next words are told apart by 40 bits of their hash, within one context.
 NEXT = np.uint64((1 << 40) - 1)
-# How often two draws agree must exceed the suffix's by this factor and by so many deviations.
-FACTOR, DEVIATIONS = 1.5, 3.0
-# Room for rounding where contexts are ruled out.
-SLACK = 1e-5
+# The divergence from the suffix, in nats over all occurrences, from which a context is a node.
+DIVERGENCE = 3.0
+# Suffixes' probabilities travel as logarithms in steps of this part of a nat, in one byte.
+STEPS = 8
 
 _known: dict[bytes, int] = {}
 
@@ -79,8 +82,8 @@ def word_hashes(text: str | None) -> list[int]:
 END = xxhash.xxh64_intdigest(b" ", 0)
 
 
-def blocks(docs: DataFrame, fold: int) -> DataFrame:
-    """Rows id, text as blocks: the documents' ids and lengths, whether they are held out, their
+def blocks(docs: DataFrame, fold: int, name: str) -> DataFrame:
+    """Rows id, text as blocks, in a table of this name: the documents' ids and lengths, whether they are held out, their
     tokens as places in the block's sorted distinct word hashes."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 24
@@ -113,7 +116,6 @@ def blocks(docs: DataFrame, fold: int) -> DataFrame:
     made = rows.mapInPandas(build, "block long, ids array<long>, held binary, lengths binary, tokens binary, words binary")
     # Kept by block, so that answers meet their block without the blocks being dealt again.
     spark = docs.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
     made.write.bucketBy(shuffle_width(spark), "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     return spark.table(name)
 
@@ -160,8 +162,8 @@ def ranges(keys: np.ndarray, count: int) -> list[tuple[int, int, int]]:
 
 
 WORD_ASK = "block long, part int, words binary, counts binary"
-WORD_REPLY = "block long, part int, level int, counts binary, more binary, totals binary, rate binary, tokens long, distinct long, squares double"
-GRAM_ASK = "block long, part int, contexts binary, many binary, next binary, counts binary"
+WORD_REPLY = "block long, part int, level int, counts binary, more binary, totals binary, node binary, tokens long, distinct long"
+GRAM_ASK = "block long, part int, contexts binary, many binary, next binary, counts binary, suffix binary"
 
 
 def ask_words(state: DataFrame, parts: int) -> DataFrame:
@@ -203,7 +205,7 @@ def reply_words(asked: DataFrame) -> DataFrame:
                 first = i == 0
                 out.append((
                     row["block"], row["part"], 0, pack(total[at[end - len(w) : end]]), None, None, None, int(total.sum()) if first else 0,
-                    int((total > 0).sum()) if first else 0, float((total.astype(float) ** 2).sum()) if first else 0.0,
+                    int((total > 0).sum()) if first else 0,
                 ))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in WORD_REPLY.split(", ")])
 
@@ -214,9 +216,22 @@ def dealt(asked: DataFrame) -> DataFrame:
     return asked.repartition(shuffle_width(asked.sparkSession), "part").sortWithinPartitions("part")
 
 
-def reply_grams(asked: DataFrame, level: int) -> DataFrame:
+def divergence(count: np.ndarray, suffix: np.ndarray, of: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Per context the sum over its occurrences of log(probability by the other ones / suffix's).
+
+    `count` and `suffix` (minus the log of the suffix's probability) are per (context, next word),
+    `of` says which context, `n` and `more` are its occurrences and different next words.
+    """
+    at = np.flatnonzero((count > 0) & (n[of] > 1))
+    c, q, of = count[at], suffix[at], of[at]
+    others = more[of] - (c == 1)
+    left = (c - 1 + others * np.exp(-q)) / (n[of] - 1 + others)
+    return np.bincount(of, weights=c * (np.log(left) + q), minlength=len(n))
+
+
+def reply_grams(asked: DataFrame, level: int, last: bool) -> DataFrame:
     """Per (context, next word) its count over all blocks; per context how many different next
-    words it has, how many in all, and how often two draws agree."""
+    words it has, how many in all, and whether it is a node. At the last level only nodes have counts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in per_part(batches):
             contexts = [unpack_sorted(r["contexts"]) for r in rows]
@@ -228,37 +243,44 @@ def reply_grams(asked: DataFrame, level: int) -> DataFrame:
             count = np.bincount(at, weights=np.concatenate([unpack(r["counts"], "<u4") for r in rows]))
             of = (key >> np.uint64(40)).astype(np.int64)
             n = np.bincount(of, weights=count, minlength=len(context))
-            agree = np.bincount(of, weights=count * (count - 1) / 2, minlength=len(context))
-            rate = (agree / np.maximum(n * (n - 1) / 2, 1)).astype("<f4")
-            more = np.bincount(of, weights=count > 0, minlength=len(context)).astype("<u4")
-            count = count.astype("<u8")
+            more = np.bincount(of, weights=count > 0, minlength=len(context))
+            suffix = np.zeros(len(key))
+            # The same from every block that asks.
+            suffix[at] = np.concatenate([unpack(r["suffix"], "u1") for r in rows]) / STEPS
+            node = divergence(count, suffix, of, n, more) > DIVERGENCE
+            if last:
+                count, n, more = count * node[of], n * node, more * node
+            count, n, more, node = count.astype("<u8"), n.astype("<u8"), more.astype("<u4"), node.astype("u1")
             out, c, g = [], 0, 0
             for row, has, size in zip(rows, contexts, many):
                 mine, entries = which[c : c + len(has)], at[g : g + size.sum()]
                 c, g = c + len(has), g + int(size.sum())
-                out.append((row["block"], row["part"], level, pack(count[entries]), pack(more[mine]), pack(n[mine].astype("<u8")), pack(rate[mine]), 0, 0, 0.0))
+                out.append((row["block"], row["part"], level, pack(count[entries]), pack(more[mine]), pack(n[mine]), pack(node[mine]), 0, 0))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in WORD_REPLY.split(", ")])
 
     return dealt(asked).mapInPandas(run, WORD_REPLY)
 
 
-def ask_grams(block: Block, order: int, at: np.ndarray, parts: int) -> pd.DataFrame:
-    """What a block asks for, for the tokens `at`."""
+def ask_grams(block: Block, order: int, at: np.ndarray, probability: np.ndarray, parts: int) -> pd.DataFrame:
+    """What a block asks for, for the tokens `at`, whose probability after their suffix is known."""
     context, many, following, gram = block.grams(order, at)
     counts = np.bincount(gram[block.train[at]], minlength=len(following)).astype("<u4")
+    suffix = np.zeros(len(following), "u1")
+    suffix[gram] = np.clip(np.rint(-np.log(probability[at]) * STEPS), 0, 255)
     ends = np.cumsum(many)
     out = []
     for i, a, b in ranges(context, parts):
         g, h = int(ends[a] - many[a]), int(ends[b - 1])
         out.append((
             block.number, i, pack_sorted(context[a:b]), pack(many[a:b].astype("<u4")), pack(following[g:h]), pack(counts[g:h]),
+            pack(suffix[g:h]),
         ))
     return pd.DataFrame(out, columns=[c.split()[0] for c in GRAM_ASK.split(", ")])
 
 
 class Tree:
     """What a block knows of the tree after some levels: per token the probability in the longest
-    node so far, and which tokens may have a longer one."""
+    node so far."""
 
     def __init__(self, block: Block, replies: list, corpus: dict) -> None:
         self.block, self.corpus = block, corpus
@@ -270,51 +292,41 @@ class Tree:
         self.count = counts[block.tokens]
         self.base = (self.count + 0.1) / (n + 0.1 * (v + 1))
         self.probability = self.base.copy()
-        #: How often two draws agree in the node that a token's suffix is.
-        self.rate = np.full(len(self.count), corpus["squares"] / max(n, 1) ** 2)
-        self.open = np.arange(len(self.count))
         #: How often each token was learned from after the words before it, as many as the level
-        #: has; endless where that was not asked.
+        #: has; none where that was not asked, as even the words before it come less than twice.
         self.last = self.count
         self.level = 0
 
     def eligible(self) -> np.ndarray:
-        """Tokens with enough words before them, whose shorter context is a node, and whose longer
-        one can be: two draws can't agree more often than always, and the number of draws is known
-        from the level before, where the context was a next word after its first words."""
-        at = self.open[self.block.place[self.open] > self.level]
-        rate, n = self.rate[at], self.last[at - 1]
-        room = 1 - FACTOR * rate
-        return at[(room > 0) & (n * (n - 1) / 2 * np.square(np.maximum(room, SLACK)) > DEVIATIONS * DEVIATIONS * rate * (1 - SLACK))]
+        """Tokens whose context of one word more comes twice at least. How often it comes is known from
+        the level before, where its last word was a next word after its first ones."""
+        at = np.flatnonzero(self.block.place > self.level)
+        return at[self.last[at - 1] > 1]
 
     def grow(self) -> None:
         """Take the next level's replies."""
         order = self.level + 1
         at = self.eligible()
         context, many, following, gram = self.block.grams(order, at)
+        self.last = np.zeros(len(self.count))
         if len(at):
             found = self.replies[order]
-            count, more, total, rate = (
+            count, more, total, node = (
                 np.concatenate([unpack(r[c], kind) for r in found]).astype(np.float64)
-                for c, kind in (("counts", "<u8"), ("more", "<u4"), ("totals", "<u8"), ("rate", "<f4"))
+                for c, kind in (("counts", "<u8"), ("more", "<u4"), ("totals", "<u8"), ("node", "u1"))
             )
-            self.last = np.full(len(self.count), np.inf)
             self.last[at] = count[gram]
             which = np.repeat(np.arange(len(context)), many)[gram]
-            pairs = total * (total - 1) / 2
-            expected = self.rate[at] * pairs[which]
-            node = (rate * pairs)[which] > FACTOR * expected + DEVIATIONS * np.sqrt(expected)
-            at, which, gram = at[node], which[node], gram[node]
+            kept = node[which] > 0
+            at, which, gram = at[kept], which[kept], gram[kept]
             mixed = count[gram] + more[which] * self.probability[at]
             self.probability[at] = mixed / (total[which] + more[which])
-            self.rate[at] = rate[which]
-        self.open = at
         self.level = order
 
 
 def answered(state: DataFrame, replies: DataFrame) -> DataFrame:
     """Blocks with all their replies."""
-    mine = replies.groupBy("block").agg(F.collect_list(F.struct("level", "part", "counts", "more", "totals", "rate")).alias("replies"))
+    mine = replies.groupBy("block").agg(F.collect_list(F.struct("level", "part", "counts", "more", "totals", "node")).alias("replies"))
     return state.join(mine, "block")
 
 
@@ -324,16 +336,17 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", *, depth: int
 
     Documents whose id (as text, null as empty) has a CRC-32 divisible by `fold` are held out, the
     tree is learned from the others. Tokens are the words and one end; null text has none but the
-    end. Contexts have up to `depth` words. Repeated rows are learned from and come back as often
+    end. Contexts have up to `depth` words; a very long text may be a block of its own. Repeated rows are learned from and come back as often
     as they are there. Extra columns are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    state = blocks(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), fold)
+    name = f"blocks_{uuid.uuid4().hex}"
+    state = blocks(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), fold, name)
     size = state.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     # A compressed token takes about 1.5 bytes.
     parts = max(shuffle_width(spark), int(size / 1.5 / IN_A_RANGE) + 1)
     replies = store(reply_words(ask_words(state, parts)), "word-counts")
-    corpus = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "squares")]).first().asDict()
+    corpus = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct")]).first().asDict()
 
     def trees(batches: Iterator[pd.DataFrame], levels: int) -> Iterator[Tree]:
         for batch in batches:
@@ -348,10 +361,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", *, depth: int
             for tree in trees(batches, level):
                 at = tree.eligible()
                 if len(at):
-                    yield ask_grams(tree.block, level + 1, at, parts)
+                    yield ask_grams(tree.block, level + 1, at, tree.probability, parts)
 
         asked = answered(state, replies).mapInPandas(ask, GRAM_ASK)
-        replies = replies.unionAll(store(reply_grams(asked, level + 1), "gram-counts"))
+        replies = replies.unionAll(store(reply_grams(asked, level + 1, level + 1 == depth), "gram-counts"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tree in trees(batches, depth):
@@ -364,4 +377,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", *, depth: int
             })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return store(answered(state, replies).mapInPandas(finish, schema), "scores")
+    scores = store(answered(state, replies).mapInPandas(finish, schema), "scores")
+    # Only the name goes; the files stay in the shared folder.
+    spark.sql(f"DROP TABLE {name}")
+    return scores

@@ -84,39 +84,40 @@ class SuffixTree:
                 for p in range(k, len(w)):
                     self.after[tuple(w[p - k : p])][w[p]] += 1
         self.n, self.v = sum(self.one.values()), len(self.one)
-        self.rates = {(): sum((c / max(self.n, 1)) ** 2 for c in self.one.values())}
+        self.nodes = {}
 
     def out(self, id):
         return zlib.crc32(("" if id is None else str(id)).encode()) % self.fold == 0
 
-    def rate(self, context):
-        if context not in self.rates:
-            found, low = None, self.rate(context[1:])
-            if low is not None and context in self.after:
-                q = self.after[context].values()
-                pairs, agree = sum(q) * (sum(q) - 1) / 2, sum(x * (x - 1) / 2 for x in q)
-                if pairs and agree > 1.5 * low * pairs + 3 * math.sqrt(low * pairs):
-                    found = agree / pairs
-            self.rates[context] = found
-        return self.rates[context]
+    def node(self, context):
+        """Each occurrence predicted by the others against the suffix, whose logarithms are in eighths."""
+        if context not in self.nodes:
+            q = self.after.get(context, {})
+            n, gain = sum(q.values()), 0.0
+            if n > 1:
+                for word, c in q.items():
+                    suffix = min(255, round(-8 * math.log(self.probability(context[1:], word)))) / 8
+                    others = len(q) - (c == 1)
+                    gain += c * (math.log((c - 1 + others * math.exp(-suffix)) / (n - 1 + others)) + suffix)
+            self.nodes[context] = gain > 3
+        return self.nodes[context]
 
     def probability(self, context, word):
         if not context:
             return (self.one[word] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        shorter = self.probability(context[1:], word)
+        if not self.node(context):
+            return shorter
         q = self.after[context]
-        return (q[word] + len(q) * self.probability(context[1:], word)) / (sum(q.values()) + len(q))
+        return (q[word] + len(q) * shorter) / (sum(q.values()) + len(q))
 
     def score(self, text):
         w = [*words(text), None]
         base = total = 0.0
         for p, word in enumerate(w):
-            best = ()
-            for k in range(1, min(self.depth, p) + 1):
-                if self.rate(tuple(w[p - k : p])) is None:
-                    break
-                best = tuple(w[p - k : p])
+            history = tuple(w[max(0, p - self.depth) : p])
             base += math.log10(self.probability((), word))
-            total += math.log10(self.probability(best, word))
+            total += math.log10(self.probability(history, word))
         return base, total
 
 

@@ -235,6 +235,38 @@ def test_suffix_tree(spark, documents, sf):
     assert suffixes.score(documents.where("1 = 0")).count() == 0
 
 
+def test_suffix_tree_learns_which_words_follow(spark):
+    """After two words come 20 others each, spread as evenly as the words of the whole text, so draws
+    agree no more often than without a context; only which words come tells the two apart. Which of
+    two words comes after a third one only the word before it tells."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        text = []
+        for _ in range(12):
+            side = int(rng.integers(2))
+            text += ["ab"[side], f"{'ab'[side]}{rng.integers(20)}"]
+        for _ in range(6):
+            side = int(rng.integers(2))
+            text += [f"p{side}", "mid", f"q{side}"]
+        rows.append((i, " ".join(text)))
+    got = suffixes.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert len(got) > 20
+    want = brute.SuffixTree(rows)
+    assert want.node(("a",)) and want.node(("b",)) and want.node(("p0", "mid"))
+    for r in got:
+        # log10 of 20 after a and b, of 2 for a side, of 2 after p and mid: what a perfect model pays.
+        least = 12 * (math.log10(20) + math.log10(2)) + 6 * math.log10(2)
+        assert least < -r.score < least + 16 and -r.base_score > -r.score + 20
+        assert abs(r.score - want.score(rows[r.doc_id][1])[1]) < 1e-6
+
+
+def test_suffix_tree_leaves_no_table(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert suffixes.score(documents).count() == documents.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_suffix_tree_in_small_blocks(spark, monkeypatch, sf):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     whole = {r.doc_id: r.score for r in suffixes.score(docs).collect()}
