@@ -73,6 +73,17 @@ def latest_available(stream: DataFrame, keys: Sequence[str], label: str, path: s
     return newest.select(*keys, "_newest.*").select(*stream.columns)
 
 
+def stream_table(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """A parquet table as a stream, whether it is one file or a folder of files.
+
+    Spark takes a plain path for a folder and refuses a file; as a pattern it takes both.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, as custom stateful operators need."""

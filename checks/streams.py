@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from answerflow.functions.costs import PROFILES
 from answerflow.streaming.cache import semantic_cache
 from answerflow.streaming.cascade import cascade_resolution, resolve_cascades
-from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state
+from answerflow.streaming.jobs import append_available, latest_available, rocksdb_state, stream_table
 from answerflow.streaming.prompts import (
     answer_cents,
     cascade_rows,
@@ -36,7 +36,7 @@ def event_columns(events):
 
 
 def event_stream(spark, sf_dir):
-    return event_columns(read_stream(spark, sf_dir, "events.parquet", EVENTS))
+    return event_columns(stream_table(spark, f"{sf_dir}/events.parquet", EVENTS))
 
 
 P = "((response_id * 7919) % 1000) / 999e0"

@@ -16,7 +16,7 @@ from answerflow.operators.replay import calibrate, calibrated, replay_policies
 from answerflow.plans.features import text_features
 from answerflow.plans.models import build_estimator, dense_classifier, ensemble, fit_model, score, unit_penalty
 from answerflow.session import durable, scratch_path
-from answerflow.streaming.jobs import append_available, read_stream
+from answerflow.streaming.jobs import append_available, stream_table
 from answerflow.streaming.prompts import route_prompts
 from answerflow.streaming.selection import publish_index, select_models
 from checks.models import CHECKED, HELD, NEAR, halves, parts
@@ -57,7 +57,7 @@ def neighbour_routed_stream(spark, sf_dir):
     train, _ = parts(spark, sf_dir)
     index = scratch_path(spark, "index")
     publish_index(build_tree(train, "complex"), index)
-    vectors = read_stream(spark, sf_dir, "embeddings.parquet", VECTORS).withColumnRenamed("vec_id", "id")
+    vectors = stream_table(spark, f"{sf_dir}/embeddings.parquet", VECTORS).withColumnRenamed("vec_id", "id")
     live = random_split(vectors, "id").where("split = 'test'").drop("split")
     return select_models(live, index, use_utility=False).select("id", "p", "route")
 
@@ -128,7 +128,7 @@ def text_difficulty_metrics(spark, sf_dir):
 @query("SELECT conv_id, turn, true AS routed FROM conversations WHERE role = 'user'")
 def live_prompt_routes(spark, sf_dir):
     model = text_model(labelled_text(spark, sf_dir))
-    chats = read_stream(spark, sf_dir, "conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
+    chats = stream_table(spark, f"{sf_dir}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
     asked = chats.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     scored = score(model, asked, "classifier", ["conv_id", "turn"])
     routes = append_available(route_prompts(scored, PROFILES["live"]), "live-routes")

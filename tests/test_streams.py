@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerflow.streaming.cascade import cascade_resolution, resolve_cascades
-from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state
+from answerflow.streaming.jobs import append_available, latest_available, read_stream, rocksdb_state, stream_table
 from answerflow.streaming.prompts import cascade_rows, feedback_rows, feedback_windows, route_prompts
 from answerflow.streaming.repeats import dedupe_prompts
 from checks.streams import EVENTS, event_columns
@@ -115,6 +115,13 @@ def test_repeats_in_columns_of_any_name(spark, tmp_path):
     assert [tuple(r) for r in kept.select("class", "the prompt", "_x").collect()] == [(1, "x", 5)]
 
 
+def test_a_table_may_be_a_file_or_a_folder(spark, sf, tmp_path):
+    folder = str(tmp_path / "events.parquet")
+    table(spark, sf, "events").repartition(3).write.parquet(folder)
+    for path in (f"{sf}/events.parquet", folder):
+        assert append_available(stream_table(spark, path, EVENTS).select("event_id"), "t").count() == 1000
+
+
 def test_only_named_files_are_read(spark, sf):
     assert append_available(read_stream(spark, sf, "events.parquet", EVENTS).select("event_id"), "e").count() == 1000
 
