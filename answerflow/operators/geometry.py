@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from answerflow.functions.vectors import distance, dot, l2_normalize
 from answerflow.operators.blocks import compare_blocks, matrix, squared_distances
 from answerflow.operators.labels import quantile_bins
-from answerflow.operators.ordering import below_cut, hash_cuts, ordered_totals, same
+from answerflow.operators.ordering import below_cut, hash_cuts, ordered_totals, row_hash, same
 from answerflow.session import durable
 
 
@@ -222,6 +222,70 @@ def distance_label_spearman(
     )
 
 
+def _correlated_ranks(far: np.ndarray, gap: np.ndarray) -> float:
+    """Pearson correlation of tie-averaged ranks; NaN if one side is all the same."""
+    def ranks(values: np.ndarray) -> np.ndarray:
+        _, code, n = np.unique(values, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2.0)[code]
+
+    x, y = ranks(far), ranks(gap)
+    x, y = x - x.mean(), y - y.mean()
+    size = np.sqrt((x @ x) * (y @ y))
+    return float(x @ y / size) if size > 0 else float("nan")
+
+
+def distance_label_spearman_estimate(
+    df: DataFrame,
+    label: str,
+    block_rows: int = 1024,
+    key: str = "id",
+    vector: str = "embedding",
+    seed: int = 42,
+    digits: int = 6,
+) -> DataFrame:
+    """`distance_label_spearman` estimated from every row, with a standard error.
+
+    Rows in the order of a seeded hash are cut into blocks of equal size, `block_rows` at most;
+    each block's pairs give one correlation. As blocks are random and share no rows, the mean
+    (weighted by pairs) is an estimate over the table, and the spread between blocks its error.
+    The work grows in proportion to the rows, a task holds the pairs of one block. One block
+    has all pairs: the exact value, without an error. Rows without vector or label are left out.
+    """
+    rows = durable(df.select(
+        F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).cast("double").alias("label"), row_hash(key, seed).alias("hash")
+    ).where(F.col("vector").isNotNull() & F.col("label").isNotNull()))
+    n, total = rows.count(), df.agg(F.count(F.lit(1))).scalar()
+    blocks = max(1, -(-n // block_rows))
+    # Rows alike in all of it can be in any order.
+    order = [F.col(c).asc() for c in ("hash", "key", "label", "vector")]
+    placed = ordered_totals(rows, order, {"upto": F.lit(1)})
+    placed = placed.select("vector", "label", F.floor((F.col("upto") - 1) * blocks / F.lit(max(n, 1))).alias("block"))
+
+    def one(block: pd.DataFrame) -> pd.DataFrame:
+        unit = matrix(block["vector"])
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        _, same_vector = np.unique(unit, axis=0, return_inverse=True)
+        labels = block["label"].to_numpy()
+        i, j = np.triu_indices(len(unit), 1)
+        other = same_vector[i] != same_vector[j]
+        i, j = i[other], j[other]
+        far = np.rint(np.clip(1.0 - (unit @ unit.T)[i, j], 0.0, 2.0) * 10.0**digits).astype(np.int64)
+        gap = np.round(np.abs(labels[i] - labels[j]), 12)
+        return pd.DataFrame({"n": [len(i)], "r": [_correlated_ranks(far, gap) if len(i) else float("nan")]})
+
+    per_block = durable(placed.groupBy("block").applyInPandas(one, "n long, r double").where(~F.isnan("r")))
+    w = F.col("n").cast("double")
+    mean = per_block.agg((F.sum(w * F.col("r")) / F.sum(w)).alias("mean")).scalar()
+    sums = per_block.withColumn("mean", mean).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.count(F.lit(1)).alias("blocks"), F.max("mean").alias("spearman"),
+        F.sqrt(F.sum((w * (F.col("r") - F.col("mean"))) ** 2)).alias("_off"), F.sum(w).alias("_all"),
+    )
+    error = F.when(F.col("blocks") > 1, F.col("_off") / F.col("_all") * F.sqrt(F.col("blocks") / (F.col("blocks") - 1.0)))
+    return sums.select(
+        "n_pairs", "blocks", F.lit(n).alias("rows_used"), F.lit(total).alias("rows_total"), "spearman", error.alias("standard_error")
+    )
+
+
 def embedding_report(
     encoders: dict[str, DataFrame], sample: int, key: str = "id", vector: str = "embedding", seed: int = 42
 ) -> DataFrame:

@@ -8,12 +8,14 @@ from answerflow.functions.vectors import l2_normalize
 from answerflow.operators.geometry import (
     davies_bouldin,
     distance_label_spearman,
+    distance_label_spearman_estimate,
     embedding_report,
     mean_cosine_spread,
     sampled_silhouette,
     silhouette,
 )
 from answerflow.plans.features import encode, fit_pca, text_features, vector_column
+from answerflow.plans.subspace import fit_components
 from checks.registry import query
 from checks.views import view
 
@@ -103,6 +105,29 @@ def distance_label_correlation(spark, sf_dir):
     return distance_label_spearman(view(spark, sf_dir, "fx_vectors"), "difficulty", SAMPLE)
 
 
+# Rows of a block of the estimate.
+BLOCK = 256
+
+
+@query(f"""
+WITH {V}, {UNIT},
+o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || CAST(id AS STRING)), id) - 1 AS pos, count(*) OVER () AS total FROM u),
+b AS (SELECT *, floor(pos * ((total + {BLOCK - 1}) // {BLOCK}) / total) AS block FROM o),
+p AS (SELECT x.block, round(1e0 - list_inner_product(x.e, y.e), 6) AS d, round(abs(x.difficulty - y.difficulty), 12) AS g
+      FROM b x JOIN b y ON x.block = y.block AND x.pos < y.pos WHERE x.e <> y.e),
+k AS (SELECT block, rank() OVER (PARTITION BY block ORDER BY d) + (count(*) OVER (PARTITION BY block, d) - 1) / 2e0 AS rd,
+             rank() OVER (PARTITION BY block ORDER BY g) + (count(*) OVER (PARTITION BY block, g) - 1) / 2e0 AS rg FROM p),
+c AS (SELECT block, count(*) AS n, corr(rd, rg) AS r FROM k GROUP BY block),
+m AS (SELECT sum(n * r) / sum(n) AS mean, CAST(count(*) AS DOUBLE) AS blocks FROM c)
+SELECT sum(n) AS n_pairs, count(*) AS blocks, (SELECT count(*) FROM v) AS rows_used, (SELECT count(*) FROM v) AS rows_total,
+       (SELECT mean FROM m) AS spearman,
+       sqrt(sum(power(n * (r - (SELECT mean FROM m)), 2))) / sum(n) * sqrt((SELECT blocks / (blocks - 1) FROM m)) AS standard_error
+FROM c
+""", rounded=["spearman", "standard_error"], ints=["n_pairs"], digits=5)
+def distance_label_estimate(spark, sf_dir):
+    return distance_label_spearman_estimate(view(spark, sf_dir, "fx_vectors"), "difficulty", BLOCK)
+
+
 # Rows of the first cluster play the simple questions (fraction 1).
 def binned(source: str) -> str:
     q = [f"(SELECT quantile_cont(f, {p}) FROM {source})" for p in ("25e-2", "5e-1", "75e-2")]
@@ -196,3 +221,14 @@ def projected_vectors(spark, sf_dir):
         F.lit(64).cast("bigint").alias("n"), F.lit(64).alias("dims"), falling.alias("falling"),
         F.aggregate(every, F.lit(0.0), lambda a, x: a + x).alias("variance"),
     )
+
+
+@query()
+def leading_components(spark, sf_dir):
+    """The 16 leading directions of all vectors by subspace iteration, with the spread along each.
+    No SQL: eigenvectors can't be said in it; a test compares them with a decomposition of the
+    covariance matrix."""
+    vectors = view(spark, sf_dir, "fx_vectors")
+    found = fit_components(vectors, 16)
+    projected = found.transform(vectors).select(F.posexplode("components").alias("component", "x"))
+    return projected.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.var_samp("x"), 6).alias("variance"))
