@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from answerflow.operators.blocks import compare_blocks, matrix
+from answerflow.operators.cones import best_cosines
 
 # Signal thresholds and the blend of the best and the mean of the top prototypes.
 COMPLEX_THRESHOLD = 0.68
@@ -19,40 +17,20 @@ BEST_WEIGHT = 0.75
 TOP_M = 2
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-
-
 def top_similarities(
-    df: DataFrame, prototypes: DataFrame, m: int = TOP_M, key: str = "id", vector: str = "embedding"
+    df: DataFrame, prototypes: DataFrame, m: int = TOP_M, key: str = "id", vector: str = "embedding",
+    cones: int | None = None,
 ) -> DataFrame:
     """`key` and `tops`: per signal, the m best cosines to its prototypes, best first.
 
-    `prototypes` has `signal` and the vector column; rows and prototypes meet block by block and
-    the best of the blocks are merged. A row without a vector has no similarities; prototypes
-    without a vector or a signal are left out.
+    `prototypes` has `signal` and the vector column. They are dealt to `cones`, of which a row
+    visits those that can hold one of its best. A row without a vector has no similarities;
+    prototypes without a vector or a signal are left out.
     """
-    key_type = dict(df.dtypes)[key]
     there = F.col(vector).isNotNull()
-    protos = prototypes.where(there & F.col("signal").isNotNull()).select(
-        F.xxhash64("signal", vector).alias("_pid"), "signal", F.col(vector).alias("proto")
-    )
-
-    def work(a: dict, b: dict) -> pd.DataFrame:
-        unit, other = _unit(matrix(a[vector])), _unit(matrix(b["proto"]))
-        names = np.asarray(b["signal"])
-        parts = []
-        for signal in np.unique(names):
-            best = -np.sort(-(unit @ other[names == signal].T), axis=1)[:, :m]
-            parts.append(pd.DataFrame({"id": a[key], "signal": signal, "tops": list(best)}))
-        return pd.concat(parts)
-
-    partial = compare_blocks(
-        df.where(there).select(key, vector), protos, key, [key, vector], ["_pid", "signal", "proto"], work,
-        f"id {key_type}, signal string, tops array<double>", right_key="_pid",
-    )
-    merged = partial.groupBy("id", "signal").agg(F.flatten(F.collect_list("tops")).alias("t"))
-    best = merged.select("id", "signal", F.slice(F.sort_array("t", asc=False), 1, m).alias("tops"))
+    protos = prototypes.where(there & F.col("signal").isNotNull()).select("signal", F.col(vector).alias("proto"))
+    rows = df.where(there & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    best, _ = best_cosines(rows, protos, m, cones)
     entries = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("signal", "tops"))).alias("tops"))
     none = F.create_map().cast("map<string,array<double>>")
     return df.select(key).join(entries.withColumnRenamed("id", "_of"), F.col(key) == F.col("_of"), "left").select(
