@@ -92,10 +92,10 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     prefix = F.substring("hash", 1, DIGITS)
     edge = F.coalesce(prefix == F.col("cut"), F.lit(False))
-    inner = W.partitionBy("source", "cut").orderBy("hash", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    at_edge = joined.where(edge).withColumn("_before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    # Rows without an id all have one hash, so this prefix may hold most of a source.
+    at_edge = numbered(joined.where(edge), ["source"], ["hash", "id", "size"], "_at", {"_before": F.col("size")})
     extra = (F.col("_before") + F.col("size") / 2 < F.col("left")).cast("long")
-    at_edge = at_edge.withColumn("repeats", F.col("whole") + extra).drop("_before")
+    at_edge = at_edge.withColumn("repeats", F.col("whole") + extra).drop("_at", "_before")
     others = joined.where(~edge).withColumn(
         "repeats", F.col("whole") + F.coalesce((prefix < F.col("cut")).cast("long"), F.lit(0))
     )

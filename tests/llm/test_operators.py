@@ -380,6 +380,21 @@ def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def test_mixing_rows_without_id(spark):
+    """A source most of whose rows have no id, or the same one, is cut among them, in ranges."""
+    words = [(None if i % 3 else 7, "w " * (1 + i % 40), "abc"[i % 7 % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(words, "doc_id long, text string, source string").repartition(6)
+    mixed = mixing.mix(docs)
+    rows = mixed.collect()
+    got, aims = Counter(), {}
+    for r in rows:
+        got[r.source] += r.taken
+        aims[r.source] = r.target
+    assert len(rows) == 3000 and all(abs(got[s] - t) <= 20 for s, t in aims.items())
+    count = lambda found: Counter((r.id, r.source, r.size, r.taken) for r in found)
+    assert count(mixing.mix(docs.repartition(3)).collect()) == count(rows)
+
+
 def test_private(spark, documents):
     docs = spark.createDataFrame([(i, t, "k", 1) for i, t in SECRETS], "doc_id long, text string, known string, mark int")
     rows = private.pseudonymize(docs, counted="n").collect()
