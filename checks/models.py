@@ -178,6 +178,30 @@ def described(spark, train, model, scored, kind: str, label: str, wanted) -> Dat
     return spark.createDataFrame([(k, float(v)) for k, v in items.items()], "item string, value double")
 
 
+# Models of which every held-out row is returned, with what the model says of itself beside it.
+EVERY_ROW = {
+    ("classifier", "rf"),
+}
+
+
+def numbers_beside(items: dict[str, str]) -> dict[str, str]:
+    return {k: v for k, v in (COUNTS | items).items() if k != "learned"}
+
+
+def as_columns(items: dict[str, str]) -> str:
+    numbers = ", ".join(f"CAST(({v}) AS DOUBLE) AS {k}" for k, v in numbers_beside(items).items())
+    return f"SELECT id, true AS in_range, true AS learned, {numbers} FROM fx_vectors WHERE {HELD}"
+
+
+def every_row(train, model, scored, kind: str, label: str, wanted) -> DataFrame:
+    """The rows of `checked` with the numbers of `described` beside each."""
+    looked = durable(checked(scored, kind, label))
+    n, inside = looked.agg(F.count(F.lit(1)), F.count_if(F.col("in_range"))).first()
+    said = read_back(model.stages[-1])
+    numbers = {"n_train": train.count(), "n_held": n, "n_in_range": inside} | {k: said[k] for k in wanted}
+    return looked.select("*", *[F.lit(float(v)).alias(k) for k, v in numbers.items()])
+
+
 def register_model(kind: str, name: str, label: str) -> None:
     wanted = SETTINGS.get((kind, name))
     if wanted is None:
@@ -193,9 +217,13 @@ def register_model(kind: str, name: str, label: str) -> None:
             model, scored = train_difficulty_model(
                 train, test, kind, name, label, balance=kind == "classifier" and name == "logreg"
             )
+            if (kind, name) in EVERY_ROW:
+                return every_row(train, model, scored, kind, label, wanted)
             return described(spark, train, model, scored, kind, label, wanted)
 
         sql, rounded = as_items(wanted), ["value"]
+        if (kind, name) in EVERY_ROW:
+            sql, rounded = as_columns(wanted), list(numbers_beside(wanted))
     run.__name__ = f"{name}_{kind}"
     query(sql, rounded=rounded)(run)
 
