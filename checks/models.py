@@ -181,6 +181,7 @@ def described(spark, train, model, scored, kind: str, label: str, wanted) -> Dat
 # Models of which every held-out row is returned, with what the model says of itself beside it.
 EVERY_ROW = {
     ("classifier", "rf"),
+    ("regressor", "linear"),
 }
 
 

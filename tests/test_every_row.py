@@ -7,6 +7,7 @@ from checks import QUERIES
 
 NAMES = (
     "rf_classifier",
+    "linear_regressor",
 )
 
 
