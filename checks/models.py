@@ -183,6 +183,7 @@ EVERY_ROW = {
     ("classifier", "rf"),
     ("regressor", "linear"),
     ("regressor", "ridge"),
+    ("regressor", "huber"),
 }
 
 

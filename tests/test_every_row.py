@@ -9,6 +9,7 @@ NAMES = (
     "rf_classifier",
     "linear_regressor",
     "ridge_regressor",
+    "huber_regressor",
 )
 
 
