@@ -184,6 +184,7 @@ EVERY_ROW = {
     ("regressor", "linear"),
     ("regressor", "ridge"),
     ("regressor", "huber"),
+    ("regressor", "rf"),
 }
 
 

@@ -10,6 +10,7 @@ NAMES = (
     "linear_regressor",
     "ridge_regressor",
     "huber_regressor",
+    "rf_regressor",
 )
 
 
