@@ -185,6 +185,7 @@ EVERY_ROW = {
     ("regressor", "ridge"),
     ("regressor", "huber"),
     ("regressor", "rf"),
+    ("regressor", "gb"),
 }
 
 

@@ -11,6 +11,7 @@ NAMES = (
     "ridge_regressor",
     "huber_regressor",
     "rf_regressor",
+    "gb_regressor",
 )
 
 
