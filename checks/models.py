@@ -258,12 +258,12 @@ for _balance in ("weights", "downsample", "augment"):
 LAYERS = {f"layer_{i}": f"SELECT {n}" for i, n in enumerate((1024, 512, 64, 1))}
 
 
-@query(as_items(LAYERS), rounded=["value"])
+@query(as_columns(LAYERS), rounded=list(numbers_beside(LAYERS)))
 def dense_network_classifier(spark, sf_dir):
     train, test = halves(spark, sf_dir)
     model = fit_model(train, dense_classifier(label="complex"))
     scored = score(model, test, "classifier", ["id", "complex"])
-    return described(spark, train, model, scored, "classifier", "complex", LAYERS)
+    return every_row(train, model, scored, "classifier", "complex", LAYERS)
 
 
 @query(CHECKED)

@@ -12,6 +12,7 @@ NAMES = (
     "huber_regressor",
     "rf_regressor",
     "gb_regressor",
+    "dense_network_classifier",
 )
 
 
