@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from answerflow.operators.blocks import BLOCK_ROWS, matrix, squared_distances
@@ -33,6 +35,11 @@ LEAF_ROWS = 64
 DIGITS = 9
 # Slack for rounding in the bounds: they may let a cell in too many, never one too few.
 SLACK = 1e-6
+# What a task holds at once, whatever a batch brings: distances in a matrix, rows handed on, and pairs
+# measured again.
+CELLS = 1 << 18
+ROWS_OUT = 1 << 14
+PAIRS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -62,6 +69,44 @@ def pick_pivots(train: DataFrame, n_train: int, key: str, vector: str, seed: int
     return matrix([r[vector] for r in (some or train.select(vector).limit(1).collect())])
 
 
+def vectors(lists: pa.Array) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    if not len(lists):
+        return np.empty((0, 0))
+    lengths = pc.min_max(pc.list_value_length(lists)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def fields_of(rows: pa.ListScalar) -> dict[str, pa.Array]:
+    """A packed array of rows by column."""
+    structs = rows.values
+    return dict(zip((f.name for f in structs.type), structs.flatten()))
+
+
+def numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def steps(n: int, most: int) -> Iterator[slice]:
+    """Slices of at most so many of n rows."""
+    return (slice(a, min(a + most, n)) for a in range(0, n, most))
+
+
+def at_once(width: int) -> int:
+    """How many rows may meet `width` others in one matrix."""
+    return max(1, CELLS // max(width, 1))
+
+
+def record_batch(columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def columns_of(batch: pa.RecordBatch, part: slice) -> dict[str, pa.Array]:
+    return {name: c[part] for name, c in zip(batch.schema.names, batch.columns)}
+
+
 def packed(rows: DataFrame, by: list[str], n_packs, columns: list[str], name: str) -> DataFrame:
     """Rows dealt by id into packs within `by`: one row per pack with an array of its rows."""
     pack = F.pmod(F.xxhash64("id"), F.greatest(n_packs, F.lit(1)).cast("bigint")).alias("pack")
@@ -81,17 +126,18 @@ def build_tree(
         raise ValueError("no training rows")
     pivots = pick_pivots(train, n_train, key, vector, seed, leaf_rows)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
+            for part in steps(batch.num_rows, at_once(len(pivots))):
+                given = columns_of(batch, part)
+                gaps = np.sqrt(squared_distances(vectors(given["vector"]), pivots))
                 cell = gaps.argmin(axis=1)
-                yield batch.assign(cell=cell, radius=gaps[np.arange(len(cell)), cell])
+                yield record_batch(given | {"cell": cell.astype(np.int32), "radius": gaps[np.arange(len(cell)), cell]})
 
     # Vectors keep their type on the way; only the arithmetic is in double precision.
     row_type = f"id {key_type}, vector {vector_type}, label double"
     rows = train.select(F.col(key).alias("id"), F.col(vector).alias("vector"), F.col(label).cast("double").alias("label"))
-    celled = durable(rows.mapInPandas(assign, f"{row_type}, cell int, radius double"))
+    celled = durable(rows.mapInArrow(assign, f"{row_type}, cell int, radius double"))
     counts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far")).orderBy("cell").collect()
     # At most MAX_PIVOTS rows.
     wanted = [
@@ -108,16 +154,20 @@ def build_tree(
 
     packs = packed(celled.join(known, "cell"), ["cell"], F.ceil(F.col("n") / block_rows), ["id", "vector", "label"], "r")
 
-    def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                members = pd.DataFrame(list(row["r"]))
-                gaps = np.sqrt(squared_distances(matrix(members["vector"]), matrix(row["centres"])))
-                leaf = gaps.argmin(axis=1)
-                yield members.assign(cell=row["cell"], leaf=leaf, gap=gaps[np.arange(len(leaf)), leaf])
+            for cell, packed_rows, centre_rows in zip(batch.column("cell"), batch.column("r"), batch.column("centres")):
+                members, own = fields_of(packed_rows), vectors(centre_rows.values)
+                for part in steps(len(members["id"]), at_once(len(own))):
+                    given = {name: c[part] for name, c in members.items()}
+                    gaps = np.sqrt(squared_distances(vectors(given["vector"]), own))
+                    leaf = gaps.argmin(axis=1)
+                    yield record_batch(given | {
+                        "cell": np.full(len(leaf), cell.as_py(), np.int32), "leaf": leaf.astype(np.int32), "gap": gaps[np.arange(len(leaf)), leaf],
+                    })
 
     met = packs.join(centres, "cell").select("cell", "r", "centres")
-    leafed = durable(met.mapInPandas(to_leaves, f"{row_type}, cell int, leaf int, gap double"))
+    leafed = durable(met.mapInArrow(to_leaves, f"{row_type}, cell int, leaf int, gap double"))
     leaves = leafed.groupBy("cell", "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius"))
     before = F.sum("n").over(W.partitionBy("cell").orderBy("leaf")) - F.col("n")
     leaves = durable(
@@ -163,26 +213,32 @@ def visits_of(
     packs = packed(asked, ["cell"], F.lit(math.ceil(n_queries / tree.block_rows)), ["id", "vector", "limit"], "q")
     met = packs.join(tree.cells, "cell").select("cell", "q", "centres", "leaves")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                queries, leaves = pd.DataFrame(list(row["q"])), pd.DataFrame(list(row["leaves"]))
-                centres = matrix(row["centres"])[leaves["leaf"].to_numpy()]
-                gaps = np.sqrt(squared_distances(matrix(queries["vector"]), centres))
-                own = gaps.argmin(axis=1)
-                between = np.sqrt(squared_distances(centres[own], centres))
-                lowest = lowest_distances(gaps, between, leaves["radius"].to_numpy())
-                q, c = np.nonzero(pick(gaps, lowest, queries["limit"].to_numpy(), own))
-                if not len(q):
-                    continue
-                pairs = pd.DataFrame({"at": q, "block": leaves["block"].to_numpy()[c], "leaf": leaves["leaf"].to_numpy()[c]})
-                together = pairs.groupby(["at", "block"])["leaf"].agg(list).reset_index()
-                yield queries.iloc[together["at"]].reset_index(drop=True).assign(
-                    cell=row["cell"], block=together["block"], leaves=together["leaf"]
-                )
+            for cell, packed_rows, centre_rows, leaf_rows in zip(*(batch.column(c) for c in ("cell", "q", "centres", "leaves"))):
+                queries, leaves = fields_of(packed_rows), fields_of(leaf_rows)
+                leaf, block, radius = (numbers(leaves[c]) for c in ("leaf", "block", "radius"))
+                centres = vectors(centre_rows.values)[leaf]
+                for part in steps(len(queries["id"]), at_once(len(centres))):
+                    given = {name: c[part] for name, c in queries.items()}
+                    gaps = np.sqrt(squared_distances(vectors(given["vector"]), centres))
+                    own = gaps.argmin(axis=1)
+                    between = np.sqrt(squared_distances(centres[own], centres))
+                    lowest = lowest_distances(gaps, between, radius)
+                    q, c = np.nonzero(pick(gaps, lowest, numbers(given["limit"]), own))
+                    # Leaves are in order, and so are their blocks: a query's leaves of a block are neighbours here.
+                    first = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (block[c[1:]] != block[c[:-1]])]) if len(q) else q
+                    ends = np.r_[first, len(q)]
+                    for some in steps(len(first), ROWS_OUT):
+                        a, b = ends[some.start], ends[some.stop]
+                        at = pa.array(q[first[some]])
+                        listed = pa.ListArray.from_arrays(pa.array((ends[some.start : some.stop + 1] - a).astype(np.int32)), pa.array(leaf[c[a:b]].astype(np.int32)))
+                        yield record_batch({name: v.take(at) for name, v in given.items()} | {
+                            "cell": np.full(len(at), cell.as_py(), np.int32), "block": block[c[first[some]]].astype(np.int32), "leaves": listed,
+                        })
 
     types = dict(asked.dtypes)
-    return met.mapInPandas(
+    return met.mapInArrow(
         run, f"id {types['id']}, vector {types['vector']}, limit double, cell int, block int, leaves array<int>"
     )
 
@@ -192,40 +248,47 @@ def search_blocks(tree: PivotTree, visits: DataFrame, n_queries: int, k: int) ->
     packs = packed(visits, ["cell", "block"], F.lit(math.ceil(n_queries / tree.block_rows)), ["id", "vector", "limit", "leaves"], "q")
     met = packs.join(tree.blocks, ["cell", "block"]).select("q", "t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                queries, members = pd.DataFrame(list(row["q"])), pd.DataFrame(list(row["t"])).sort_values("leaf", ignore_index=True)
-                va, vb = matrix(queries["vector"]), matrix(members["vector"])
-                limit, leaf = queries["limit"].to_numpy(), members["leaf"].to_numpy()
-                at = np.repeat(np.arange(len(queries)), queries["leaves"].map(len))
-                asked = np.concatenate(queries["leaves"].to_numpy())
-                found = []
-                for name in np.unique(leaf):
-                    first, last = np.searchsorted(leaf, [name, name + 1])
-                    q = at[asked == name]
-                    if not len(q):
+            for packed_queries, packed_members in zip(batch.column("q"), batch.column("t")):
+                queries, members = fields_of(packed_queries), fields_of(packed_members)
+                order = np.argsort(numbers(members["leaf"]), kind="stable")
+                members = {name: c.take(pa.array(order)) for name, c in members.items()}
+                vb, leaf = vectors(members["vector"]), numbers(members["leaf"])
+                names, first = np.unique(leaf, return_index=True)
+                bounds = list(zip(names, first, np.r_[first[1:], len(leaf)]))
+                for part in steps(len(queries["id"]), at_once(len(leaf))):
+                    given = {name: c[part] for name, c in queries.items()}
+                    va, limit = vectors(given["vector"]), numbers(given["limit"])
+                    at = np.repeat(np.arange(len(va)), numbers(pc.list_value_length(given["leaves"])))
+                    asked = numbers(given["leaves"].flatten())
+                    by = np.argsort(asked, kind="stable")
+                    at, asked = at[by], asked[by]
+                    found = []
+                    for name, a, b in bounds:
+                        q = at[np.searchsorted(asked, name) : np.searchsorted(asked, name, side="right")]
+                        if not len(q):
+                            continue
+                        gaps = np.sqrt(squared_distances(va[q], vb[a:b]))
+                        keep = min(k, gaps.shape[1])
+                        kth = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
+                        i, j = np.nonzero(gaps <= np.minimum(kth + SLACK, limit[q])[:, None] + SLACK)
+                        found.append((q[i], a + j))
+                    if not found:
                         continue
-                    gaps = np.sqrt(squared_distances(va[q], vb[first:last]))
-                    keep = min(k, gaps.shape[1])
-                    kth = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
-                    i, j = np.nonzero(gaps <= np.minimum(kth + SLACK, limit[q])[:, None] + SLACK)
-                    found.append((q[i], first + j))
-                if not found:
-                    continue
-                i, j = (np.concatenate([f[n] for f in found]) for n in (0, 1))
-                # Candidates are measured again without cancellation before the cut.
-                hits = pd.DataFrame(
-                    {
-                        "id": queries["id"].to_numpy()[i],
-                        "neighbour": members["id"].to_numpy()[j],
-                        "distance": np.round(np.sqrt(((va[i] - vb[j]) ** 2).sum(1)), DIGITS),
-                        "label": members["label"].to_numpy()[j],
-                    }
-                )
-                yield hits.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
-
-    return met.mapInPandas(run, f"id {dict(visits.dtypes)['id']}, neighbour {tree.key_type}, distance double, label double")
+                    i, j = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+                    # Candidates are measured again without cancellation before the cut.
+                    distance = np.empty(len(i))
+                    for some in steps(len(i), PAIRS):
+                        distance[some] = np.round(np.sqrt(((va[i[some]] - vb[j[some]]) ** 2).sum(1)), DIGITS)
+                    hits = pd.DataFrame({
+                        "id": numbers(given["id"])[i], "neighbour": numbers(members["id"])[j], "distance": distance, "label": numbers(members["label"])[j],
+                    })
+                    best = hits.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
+                    kinds = {"id": given["id"].type, "neighbour": members["id"].type, "distance": pa.float64(), "label": pa.float64()}
+                    yield record_batch({c: pa.array(best[c], kind, from_pandas=True) for c, kind in kinds.items()})
+
+    return met.mapInArrow(run, f"id {dict(visits.dtypes)['id']}, neighbour {tree.key_type}, distance double, label double")
 
 
 def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> tuple[DataFrame, int]:
@@ -233,15 +296,16 @@ def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", ve
     types = dict(queries.dtypes)
     names, pivots, sizes, reach = tree.names, tree.pivots, tree.sizes, tree.reach
 
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
-                yield batch.assign(limit=first_limits(gaps, sizes, reach, k), cell=names[gaps.argmin(axis=1)])
+            for part in steps(batch.num_rows, at_once(len(pivots))):
+                given = columns_of(batch, part)
+                gaps = np.sqrt(squared_distances(vectors(given["vector"]), pivots))
+                yield record_batch(given | {"limit": first_limits(gaps, sizes, reach, k), "cell": names[gaps.argmin(axis=1)].astype(np.int32)})
 
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
     rows = f"id {types[key]}, vector {types[vector]}, limit double"
-    started = durable(asked.mapInPandas(start, f"{rows}, cell int"))
+    started = durable(asked.mapInArrow(start, f"{rows}, cell int"))
     n_queries = started.count()
 
     def own_leaf(gaps, lowest, limit, own):
@@ -253,18 +317,21 @@ def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", ve
     limited = started.join(tighter, "id", "left").select("id", "vector", F.least("limit", "tighter").alias("limit"))
     between_all = np.sqrt(squared_distances(pivots, pivots))
 
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                gaps = np.sqrt(squared_distances(matrix(batch["vector"]), pivots))
+            for part in steps(batch.num_rows, at_once(len(pivots))):
+                given = columns_of(batch, part)
+                gaps = np.sqrt(squared_distances(vectors(given["vector"]), pivots))
                 lowest = lowest_distances(gaps, between_all[gaps.argmin(axis=1)], reach)
-                q, c = np.nonzero(lowest <= batch["limit"].to_numpy()[:, None] + SLACK)
-                yield batch.iloc[q].reset_index(drop=True).assign(cell=names[c])
+                q, c = np.nonzero(lowest <= numbers(given["limit"])[:, None] + SLACK)
+                for some in steps(len(q), ROWS_OUT):
+                    at = pa.array(q[some])
+                    yield record_batch({name: v.take(at) for name, v in given.items()} | {"cell": names[c[some]].astype(np.int32)})
 
     def within(gaps, lowest, limit, own):
         return lowest <= limit[:, None] + SLACK
 
-    return visits_of(tree, limited.mapInPandas(others, f"{rows}, cell int"), n_queries, within), n_queries
+    return visits_of(tree, limited.mapInArrow(others, f"{rows}, cell int"), n_queries, within), n_queries
 
 
 def visited_pairs(tree: PivotTree, visits: DataFrame) -> int:
@@ -279,7 +346,7 @@ def search_tree(tree: PivotTree, queries: DataFrame, k: int = 5, key: str = "id"
     visits, n_queries = plan_visits(tree, queries, k, key, vector)
     hits = search_blocks(tree, visits, n_queries, k)
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return durable(hits.withColumn("rank", rank).where(F.col("rank") <= k))
 
 
 def nearest_neighbours(

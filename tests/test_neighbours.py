@@ -60,3 +60,32 @@ def test_no_block_holds_a_crowded_leaf(spark):
     data = np.vstack([np.zeros((500, 4)), np.random.default_rng(0).normal(size=(100, 4))])
     tree = build_tree(frame(spark, data), "y", block_rows=50)
     assert tree.blocks.select(F.max(F.size("t"))).first()[0] < 200
+
+
+def test_small_pieces_change_nothing(spark, monkeypatch):
+    from answerflow.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "ROWS_OUT", 3)
+    monkeypatch.setattr(neighbours, "PAIRS", 5)
+    data = np.vstack([clustered(150, 2, dims=4, clusters=3), np.zeros((40, 4))])
+    rows = nearest_neighbours(frame(spark, data), frame(spark, data), "y", k=3, block_rows=16).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.rank)):
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert [got[i] for i in range(len(data))] == brute(data, data, 3)
+
+
+def test_python_gets_few_large_rows_at_once(spark):
+    import pyarrow as pa
+
+    from answerflow.session import durable
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("x"))
+    assert durable(wide.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0] <= 16
+    assert spark.conf.get(key) == before
