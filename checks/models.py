@@ -334,7 +334,8 @@ SELECT id, (p1 + p2 + p3) / 3e0 AS p, CASE WHEN (p1 + p2 + p3) / 3e0 > 5e-1 THEN
 FROM ({SCORES})
 """, rounded=["p", "mean"], ints=["soft", "hard"])
 def voted_scores(spark, sf_dir):
-    scores = run_sql(spark, sf_dir, SCORES)
+    # Written once: the tables would each make the pairs again, all in the tasks of the last join.
+    scores = durable(run_sql(spark, sf_dir, SCORES))
     tables = [scores.select("id", F.col(f"p{i}").alias("p")) for i in (1, 2, 3)]
     soft = vote(tables, "soft").withColumnRenamed("prediction", "soft")
     hard = vote(tables, "hard").withColumnRenamed("prediction", "hard")
@@ -414,6 +415,6 @@ WITH two AS (SELECT id, 'one' AS set_name, p FROM fx_pairs UNION ALL SELECT id,
 SELECT id, set_name, (p + p / 2e0) / 2e0 AS p, CASE WHEN (p + p / 2e0) / 2e0 > 5e-1 THEN 1 ELSE 0 END AS prediction FROM two
 """, rounded=["p"], ints=["prediction"])
 def voted_scores_of_two_sets(spark, sf_dir):
-    two = run_sql(spark, sf_dir, """
-        SELECT id, 'one' AS set_name, p FROM fx_pairs UNION ALL SELECT id, 'two', 1e0 - p FROM fx_pairs""")
+    two = durable(run_sql(spark, sf_dir, """
+        SELECT id, 'one' AS set_name, p FROM fx_pairs UNION ALL SELECT id, 'two', 1e0 - p FROM fx_pairs"""))
     return vote([two, two.withColumn("p", F.col("p") / 2)], "soft", ["id", "set_name"])
