@@ -45,7 +45,7 @@ def written_logs(spark, sf_dir, formats) -> str:
     for name in formats:
         values = log_columns("text")
         log = docs.select(F.concat(F.lit(f"{name}-"), F.col("doc_id") % 3).alias("model"), *[values[c].alias(c) for c in LOG_FORMATS[name]])
-        write_run_logs(log, f"{path}/{name}")
+        write_run_logs(log, f"{path}/{name}", compression="snappy")
     return path
 
 
@@ -80,6 +80,9 @@ def run_logs_of_other_formats(spark, sf_dir):
     return read_run_logs(spark, path + "/*/*", model_pattern=r"model=([^/]+)/[^/]*$")
 
 
+RECORDS_OF_A_PIECE = 20_000
+
+
 @query("""
 WITH cut AS (
   SELECT doc_id, lang, n_chars, string_split_regex(text, '\\r\\n|\\r|\\n') AS parts FROM documents
@@ -98,17 +101,19 @@ def wrapped_records(spark, sf_dir):
     gold = F.substring(F.lit("ABCD"), (F.col("doc_id") * 3 % 4 + 1).cast("int"), F.lit(1))
     seconds = F.when(F.col("doc_id") % 10 == 0, F.lit("slow")).otherwise((F.col("n_chars") / 1e3).cast("string"))
     quoted = F.replace(F.col("text"), F.lit('"'), F.lit('""'))
+    # Each part has as many files as keep a file, which one task writes, small.
+    pieces = max(1, -(-docs.count() // RECORDS_OF_A_PIECE))
     body = docs.select(
-        (F.col("doc_id") % 4).alias("part"), F.col("doc_id").alias("at"),
+        (F.col("doc_id") % 4).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"), F.col("doc_id").alias("at"),
         F.concat(F.col("doc_id"), F.lit(","), letter, F.lit(',"'), quoted, F.lit('",'), gold, F.lit(","), seconds,
                  F.lit(","), F.col("lang")).alias("value"),
     )
-    heads = body.select("part").distinct().select(
-        "part", F.lit(-1).cast("bigint").alias("at"), F.lit("QID,model_answer,question,correct_answer,time,category").alias("value")
+    heads = body.select("part", "piece").distinct().select(
+        "part", "piece", F.lit(-1).cast("bigint").alias("at"), F.lit("QID,model_answer,question,correct_answer,time,category").alias("value")
     )
-    body.unionByName(heads).repartition("part").sortWithinPartitions("part", "at").select("part", "value") \
-        .write.partitionBy("part").text(path)
-    return repair_wrapped_records(spark, path + "/*").drop("file")
+    body.unionByName(heads).repartition("part", "piece").sortWithinPartitions("part", "piece", "at").select("part", "piece", "value") \
+        .write.partitionBy("part", "piece").text(path)
+    return repair_wrapped_records(spark, path + "/*/*").drop("file")
 
 
 @query("""
