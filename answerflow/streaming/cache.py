@@ -114,17 +114,25 @@ class SemanticCache(StatefulProcessor):
         for k in live.keys() - stored:
             t, name, vector = live[k]
             self.entries.updateValue((k,), (t, name, vector.tolist()))
-            # The entry still covers a prompt at exactly its limit.
-            self.handle.registerTimer((t + self.ttl) // 1000 + 1)
+        self.wake(v[0] for v in live.values())
         self.next.update((number,))
         return found, similarity
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        for k in [k for k, v in self.entries.iterator() if v[0] + self.ttl < limit]:
+        held = [(k, v[0]) for k, v in self.entries.iterator()]
+        for k in [k for k, t in held if t + self.ttl < limit]:
             self.entries.removeKey(k)
+        self.wake(t for _, t in held if t + self.ttl >= limit)
         return iter([])
 
+    def wake(self, times) -> None:
+        """One timer for all entries, when the first of them ends. It still covers a prompt at exactly its
+        limit."""
+        first = min(times, default=None)
+        if first is not None:
+            self.handle.registerTimer((first + self.ttl) // 1000 + 1)
+
     def close(self) -> None:
         pass
 
