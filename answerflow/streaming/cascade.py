@@ -60,12 +60,13 @@ class CascadeProcessor(StatefulProcessor):
             ]
             if events:
                 self.pending.appendList(events)
-                for at in {self._millis(e[0]) for e in events}:
-                    self.handle.registerTimer(at)
+                # One timer for all: when the first event is complete, what is ready is settled and the
+                # next one that waits gets a timer.
+                self.handle.registerTimer(self._millis(min(e[0] for e in events)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The first timer of a batch settles everything up to the watermark; the rest find nothing.
+        # The first timer of a batch settles everything up to the watermark; others find nothing.
         limit = timerValues.getCurrentWatermarkInMs()
         waiting = sorted((pd.Timestamp(e[0]), e[1], e[2]) for e in self.pending.get())
         ready = [e for e in waiting if self._millis(e[0]) <= limit]
@@ -73,6 +74,7 @@ class CascadeProcessor(StatefulProcessor):
         if ready:
             if later:
                 self.pending.put(later)
+                self.handle.registerTimer(self._millis(later[0][0]))
             else:
                 self.pending.clear()
         current = None
@@ -93,7 +95,6 @@ class CascadeProcessor(StatefulProcessor):
                 current = None
             if kind == "start":
                 current = (ts, response_id)
-                self.handle.registerTimer(self._millis(ts + self.ttl))
         if current is not None and self._millis(current[0] + self.ttl) <= limit:
             close("abandoned", current[0] + self.ttl)
             current = None
@@ -101,6 +102,7 @@ class CascadeProcessor(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update((current[0].to_pydatetime(), current[1]))
+            self.handle.registerTimer(self._millis(current[0] + self.ttl))
         if out:
             yield pd.DataFrame(out, columns=["session_id", "response_id", "ts", "outcome", "resolved_at"])
 
