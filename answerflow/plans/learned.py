@@ -15,11 +15,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed, HasWeightCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from answerflow.session import durable
 
 Sums = dict[int, np.ndarray]
+# Rows worth a task of their own as long as cores are idle, and rows of a task at most.
+ROWS_OF_A_TASK = 16_384
+MOST_ROWS_OF_A_TASK = 524_288
+
+
+def pieces_of(spark: SparkSession, rows: int) -> int:
+    """Files in which a table is written that every pass reads, so that a pass has all cores at work."""
+    busy = min(-(-rows // ROWS_OF_A_TASK), spark.sparkContext.defaultParallelism)
+    return max(busy, -(-rows // MOST_ROWS_OF_A_TASK), 1)
 
 
 def keyed(sums: Sums) -> pa.RecordBatch:
@@ -37,9 +46,11 @@ def summed(
 
     Each key is added up in one task, so what a model learns from is spread by key and neither
     a task nor the driver holds the sums of all tasks. `finish` turns the sums of the keys in a
-    task into what the driver gets. With one task for all rows there is nothing to add up.
+    task into what the driver gets. With one task for all rows there is nothing to add up; with
+    few, or few cores, no more tasks add up than there are of them.
     """
     alone = tasks == 1
+    adding = [min(tasks, rows.sparkSession.sparkContext.defaultParallelism)] if tasks else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = work(batches)
@@ -55,7 +66,7 @@ def summed(
 
     kind = "key long, values array<double>"
     partial = rows.mapInArrow(run, kind)
-    table = (partial if alone else partial.repartition("key").mapInArrow(add, kind)).toArrow()
+    table = (partial if alone else partial.repartition(*adding, "key").mapInArrow(add, kind)).toArrow()
     return {k: np.array(v.values) for k, v in zip(table.column("key").to_pylist(), table.column("values"))}
 
 

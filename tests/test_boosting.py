@@ -88,6 +88,25 @@ def test_partitions_and_written_margins_change_nothing(spark, monkeypatch):
     assert np.allclose(a["trees"], b["trees"], atol=1e-9) and (a["offsets"] == b["offsets"]).all()
 
 
+def test_passes_keep_the_cores_busy(spark, monkeypatch):
+    seen = []
+    summed = boosting.summed
+    monkeypatch.setattr(boosting, "summed", lambda rows, work, finish, tasks: seen.append(tasks) or summed(rows, work, finish, tasks))
+    rows = spark.range(40_000).selectExpr("id", "array(CAST(id % 7 AS DOUBLE), CAST(id % 3 AS DOUBLE)) AS embedding", "CAST(id % 7 > 3 AS DOUBLE) AS label")
+    model = BoostedClassifier(labelCol="label", rounds=1, leaves=2).fit(vector_column(rows))
+    assert model.arrays()["trees"][0][[0, 2]].tolist() == [0, 3]
+    assert set(seen) == {min(3, spark.sparkContext.defaultParallelism)}
+
+
+def test_leaves_of_chosen_rows():
+    tree = np.array([[1, 2, 0.5, 1, 2, 0], [-1, 0, 0, 0, 0, 1], [0, 1, -3.0, 3, 4, 0], [-1, 0, 0, 0, 0, 2], [-1, 0, 0, 0, 0, 3]], float)
+    values = np.array([[0, 2], [1, 3], [2, 3], [9, 0]], np.uint16)
+    assert leaf_of(tree, values, 1).tolist() == [1, 3, 4, 1]
+    assert leaf_of(tree, np.asfortranarray(values), 1, np.array([2, 0])).tolist() == [4, 1]
+    # Values that are missing go right.
+    assert leaf_of(tree, np.array([[-4.0, np.nan], [np.nan, 1.0], [5.0, 0.5]]), 2).tolist() == [3, 4, 1]
+
+
 def test_awkward_rows(spark):
     x = np.array([[1.0, np.nan], [1.0, 2.0], [1.0, np.nan], [1.0, 3.0]] * 10)
     y = np.array([0.0, 1.0, 0.0, 1.0] * 10)
