@@ -23,11 +23,14 @@ Sums = dict[int, np.ndarray]
 # Rows worth a task of their own as long as cores are idle, and rows of a task at most.
 ROWS_OF_A_TASK = 16_384
 MOST_ROWS_OF_A_TASK = 524_288
+# Numbers of all tasks that the driver adds up itself.
+AT_THE_DRIVER = 1 << 20
 
 
-def pieces_of(spark: SparkSession, rows: int) -> int:
-    """Files in which a table is written that every pass reads, so that a pass has all cores at work."""
-    busy = min(-(-rows // ROWS_OF_A_TASK), spark.sparkContext.defaultParallelism)
+def pieces_of(spark: SparkSession, rows: int, least: int = 0) -> int:
+    """Files in which a table is written that every pass reads, so that a pass has all cores at work.
+    `least` rows are worth a task of their own."""
+    busy = min(-(-rows // (least or ROWS_OF_A_TASK)), spark.sparkContext.defaultParallelism)
     return max(busy, -(-rows // MOST_ROWS_OF_A_TASK), 1)
 
 
@@ -40,16 +43,17 @@ def keyed(sums: Sums) -> pa.RecordBatch:
 
 def summed(
     rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Sums], finish: Callable[[Sums], Sums] = lambda sums: sums,
-    tasks: int = 0,
+    tasks: int = 0, numbers: int = 0,
 ) -> Sums:
     """The arrays `work` returns from every task, added up under equal keys.
 
     Each key is added up in one task, so what a model learns from is spread by key and neither
     a task nor the driver holds the sums of all tasks. `finish` turns the sums of the keys in a
     task into what the driver gets. With one task for all rows there is nothing to add up; with
-    few, or few cores, no more tasks add up than there are of them.
+    few, or few cores, no more tasks add up than there are of them. If a task returns no more than
+    so many `numbers` and those of all tasks are few, the driver adds them up; `finish` must not be given then.
     """
-    alone = tasks == 1
+    alone = tasks == 1 or 0 < tasks * numbers <= AT_THE_DRIVER
     adding = [min(tasks, rows.sparkSession.sparkContext.defaultParallelism)] if tasks else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +71,11 @@ def summed(
     kind = "key long, values array<double>"
     partial = rows.mapInArrow(run, kind)
     table = (partial if alone else partial.repartition(*adding, "key").mapInArrow(add, kind)).toArrow()
-    return {k: np.array(v.values) for k, v in zip(table.column("key").to_pylist(), table.column("values"))}
+    found: Sums = {}
+    for key, values in zip(table.column("key").to_pylist(), table.column("values")):
+        values = np.array(values.values)
+        found[key] = found[key] + values if key in found else values
+    return found
 
 
 def rows_of(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:

@@ -1,6 +1,7 @@
 """A feed-forward classifier trained on all rows in step: dropout, L2 penalty, early stopping.
 
-A step takes the rows of one batch, which a hash of the row and the epoch decides. Every task returns
+A step takes the rows of one batch, which a hash of the row and the epoch decides. For an epoch the
+rows are held in the order of their batches, so that a step reads little but its own. Every task returns
 the gradient of its rows, layer by layer, and the sums of all tasks move the weights (Adam). A row's
 dropout mask depends on the row, the epoch and the layer only. So a step has the same gradient however
 the rows are partitioned, and a lost executor repeats exactly what it did. Held-out rows end the
@@ -12,13 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from answerflow.plans.learned import LearnedClassifier, LearnedEstimator, numbers_of, rows_of, summed
+from answerflow.plans.learned import LearnedClassifier, LearnedEstimator, numbers_of, pieces_of, rows_of, summed
+from answerflow.session import durable
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
 ROWS_AT_ONCE = 4_096
+# Products of a row and a weight that are worth a task of their own.
+WORTH_A_TASK = 1 << 29
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -37,6 +42,16 @@ def uniform(rows: np.ndarray, *salt: int) -> np.ndarray:
     return (z >> np.uint64(11)) / float(1 << 53)
 
 
+def uniform_column(*salt: int) -> Column:
+    """`uniform` of the column `row`."""
+
+    @F.pandas_udf("double")
+    def of(rows: pd.Series) -> pd.Series:
+        return pd.Series(uniform(rows.to_numpy(), *salt))
+
+    return of("row")
+
+
 def mask(rows: np.ndarray, width: int, rate: float, *salt: int) -> np.ndarray:
     """Kept units (scaled so that their expected sum stays), 0 for those dropped."""
     z = mixed(uniform(rows, *salt).view(np.uint64)[:, None] + np.arange(width, dtype=np.uint64)[None, :])
@@ -111,22 +126,19 @@ class DenseClassifier(LearnedEstimator):
         "held_out": 0.1, "patience": 10, "slower_after": 4,
     }
 
-    def one_pass(self, rows: DataFrame, weights: Weights, watching: bool, epoch: int, batch: int, batches: int, tasks: int) -> dict[int, np.ndarray]:
-        """Loss, rows' weight and gradient sums: of the held-out rows without gradient if `watching`."""
-        hidden, dropout, seed, held = self.value("hidden"), self.value("dropout"), self.getSeed(), self.value("held_out")
+    def one_pass(self, rows: DataFrame, weights: Weights, watching: bool, epoch: int, tasks: int) -> dict[int, np.ndarray]:
+        """Loss, rows' weight and gradient sums: without gradient if `watching`."""
+        hidden, dropout, seed = self.value("hidden"), self.value("dropout"), self.getSeed()
         shared = rows.sparkSession.sparkContext.broadcast(weights)
 
         def work(given: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
             now, sums, totals = shared.value, None, np.zeros(2)
             for part in given:
-                row = part.column("row").to_numpy()
-                here = (uniform(row, seed) < held) == watching
-                if batches > 1 and not watching:
-                    here &= (uniform(row, seed, 1, epoch) * batches).astype(int) == batch
-                chosen = np.flatnonzero(here)
-                x, y, w = rows_of(part), numbers_of(part, "y"), numbers_of(part, "weight")
-                for at in range(0, len(chosen), ROWS_AT_ONCE):
-                    i = chosen[at : at + ROWS_AT_ONCE]
+                if not part.num_rows:
+                    continue
+                row, x, y, w = part.column("row").to_numpy(), rows_of(part), numbers_of(part, "y"), numbers_of(part, "weight")
+                for at in range(0, len(row), ROWS_AT_ONCE):
+                    i = slice(at, at + ROWS_AT_ONCE)
                     totals[1] += w[i].sum()
                     if watching:
                         totals[0] += (w[i] * loss_of(forward(now, x[i], [None] * len(now))[0], y[i])).sum()
@@ -141,28 +153,54 @@ class DenseClassifier(LearnedEstimator):
             return out
 
         try:
-            return summed(rows, work, tasks=tasks)
+            return summed(rows, work, tasks=tasks, numbers=2 + sum(w.size + b.size for w, b in weights))
         finally:
             shared.unpersist()
 
+    def parted(self, rows: DataFrame, n: int, weights: Weights) -> tuple[DataFrame, DataFrame]:
+        """The rows that train and those that watch, written, and held while they are used."""
+        share, held = uniform_column(self.getSeed()), self.value("held_out")
+        least = max(ROWS_AT_ONCE // 16, WORTH_A_TASK // sum(w.size for w, _ in weights))
+        spark = rows.sparkSession
+        return (
+            durable(rows.where(share >= held).repartition(pieces_of(spark, int(n * (1 - held)), least))).persist(),
+            durable(rows.where(share < held).repartition(pieces_of(spark, int(n * held), least))).persist(),
+        )
+
     def _fit(self, df: DataFrame) -> DenseClassifierModel:
         rows = self.training_rows(df).select("row", "x", "y", "weight")
         first = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
         if not first[0]:
             raise ValueError("no training rows")
         n, inputs = first
-        hidden, penalty, rate = self.value("hidden"), self.value("penalty"), self.value("rate")
-        if len(self.value("dropout")) != len(hidden):
+        if len(self.value("dropout")) != len(self.value("hidden")):
             raise ValueError("one share of dropped units for each hidden layer")
-        weights, tasks = first_weights(inputs, hidden, self.getSeed()), rows.rdd.getNumPartitions()
+        weights = first_weights(inputs, self.value("hidden"), self.getSeed())
+        training, watching = self.parted(rows, n, weights)
+        try:
+            return self.trained(training, watching, n, weights)
+        finally:
+            training.unpersist()
+            watching.unpersist()
+
+    def trained(self, training: DataFrame, watching: DataFrame, n: int, weights: Weights) -> DenseClassifierModel:
+        hidden, penalty, rate = self.value("hidden"), self.value("penalty"), self.value("rate")
+        # What a pass over an empty table says.
+        nothing = np.zeros(2)
+        tasks, watchers = training.rdd.getNumPartitions(), watching.rdd.getNumPartitions()
         batches = max(1, round(n * (1 - self.value("held_out")) / self.value("batch_rows")))
         moments = [[np.zeros_like(v) for v in layer] for layer in weights], [[np.zeros_like(v) for v in layer] for layer in weights]
         best, lowest, waited, slow, steps, history = weights, np.inf, 0, 0, 0, []
         for epoch in range(self.value("epochs")):
-            losses = []
+            losses, dealt = [], training
+            if batches > 1:
+                # Held in order: what a step's rows do not lie in is skipped.
+                batch = F.floor(uniform_column(self.getSeed(), 1, epoch) * batches)
+                dealt = training.withColumn("batch", batch).sortWithinPartitions("batch").persist()
             for batch in range(batches):
-                found = self.one_pass(rows, weights, False, epoch, batch, batches, tasks)
-                total = found[0][1]
+                step_rows = dealt.where(F.col("batch") == batch) if batches > 1 else dealt
+                found = self.one_pass(step_rows.select("row", "x", "y", "weight"), weights, False, epoch, tasks)
+                total = found.get(0, nothing)[1]
                 if total <= 0 or len(found) == 1:
                     continue
                 losses.append(found[0][0] / total)
@@ -178,7 +216,9 @@ class DenseClassifier(LearnedEstimator):
                         layer.append(v - rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.999**steps)) + 1e-7))
                     moved.append(tuple(layer))
                 weights = moved
-            watched = self.one_pass(rows, weights, True, epoch, 0, 1, tasks)[0]
+            if batches > 1:
+                dealt.unpersist()
+            watched = self.one_pass(watching, weights, True, epoch, watchers).get(0, nothing)
             # Without held-out rows the training loss is watched.
             now = watched[0] / watched[1] if watched[1] > 0 else (np.mean(losses) if losses else 0.0)
             history.append([np.mean(losses) if losses else 0.0, now, rate])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from answerflow.plans import network
+from answerflow.plans import learned, network
 from answerflow.plans.features import vector_column
 from answerflow.plans.network import DenseClassifier, first_weights, gradient, loss_of, forward, mask, masks_of, uniform
 
@@ -53,6 +53,41 @@ def test_partitions_change_nothing(spark):
     assert learned[0]["history"].shape == (4, 3)
 
 
+def test_a_step_gets_only_the_rows_of_its_batch(spark, monkeypatch):
+    """What goes to Python over an epoch is the table once, however many batches it is dealt to."""
+    rows, summed = spark.sparkContext.accumulator(0), network.summed
+
+    def counted(frame, work, **settings):
+        def and_count(batches):
+            def seen():
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+
+            return work(seen())
+
+        return summed(frame, and_count, **settings)
+
+    monkeypatch.setattr(network, "summed", counted)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    DenseClassifier(labelCol="label", hidden=[4], dropout=[0.0], epochs=2, batch_rows=40).fit(frame(spark, x, (x[:, 0] > 0).astype(float)))
+    assert rows.value == 2 * 400
+
+
+def test_sums_added_up_by_the_driver_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 3))
+    y, settings = (x[:, 0] > 0).astype(float), dict(labelCol="label", hidden=[8], dropout=[0.2], epochs=3, batch_rows=60)
+    monkeypatch.setattr(network, "WORTH_A_TASK", 0)
+    monkeypatch.setattr(network, "ROWS_AT_ONCE", 512)  # 32 rows are worth a task
+    a = DenseClassifier(**settings).fit(frame(spark, x, y)).arrays()
+    monkeypatch.setattr(learned, "AT_THE_DRIVER", 0)
+    b = DenseClassifier(**settings).fit(frame(spark, x, y)).arrays()
+    for name in a:
+        assert np.allclose(a[name], b[name], atol=1e-9), name
+
+
 def test_learns_what_no_line_can(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(800, 3))
