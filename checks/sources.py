@@ -45,7 +45,7 @@ def written_logs(spark, sf_dir, formats) -> str:
     for name in formats:
         values = log_columns("text")
         log = docs.select(F.concat(F.lit(f"{name}-"), F.col("doc_id") % 3).alias("model"), *[values[c].alias(c) for c in LOG_FORMATS[name]])
-        write_run_logs(log, f"{path}/{name}", compression="snappy")
+        write_run_logs(log, f"{path}/{name}", compression="gzip")
     return path
 
 

@@ -1,6 +1,7 @@
 """What a task or a key does at once stays small, whatever the tables hold."""
 
 import datetime as dt
+import random
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -92,3 +93,18 @@ def test_run_logs_are_read_back(spark, tmp_path, compression):
     rows = read_run_logs(spark, str(tmp_path / "logs/*"), model_pattern=r"model=([^/]+)/[^/]*$").collect()
     assert sorted((r.id, r.model, r.question) for r in rows) == sorted((str(i), str(i % 3), f"a\n b {i}") for i in range(30))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_logs_of_several_formats_stay_small(spark, tmp_path):
+    """A question is also in its response, in each of four formats: eight copies of every text take less
+    than four times its table."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(4_000)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(100, 700))), "en", "web") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    docs.withColumn("n_chars", F.length("text").cast("bigint")).write.parquet(str(tmp_path / "documents.parquet"))
+    path = Path(sources.written_logs(spark, str(tmp_path), ["math", "medicine", "molecules", "simple"]).removeprefix("file:"))
+    table = sum(f.stat().st_size for f in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert sum(f.stat().st_size for f in path.rglob("part-*")) < 4 * table
+    found = read_run_logs(spark, f"{path}/*/*", model_pattern=r"model=([^/]+)/[^/]*$")
+    assert sorted((r.id, r.question, r.response) for r in found.where("model LIKE 'simple-%'").collect()) == sorted((str(i), t, f"so\n{t}") for i, t, _, _ in rows)
