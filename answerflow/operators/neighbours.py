@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,10 @@ SLACK = 1e-6
 CELLS = 1 << 18
 ROWS_OUT = 1 << 14
 PAIRS = 1 << 13
+# Rows of a block; comparisons go by leaf. Queries that are sent to their blocks at once: if every one
+# visits all blocks, that is as many vectors as there are rows.
+ROWS_OF_A_BLOCK = 4 * BLOCK_ROWS
+QUERIES_OF_A_ROUND = 4 * BLOCK_ROWS
 
 
 @dataclass(frozen=True)
@@ -115,7 +120,7 @@ def packed(rows: DataFrame, by: list[str], n_packs, columns: list[str], name: st
 
 def build_tree(
     train: DataFrame, label: str, key: str = "id", vector: str = "embedding", seed: int = 42, leaf_rows: int = LEAF_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = ROWS_OF_A_BLOCK,
 ) -> PivotTree:
     """The index over the rows of `train` that have a vector; it is written to the shared folder."""
     spark = train.sparkSession
@@ -291,8 +296,8 @@ def search_blocks(tree: PivotTree, visits: DataFrame, n_queries: int, k: int) ->
     return met.mapInArrow(run, f"id {dict(visits.dtypes)['id']}, neighbour {tree.key_type}, distance double, label double")
 
 
-def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> tuple[DataFrame, int]:
-    """The leaves every query has to visit after a first look into its own, and how many queries there are."""
+def start_queries(tree: PivotTree, queries: DataFrame, k: int, key: str, vector: str) -> tuple[DataFrame, int]:
+    """The queries (id, vector, limit, cell) with their nearest pivot and a first limit, written, and how many there are."""
     types = dict(queries.dtypes)
     names, pivots, sizes, reach = tree.names, tree.pivots, tree.sizes, tree.reach
 
@@ -304,9 +309,15 @@ def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", ve
                 yield record_batch(given | {"limit": first_limits(gaps, sizes, reach, k), "cell": names[gaps.argmin(axis=1)].astype(np.int32)})
 
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("vector"))
-    rows = f"id {types[key]}, vector {types[vector]}, limit double"
-    started = durable(asked.mapInArrow(start, f"{rows}, cell int"))
-    n_queries = started.count()
+    started = durable(asked.mapInArrow(start, f"id {types[key]}, vector {types[vector]}, limit double, cell int"))
+    return started, started.count()
+
+
+def visits_after(tree: PivotTree, started: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """The leaves every started query has to visit after a first look into its own."""
+    types = dict(started.dtypes)
+    names, pivots, reach = tree.names, tree.pivots, tree.reach
+    rows = f"id {types['id']}, vector {types['vector']}, limit double"
 
     def own_leaf(gaps, lowest, limit, own):
         return np.arange(gaps.shape[1])[None, :] == own[:, None]
@@ -331,7 +342,13 @@ def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", ve
     def within(gaps, lowest, limit, own):
         return lowest <= limit[:, None] + SLACK
 
-    return visits_of(tree, limited.mapInArrow(others, f"{rows}, cell int"), n_queries, within), n_queries
+    return visits_of(tree, limited.mapInArrow(others, f"{rows}, cell int"), n_queries, within)
+
+
+def plan_visits(tree: PivotTree, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> tuple[DataFrame, int]:
+    """The leaves every query has to visit after a first look into its own, and how many queries there are."""
+    started, n_queries = start_queries(tree, queries, k, key, vector)
+    return visits_after(tree, started, n_queries, k), n_queries
 
 
 def visited_pairs(tree: PivotTree, visits: DataFrame) -> int:
@@ -343,10 +360,18 @@ def visited_pairs(tree: PivotTree, visits: DataFrame) -> int:
 
 def search_tree(tree: PivotTree, queries: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row."""
-    visits, n_queries = plan_visits(tree, queries, k, key, vector)
-    hits = search_blocks(tree, visits, n_queries, k)
+    started, n_queries = start_queries(tree, queries, k, key, vector)
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))
-    return durable(hits.withColumn("rank", rank).where(F.col("rank") <= k))
+    # A query's vector goes to every block that it visits, which may be all. So queries go in rounds, and
+    # what a round has moved goes before the next.
+    rounds = max(1, math.ceil(n_queries / QUERIES_OF_A_ROUND))
+    found = []
+    for i in range(rounds):
+        some = started.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i) if rounds > 1 else started
+        size = math.ceil(n_queries / rounds)
+        hits = search_blocks(tree, visits_after(tree, some, size, k), size, k)
+        found.append(durable(hits.withColumn("rank", rank).where(F.col("rank") <= k)))
+    return reduce(DataFrame.unionAll, found)
 
 
 def nearest_neighbours(
@@ -357,7 +382,7 @@ def nearest_neighbours(
     key: str = "id",
     vector: str = "embedding",
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = ROWS_OF_A_BLOCK,
 ) -> DataFrame:
     """(id, neighbour, distance, label, rank) for the k Euclidean neighbours of every query row.
 

@@ -30,7 +30,7 @@ from answerflow.operators.scores import score_to_probability
 from answerflow.plans.boosting import BoostedClassifier, BoostedRegressor
 from answerflow.plans.kernels import KernelClassifier, KernelRegressor
 from answerflow.plans.network import DenseClassifier
-from answerflow.session import durable
+from answerflow.session import durable, passing
 
 SEED = 42
 # Models whose penalty weighs as much as one row (C = 1, alpha = 1), on unscaled features.
@@ -223,33 +223,39 @@ def sweep(
     models = list(models)
     keep = ("id",) if kind == "classifier" else ("id", "slm_correct")
 
-    def line(encoder: str, train: DataFrame, test: DataFrame, name: str) -> DataFrame:
+    def metrics(train: DataFrame, test: DataFrame, name: str) -> DataFrame:
         if name == "knn":
             scored = neighbours_score(train, test, kind, label, keep)
         else:
             known = {k: v for k, v in settings.items() if build_estimator(kind, name).hasParam(k)}
             _, scored = train_difficulty_model(train, test, kind, name, label, keep=keep, written="cached", **known)
         if kind == "classifier":
-            found = classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
-        else:
-            scored = durable(scored)
-            best = threshold_sweep(scored, thresholds).where("is_best = 1")
-            found = regression_metrics(scored, label, "score").select(
-                "n", "mae", "r2",
-                best.select("threshold").scalar().alias("threshold"),
-                best.select("routing_accuracy").scalar().alias("routing_accuracy"),
-            )
-        return durable(found.select(F.lit(encoder).alias("encoder"), F.lit(name).alias("model"), "*"))
+            return classification_metrics(scored, label, "prediction").select("n", "accuracy", "f1")
+        scored = durable(scored)
+        best = threshold_sweep(scored, thresholds).where("is_best = 1")
+        return regression_metrics(scored, label, "score").select(
+            "n", "mae", "r2",
+            best.select("threshold").scalar().alias("threshold"),
+            best.select("routing_accuracy").scalar().alias("routing_accuracy"),
+        )
+
+    def line(encoder: str, train: DataFrame, test: DataFrame, name: str) -> DataFrame:
+        # One row; what the model was made from goes with it.
+        with passing(train.sparkSession):
+            found = metrics(train, test, name).select(F.lit(encoder).alias("encoder"), F.lit(name).alias("model"), "*")
+            return train.sparkSession.createDataFrame(found.collect(), found.schema)
 
     lines = []
     for encoder, (train, test) in encoders.items():
         # The rows are written and held once for all models, which are trained side by side.
-        train, test = durable(train).persist(), durable(test)
-        try:
-            with ThreadPoolExecutor(side_by_side) as pool:
-                lines += pool.map(lambda name: line(encoder, train, test, name), models)
-        finally:
-            train.unpersist()
+        with passing(train.sparkSession):
+            train, test = (durable(df.select(*dict.fromkeys([*keep, label, "features"]))) for df in (train, test))
+            train.persist()
+            try:
+                with ThreadPoolExecutor(side_by_side) as pool:
+                    lines += pool.map(lambda name: line(encoder, train, test, name), models)
+            finally:
+                train.unpersist()
     return reduce(DataFrame.unionByName, lines)
 
 

@@ -1,5 +1,7 @@
 """Models learn, repeat themselves and survive storage."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from answerflow.plans.models import (
     sweep,
     train_difficulty_model,
 )
-from answerflow.session import scratch_path
+from answerflow.session import scratch_path, shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +82,18 @@ def test_sweep_rows(halves):
     assert all(r.routing_accuracy > 0.9 and r.threshold in (0.5, 0.55, 0.6) for r in rows)
 
 
+def test_sweep_leaves_nothing_behind(spark, halves):
+    """What a model of a sweep was made from goes with it, and the rows of an encoder with the encoder."""
+    def written():
+        return {p.name for p in Path(shared_dir(spark).removeprefix("file:")).glob("rows-*")}
+
+    before = written()
+    lines = sweep({"e": halves}, ["logreg", "svm", "knn"], "classifier", "complex")
+    assert written() == before
+    rows = {r.model: r for r in lines.collect()}
+    assert set(rows) == {"logreg", "svm", "knn"} and all(r.n == halves[1].count() and r.accuracy > 0.8 for r in rows.values())
+
+
 def test_balanced_training(halves):
     train = halves[0].where("complex = 0 OR id < 30")
     _, scored = train_difficulty_model(train, halves[1], "classifier", "logreg", "complex", balance=True)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from answerflow.operators import neighbours
 from answerflow.operators.neighbours import build_tree, nearest_neighbours, plan_visits, search_tree, visited_pairs
 
 
@@ -89,3 +90,18 @@ def test_python_gets_few_large_rows_at_once(spark):
     wide = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("x"))
     assert durable(wide.mapInArrow(sizes, "n long")).agg(F.max("n")).first()[0] <= 16
     assert spark.conf.get(key) == before
+
+
+def test_queries_go_in_rounds(spark, monkeypatch):
+    """Vectors without clusters visit every block; what is sent to the blocks at once is bounded."""
+    rng = np.random.default_rng(7)
+    data, asked = rng.normal(size=(200, 6)), rng.normal(size=(45, 6))
+    sent, visits = [], neighbours.visits_after
+    monkeypatch.setattr(neighbours, "QUERIES_OF_A_ROUND", 10)
+    monkeypatch.setattr(neighbours, "visits_after", lambda tree, started, *x: (sent.append(started.count()), visits(tree, started, *x))[1])
+    twice = frame(spark, asked).unionByName(frame(spark, asked[:1]))
+    rows = search_tree(build_tree(frame(spark, data), "y", block_rows=32), twice, k=5).collect()
+    assert len(sent) == 5 and sum(sent) == 46 and max(sent) < 30
+    want = brute(asked, data, 5)
+    for i in range(1, len(asked)):
+        assert [r.neighbour for r in sorted(rows, key=lambda r: r["rank"]) if r.id == i] == want[i]
