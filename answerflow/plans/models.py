@@ -245,11 +245,11 @@ def sweep(
             found = metrics(train, test, name).select(F.lit(encoder).alias("encoder"), F.lit(name).alias("model"), "*")
             return train.sparkSession.createDataFrame(found.collect(), found.schema)
 
-    lines = []
+    used, lines = {*keep, label, "features", *(v for v in settings.values() if isinstance(v, str))}, []
     for encoder, (train, test) in encoders.items():
         # The rows are written and held once for all models, which are trained side by side.
         with passing(train.sparkSession):
-            train, test = (durable(df.select(*dict.fromkeys([*keep, label, "features"]))) for df in (train, test))
+            train, test = (durable(df.select(*[c for c in df.columns if c in used])) for df in (train, test))
             train.persist()
             try:
                 with ThreadPoolExecutor(side_by_side) as pool:

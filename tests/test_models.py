@@ -94,6 +94,14 @@ def test_sweep_leaves_nothing_behind(spark, halves):
     assert set(rows) == {"logreg", "svm", "knn"} and all(r.n == halves[1].count() and r.accuracy > 0.8 for r in rows.values())
 
 
+def test_sweep_keeps_the_columns_of_its_settings(halves):
+    train, test = halves
+    train = train.drop("slm_correct").withColumn("w", F.when(F.col("difficulty") > 0.5, 1.0).otherwise(0.0))
+    (row,) = sweep({"e": (train, test)}, ["linear"], "regressor", "difficulty", weightCol="w").collect()
+    # Only rows of one label count, so all are predicted to be it.
+    assert row.mae == pytest.approx(test.agg(F.avg(0.8 - F.col("difficulty"))).first()[0], abs=1e-3)
+
+
 def test_balanced_training(halves):
     train = halves[0].where("complex = 0 OR id < 30")
     _, scored = train_difficulty_model(train, halves[1], "classifier", "logreg", "complex", balance=True)
